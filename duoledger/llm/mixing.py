@@ -45,19 +45,19 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool
 
     Three fractional units at a time move along the vector that keeps both totals; each
     move settles one at least. Large units come first, so that those left are small.
-    land: the last LANDING units stay out of the flight and are rounded, with what it
+    land: LANDING units of all sizes stay out of the flight and are rounded, with what it
     leaves, to the sum of sizes nearest.
     """
     p = p.copy()
     s = size.astype(float).tolist()
     active: list[int] = []
-    kept_back = len(p) - LANDING if land else len(p)
-    for unit in range(len(p)):
+    kept_back = sorted({*np.linspace(0, len(p) - 1, LANDING).astype(int).tolist()}) if land and len(p) else []
+    for unit in [i for i in range(len(p)) if i not in kept_back]:
         if not EPS < p[unit] < 1 - EPS:
             p[unit] = round(p[unit])
             continue
         active.append(unit)
-        while len(active) == 3 and unit < kept_back:
+        while len(active) == 3:
             a, b, c = active
             u = (s[b] - s[c], s[c] - s[a], s[a] - s[b])
             if not any(u):
@@ -72,6 +72,7 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool
                 elif p[i] >= 1 - EPS:
                     p[i] = 1.0
             active = [i for i in active if 0 < p[i] < 1]
+    active += [i for i in kept_back if 0 < p[i] < 1]
     if land and active:
         own = np.array([s[i] for i in active])
         ways = (np.arange(1 << len(active))[:, None] >> np.arange(len(active))) & 1
