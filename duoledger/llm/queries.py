@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op2
 from .sharding import op10
+from .toxicity import op1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1,
         "op2_mixing": op2,
         "op10_sharding": op10,
     }
