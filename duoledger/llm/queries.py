@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op5
+from .langid import op7
 from .mixing import op2
 from .sharding import op10
 from .toxicity import op1
@@ -15,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1,
         "op2_mixing": op2,
+        "op5_bpe": op5,
+        "op7_language_id": op7,
         "op10_sharding": op10,
     }
 
