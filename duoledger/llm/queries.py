@@ -11,12 +11,14 @@ from .langid import op7
 from .mixing import op2
 from .sharding import op10
 from .toxicity import op1
+from .webp import op4
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1,
         "op2_mixing": op2,
+        "op4_webp": op4,
         "op5_bpe": op5,
         "op7_language_id": op7,
         "op10_sharding": op10,
