@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5
+from .jaccard import op6
 from .langid import op7
 from .mixing import op2
 from .sharding import op10
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2,
         "op4_webp": op4,
         "op5_bpe": op5,
+        "op6_jaccard": op6,
         "op7_language_id": op7,
         "op10_sharding": op10,
     }
