@@ -13,12 +13,14 @@ from .mixing import op2
 from .sharding import op10
 from .toxicity import op1
 from .webp import op4
+from .wrappers import op3
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1,
         "op2_mixing": op2,
+        "op3_html": op3,
         "op4_webp": op4,
         "op5_bpe": op5,
         "op6_jaccard": op6,
