@@ -7,7 +7,6 @@ import heapq
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,9 +46,19 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-@lru_cache(4096)
+_tables: dict[bytes, np.ndarray] = {}
+
+
 def table_of(packed: bytes) -> np.ndarray:
     """For every TABLE bits that may come: symbol * 16 + length. One symbol alone takes no bits."""
+    if packed not in _tables:
+        if len(_tables) > 1000:
+            _tables.clear()
+        _tables[packed] = _table_of(packed)
+    return _tables[packed]
+
+
+def _table_of(packed: bytes) -> np.ndarray:
     lengths = np.frombuffer(packed, np.uint8)
     used = np.flatnonzero(lengths)
     table = np.zeros(1 << TABLE, np.int32)
@@ -465,9 +474,17 @@ CACHE, WIDTH, TILE = 8, 16, 1024
 FACTORS = (8, 248, 4)
 
 
-@lru_cache(8)
+_profiles: dict = {}
+
+
 def profile(kind: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Header of a kind of tile (values, sizes), and (codes, lengths) of green, red, blue, alpha. Kinds: 0 text with cache and copies, 1 and 2 predicted from the left and from above, 3 cross-colour."""
+    if kind not in _profiles:
+        _profiles[kind] = _profile(kind)
+    return _profiles[kind]
+
+
+def _profile(kind: int) -> tuple:
     w, plain = Writer(), kind == 0
 
     def single(argb: int) -> None:
