@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5
+from .hmm import op8
 from .jaccard import op6
 from .langid import op7
 from .mixing import op2
+from .neighbours import op9
 from .sharding import op10
 from .toxicity import op1
 from .webp import op4
@@ -25,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5,
         "op6_jaccard": op6,
         "op7_language_id": op7,
+        "op8_hmm": op8,
+        "op9_neighbours": op9,
         "op10_sharding": op10,
     }
 
