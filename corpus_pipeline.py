@@ -1,16 +1,81 @@
-"""Corpus pipeline: the stages that turn raw documents into encoded training data."""
+"""Corpus pipeline: raw documents become encoded training data in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before
+kept; all but the last return the columns of documents. Decisions of a stage are joined
+to the documents by a hash of the whole row, so rows that repeat are decided alike.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from duoledger.llm import bpe, jaccard, langid, mixing, toxicity
+from duoledger.llm.common import shared_dir, small, stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows up to which a stage's decisions are broadcast; more are joined by shuffle.
+BROADCAST = 1_000_000
+ROW = F.xxhash64("doc_id", "text", "lang", "source")
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs but for the rows (hash row) that are rejected."""
+    return docs.withColumn("row", ROW).join(small(stored(rejected.select("row").distinct(), "rejected"), BROADCAST), "row", "left_anti").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is decided; texts without a quarter of letters, or of no likely language, go."""
+    rows = langid.documents_as_rows(docs.select(*COLUMNS)).withColumn("row", F.xxhash64("doc_id", "text", "declared", "host")).drop("doc_id")
+    return _without(docs, langid.identify(rows).where(~F.col("accepted")))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.7."""
+    scored = toxicity.score(docs.withColumn("row", ROW), "row", "text", toxicity.model_of(spark, docs, sf_dir))
+    return _without(docs, scored.where("score >= 0.7").select(F.col("id").alias("row")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the smallest id, of each group linked by Jaccard 0.8 of five-word shingles; one row of an id that repeats."""
+    found = stored(jaccard.similar(docs, "doc_id", "text", 5, 80, 100).select("id", "component_id"), "groups")
+    gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    kept = docs.join(small(stored(gone, "gone"), BROADCAST), "doc_id", "left_anti")
+    again = stored(found.where("id is not null").groupBy(F.col("id").alias("doc_id")).count().where("count > 1").select("doc_id"), "again")
+    if again.limit(1).count():
+        again = small(again, BROADCAST)
+        kept = kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(kept.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    return kept.select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; rows that are equal, as often as the least of them."""
+    taken = mixing.mix(docs.withColumn("row", ROW), "row", "text", "source").where("copies > 0").groupBy(F.col("id").alias("row")).agg(F.min("copies").alias("copies"))
+    rows = docs.withColumn("row", ROW).join(small(stored(taken, "taken"), BROADCAST), "row")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of each document taken."""
+    done = bpe.encode(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+    return done.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+
 
-STAGES: list = []
+STAGES = [("language_id", language), ("toxicity", toxic), ("ngram_jaccard", near_duplicates), ("mixing", mixture), ("bpe", encoded)]
 #: SQL cannot express the stages; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = f"{shared_dir(spark).rstrip('/')}/duoledger/pipeline-{name}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
