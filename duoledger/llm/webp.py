@@ -30,8 +30,6 @@ NEAR = [
     (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7),
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7)]
 LENGTHS, DISTANCES, HASH = 24, 40, 0x1E35A7BD
-TABLE = 15
-
 # ---------------------------------------------------------------- prefix codes
 
 
@@ -50,7 +48,7 @@ _tables: dict[bytes, np.ndarray] = {}
 
 
 def table_of(packed: bytes) -> np.ndarray:
-    """For every TABLE bits that may come: symbol * 16 + length. One symbol alone takes no bits."""
+    """For all bits that may come, as many as the longest code has: symbol * 16 + length. One symbol alone takes no bits."""
     if packed not in _tables:
         if len(_tables) > 1000:
             _tables.clear()
@@ -61,11 +59,9 @@ def table_of(packed: bytes) -> np.ndarray:
 def _table_of(packed: bytes) -> np.ndarray:
     lengths = np.frombuffer(packed, np.uint8)
     used = np.flatnonzero(lengths)
-    table = np.zeros(1 << TABLE, np.int32)
     if len(used) <= 1:
-        table[:] = (used[0] if len(used) else 0) << 4
-        return table
-    codes = codes_of(lengths)
+        return np.array([(used[0] if len(used) else 0) << 4], np.int32)
+    table, codes = np.zeros(1 << int(lengths.max()), np.int32), codes_of(lengths)
     for s in used:
         table[codes[s] :: 1 << int(lengths[s])] = s << 4 | int(lengths[s])
     return table
@@ -87,7 +83,7 @@ class Bits:
 
     def symbol(self, table: np.ndarray) -> int:
         a = self.at >> 3
-        v = int(table[int.from_bytes(self.data[a : a + 3], "little") >> (self.at & 7) & (1 << TABLE) - 1])
+        v = int(table[int.from_bytes(self.data[a : a + 3], "little") >> (self.at & 7) & len(table) - 1])
         self.at += v & 15
         return v >> 4
 
@@ -122,10 +118,11 @@ def read_code(bits: Bits, size: int) -> np.ndarray:
 
 
 def walk(buffer: np.ndarray, bit: np.ndarray, width: np.ndarray, count: np.ndarray, cache_bits: np.ndarray, groups: np.ndarray, first: np.ndarray,
-         tables: np.ndarray, blocks: list[tuple[int, np.ndarray] | None]) -> list[np.ndarray]:
+         masks: np.ndarray, flat: np.ndarray, blocks: list[tuple[int, np.ndarray] | None]) -> list[np.ndarray]:
     """Pixels (ARGB) of each image. All images move pixel by pixel together: a step reads a symbol of each that is not copying.
 
-    groups: tables of the five codes of each group; first: an image's first group;
+    groups, masks: where the tables of the five codes of each group begin in flat, and
+    the bits that they take; first: an image's first group;
     blocks: block bits and the groups of its blocks, where an image has more than one.
     """
     n = len(bit)
@@ -140,8 +137,6 @@ def walk(buffer: np.ndarray, bit: np.ndarray, width: np.ndarray, count: np.ndarr
     shift = (32 - cache_bits).astype(np.uint32)
     copying = 0
     mapped = any(blocks[i] is not None for i in order)
-    mask = np.uint64((1 << TABLE) - 1)
-    flat = tables.reshape(-1)
     active = np.searchsorted(-count, -np.arange(most), side="left")
     everyone = np.arange(n)
     for t in range(most):
@@ -155,22 +150,22 @@ def walk(buffer: np.ndarray, bit: np.ndarray, width: np.ndarray, count: np.ndarr
                     if (b := blocks[order[i]]) is not None:
                         x, y = t % int(width[i]), t // int(width[i])
                         group[k] = first[i] + b[1][y >> b[0], x >> b[0]]
-            code = groups[group]
+            code, mask = groups[group], masks[group]
             w = words[at >> 3] >> (at & 7).astype(np.uint64)
-            v = flat[code[:, 0] + (w & mask).astype(np.int64)]
+            v = flat[code[:, 0] + (w & mask[:, 0]).astype(np.int64)]
             green, used = v >> 4, v & 15
             plain = green < 256
             all_plain = bool(plain.all())
             lit = slice(None) if all_plain else np.flatnonzero(plain)
             w, u = w[lit] >> used[lit].astype(np.uint64), used[lit].astype(np.int64)
-            v = flat[code[lit, 1] + (w & mask).astype(np.int64)]
+            v = flat[code[lit, 1] + (w & mask[lit, 1]).astype(np.int64)]
             red, k = v >> 4, v & 15
             w, u = w >> k.astype(np.uint64), u + k
-            v = flat[code[lit, 2] + (w & mask).astype(np.int64)]
+            v = flat[code[lit, 2] + (w & mask[lit, 2]).astype(np.int64)]
             blue, u = v >> 4, u + (v & 15)
             now = at[lit] + u
             w = words[now >> 3] >> (now & 7).astype(np.uint64)
-            v = flat[code[lit, 3] + (w & mask).astype(np.int64)]
+            v = flat[code[lit, 3] + (w & mask[lit, 3]).astype(np.int64)]
             alpha = v >> 4
             argb = (alpha.astype(np.uint32) << 24) | (red.astype(np.uint32) << 16) | (green[lit].astype(np.uint32) << 8) | blue.astype(np.uint32)
             out[who[lit], t] = argb
@@ -183,7 +178,7 @@ def walk(buffer: np.ndarray, bit: np.ndarray, width: np.ndarray, count: np.ndarr
                 for k in rest[green[rest] < 256 + LENGTHS].tolist():
                     i = int(who[k])
                     length, bit[i] = _value(words, int(bit[i]), int(green[k]) - 256)
-                    v = int(flat[code[k, 4] + (int(words[bit[i] >> 3]) >> int(bit[i] & 7) & (1 << TABLE) - 1)])
+                    v = int(flat[code[k, 4] + (int(words[bit[i] >> 3]) >> int(bit[i] & 7) & int(mask[k, 4]))])
                     far, bit[i] = _value(words, int(bit[i]) + (v & 15), v >> 4)
                     dx, dy = NEAR[far - 1] if far <= len(NEAR) else (far - len(NEAR), 0)
                     distance[i] = max(1, dx + dy * int(width[i])) if far <= len(NEAR) else dx
@@ -265,21 +260,29 @@ def read_header(data: bytes, at: int, width: int, height: int) -> Header:
 
 def _walk_all(images: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
     """images: (data, bit, width, count, cache bits, codes of each group, blocks)."""
-    keys: dict[bytes, int] = {}
-    groups, first, starts, size = [], [], [], 0
+    places: dict[bytes, tuple[int, int]] = {}
+    tables: list[np.ndarray] = []
+    groups, first, starts, size, at = [], [], [], 0, 0
     seen: dict[int, int] = {}
     for data, _, _, _, _, codes, _ in images:
         starts.append(size)
         size += len(data)
         if id(codes) not in seen:
             seen[id(codes)] = len(groups)
-            groups += [[keys.setdefault(c.tobytes(), len(keys)) << TABLE for c in g] for g in codes]
+            for g in codes:
+                for c in g:
+                    if (key := c.tobytes()) not in places:
+                        tables.append(table_of(key))
+                        places[key] = at, len(tables[-1]) - 1
+                        at += len(tables[-1])
+                groups.append([places[c.tobytes()] for c in g])
         first.append(seen[id(codes)])
     buffer = np.frombuffer(b"".join([x[0] for x in images]) + bytes(16), np.uint8).copy()
     column = lambda k: np.array([x[k] for x in images], np.int64)
     bit = column(1) + 8 * np.array(starts, np.int64)
-    pixels, ends = walk(buffer, bit, column(2), column(3), column(4), np.array(groups, np.int64), np.array(first, np.int64),
-                        np.stack([table_of(k) for k in keys]), [x[6] for x in images])
+    both = np.array(groups, np.int64)
+    pixels, ends = walk(buffer, bit, column(2), column(3), column(4), both[..., 0].copy(), np.array(first, np.int64),
+                        both[..., 1].astype(np.uint64), np.concatenate(tables), [x[6] for x in images])
     return pixels, ends - 8 * np.array(starts, np.int64)
 
 
@@ -470,6 +473,8 @@ class Writer:
 
 #: Bits of the colour cache; pixels across; pixels of a tile at most.
 CACHE, WIDTH, TILE = 8, 16, 1024
+#: Bytes of texts whose tiles are read together.
+AT_ONCE = 12_000_000
 #: Factors of the cross-colour transform that the writer uses: green to red, green to blue, red to blue.
 FACTORS = (8, 248, 4)
 
@@ -674,33 +679,32 @@ def _write(kind: int, rows: list[np.ndarray]) -> list[bytes]:
 def _media(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     step = TILE * 4
     for part in parts:
-        rows: list[tuple] = []
         held, size = [], 0
         for id_, text in zip(part["id"], part["text"], strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
             held.append((id_, raw))
             size += len(raw)
-            if size > 32_000_000:
-                rows += _stored_and_read(held, step)
+            if size > AT_ONCE:
+                yield _stored_and_read(held, step)
                 held, size = [], 0
-        rows += _stored_and_read(held, step)
-        yield pd.DataFrame(rows, columns=["id", "n_bytes", "media", "payload"])
+        if held:
+            yield _stored_and_read(held, step)
 
 
-def _stored_and_read(held: list[tuple], step: int) -> list[tuple]:
+def _stored_and_read(held: list[tuple], step: int) -> pd.DataFrame:
     tiles, counts = [], []
     for _, raw in held:
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
         own = [payload[i : i + step] for i in range(0, len(payload), step)]
         tiles += own
         counts.append(len(own))
-    files = [f for i in range(0, len(tiles), 2000) for f in encode(tiles[i : i + 2000])]
+    files = [f for i in range(0, len(tiles), 1000) for f in encode(tiles[i : i + 1000])]
     pixels = decode(files)
     rows, at = [], 0
     for (id_, raw), n in zip(held, counts, strict=True):
         rows.append((id_, len(raw), b"".join(files[at : at + n]), b"".join(p.tobytes() for p in pixels[at : at + n])))
         at += n
-    return rows
+    return pd.DataFrame(rows, columns=["id", "n_bytes", "media", "payload"])
 
 
 def media(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
