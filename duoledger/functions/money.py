@@ -55,38 +55,47 @@ def allocate(rows: DataFrame, key: list[str], order: str, total: str, weight: st
     return rows.withColumn(out, F.when(F.col(total) < 0, -part).otherwise(part).cast("long")).drop("_sum", "_rest", "_part")
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def parse_money(text: Column, separator: str | None = None) -> Column:
     """Cents of a money string: R$, parentheses, a trailing D or C, signs, and a declared or inferred decimal sign; null where it is none."""
-    t = F.trim(text)
-    parens = t.rlike(r"^\(.*\)$")
-    t = F.when(parens, F.trim(F.regexp_replace(t, r"^\((.*)\)$", "$1"))).otherwise(t)
-    mark = F.upper(F.regexp_extract(t, r"\s([DCdc])$", 1))
-    t = F.regexp_replace(F.regexp_replace(t, r"\s[DCdc]$", ""), r"(?i)R\$|[\s ]", "")
-    minus = t.startswith("-")
-    negative = F.when(minus, ~(parens | (mark == "D"))).otherwise(parens | (mark == "D"))
-    t = F.regexp_replace(t, r"^[+-]", "")
-    last = lambda sign: F.length(t) - F.instr(F.reverse(t), sign)  # noqa: E731  characters before the last sign
-    commas, dots = (F.length(t) - F.length(F.translate(t, s, "")) for s in (",", "."))
-    if separator is None:
-        after_dot = F.instr(F.reverse(t), ".") - 1
-        sign = (F.when((commas == 0) & (dots == 0), None)
-                .when((commas > 0) & (dots > 0), F.when(last(",") > last("."), ",").otherwise("."))
-                .when(commas == 1, ",").when(commas > 1, None)
-                .when((dots == 1) & (after_dot != 3), "."))
-    else:
-        sign = F.when(F.instr(t, separator) > 0, separator)
-    place = F.when(sign == ",", last(",")).when(sign == ".", last(".")).otherwise(F.length(t))
-    whole = F.translate(t.substr(F.lit(1), place), ".,", "")
-    rest = F.translate(t.substr(place + 2, F.lit(60)), ".,", "")
-    padded = F.rpad(rest, 3, "0")
-    value = F.coalesce(F.when(whole == "", F.lit(0)).otherwise(whole.cast("decimal(30,0)")), F.lit(0)) * 100 + padded.substr(1, 2).cast("int")
-    value = value + F.when((F.length(rest) > 2) & (padded.substr(3, 1).cast("int") >= 5), 1).otherwise(0)
-    return F.when(t.rlike(r"^[0-9.,]+$"), F.when(negative, -value).otherwise(value).cast("long"))
+
+    def signs(t: Column) -> Column:
+        inside = F.regexp_replace(t, r"^\((.*)\)$", "$1")
+        return let(F.struct(t.rlike(r"^\(.*\)$").alias("parens"), F.trim(inside).alias("t")), bare)
+
+    def bare(x: Column) -> Column:
+        debit = x["t"].rlike(r"\s[Dd]$")
+        t = F.regexp_replace(F.regexp_replace(x["t"], r"\s[DCdc]$", ""), r"(?i)R\$|[\s\x{00A0}]", "")
+        return let(F.struct((x["parens"] | debit).alias("negative"), t.startswith("-").alias("minus"), F.regexp_replace(t, r"^[+-]", "").alias("t")), number)
+
+    def number(x: Column) -> Column:
+        t = x["t"]
+        last = lambda sign: F.length(t) - F.instr(F.reverse(t), sign)  # noqa: E731  signs before the last of its kind
+        if separator is None:
+            commas, dots = (F.length(t) - F.length(F.translate(t, c, "")) for c in (",", "."))
+            place = (F.when((commas > 0) & (dots > 0), F.greatest(last(","), last("."))).when(commas == 1, last(","))
+                     .when((commas == 0) & (dots == 1) & (F.instr(F.reverse(t), ".") != 4), last(".")))
+        else:
+            place = F.when(F.instr(t, separator) > 0, last(separator))
+        own = let(F.coalesce(place, F.length(t)), lambda at: F.struct(F.translate(t.substr(F.lit(1), at), ".,", "").alias("whole"), F.translate(t.substr(at + 2, F.lit(60)), ".,", "").alias("rest")))
+        value = let(own, amount)
+        return F.when(t.rlike(r"^[0-9.,]+$"), F.when(x["negative"] != x["minus"], -value).otherwise(value))
+
+    def amount(x: Column) -> Column:
+        padded = F.rpad(x["rest"], 3, "0")
+        up = (F.length(x["rest"]) > 2) & (padded.substr(3, 1).try_cast("int") >= 5)
+        return F.coalesce(x["whole"].try_cast("long"), F.lit(0)) * 100 + padded.substr(1, 2).try_cast("int") + F.when(up, 1).otherwise(0)
+
+    return let(F.trim(text), signs).cast("long")
 
 
 def format_money(c: Column) -> Column:
     """-1.234,56: sign before the digits, points between thousands."""
-    shown = F.translate(F.format_number(F.abs(c).cast("decimal(20,0)") / 100, "#,##0.00"), ",.", ".,")
+    shown = F.translate(F.call_function("format_number", F.abs(c).cast("decimal(20,0)") / 100, F.lit("#,##0.00")), ",.", ".,")
     return F.concat(F.when(c < 0, "-").otherwise(""), shown)
 
 

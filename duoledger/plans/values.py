@@ -1 +1,89 @@
-"""Queries."""
+"""Queries of scalar functions over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import calendar, money, text
+from ..functions.text import ACCENTED, PLAIN
+from ..sources import proxy
+from .registry import query
+
+NORM = f"trim(regexp_replace(upper(replace(translate(text, '{ACCENTED}', '{PLAIN}'), 'ß', 'ss')), '[\\s\\x{{00A0}}]+', ' ', 'g'))"
+
+
+@query("f1_mul_ratio", """SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_suppkey, l_tax, l_discount, CAST(l_shipdate AS DATE) AS day,
+  (CASE WHEN l_partkey % 2 = 1 THEN -1 ELSE 1 END * ((2 * CAST(round(l_extendedprice * 100) AS BIGINT)::HUGEINT * CAST(l_quantity AS BIGINT) + 365) // 730))::BIGINT AS share FROM lineitem""")
+def f1(spark, sf_dir):
+    amount = money.cents(F.col("l_extendedprice"))
+    share = money.mul_ratio(F.when(F.col("l_partkey") % 2 == 1, -amount).otherwise(amount), F.col("l_quantity").cast("long"), F.lit(365))
+    return proxy.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_suppkey", "l_tax", "l_discount", F.col("l_shipdate").cast("date").alias("day"), share.alias("share"))
+
+
+@query("f5_parse_money", """SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) * CASE WHEN o_orderkey % 4 IN (1, 2) THEN -1 ELSE 1 END AS cents FROM orders""")
+def f5(spark, sf_dir):
+    """Amounts written in four ways, and read back."""
+    shown = money.format_money(money.cents(F.col("o_totalprice")))
+    k = F.col("o_orderkey") % 4
+    written = F.when(k == 0, F.concat(F.lit("R$ "), shown)).when(k == 1, F.concat(F.lit("("), shown, F.lit(")"))).when(k == 2, F.concat(shown, F.lit(" D"))).otherwise(F.concat(F.lit("+"), F.translate(shown, ".,", ",.")))
+    return proxy.table(spark, sf_dir, "orders").select("o_orderkey", money.parse_money(written).alias("cents"))
+
+
+@query("f6_format_money", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN '-' ELSE '' END || translate(format('{:,.2f}', CAST(round(o_totalprice * 100) AS BIGINT) / 100.0), ',.', '.,') AS shown FROM orders""")
+def f6(spark, sf_dir):
+    c = money.cents(F.col("o_totalprice"))
+    return proxy.table(spark, sf_dir, "orders").select("o_orderkey", money.format_money(F.when(F.col("o_orderkey") % 2 == 1, -c).otherwise(c)).alias("shown"))
+
+
+@query("f18_covered_days", """SELECT o_orderkey, greatest(0, date_diff('day', greatest(CAST(o_orderdate AS DATE), DATE '1998-02-01'), least(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INTEGER), DATE '1998-02-28')) + 1)::INTEGER AS days,
+  day(last_day(o_orderdate))::INTEGER AS month_days, CAST(date_trunc('month', o_orderdate) AS DATE) AS period FROM orders""")
+def f18(spark, sf_dir):
+    start = F.col("o_orderdate").cast("date")
+    return proxy.table(spark, sf_dir, "orders").select("o_orderkey", calendar.covered_days(F.lit("1998-02-01").cast("date"), start, F.date_add(start, (F.col("o_orderkey") % 400).cast("int"))).alias("days"),
+                                                       calendar.days_in_month(start).alias("month_days"), calendar.period_of(start).alias("period"))
+
+
+@query("f13_month_label", """SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, ['jan','fev','mar','abr','mai','jun','jul','ago','set','out','nov','dez'][month(o_orderdate)] || '/' || strftime(o_orderdate, '%y') AS label FROM orders""")
+def f13(spark, sf_dir):
+    p = calendar.period_of(F.col("o_orderdate").cast("date"))
+    return proxy.table(spark, sf_dir, "orders").select(p.alias("period"), calendar.month_label(p).alias("label")).distinct()
+
+
+@query("f23_normalize", f"SELECT doc_id, sha256({NORM}) AS hash FROM documents")
+def f23(spark, sf_dir):
+    return proxy.table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize(F.col("text")), 256).alias("hash"))
+
+
+TAX = "WITH t AS (SELECT c_custkey, lpad(CAST((c_custkey * 7919 + 12345) % 1000000000 AS VARCHAR), 9, '0') AS nine FROM customer), "
+DIGIT = lambda s, n: "(11 - (" + " + ".join(f"CAST(substr({s}, {i + 1}, 1) AS INTEGER) * {n + 1 - i}" for i in range(n)) + ") % 11)"
+
+
+@query("f25_tax_id", TAX + f"""a AS (SELECT *, CASE WHEN {DIGIT('nine', 9)} >= 10 THEN 0 ELSE {DIGIT('nine', 9)} END AS d1 FROM t), b AS (SELECT *, nine || d1 AS ten FROM a),
+c AS (SELECT *, CASE WHEN {DIGIT('ten', 10)} >= 10 THEN 0 ELSE {DIGIT('ten', 10)} END AS d2 FROM b)
+SELECT c_custkey, (d1 = c_custkey % 10 AND d2 = c_custkey // 10 % 10) AND NOT regexp_matches(nine || (c_custkey % 10) || (c_custkey // 10 % 10), '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$') AS valid FROM c""")
+def f25(spark, sf_dir):
+    """Eleven digits made from the key; few have the right check digits."""
+    nine = F.lpad(((F.col("c_custkey") * 7919 + 12345) % 1_000_000_000).cast("string"), 9, "0")
+    written = F.concat(nine, (F.col("c_custkey") % 10).cast("string"), (F.floor(F.col("c_custkey") / 10) % 10).cast("string"))
+    shown = F.regexp_replace(written, r"^(\d{3})(\d{3})(\d{3})(\d{2})$", "$1.$2.$3-$4")
+    return proxy.table(spark, sf_dir, "customer").select("c_custkey", text.valid_tax_id(shown).alias("valid"))
+
+
+@query("f26_supplier_key", """WITH d AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(upper(p_name || ' *' || p_partkey || ' ' || p_type), '[0-9*#]+', ' ', 'g'), ' +', ' ', 'g')) AS bare FROM part)
+SELECT p_partkey, CASE WHEN len(w) > 0 THEN array_to_string(w[1:2], ' ') ELSE bare END AS key FROM (SELECT *, [x FOR x IN string_split(bare, ' ') IF length(x) >= 2] AS w FROM d)""")
+def f26(spark, sf_dir):
+    description = F.concat("p_name", F.lit(" *"), F.col("p_partkey").cast("string"), F.lit(" "), "p_type")
+    return proxy.table(spark, sf_dir, "part").select("p_partkey", text.supplier_key(description).alias("key"))
+
+
+@query("f28_instalment", """SELECT o_orderkey, CASE WHEN m BETWEEN 2 AND 36 AND n BETWEEN 1 AND m THEN n END AS current, CASE WHEN m BETWEEN 2 AND 36 AND n BETWEEN 1 AND m THEN m END AS total
+FROM (SELECT o_orderkey, (o_orderkey % 15)::INTEGER AS n, (o_orderkey % 41)::INTEGER AS m FROM orders)""")
+def f28(spark, sf_dir):
+    description = F.concat(F.lit("LOJA "), (F.col("o_orderkey") % 15).cast("string"), F.lit(" / "), (F.col("o_orderkey") % 41).cast("string"), F.lit(" x"))
+    found = text.instalment(description)
+    return proxy.table(spark, sf_dir, "orders").select("o_orderkey", found["current"].alias("current"), found["total"].alias("total"))
+
+
+@query("f22_excel_serial", "SELECT o_orderkey, CAST(DATE '1899-12-30' + CAST(40000 + o_orderkey % 9000 AS INTEGER) AS DATE) AS day FROM orders")
+def f22(spark, sf_dir):
+    return proxy.table(spark, sf_dir, "orders").select("o_orderkey", calendar.excel_serial(40000 + F.col("o_orderkey") % 9000).alias("day"))
