@@ -4,22 +4,17 @@ from __future__ import annotations
 
 import json
 import unicodedata
-import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import read
+from .dictionary import chunked, pack_numbers, unpack, unpack_numbers
 
-#: Characters of text in a chunk: the rows that share one dictionary of words.
-CHUNK = 12_000_000
 #: The vocabulary's own split, with the white space of Unicode spelled out.
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -101,100 +96,58 @@ def encode_word(word: str, vocabulary: Vocabulary, signs: list[str]) -> list[int
     return [i for p in parts if (i := vocabulary.ids.get(p)) is not None]
 
 
-def pack(words: list[str]) -> bytes:
-    return zstandard.compress("\n".join(words).encode("utf-8", "surrogatepass"), 3)
-
-
-def unpack(blob: bytes) -> list[str]:
-    return zstandard.decompress(blob).decode("utf-8", "surrogatepass").split("\n")
-
-
-def _chunks(special: list[str], buckets: int):
-    """Rows of documents (chunk, id, words as numbers of the chunk's dictionary) and of dictionaries (chunk, bucket, numbers, words)."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splitter, task = Splitter(special), TaskContext.get().partitionId()
-        numbers: dict[str, int] = {}
-        size, k = 0, 0
-        press = zstandard.ZstdCompressor(3)
-
-        def dictionary() -> pd.DataFrame:
-            by: dict[int, list[str]] = {}
-            for w in numbers:
-                by.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
-            rows = [(f"{task}-{k}", None, None, b, np.array([numbers[w] for w in ws], "<i4").tobytes(), pack(ws)) for b, ws in by.items()]
-            return pd.DataFrame(rows, columns=["chunk", "id", "blob", "bucket", "at", "words"]).astype({"id": "object", "blob": "object"})
-
-        for part in parts:
-            rows = []
-            for id_, text in zip(part["id"], part["text"], strict=True):
-                if size > CHUNK:
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["chunk", "id", "blob"]).assign(bucket=-1, at=None, words=None)
-                        rows = []
-                    yield dictionary()
-                    numbers, size, k = {}, 0, k + 1
-                words = splitter.words(text)
-                size += len(text or "")
-                found = [numbers.setdefault(w, len(numbers)) for w in words]
-                rows.append((f"{task}-{k}", None if pd.isna(id_) else id_, press.compress(np.array(found, "<u4").tobytes())))
-            if rows:
-                yield pd.DataFrame(rows, columns=["chunk", "id", "blob"]).assign(bucket=-1, at=None, words=None)
-        if numbers:
-            yield dictionary()
-
-    return run
-
-
 def _encoded(fields):
-    """Of one bucket of words, from all chunks: every distinct word is encoded once; ids and pieces go back to each chunk."""
+    """Of one bucket of words, from all chunks: every distinct word is encoded once; its ids go back to each chunk."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         v, signs, done, out = Vocabulary(**fields.value), byte_signs(), {}, []
         for chunk, at, blob in zip(rows["chunk"], rows["at"], rows["words"], strict=True):
-            flat, lengths, shown = [], [], []
+            flat, lengths = [], []
             for w in unpack(blob):
                 if w not in done:
-                    ids = encode_word(w, v, signs)
-                    done[w] = ids, " ".join(v.pieces[i] for i in ids)
-                ids, text = done[w]
-                flat += ids
-                lengths.append(len(ids))
-                shown.append(text)
-            out.append((chunk, at, zstandard.compress(np.array(lengths, "<u4").tobytes() + np.array(flat, "<u4").tobytes()), pack(shown)))
-        return pd.DataFrame(out, columns=["chunk", "at", "ids", "shown"])
+                    done[w] = encode_word(w, v, signs)
+                flat += done[w]
+                lengths.append(len(done[w]))
+            out.append((chunk, at, pack_numbers(np.array(lengths, np.int64)), pack_numbers(np.array(flat, np.int64))))
+        return pd.DataFrame(out, columns=["chunk", "at", "lengths", "flat"])
 
     return run
 
 
-def _joined(docs: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
-    """The ids of each document, and the text that they decode to, by the numbers of its words."""
-    at, lengths, flat, shown = [], [], [], []
-    for a, ids, text in zip(tables["at"], tables["ids"], tables["shown"], strict=True):
-        own = np.frombuffer(a, "<i4")
-        both = np.frombuffer(zstandard.decompress(ids), "<u4")
-        at.append(own)
-        lengths.append(both[: len(own)])
-        flat.append(both[len(own) :])
-        shown += unpack(text)
-    if at:
-        at, lengths, flat = np.concatenate(at), np.concatenate(lengths).astype(np.int64), np.concatenate(flat).astype(np.int32)
-        starts, n, texts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), [""] * len(at)
-        starts[at], n[at] = np.cumsum(lengths) - lengths, lengths
-        for i, t in zip(at.tolist(), shown, strict=True):
-            texts[i] = t
-    ids, decoded = [], []
-    for blob in docs["blob"]:
-        words = np.frombuffer(zstandard.decompress(blob), "<u4") if len(blob) else np.zeros(0, np.uint32)
-        if not len(words):
-            ids.append(np.zeros(0, np.int32))
-            decoded.append("")
-            continue
-        own = n[words]
-        first = np.repeat(starts[words] - (np.cumsum(own) - own), own)
-        ids.append(flat[first + np.arange(own.sum())])
-        decoded.append(" ".join([texts[i] for i in words.tolist()]))
-    return pd.DataFrame({"id": docs["id"], "ids": ids, "decoded": decoded})
+def _joined(fields):
+    """The ids of each document by the numbers of its words; the text that they decode to by the pieces of the ids."""
+
+    def run(docs: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
+        pieces = fields.value["pieces"]
+        at = [np.cumsum(unpack_numbers(x)) for x in tables["at"]]
+        lengths = [unpack_numbers(x) for x in tables["lengths"]]
+        flat = [unpack_numbers(x) for x in tables["flat"]]
+        if at:
+            at, lengths, flat = np.concatenate(at), np.concatenate(lengths), np.concatenate(flat).astype(np.int32)
+            ends = np.cumsum(lengths)
+            starts, n, texts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), [""] * len(at)
+            starts[at], n[at] = ends - lengths, lengths
+            shown = [pieces[i] for i in flat.tolist()]
+            for i, a, b in zip(at.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+                texts[i] = shown[a] if b == a + 1 else " ".join(shown[a:b])
+        all_ids, ids, decoded = [], [], []
+        for own_ids, counts, blob in zip(docs["ids"], docs["counts"], docs["words"], strict=True):
+            all_ids += list(own_ids)
+            if not sum(counts):
+                ids += [np.zeros(0, np.int32)] * len(counts)
+                decoded += [""] * len(counts)
+                continue
+            words = unpack_numbers(blob)
+            own = n[words]
+            first = np.repeat(starts[words] - (np.cumsum(own) - own), own)
+            found = flat[first + np.arange(own.sum())]
+            stops = np.cumsum(counts)
+            ids += np.split(found, np.concatenate([[0], np.cumsum(own)])[stops[:-1]])
+            numbers = words.tolist()
+            decoded += [" ".join([texts[i] for i in numbers[b - c : b]]) for b, c in zip(stops.tolist(), counts, strict=True)]
+        return pd.DataFrame({"id": pd.Series(all_ids, dtype=object), "ids": ids, "decoded": decoded})
+
+    return run
 
 
 def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
@@ -216,12 +169,12 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    chunks = rows.mapInPandas(_chunks(vocabulary.special, buckets), f"chunk string, id {kind}, blob binary, bucket int, at binary, words binary")
-    chunks = stored(chunks, "chunks")
+    special = vocabulary.special
+    chunks = chunked(rows.withColumn("weight", F.lit(0)), lambda: Splitter(special).words, buckets)
     tables = chunks.where("bucket >= 0").select("bucket", "chunk", "at", "words").groupBy("bucket").applyInPandas(
-        _encoded(fields), "chunk string, at binary, ids binary, shown binary")
-    own = chunks.where("bucket < 0").select("chunk", "id", "blob")
-    return own.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInPandas(_joined, f"id {kind}, ids array<int>, decoded string")
+        _encoded(fields), "chunk string, at binary, lengths binary, flat binary")
+    own = chunks.where("bucket < 0").select("chunk", "ids", "counts", "words")
+    return own.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInPandas(_joined(fields), f"id {kind}, ids array<int>, decoded string")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
