@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoledger.llm import bpe, jaccard, langid, mixing, toxicity
@@ -19,12 +19,15 @@ from duoledger.llm.common import shared_dir, small, stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows up to which a stage's decisions are broadcast; more are joined by shuffle.
 BROADCAST = 1_000_000
-ROW = F.xxhash64("doc_id", "text", "lang", "source")
+
+
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text", "lang", "source")
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs but for the rows (hash row) that are rejected."""
-    return docs.withColumn("row", ROW).join(small(stored(rejected.select("row").distinct(), "rejected"), BROADCAST), "row", "left_anti").select(*COLUMNS)
+    return docs.withColumn("row", _row()).join(small(stored(rejected.select("row").distinct(), "rejected"), BROADCAST), "row", "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7."""
-    scored = toxicity.score(docs.withColumn("row", ROW), "row", "text", toxicity.model_of(spark, docs, sf_dir))
+    scored = toxicity.score(docs.withColumn("row", _row()), "row", "text", toxicity.model_of(spark, docs, sf_dir))
     return _without(docs, scored.where("score >= 0.7").select(F.col("id").alias("row")))
 
 
@@ -53,8 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; rows that are equal, as often as the least of them."""
-    taken = mixing.mix(docs.withColumn("row", ROW), "row", "text", "source").where("copies > 0").groupBy(F.col("id").alias("row")).agg(F.min("copies").alias("copies"))
-    rows = docs.withColumn("row", ROW).join(small(stored(taken, "taken"), BROADCAST), "row")
+    taken = mixing.mix(docs.withColumn("row", _row()), "row", "text", "source").where("copies > 0").groupBy(F.col("id").alias("row")).agg(F.min("copies").alias("copies"))
+    rows = docs.withColumn("row", _row()).join(small(stored(taken, "taken"), BROADCAST), "row")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
