@@ -57,9 +57,9 @@ def shard(docs: DataFrame, id_col: str, text_col: str, shards: int = 16, vnodes:
           named_struct('load', array_repeat(0L, {shards}), 'at', cast(array() as array<int>), 'most', most),
           (acc, x) -> named_struct(
             'load', transform(acc.load, (l, i) -> l + if(i = coalesce(
-                filter(x.after, s -> acc.load[s] - x.neg <= acc.most)[0], array_position(acc.load, array_min(acc.load)) - 1), -x.neg, 0L)),
+                get(filter(x.after, s -> acc.load[s] - x.neg <= acc.most), 0), array_position(acc.load, array_min(acc.load)) - 1), -x.neg, 0L)),
             'at', concat(acc.at, array(cast(coalesce(
-                filter(x.after, s -> acc.load[s] - x.neg <= acc.most)[0], array_position(acc.load, array_min(acc.load)) - 1) as int))),
+                get(filter(x.after, s -> acc.load[s] - x.neg <= acc.most), 0), array_position(acc.load, array_min(acc.load)) - 1) as int))),
             'most', acc.most),
           acc -> zip_with(c, acc.at, (x, s) -> named_struct('cell', x.cell, 'n', x.n, 'shard', s)))""").alias("p"))
     placed = placed.select(F.inline("p"))
