@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but these six white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
-#: Lower-cases A-Z and nothing else.
-LOWER_AZ = {i: i + 32 for i in range(65, 91)}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,8 +23,13 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(lower_az(text)) if text else []
 
 
+def byte_words(text: str | None) -> list[bytes]:
+    """The same words in UTF-8: bytes know no other white space and no other letters than these."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
 def lower_az(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(LOWER_AZ)
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def n_words(col: Column) -> Column:

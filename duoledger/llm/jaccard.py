@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, read, small, stored, words
+from .common import byte_words, components, read, small, stored
 
 #: Counters of a sketch, each kept modulo 16; rows of a region that are compared outright; pivots of a larger one.
 COUNTERS, LEAF, PIVOTS = 64, 48, 8
+#: Counters of the counts that pairs are checked by before their whole sets.
+FINE = 2048
 #: An element is frequent, and so comes late in the order, from this number of prefixes on; most of them that are named.
 FREQUENT, MOST_FREQUENT = 64, 1 << 17
 #: Rows up to which a table of ids is broadcast.
@@ -30,22 +32,27 @@ BROADCAST = 1_000_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
+class Hashes(dict):
+    """Hashes of words that were met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = xxhash.xxh64_intdigest(word)
+        return self[word]
+
+
 class Shingler:
-    """Sets of 64-bit shingle hashes; remembers words that it met."""
+    """Sets of 64-bit shingle hashes."""
 
     def __init__(self, k: int):
-        self.k, self.known = k, {}
+        self.k, self.known = k, Hashes()
 
     def set_of(self, text: str | None) -> np.ndarray:
-        own, known = words(text), self.known
+        own = byte_words(text)
         if not own:
             return np.zeros(0, np.uint64)
-        if len(known) > 1_000_000:
-            known.clear()
-        for w in own:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter((known[w] for w in own), np.uint64, len(own))
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, own), np.uint64, len(own))
         n = len(h) - self.k + 1
         if n < 1:
             h = np.array([xxhash.xxh64_intdigest(h.tobytes())], np.uint64)
@@ -111,10 +118,30 @@ def _records(k: int, num: int, den: int, frequent):
 
 
 def _sets(k: int):
+    """Whole sets, and the counts by which pairs are ruled out before whole sets move."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
         for part in parts:
-            yield pd.DataFrame({"id": part["id"], "elements": [shingler.set_of(t).view(np.int64) for t in part["text"]]})
+            own = [shingler.set_of(t) for t in part["text"]]
+            fine = [np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % FINE, minlength=FINE), 255).astype(np.uint8).tobytes() for s in own]
+            yield pd.DataFrame({"id": part["id"], "n": [len(s) for s in own], "elements": [s.view(np.int64) for s in own], "fine": fine})
+
+    return run
+
+
+def _possible(num: int, den: int):
+    """Pairs whose counts do not differ by more than similar sets' can."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            keep = []
+            for i in range(0, len(part), 1000):
+                own = part.iloc[i : i + 1000]
+                a, b = (np.frombuffer(b"".join(own[c]), np.uint8).reshape(-1, FINE).astype(np.int16) for c in ("fa", "fb"))
+                n = (own["na"] + own["nb"]).to_numpy()
+                keep.append(np.abs(a - b).sum(1, dtype=np.int64) * (num + den) <= n * (den - num))
+            yield part[["a", "b"]][np.concatenate(keep)] if keep else part[["a", "b"]]
 
     return run
 
@@ -258,7 +285,9 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
         if sets is None:
             named = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(
                 cells.join(found.where("b is null").select(F.col("a").alias("element")), "element", "left_semi").select("id")).distinct()
-            sets = stored(rows.join(small(stored(named, "named"), BROADCAST), "id", "left_semi").mapInPandas(_sets(k), "id long, elements array<long>"), "sets")
+            sets = stored(rows.join(small(stored(named, "named"), BROADCAST), "id", "left_semi").mapInPandas(_sets(k), "id long, n int, elements array<long>, fine binary"), "sets")
+        fine = [sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}")) for c in ("a", "b")]
+        pairs = stored(pairs.join(fine[0], "a").join(fine[1], "b").mapInPandas(_possible(num, den), "a long, b long"), "possible")
         one, other = (sets.select(F.col("id").alias(c), F.col("elements").alias(f"e{c}")) for c in ("a", "b"))
         common = F.size(F.array_intersect("ea", "eb"))
         exact = pairs.join(one, "a").join(other, "b").where(common * den >= num * (F.size("ea") + F.size("eb") - common)).select("a", "b")
