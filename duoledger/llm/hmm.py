@@ -20,6 +20,8 @@ STATES, RARE, OWN = 8, 4096, 5e-5
 ROUNDS, SEGMENT, AT_ONCE = 4, 256, 400_000
 #: Tokens that the base distribution counts for in each state's emissions.
 PRIOR = 500.0
+#: Pieces in which sums travel.
+PIECES = 16
 UNKNOWN, END = 0, 1
 
 
@@ -51,19 +53,17 @@ def _train_counts(rows: pd.DataFrame) -> dict[str, int]:
 
 
 def _statistics(least: float):
-    """Of a bucket of words: frequent words with their counts, and of each rare class the kinds and tokens."""
+    """Of a bucket of words: frequent words with their counts, and kinds and tokens of the rare classes, in pieces (number, sums)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, kinds, tokens = [], np.zeros(2 + RARE, np.int64), np.zeros(2 + RARE, np.int64)
+        out, sums = [], np.zeros((2, 2 + RARE))
         for w, c in _train_counts(rows).items():
             if c >= least:
-                out.append((w, -1, 1, c))
+                out.append((w, c, -1, None))
             elif c:
-                k = rare_class(w)
-                kinds[k] += 1
-                tokens[k] += c
-        out += [(None, int(k), int(kinds[k]), int(tokens[k])) for k in np.flatnonzero(kinds)]
-        return pd.DataFrame(out, columns=["word", "class", "kinds", "tokens"])
+                sums[:, rare_class(w)] += 1, c
+        out += [(None, 0, k, x.tobytes()) for k, x in enumerate(np.array_split(sums.reshape(-1), PIECES))]
+        return pd.DataFrame(out, columns=["word", "c", "piece", "sums"])
 
     return run
 
@@ -217,7 +217,7 @@ def train(sequences: DataFrame, model: Model, mass: np.ndarray) -> Model:
     Emission counts have the base distribution as a prior. Training texts hold no unknown
     words, so these keep their base probability in every state.
     """
-    spark, pieces = sequences.sparkSession, 32
+    spark, pieces = sequences.sparkSession, PIECES
     for _ in range(ROUNDS):
         fields = spark.sparkContext.broadcast(vars(model))
         found = sequences.mapInPandas(_round(fields, pieces), "piece int, sums binary").groupBy("piece").applyInPandas(_summed, "piece int, sums binary").orderBy("piece").collect()
@@ -268,16 +268,16 @@ def score(docs: DataFrame, id_col: str, text_col: str, weight) -> DataFrame:
     dictionaries = chunks.where("bucket >= 0").select("bucket", "chunk", "at", "words", "train").groupBy("bucket")
     sums = own.select(F.explode(F.arrays_zip("counts", "weights")).alias("d")).where("d.weights = 1").agg(F.sum("d.counts").alias("tokens"), F.count("*").alias("ends")).first()
     total, ends = (sums["tokens"] or 0) + sums["ends"], sums["ends"]
-    found = stored(dictionaries.applyInPandas(_statistics(max(OWN * total, 1)), "word string, class int, kinds long, tokens long"), "statistics")
-    frequent = found.where("class = -1").orderBy("word").collect()
-    rare = found.where("class >= 0").groupBy("class").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).collect()
+    found = stored(dictionaries.applyInPandas(_statistics(max(OWN * total, 1)), "word string, c long, piece int, sums binary"), "statistics")
+    frequent = found.where("piece = -1").orderBy("word").collect()
+    rare = found.where("piece >= 0").select("piece", "sums").groupBy("piece").applyInPandas(_summed, "piece int, sums binary").orderBy("piece").collect()
+    kinds, tokens = np.concatenate([np.frombuffer(r["sums"]) for r in rare]).reshape(2, -1) if rare else np.zeros((2, 2 + RARE))
     table = {r["word"]: 2 + RARE + i for i, r in enumerate(frequent)}
-    distinct = len(frequent) + sum(r["kinds"] for r in rare) + (ends > 0)
+    distinct = len(frequent) + int(kinds.sum()) + (ends > 0)
     emission = Emission(total, distinct, ends, {}, np.zeros(2 + RARE + len(frequent)))
     mass = emission.mass
-    for r in rare:
-        mass[r["class"]] = r["tokens"] + 0.5 * r["kinds"]
-    mass[2 + RARE :] = [r["tokens"] + 0.5 for r in frequent]
+    mass[: 2 + RARE] = tokens + 0.5 * kinds
+    mass[2 + RARE :] = [r["c"] + 0.5 for r in frequent]
     mass[[UNKNOWN, END]] = 0.5, ends + 0.5
     mass /= total + 0.5 * (distinct + 1)
     fields = spark.sparkContext.broadcast(vars(emission))

@@ -50,7 +50,7 @@ class Shingler:
         own = byte_words(text)
         if not own:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         h = np.fromiter(map(self.known.__getitem__, own), np.uint64, len(own))
         n = len(h) - self.k + 1
@@ -84,7 +84,14 @@ def prefix_of(own: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.n
 
 
 def sketch_of(own: np.ndarray) -> bytes:
-    return (np.bincount((own >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS) & 15).astype(np.uint8).tobytes()
+    """Two counters to a byte."""
+    counts = (np.bincount((own >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS) & 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def sketches_of(blobs) -> np.ndarray:
+    packed = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, COUNTERS // 2)
+    return np.stack([packed & 15, packed >> 4], 2).reshape(-1, COUNTERS)
 
 
 def sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,7 +232,7 @@ def _cells(num: int, den: int, turn: int):
         if not len(rows):
             return
         element, ids, n, groups = (rows[c].to_numpy() for c in ("element", "id", "n", "grp"))
-        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, COUNTERS)
+        sketches = sketches_of(rows["sketch"])
         starts = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
         sizes = np.diff(np.append(starts, len(rows)))
         whole = Cell(ids, n.astype(np.int64), sketches, groups, num, den)
@@ -273,11 +280,9 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     members = records.select("id", *key).join(classes, key, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     single = records.where("n > 0 and id is not null").join(classes, key, "left").where("rep is null or rep = id")
 
-    posts = single.select("id", "n", F.explode("prefix").alias("element"))
-    shared = posts.withColumn("m", F.expr("count(*) over (partition by element)")).where("m > 1").select("element", "id", "n")
-    sketches = single.select("id", "sketch")
-    cells = shared.join(sketches, "id").withColumn("grp", F.col("id"))
-    cells = stored(cells.repartition("element").sortWithinPartitions("element", "id"), "cells")
+    posts = single.select("id", F.explode("prefix").alias("element"))
+    shared = posts.withColumn("m", F.expr("count(*) over (partition by element)")).where("m > 1").select("element", "id")
+    cells = stored(shared.join(single.select("id", "n", "sketch"), "id").select("element", "id", "n", "sketch", F.col("id").alias("grp")), "cells")
     links, sets, turn = None, None, 0
     while True:
         found = stored(cells.repartition("element").sortWithinPartitions("element", "id").mapInPandas(_cells(num, den, turn), "a long, b long"), "candidates")

@@ -174,7 +174,7 @@ def test_sketches_bound_the_difference():
     for _ in range(100):
         a = np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 62, 40).astype(np.uint64)]))
-        s, t = (np.frombuffer(jaccard.sketch_of(x), np.uint8) for x in (a, b))
+        s, t = (jaccard.sketches_of([jaccard.sketch_of(x)])[0] for x in (a, b))
         assert jaccard.sketch_distance(s, t) <= len(np.setxor1d(a, b))
 
 
@@ -183,7 +183,7 @@ def test_regions_lose_no_pair():
     base = [rng.integers(0, 1 << 62, 120).astype(np.uint64) for _ in range(40)]
     sets = [np.unique(np.concatenate([b[rng.random(120) > 0.03], rng.integers(0, 1 << 62, 3).astype(np.uint64)])) for b in base for _ in range(6)]
     n = np.array([len(s) for s in sets])
-    cell = jaccard.Cell(np.arange(len(sets)), n, np.stack([np.frombuffer(jaccard.sketch_of(s), np.uint8) for s in sets]), np.arange(len(sets)), 80, 100)
+    cell = jaccard.Cell(np.arange(len(sets)), n, jaccard.sketches_of([jaccard.sketch_of(s) for s in sets]), np.arange(len(sets)), 80, 100)
     dense = cell.join(np.argsort(n, kind="stable"), np.ones(len(sets), bool))
     found = {(min(a, b), max(a, b)) for x, y in cell.found for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     found |= {(min(a, b), max(a, b)) for d in dense for a in d.tolist() for b in d.tolist() if a != b}
