@@ -23,6 +23,10 @@ from .common import byte_words, components, read, small, stored
 
 #: Counters of a sketch, each kept modulo 16; rows of a region that are compared outright; pivots of a larger one.
 COUNTERS, LEAF, PIVOTS = 64, 48, 8
+#: Rows that a dense region compares with all others in its first turn; their growth from turn to turn.
+FIRST, GROWTH = 64, 8
+#: Counters of the sketches by which dense regions are parted and compared.
+DENSE = 512
 #: Counters of the counts that pairs are checked by before their whole sets.
 FINE = 2048
 #: An element is frequent, and so comes late in the order, from this number of prefixes on; most of them that are named.
@@ -83,15 +87,15 @@ def prefix_of(own: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.n
     return first if len(first) == p else np.concatenate([first, own[late][: p - len(first)]])
 
 
-def sketch_of(own: np.ndarray) -> bytes:
+def sketch_of(own: np.ndarray, counters: int = COUNTERS) -> bytes:
     """Two counters to a byte."""
-    counts = (np.bincount((own >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS) & 15).astype(np.uint8)
+    counts = (np.bincount((own >> np.uint64(40)).astype(np.int64) % counters, minlength=counters) & 15).astype(np.uint8)
     return (counts[::2] | counts[1::2] << 4).tobytes()
 
 
 def sketches_of(blobs) -> np.ndarray:
-    packed = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, COUNTERS // 2)
-    return np.stack([packed & 15, packed >> 4], 2).reshape(-1, COUNTERS)
+    packed = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+    return np.stack([packed & 15, packed >> 4], 2).reshape(len(blobs), -1)
 
 
 def sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,7 +136,7 @@ def _sets(k: int):
         for part in parts:
             own = [shingler.set_of(t) for t in part["text"]]
             fine = [np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % FINE, minlength=FINE), 255).astype(np.uint8).tobytes() for s in own]
-            yield pd.DataFrame({"id": part["id"], "n": [len(s) for s in own], "elements": [s.view(np.int64) for s in own], "fine": fine})
+            yield pd.DataFrame({"id": part["id"], "n": [len(s) for s in own], "elements": [s.view(np.int64) for s in own], "sketch": [sketch_of(s, DENSE) for s in own], "fine": fine})
 
     return run
 
@@ -189,17 +193,23 @@ class Cell:
 
 
 def _cells(num: int, den: int, turn: int):
-    """Candidate pairs (a, b) of each cell, and the cells (a null) that are too dense to be done in this turn.
+    """Candidate pairs (a, b) of each cell, and the cells (a null b) that are too dense to be done in this turn.
 
-    A dense region is done in turns: each compares twice as many of its rows with all the
-    others, which puts most of them in one group; rows of one group need no comparing.
+    Turn 0 compares the first row of each cell with the others: what it links is a group,
+    and rows of one group need no comparing later. Turn 1 does all cells but for regions too
+    dense to part. From turn 2 on, these have longer sketches; what stays dense is done in
+    turns: each compares GROWTH times as many of its rows with all the others.
     """
-    first, count = PIVOTS * ((1 << turn) - 1), PIVOTS << turn
+    count = FIRST * GROWTH ** (turn - 2) if turn > 1 else 0
+    first = FIRST * (GROWTH ** (turn - 2) - 1) // (GROWTH - 1) if turn > 1 else 0
 
     def pairs(cell: Cell) -> tuple[np.ndarray, np.ndarray, bool]:
         order = np.argsort(cell.n, kind="stable")
         more = False
-        for dense in cell.join(order, np.ones(len(order), bool)):
+        regions = cell.join(order, np.ones(len(order), bool))
+        if turn > 2:  # what these sketches part was done in turn 2
+            cell.found.clear()
+        for dense in regions:
             dense = dense[np.argsort(cell.ids[dense] * np.int64(-7046029254386353131), kind="stable")]
             size = [int((cell.groups[dense] == g).sum()) for g in np.unique(cell.groups[dense])]
             if len(dense) ** 2 - sum(s * s for s in size) <= 4 * LEAF * len(dense):
@@ -236,12 +246,16 @@ def _cells(num: int, den: int, turn: int):
         starts = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
         sizes = np.diff(np.append(starts, len(rows)))
         whole = Cell(ids, n.astype(np.int64), sketches, groups, num, den)
-        little = (sizes <= LEAF) & (sizes > 1)
-        small_cells(rows, starts[little], sizes[little], whole)
+        if turn:
+            little = (sizes <= LEAF) & (sizes > 1)
+            small_cells(rows, starts[little], sizes[little], whole)
+        else:
+            whole.compare(np.repeat(starts, sizes), np.arange(len(rows)))
         a = [ids[x] for x, _ in whole.found]
         b = [ids[y] for _, y in whole.found]
         open_: list[int] = []
-        for s, m in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+        large = (sizes > LEAF) & (turn > 0)
+        for s, m in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
             own = slice(s, s + m)
             x, y, more = pairs(Cell(ids[own], n[own].astype(np.int64), sketches[own], groups[own], num, den))
             a.append(x)
@@ -255,6 +269,16 @@ def _cells(num: int, den: int, turn: int):
     return run
 
 
+def known_groups(links: DataFrame) -> DataFrame:
+    """(id, grp): a row reached by the id's links, the same for rows about one of least id; rows of equal grp are connected."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("c"))
+    near = both.join(least.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("c"))
+    jump = least.select(F.col("u").alias("c"), F.col("c").alias("cc"))
+    return stored(near.join(jump, "c").select(F.col("u").alias("id"), F.col("cc").alias("grp")), "known")
+
+
 def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) of every row: groups of documents linked by Jaccard >= num / den of their k-word shingles.
 
@@ -282,27 +306,30 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
 
     posts = single.select("id", F.explode("prefix").alias("element"))
     shared = posts.withColumn("m", F.expr("count(*) over (partition by element)")).where("m > 1").select("element", "id")
-    cells = stored(shared.join(single.select("id", "n", "sketch"), "id").select("element", "id", "n", "sketch", F.col("id").alias("grp")), "cells")
-    links, sets, turn = None, None, 0
+    cells = stored(shared.join(single.select("id", "n", "sketch"), "id").select("element", "id", "n", "sketch"), "cells")
+    links, sets, groups, turn = None, None, None, 0
     while True:
-        found = stored(cells.repartition("element").sortWithinPartitions("element", "id").mapInPandas(_cells(num, den, turn), "a long, b long"), "candidates")
+        placed = cells.withColumn("grp", F.col("id")) if groups is None else cells.join(groups, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+        placed = placed.select("element", "id", "n", "sketch", "grp").repartition("element").sortWithinPartitions("element", "id")
+        found = stored(placed.mapInPandas(_cells(num, den, turn), "a long, b long"), "candidates")
         pairs = found.where("b is not null").distinct()
-        if sets is None:
-            named = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(
-                cells.join(found.where("b is null").select(F.col("a").alias("element")), "element", "left_semi").select("id")).distinct()
-            sets = stored(rows.join(small(stored(named, "named"), BROADCAST), "id", "left_semi").mapInPandas(_sets(k), "id long, n int, elements array<long>, fine binary"), "sets")
+        dense = found.where("b is null").select(F.col("a").alias("element"))
+        if turn < 2:
+            named = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(cells.join(dense, "element", "left_semi").select("id")).distinct()
+            sets = stored(rows.join(small(stored(named, "named"), BROADCAST), "id", "left_semi").mapInPandas(_sets(k), "id long, n int, elements array<long>, sketch binary, fine binary"), "sets")
         fine = [sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}")) for c in ("a", "b")]
         pairs = stored(pairs.join(fine[0], "a").join(fine[1], "b").mapInPandas(_possible(num, den), "a long, b long"), "possible")
         one, other = (sets.select(F.col("id").alias(c), F.col("elements").alias(f"e{c}")) for c in ("a", "b"))
         common = F.size(F.array_intersect("ea", "eb"))
         exact = pairs.join(one, "a").join(other, "b").where(common * den >= num * (F.size("ea") + F.size("eb") - common)).select("a", "b")
-        links = stored(exact if links is None else links.unionByName(exact), "links")
-        if found.where("b is null").limit(1).count() == 0:
-            break
-        groups = components(links)
-        cells = cells.drop("grp").join(found.where("b is null").select(F.col("a").alias("element")), "element", "left_semi")
-        cells = cells.join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
-        cells = stored(cells.select("element", "id", "n", "sketch", F.coalesce("grp", "id").alias("grp")), "cells")
+        exact = stored(exact, "links")
+        links = exact if links is None else links.unionByName(exact)
+        if turn:
+            if dense.limit(1).count() == 0:
+                break
+            cells = cells.join(dense, "element", "left_semi")
+            cells = stored(cells.drop("sketch").join(sets.select("id", "sketch").dropDuplicates(["id"]), "id") if turn == 1 else cells, "cells")
+        groups = small(known_groups(links), BROADCAST)
         turn += 1
     groups = stored(components(links), "groups").select(F.col("node").alias("rep"), "component")
     return members.join(small(groups, BROADCAST), "rep", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
