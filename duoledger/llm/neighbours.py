@@ -1,8 +1,7 @@
-"""Embedding near-duplicates by NN-descent, with lists that grow when full, a recall audit, and exact counts of links."""
+"""Embedding near-duplicates by NN-descent, and an exact sweep behind it that finds what descent missed and counts links."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +15,8 @@ from .common import components, read, small, stored
 NEIGHBOURS, TABLES, BUCKET = 10, 6, 8
 #: Rounds of descent at most, and the gain in the sum of similarities below which a round is the last.
 ROUNDS, GAIN = 4, 0.002
-#: Query vectors of the audit; recall below which the graph is seeded anew; how often at most.
-AUDIT, LEAST_RECALL, SEEDINGS = 500, 0.98, 3
-#: Rows of a block when links are counted.
-BLOCK = 512
+#: Rows of a block of the sweep; rows that are compared with a block at once.
+BLOCK, AT_ONCE = 4096, 512
 
 
 def units(blobs: pd.Series) -> np.ndarray:
@@ -42,17 +39,17 @@ def _classes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "label", "vec"])
 
 
-def _bucketed(seed: int, bits: dict[str, int]):
+def _bucketed(seed: int):
     """Rows (bucket, place, id, vec): for each table, the side of each hyperplane, and a place along one more line."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for (label, size), rows in part.assign(size=part["vec"].str.len()).groupby(["label", "size"], sort=False):
+            for (label, size, bits), rows in part.assign(size=part["vec"].str.len()).groupby(["label", "size", "bits"], sort=False):
                 v, out = units(rows["vec"]), []
                 for table in range(TABLES):
-                    planes = np.random.default_rng([seed, table, int(size)]).normal(size=(v.shape[1], bits[label] + 1))
+                    planes = np.random.default_rng([seed, table, int(size)]).normal(size=(v.shape[1], int(bits) + 1))
                     side = v @ planes
-                    key = np.array([f"{label}|{size}|{table}|{''.join('01'[x] for x in row)}" for row in (side[:, :-1] > 0).tolist()], object) if bits[label] else np.full(len(rows), f"{label}|{size}|{table}|", object)
+                    key = np.array([f"{label}|{size}|{table}|{''.join('01'[x] for x in row)}" for row in (side[:, :-1] > 0).tolist()], object) if bits else np.full(len(rows), f"{label}|{size}|{table}|", object)
                     out.append(pd.DataFrame({"bucket": key, "place": side[:, -1], "id": rows["id"].to_numpy(), "vec": rows["vec"].to_numpy()}))
                 yield pd.concat(out)
 
@@ -138,37 +135,36 @@ def descend(nodes: DataFrame, graph: DataFrame, threshold: float, most: int) ->
     return graph
 
 
-def _exact(queries, threshold: float):
-    """Links of the audit's queries to all nodes."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = pd.DataFrame(queries.value, columns=["id", "label", "vec"])
-        own["size"] = own["vec"].str.len()
-        by = {k: (g["id"].to_numpy(), units(g["vec"])) for k, g in own.groupby(["label", "size"])}
-        for part in parts:
-            for key, rows in part.assign(size=part["vec"].str.len()).groupby(["label", "size"]):
-                if key in by:
-                    ids, v = by[key]
-                    sim = units(rows["vec"]) @ v.T
-                    i, j = np.nonzero(sim >= threshold)
-                    x, y = rows["id"].to_numpy()[i], ids[j]
-                    yield pd.DataFrame({"u": y[x != y], "v": x[x != y], "sim": sim[i, j][x != y]})
-
-    return run
-
-
-def _counted(threshold: float):
-    """Of each pair of blocks of one component: how many linked vectors each row has in the other block."""
+def _swept(threshold: float):
+    """Of a pair of blocks of one label (or a block with itself): (id, null, n) for each row's linked vectors in the other block, and (a, b, null) for groups that are linked."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        label, inside, ids, counts, pairs = rows["label"].iloc[0], rows["b0"].iloc[0] == rows["b1"].iloc[0], [], [], []
         for _, own in rows.assign(size=rows["vec"].str.len()).groupby("size", sort=False):
-            a, b = own[own["side"] == 0], own[own["side"] == 1]
-            if len(a) and len(b):
-                linked = units(a["vec"]) @ units(b["vec"]).T >= threshold
-                linked &= a["id"].to_numpy()[:, None] != b["id"].to_numpy()
-                out.append(pd.DataFrame({"id": a["id"].to_numpy(), "n": linked @ b["m"].to_numpy()}))
-        return pd.concat(out) if out else pd.DataFrame({"id": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
+            a, b = (own, own) if inside else (own[own["block"] == own["b0"]], own[own["block"] == own["b1"]])
+            if not len(a) or not len(b):
+                continue
+            u, v, m, n = units(a["vec"]), units(b["vec"]), b["m"].to_numpy(), np.zeros(len(b), np.int64)
+            group, other = a["grp"].to_numpy(), b["grp"].to_numpy()
+            for i in range(0, len(a), AT_ONCE):
+                linked = u[i : i + AT_ONCE] @ v.T >= threshold
+                if inside:
+                    linked[np.arange(len(linked)), np.arange(i, i + len(linked))] = False
+                ids.append(a["id"].to_numpy()[i : i + AT_ONCE])
+                counts.append(linked @ m)
+                n += a["m"].to_numpy()[i : i + AT_ONCE] @ linked
+                x, y = np.nonzero(linked)
+                g, h = group[i + x], other[y]
+                apart = g != h
+                pairs.append(np.unique(np.stack([np.minimum(g, h)[apart], np.maximum(g, h)[apart]], 1), axis=0))
+            if not inside:
+                ids.append(b["id"].to_numpy())
+                counts.append(n)
+        none = np.zeros(0, np.int64)
+        ids, counts = np.concatenate([none, *ids]), np.concatenate([none, *counts])
+        both = np.unique(np.concatenate([none.reshape(0, 2), *pairs]), axis=0)
+        ids, counts = ids[counts > 0], counts[counts > 0]
+        return pd.DataFrame({"label": label, "a": np.concatenate([ids, both[:, 0]]), "b": pd.array([*[None] * len(ids), *both[:, 1].tolist()], dtype="Int64"), "n": pd.array([*counts.tolist(), *[None] * len(both)], dtype="Int64")})
 
     return run
 
@@ -178,10 +174,10 @@ def near_duplicates(table: DataFrame, id_col: str, vector_col: str, label_col: s
 
     Equal vectors of a label are one node. Random hyperplanes seed a neighbour graph within
     each label; rounds of descent join neighbours of neighbours; lists that are full of
-    links grow eightfold. The links of AUDIT nodes, found by brute force, measure recall; below
-    LEAST_RECALL the graph is seeded again with other hyperplanes and descends further.
-    Edges at or above the threshold make components. Links lie within components, so
-    their number is counted exactly there, block by block, and no list's length bounds it.
+    links grow eightfold. Edges at or above the threshold make groups. What descent missed
+    is found by a sweep: all vectors of a label are compared block by block, which joins
+    groups that are linked and counts the links of each vector. So the result is exact
+    whatever descent found, for a work that is quadratic in the vectors of a label.
 
     Rows whose vector is null, empty, zero, or holds null or non-finite numbers, and rows
     of a null label, link with nothing. Vectors of different lengths don't link. Rows of a null id are
@@ -195,37 +191,28 @@ def near_duplicates(table: DataFrame, id_col: str, vector_col: str, label_col: s
     classes = valid.groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     classes = stored(classes, "classes")
     nodes = stored(valid.join(small(classes, 1_000_000), ["label", "k1", "k2"]).where("id = rep").select("id", "label", "vec", "m"), "nodes")
-    per_label = {r["label"]: r["count"] for r in nodes.groupBy("label").count().orderBy(F.desc("count")).limit(100_000).collect()}
-    bits = {label: max(0, math.ceil(math.log2(max(n, 1) / BUCKET))) for label, n in per_label.items()}
-    queries = spark.sparkContext.broadcast([tuple(r) for r in nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "label", "vec").collect()])
-    truth = stored(nodes.mapInPandas(_exact(queries, threshold), "u long, v long, sim double"), "truth")
-    wanted = truth.count()
-    graph, most = None, NEIGHBOURS
-    for seeding in range(SEEDINGS):
-        seeded = nodes.mapInPandas(_bucketed(seeding, bits), "bucket string, place double, id long, vec binary")
-        seeded = seeded.repartition("bucket").sortWithinPartitions("bucket", "place", "id").mapInPandas(_adjacent, "u long, v long, sim double").where("u <> v")
-        seeded = seeded.unionByName(seeded.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
-        graph = seeded if graph is None else graph.unionByName(seeded)
-        graph = descend(nodes, stored(_lists(graph, threshold, most), "graph"), threshold, most)
-        links = stored(graph.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
-        groups = stored(components(links), "groups")
-        met = truth.join(groups.select(F.col("node").alias("u"), F.col("component").alias("c1")), "u").join(groups.select(F.col("node").alias("v"), F.col("component").alias("c2")), "v").where("c1 = c2").count()
-        if met >= LEAST_RECALL * wanted:
-            break
-    missed = truth.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("rows"))
+    sizes = sizes.select("label", F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / BUCKET))).cast("int").alias("bits"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    sizes = small(stored(sizes, "sizes"), 1_000_000)
+    seeded = nodes.join(sizes, "label").select("id", "label", "vec", "bits").mapInPandas(_bucketed(0), "bucket string, place double, id long, vec binary")
+    seeded = seeded.repartition("bucket").sortWithinPartitions("bucket", "place", "id").mapInPandas(_adjacent, "u long, v long, sim double").where("u <> v")
+    seeded = seeded.unionByName(seeded.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
+    graph = descend(nodes, stored(_lists(seeded, threshold, NEIGHBOURS), "graph"), threshold, NEIGHBOURS)
+    links = stored(graph.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
+    groups = stored(components(links), "groups").select(F.col("node").alias("id"), F.col("component").alias("grp"))
+
+    placed = nodes.join(small(groups, 1_000_000), "id", "left").withColumn("grp", F.coalesce("grp", "id")).join(sizes.drop("bits"), "label")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("label", "id", "vec", "m", "grp", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"))
+    swept = stored(placed.groupBy("label", "b0", "b1").applyInPandas(_swept(threshold), "label string, a long, b long, n long"), "swept")
+    missed = swept.where("b is not null").select("a", "b")
     groups = stored(components(links.unionByName(missed).distinct()), "groups")
+    counts = swept.where("b is null").groupBy("label", F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
 
-    placed = nodes.join(groups.select(F.col("node").alias("id"), "component"), "id")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(small(stored(sizes, "sizes"), 1_000_000), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    one = placed.select("component", "id", "vec", "m", F.lit(0).alias("side"), F.col("block").alias("b0"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b1"))
-    two = placed.select("component", "id", "vec", "m", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b0"), F.col("block").alias("b1"))
-    counts = one.unionByName(two).groupBy("component", "b0", "b1").applyInPandas(_counted(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-    reps = valid.join(small(classes, 1_000_000), ["label", "k1", "k2"]).select("id", "rep", "m")
-    found = reps.join(small(stored(counts, "counts").withColumnRenamed("id", "rep"), 1_000_000), "rep", "left").join(
+    reps = valid.join(small(classes, 1_000_000), ["label", "k1", "k2"]).select("id", "label", "rep", "m")
+    found = reps.join(small(stored(counts, "counts"), 1_000_000), ["label", "rep"], "left").join(
         small(groups.withColumnRenamed("node", "rep"), 1_000_000), "rep", "left")
-    found = found.groupBy("id").agg(F.max(F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id"))
+    found = found.groupBy("id").agg(F.sum(F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = rows.select("id").join(stored(found, "found"), "id", "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -133,6 +133,25 @@ def test_neighbours(spark):
     assert neighbours.near_duplicates(table.where("false"), "vec_id", "embedding", "label").count() == 0
 
 
+def test_neighbours_of_isolated_pairs(spark):
+    """Pairs that hyperplanes and descent miss, of more rows than a block, are found all the same; a group is linked to each of its many."""
+    rng = np.random.default_rng(11)
+    one = rng.normal(size=(3000, 24))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    off = rng.normal(size=one.shape)
+    off -= (off * one).sum(1)[:, None] * one
+    two = 0.935 * one + math.sqrt(1 - 0.935**2) * off / np.linalg.norm(off, axis=1)[:, None]
+    v = np.concatenate([one, two]).astype(np.float32)
+    table = spark.createDataFrame([(i, x, 0) for i, x in enumerate(v.tolist())] + [(9000 + i, v[0].tolist(), 1) for i in range(3)], "vec_id long, embedding array<float>, label int")
+    got = by_id(neighbours.near_duplicates(table, "vec_id", "embedding", "label"))
+    d = v.astype(np.float64)
+    d /= np.linalg.norm(d, axis=1)[:, None]
+    linked = d @ d.T >= 0.93
+    np.fill_diagonal(linked, False)
+    assert [got[i].n_links for i in range(6000)] == linked.sum(1).tolist() and all(got[3000 + i].component_id <= i for i in range(3000))
+    assert all(got[9000 + i].n_links == 2 and got[9000 + i].component_id == 9000 for i in range(3))
+
+
 def test_language(spark, odd, none):
     said = {"en": "the cat and the dog of this house with that thing", "de": "der hund und die katze mit einem schönen haus nicht", "fr": "le chat et la maison avec une très belle chose où"}
     rows = [(f"{x}{i}", " ".join(np.random.default_rng(i).permutation(t.split())), x if i % 7 else None, f"h{i % 3}.{x}", x) for x, t in said.items() for i in range(40)]
