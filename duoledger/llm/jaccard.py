@@ -31,6 +31,8 @@ DENSE = 512
 FINE = 2048
 #: An element is frequent, and so comes late in the order, from this number of prefixes on; most of them that are named.
 FREQUENT, MOST_FREQUENT = 64, 1 << 17
+#: Rows of a block of a cell: larger cells are dealt as pairs of blocks. Pairs of rows that are compared at once.
+CELL, PAIRS = 8192, 1 << 18
 #: Rows up to which a table of ids is broadcast.
 BROADCAST = 1_000_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -161,20 +163,36 @@ def _possible(num: int, den: int):
 
 
 class Cell:
-    """Rows of a cell: ids, set sizes, sketches, and the groups that they are known to be in."""
+    """Rows of a cell: ids, set sizes, sketches, the groups that they are known to be in, and their blocks where those of one block are not compared."""
 
-    def __init__(self, ids: np.ndarray, n: np.ndarray, sketches: np.ndarray, groups: np.ndarray, num: int, den: int):
-        self.ids, self.n, self.sketches, self.groups, self.num, self.den = ids, n, sketches, groups, num, den
+    def __init__(self, ids: np.ndarray, n: np.ndarray, sketches: np.ndarray, groups: np.ndarray, num: int, den: int, blocks: np.ndarray | None = None):
+        self.ids, self.n, self.sketches, self.groups, self.num, self.den, self.blocks = ids, n, sketches, groups, num, den, blocks
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
         """Keep the pairs of rows that sizes, sketches and groups do not rule out."""
         x, y = self.n[a], self.n[b]
         keep = (self.den * np.minimum(x, y) >= self.num * np.maximum(x, y)) & (self.groups[a] != self.groups[b]) & (self.ids[a] != self.ids[b])
+        if self.blocks is not None:
+            keep &= self.blocks[a] != self.blocks[b]
         a, b = a[keep], b[keep]
         near = sketch_distance(self.sketches[a], self.sketches[b]) * (self.num + self.den) <= (self.n[a] + self.n[b]) * (self.den - self.num)
         self.found.append((a[near], b[near]))
 
+    def across(self, rows: np.ndarray) -> None:
+        """Compare the rows that are not of one known group, a bounded number of pairs at once; other pairs are never made."""
+        rows = rows[np.argsort(self.groups[rows], kind="stable")]
+        end = np.searchsorted(self.groups[rows], self.groups[rows], side="right")
+        count = len(rows) - end
+        total, i = np.cumsum(count), 0
+        while i < len(rows):
+            j = max(i + 1, int(np.searchsorted(total, total[i] - count[i] + PAIRS, side="right")))
+            own = count[i:j]
+            a = np.repeat(np.arange(i, j), own)
+            b = np.arange(len(a)) + np.repeat(end[i:j] - (np.cumsum(own) - own), own)
+            self.compare(rows[a], rows[b])
+            i = j
+
     def join(self, rows: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
         """Compare the rows of a region, of which some have it as home; regions too dense to part are returned."""
         if len(rows) <= LEAF:
@@ -199,7 +217,11 @@ def _cells(num: int, den: int, turn: int):
     and rows of one group need no comparing later. Turn 1 does all cells but for regions too
     dense to part. From turn 2 on, these have longer sketches; what stays dense is done in
     turns: each compares GROWTH times as many of its rows with all the others.
+
+    A cell of more than CELL rows comes as pairs of blocks (b0, b1); turn 0 has the first
+    block with each.
     """
+    key = ["element", "b0", "b1"]
     count = FIRST * GROWTH ** (turn - 2) if turn > 1 else 0
     first = FIRST * (GROWTH ** (turn - 2) - 1) // (GROWTH - 1) if turn > 1 else 0
 
@@ -211,10 +233,9 @@ def _cells(num: int, den: int, turn: int):
             cell.found.clear()
         for dense in regions:
             dense = dense[np.argsort(cell.ids[dense] * np.int64(-7046029254386353131), kind="stable")]
-            size = [int((cell.groups[dense] == g).sum()) for g in np.unique(cell.groups[dense])]
-            if len(dense) ** 2 - sum(s * s for s in size) <= 4 * LEAF * len(dense):
-                i, j = np.triu_indices(len(dense), 1)
-                cell.compare(dense[i], dense[j])
+            size = np.unique(cell.groups[dense], return_counts=True)[1].astype(np.int64)
+            if len(dense) ** 2 - int((size * size).sum()) <= 4 * LEAF * len(dense):
+                cell.across(dense)
             else:
                 for p in range(first, min(first + count, len(dense))):
                     cell.compare(np.full(len(dense), dense[p]), dense)
@@ -232,7 +253,7 @@ def _cells(num: int, den: int, turn: int):
         held: pd.DataFrame | None = None
         for part in parts:
             rows = part if held is None else pd.concat([held, part], ignore_index=True)
-            last = (rows["element"] == rows["element"].iloc[-1]).to_numpy() if len(rows) else np.zeros(0, bool)
+            last = (rows[key] == rows[key].iloc[-1]).all(axis=1).to_numpy() if len(rows) else np.zeros(0, bool)
             held = rows[last]
             yield from done(rows[~last])
         if held is not None:
@@ -241,9 +262,9 @@ def _cells(num: int, den: int, turn: int):
     def done(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(rows):
             return
-        element, ids, n, groups = (rows[c].to_numpy() for c in ("element", "id", "n", "grp"))
+        element, b0, b1, block, ids, n, groups = (rows[c].to_numpy() for c in (*key, "block", "id", "n", "grp"))
         sketches = sketches_of(rows["sketch"])
-        starts = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], (element[1:] != element[:-1]) | (b0[1:] != b0[:-1]) | (b1[1:] != b1[:-1])]))
         sizes = np.diff(np.append(starts, len(rows)))
         whole = Cell(ids, n.astype(np.int64), sketches, groups, num, den)
         if turn:
@@ -257,7 +278,7 @@ def _cells(num: int, den: int, turn: int):
         large = (sizes > LEAF) & (turn > 0)
         for s, m in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
             own = slice(s, s + m)
-            x, y, more = pairs(Cell(ids[own], n[own].astype(np.int64), sketches[own], groups[own], num, den))
+            x, y, more = pairs(Cell(ids[own], n[own].astype(np.int64), sketches[own], groups[own], num, den, block[own] if b0[s] != b1[s] else None))
             a.append(x)
             b.append(y)
             if more:
@@ -305,15 +326,22 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     single = records.where("n > 0 and id is not null").join(classes, key, "left").where("rep is null or rep = id")
 
     posts = single.select("id", F.explode("prefix").alias("element"))
-    shared = posts.withColumn("m", F.expr("count(*) over (partition by element)")).where("m > 1").select("element", "id")
-    cells = stored(shared.join(single.select("id", "n", "sketch"), "id").select("element", "id", "n", "sketch"), "cells")
+    shared = posts.withColumn("m", F.expr("count(*) over (partition by element)")).where("m > 1").select("element", "id", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
+    cells = stored(shared.join(single.select("id", "n", "sketch"), "id").select("element", "id", "n", "sketch", "blocks"), "cells")
     links, sets, groups, turn = None, None, None, 0
     while True:
         placed = cells.withColumn("grp", F.col("id")) if groups is None else cells.join(groups, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
-        placed = placed.select("element", "id", "n", "sketch", "grp").repartition("element").sortWithinPartitions("element", "id")
+        if turn:  # large cells that are one group by now have nothing to compare
+            settled = placed.where("blocks > 1").groupBy("element").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low = high").select("element")
+            placed = placed.join(small(stored(settled, "settled"), BROADCAST), "element", "left_anti")
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        placed = placed.withColumn("other", F.explode(every if turn else F.when(F.col("block") == 0, every).otherwise(F.array(F.lit(0)))))
+        placed = placed.select("element", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "id", "n", "sketch", "grp")
+        placed = placed.repartition("element", "b0", "b1").sortWithinPartitions("element", "b0", "b1", "block", "id")
         found = stored(placed.mapInPandas(_cells(num, den, turn), "a long, b long"), "candidates")
         pairs = found.where("b is not null").distinct()
-        dense = found.where("b is null").select(F.col("a").alias("element"))
+        dense = found.where("b is null").select(F.col("a").alias("element")).distinct()
         if turn < 2:
             named = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(cells.join(dense, "element", "left_semi").select("id")).distinct()
             sets = stored(rows.join(small(stored(named, "named"), BROADCAST), "id", "left_semi").mapInPandas(_sets(k), "id long, n int, elements array<long>, sketch binary, fine binary"), "sets")

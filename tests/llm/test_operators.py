@@ -76,6 +76,23 @@ def test_jaccard(spark, odd, none):
     assert [got[i].component_id for i in range(len(sets))] == group
 
 
+def test_jaccard_of_cells_in_blocks(spark, monkeypatch):
+    """Cells of many more rows than a block: near copies of a text, and texts that only share a line with them."""
+    monkeypatch.setattr(jaccard, "CELL", 60)
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 3000, 60)]
+    texts = [" ".join(np.where(rng.random(60) < 0.03, f"new{i}", base)) if i < 250 else " ".join([*base[:20], *(f"v{x}" for x in rng.integers(0, 9000, 10))]) for i in range(400)]
+    got = by_id(jaccard.similar(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "doc_id", "text", 5, 80, 100))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert [got[i].component_id for i in range(len(sets))] == group
+
+
 def test_bpe(odd, none):
     from tokenizers import Tokenizer
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
@@ -193,6 +194,25 @@ def test_regions_lose_no_pair():
             assert (i, j) in found
 
 
+def test_rows_of_a_known_group_are_never_paired(monkeypatch):
+    """A cell of near copies known as one group, with a row of its own: only the pairs with that row are made."""
+    made, compare = [], jaccard.Cell.compare
+    monkeypatch.setattr(jaccard.Cell, "compare", lambda cell, a, b: (made.append(len(a)), compare(cell, a, b))[1])
+    own = np.random.default_rng(9).integers(0, 1 << 62, 100).astype(np.uint64)
+    m = 3000
+    rows = pd.DataFrame({"element": 5, "b0": 0, "b1": 0, "block": 0, "id": np.arange(m), "n": np.int32(100), "grp": [0] * (m - 1) + [m - 1], "sketch": [jaccard.sketch_of(own)] * m})
+    found = pd.concat(jaccard._cells(80, 100, 1)(iter([rows])))
+    assert found["b"].notna().all() and sorted(zip(found["a"], found["b"], strict=True)) == [(i, m - 1) for i in range(m - 1)] and sum(made) < 10 * m
+
+
+def test_across_makes_each_pair_of_two_groups_once(monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
+    groups, made = np.random.default_rng(10).integers(0, 5, 60), []
+    monkeypatch.setattr(jaccard.Cell, "compare", lambda cell, a, b: made.extend(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)))
+    jaccard.Cell(np.arange(60), np.ones(60), np.zeros((60, 64), np.uint8), groups, 80, 100).across(np.arange(60))
+    assert sorted(made) == [(i, j) for i, j in itertools.combinations(range(60), 2) if groups[i] != groups[j]]
+
+
 def test_likelihoods_are_exact():
     rng = np.random.default_rng(8)
     mass = rng.random(6)
