@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html as references
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,8 +28,8 @@ NOT_NAMES = re.compile(
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"\s+")
-#: A block is template where this share of the differently titled pages of a host have it in the same slot, of this number at least.
-CONSTANT, LEAST_PAGES = 0.9, 8
+#: A block is template where this share of the different pages of a host have it in the same slot, of this number at least (of fewer than ten, all).
+CONSTANT, LEAST_PAGES = 0.9, 3
 
 
 class Node:
@@ -235,10 +234,10 @@ def _parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for id_, text in zip(part["id"], part["html"], strict=True):
             root = parse(text or "")
-            found, title = blocks(root)
-            rows.append((id_, repr(skeleton(root)), zlib.crc32(title.encode("utf-8", "surrogatepass")), [a for a, _ in found], [t for _, t in found]))
-        yield part.drop(columns=["id", "html"]).assign(**dict(zip(("id", "skeleton", "title", "at", "texts"), map(list, zip(*rows, strict=True)), strict=True)))[["id", "url", "host", "skeleton", "title", "at", "texts"]] if rows else \
-            pd.DataFrame(columns=["id", "url", "host", "skeleton", "title", "at", "texts"])
+            found, _ = blocks(root)
+            rows.append((id_, repr(skeleton(root)), [a for a, _ in found], [t for _, t in found]))
+        yield part.drop(columns=["id", "html"]).assign(**dict(zip(("id", "skeleton", "at", "texts"), map(list, zip(*rows, strict=True)), strict=True)))[["id", "url", "host", "skeleton", "at", "texts"]] if rows else \
+            pd.DataFrame(columns=["id", "url", "host", "skeleton", "at", "texts"])
 
 
 def _aligned(rows: pd.DataFrame) -> pd.DataFrame:
@@ -255,27 +254,28 @@ def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
     Each page is parsed in its own task. The different skeletons of a host (its trees of
     block elements, runs of siblings as one) are aligned with its commonest by simple
-    tree matching, which names the slot of every block. Blocks that nearly all differently
-    titled pages of a host have in the same slot are its template and go; so do parts whose
+    tree matching, which names the slot of every block. Blocks that nearly all different
+    pages of a host (three at least; pages differ by any of their blocks) have in the same
+    slot are its template and go; so do parts whose
     element, role or name says that they are menus, footers, adverts, forms, comments and
     the like. The rest are the article's blocks: of the article elements where there are
     any, else of main, else of the page.
 
     Null and empty pages have the text "". Null urls are a host of their own. Repeated rows
-    count as one page for the template and give equal results. An empty table gives no
+    and pages of equal blocks count as one page for the template and give equal results. An empty table gives no
     rows. Other columns are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     kind = dict(rows.dtypes)["id"]
-    parsed = stored(rows.mapInPandas(_parsed, f"id {kind}, url string, host string, skeleton string, title long, at array<int>, texts array<string>"), "pages")
+    parsed = stored(rows.mapInPandas(_parsed, f"id {kind}, url string, host string, skeleton string, at array<int>, texts array<string>").withColumn("page", F.xxhash64("texts")), "pages")
     shapes = parsed.groupBy("host", "skeleton").agg(F.count("*").alias("n"))
     slots = stored(shapes.groupBy("host").applyInPandas(_aligned, "host string, skeleton string, slots array<string>"), "slots")
     placed = parsed.join(small(slots, 50_000), ["host", "skeleton"])
     placed = placed.withColumn("places", F.expr("transform(at, i -> slots[i])")).withColumn("keys", F.expr("zip_with(places, texts, (p, t) -> xxhash64(p, t))"))
-    seen = placed.select("host", "title", F.explode(F.array_distinct("keys")).alias("key")).distinct()
-    titles = parsed.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("titles")).where(F.col("titles") >= LEAST_PAGES)
-    constant = seen.groupBy("host", "key").agg(F.count("*").alias("n")).join(small(titles, 100_000), "host").where(F.col("n") >= CONSTANT * F.col("titles"))
+    seen = placed.select("host", "page", F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    different = parsed.where(F.size("texts") > 0).select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    constant = seen.groupBy("host", "key").agg(F.count("*").alias("n")).join(small(different, 100_000), "host").where(F.col("n") >= CONSTANT * F.col("pages"))
     constant = stored(constant.groupBy("host").agg(F.collect_set("key").alias("template")), "template")
     placed = placed.join(small(constant, 50_000), "host", "left")
     kept = F.expr("filter(texts, (t, i) -> template is null or not array_contains(template, keys[i]))")
