@@ -3,38 +3,40 @@
 The Jaccard distance of two sets is at most 1 - t exactly when their symmetric difference
 has at most (a + b) (1 - t) / (1 + t) elements; both are metrics. Sets meet in cells, one for
 each element of their prefix in one global order (rare elements first), which no similar
-pair escapes. In a cell, a short sketch of counts, whose distance never exceeds the
-symmetric difference, carries the metric: pivots make Voronoi regions, rows within the
-triangle-inequality window of a boundary are replicated across it, and regions join
-recursively. Pairs that survive are compared exactly by their whole sets.
+pair escapes. A short sketch of counts, whose distance never exceeds the symmetric
+difference, carries the metric: in a large cell pivots make Voronoi regions, rows within
+the triangle-inequality window of a boundary are replicated across it as rows of Spark, and
+regions are parted again until they are small. Pairs that survive are compared exactly by
+their whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_words, components, read, small, stored
 
 #: Counters of a sketch, each kept modulo 16; rows of a region that are compared outright; pivots of a larger one.
 COUNTERS, LEAF, PIVOTS = 64, 48, 8
-#: Rows that a dense region compares with all others in its first turn; their growth from turn to turn.
-FIRST, GROWTH = 64, 8
-#: Counters of the sketches by which dense regions are parted and compared.
-DENSE = 512
-#: Counters of the counts that pairs are checked by before their whole sets.
-FINE = 2048
+#: A region is dense, and not parted further, if one of its parts has more than this share of its rows.
+DENSE = 0.75
+#: Counters of the sketches by which pairs are checked before their whole sets.
+FINE = 1024
+#: Elements of a set for each further element that prefixes of similar sets have in common at least.
+SHARED = 64
 #: An element is frequent, and so comes late in the order, from this number of prefixes on; most of them that are named.
 FREQUENT, MOST_FREQUENT = 64, 1 << 17
-#: Rows of a block of a cell: larger cells are dealt as pairs of blocks. Pairs of rows that are compared at once.
-CELL, PAIRS = 8192, 1 << 18
-#: Rows up to which a table of ids is broadcast.
-BROADCAST = 1_000_000
+#: Rows of a block of a dense region, which is dealt as pairs of blocks. Pairs of rows that are compared at once.
+BLOCK, PAIRS = 1024, 1 << 16
+#: Rows up to which a table of ids, or of regions with their pivots, is broadcast.
+BROADCAST, REGIONS = 1_000_000, 50_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -73,9 +75,14 @@ class Shingler:
         return np.unique(h)
 
 
+def least_shared(n: int, num: int, den: int) -> int:
+    """Elements at least that the prefix of a set of n has in common with the prefix of every similar set no smaller."""
+    return min(1 + n // SHARED, -(-num * n // den))
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
-    """Elements among which a set of n has one in common with every similar set."""
-    return n - -(-num * n // den) + 1 if n else 0
+    """With n - ceil(t n) + k elements each, prefixes of similar sets share k."""
+    return n - -(-num * n // den) + least_shared(n, num, den) if n else 0
 
 
 def prefix_of(own: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -96,6 +103,8 @@ def sketch_of(own: np.ndarray, counters: int = COUNTERS) -> bytes:
 
 
 def sketches_of(blobs) -> np.ndarray:
+    if not len(blobs):
+        return np.zeros((0, COUNTERS), np.uint8)
     packed = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
     return np.stack([packed & 15, packed >> 4], 2).reshape(len(blobs), -1)
 
@@ -124,64 +133,70 @@ def _records(k: int, num: int, den: int, frequent):
             rows = []
             for id_, text in zip(part["id"], part["text"], strict=True):
                 s = shingler.set_of(text)
-                rows.append((id_, len(s), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63), prefix_of(s, late, num, den).view(np.int64), sketch_of(s)))
-            yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2", "prefix", "sketch"])
+                rows.append((id_, len(s), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63), prefix_of(s, late, num, den).view(np.int64), sketch_of(s), sketch_of(s, FINE)))
+            yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2", "prefix", "sketch", "fine"])
 
     return run
 
 
 def _sets(k: int):
-    """Whole sets, and the counts by which pairs are ruled out before whole sets move."""
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
         for part in parts:
-            own = [shingler.set_of(t) for t in part["text"]]
-            fine = [np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % FINE, minlength=FINE), 255).astype(np.uint8).tobytes() for s in own]
-            yield pd.DataFrame({"id": part["id"], "n": [len(s) for s in own], "elements": [s.view(np.int64) for s in own], "sketch": [sketch_of(s, DENSE) for s in own], "fine": fine})
+            yield pd.DataFrame({"id": part["id"], "elements": [shingler.set_of(t).view(np.int64) for t in part["text"]]})
 
     return run
 
 
 def _possible(num: int, den: int):
-    """Pairs whose counts do not differ by more than similar sets' can."""
+    """Pairs whose fine sketches do not differ by more than similar sets' can."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            keep = []
+            keep = [np.zeros(0, bool)]
             for i in range(0, len(part), 1000):
                 own = part.iloc[i : i + 1000]
-                a, b = (np.frombuffer(b"".join(own[c]), np.uint8).reshape(-1, FINE).astype(np.int16) for c in ("fa", "fb"))
-                n = (own["na"] + own["nb"]).to_numpy()
-                keep.append(np.abs(a - b).sum(1, dtype=np.int64) * (num + den) <= n * (den - num))
-            yield part[["a", "b"]][np.concatenate(keep)] if keep else part[["a", "b"]]
+                keep.append(similar_by(sketches_of(own["fa"]), sketches_of(own["fb"]), own["na"].to_numpy(), own["nb"].to_numpy(), num, den))
+            yield part[["a", "b"]][np.concatenate(keep)]
 
     return run
 
 
-# ---------------------------------------------------------------- cells
+def similar_by(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Pairs that neither their sizes m and n nor their sketches x and y rule out."""
+    m, n = m.astype(np.int64), n.astype(np.int64)
+    return (den * np.minimum(m, n) >= num * np.maximum(m, n)) & (sketch_distance(x, y) * (num + den) <= (m + n) * (den - num))
 
 
-class Cell:
-    """Rows of a cell: ids, set sizes, sketches, the groups that they are known to be in, and their blocks where those of one block are not compared."""
+# ---------------------------------------------------------------- cells and regions
 
-    def __init__(self, ids: np.ndarray, n: np.ndarray, sketches: np.ndarray, groups: np.ndarray, num: int, den: int, blocks: np.ndarray | None = None):
-        self.ids, self.n, self.sketches, self.groups, self.num, self.den, self.blocks = ids, n, sketches, groups, num, den, blocks
-        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+class Rows:
+    """Rows of one or more regions: ids, set sizes, sketches, the groups that they are known to be in, whether the region is their home, and their blocks."""
+
+    def __init__(self, rows: pd.DataFrame, num: int, den: int):
+        self.ids, self.n, self.groups, self.home = (rows[c].to_numpy() for c in ("id", "n", "grp", "home"))
+        self.sketches, self.num, self.den = sketches_of(rows["sketch"]), num, den
+        self.blocks = rows["block"].to_numpy() if "block" in rows else None
+        self.found: list[pd.DataFrame] = []
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Keep the pairs of rows that sizes, sketches and groups do not rule out."""
-        x, y = self.n[a], self.n[b]
-        keep = (self.den * np.minimum(x, y) >= self.num * np.maximum(x, y)) & (self.groups[a] != self.groups[b]) & (self.ids[a] != self.ids[b])
+        """Keep the pairs of rows that sizes, sketches and groups do not rule out. A pair is made where its smaller id is at home, so once in a cell."""
+        keep = (self.groups[a] != self.groups[b]) & (self.ids[a] != self.ids[b])
         if self.blocks is not None:
             keep &= self.blocks[a] != self.blocks[b]
         a, b = a[keep], b[keep]
-        near = sketch_distance(self.sketches[a], self.sketches[b]) * (self.num + self.den) <= (self.n[a] + self.n[b]) * (self.den - self.num)
-        self.found.append((a[near], b[near]))
-
-    def across(self, rows: np.ndarray) -> None:
-        """Compare the rows that are not of one known group, a bounded number of pairs at once; other pairs are never made."""
-        rows = rows[np.argsort(self.groups[rows], kind="stable")]
+        for i in range(0, len(a), PAIRS):
+            x, y = a[i : i + PAIRS], b[i : i + PAIRS]
+            x, y = np.where(self.ids[x] < self.ids[y], x, y), np.where(self.ids[x] < self.ids[y], y, x)
+            x, y = x[self.home[x]], y[self.home[x]]
+            near = similar_by(self.sketches[x], self.sketches[y], self.n[x], self.n[y], self.num, self.den)
+            x, y = x[near], y[near]
+            self.found.append(pd.DataFrame({"a": self.ids[x], "b": self.ids[y], "n": np.minimum(self.n[x], self.n[y])}))
+
+    def across(self) -> None:
+        """Compare the rows that are not of one known group; other pairs are never made."""
+        rows = np.argsort(self.groups, kind="stable")
         end = np.searchsorted(self.groups[rows], self.groups[rows], side="right")
         count = len(rows) - end
         total, i = np.cumsum(count), 0
@@ -193,103 +208,107 @@ class Cell:
             self.compare(rows[a], rows[b])
             i = j
 
-    def join(self, rows: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
-        """Compare the rows of a region, of which some have it as home; regions too dense to part are returned."""
-        if len(rows) <= LEAF:
-            i, j = np.triu_indices(len(rows), 1)
-            keep = home[i] | home[j]
-            self.compare(rows[i[keep]], rows[j[keep]])
-            return []
-        pivots = rows[np.linspace(0, len(rows) - 1, PIVOTS).astype(int)]
-        d = np.stack([sketch_distance(self.sketches[rows], self.sketches[p]) for p in pivots], 1)
-        nearest = d.argmin(1)
-        window = 2 * (2 * int(self.n[rows].max()) * (self.den - self.num) // (self.num + self.den))
-        near = d <= d.min(1, keepdims=True) + window
-        if (near.sum(0) > 0.75 * len(rows)).any():
-            return [rows]
-        return [dense for p in range(PIVOTS) if (nearest[near[:, p]] == p).any() for dense in self.join(rows[near[:, p]], home[near[:, p]] & (nearest[near[:, p]] == p))]
+    def pairs(self) -> pd.DataFrame:
+        return pd.concat(self.found) if self.found else pd.DataFrame({"a": self.ids[:0], "b": self.ids[:0], "n": self.n[:0]})
+
+
+def _runs(parts: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows sorted by key in pieces that no run of a key crosses; where runs start, and their sizes."""
+    held: pd.DataFrame | None = None
+    for part in parts:
+        rows = part if held is None else pd.concat([held, part], ignore_index=True)
+        if not len(rows):
+            continue
+        last = (rows[key] == rows[key].iloc[-1]).all(axis=1).to_numpy()
+        held = rows[last]
+        if not last.all():
+            yield _run(rows[~last], key)
+    if held is not None and len(held):
+        yield _run(held, key)
+
+
+def _run(rows: pd.DataFrame, key: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    rows = rows.reset_index(drop=True)
+    starts = np.flatnonzero((rows[key] != rows[key].shift()).any(axis=1).to_numpy())
+    return rows, starts, np.diff(np.append(starts, len(rows)))
+
+
+def _stars(num: int, den: int):
+    """Of each small cell, the first row with each of the others."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, sizes in _runs(parts, ["element"]):
+            own = Rows(rows, num, den)
+            own.compare(np.repeat(starts, sizes), np.arange(len(rows)))
+            yield own.pairs().drop_duplicates(["a", "b"])[["a", "b"]]
+
+    return run
+
+
+def _leaves(num: int, den: int):
+    """Of each region (of LEAF rows at most), all pairs."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, sizes in _runs(parts, ["element", "region"]):
+            own = Rows(rows, num, den)
+            for m in np.unique(sizes[sizes > 1]).tolist():
+                i, j = np.triu_indices(m, 1)
+                of_size = starts[sizes == m]
+                step = max(1, PAIRS // len(i))
+                for s in range(0, len(of_size), step):
+                    base = of_size[s : s + step, None]
+                    own.compare((base + i).reshape(-1), (base + j).reshape(-1))
+            yield own.pairs()
+
+    return run
+
+
+def _blocks(num: int, den: int):
+    """Of each pair of blocks of a dense region, the pairs across; of a block with itself, all."""
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, sizes in _runs(parts, ["element", "region", "b0", "b1"]):
+            for s, m in zip(starts.tolist(), sizes.tolist(), strict=True):
+                part = rows.iloc[s : s + m]
+                own = Rows(part if part["b0"].iloc[0] != part["b1"].iloc[0] else part.drop(columns="block"), num, den)
+                own.across()
+                yield own.pairs()
+
+    return run
 
-def _cells(num: int, den: int, turn: int):
-    """Candidate pairs (a, b) of each cell, and the cells (a null b) that are too dense to be done in this turn.
 
-    Turn 0 compares the first row of each cell with the others: what it links is a group,
-    and rows of one group need no comparing later. Turn 1 does all cells but for regions too
-    dense to part. From turn 2 on, these have longer sketches; what stays dense is done in
-    turns: each compares GROWTH times as many of its rows with all the others.
+def _parted(num: int, den: int):
+    """Rows of large regions, each with its region's pivots (sketches, pid, pn, pg): once for each part that it belongs to or whose boundary is near, and as a pair (pivot, id) with each pivot that may be similar.
 
-    A cell of more than CELL rows comes as pairs of blocks (b0, b1); turn 0 has the first
-    block with each.
+    The window of a row is twice the greatest distance of sets similar to it.
     """
-    key = ["element", "b0", "b1"]
-    count = FIRST * GROWTH ** (turn - 2) if turn > 1 else 0
-    first = FIRST * (GROWTH ** (turn - 2) - 1) // (GROWTH - 1) if turn > 1 else 0
-
-    def pairs(cell: Cell) -> tuple[np.ndarray, np.ndarray, bool]:
-        order = np.argsort(cell.n, kind="stable")
-        more = False
-        regions = cell.join(order, np.ones(len(order), bool))
-        if turn > 2:  # what these sketches part was done in turn 2
-            cell.found.clear()
-        for dense in regions:
-            dense = dense[np.argsort(cell.ids[dense] * np.int64(-7046029254386353131), kind="stable")]
-            size = np.unique(cell.groups[dense], return_counts=True)[1].astype(np.int64)
-            if len(dense) ** 2 - int((size * size).sum()) <= 4 * LEAF * len(dense):
-                cell.across(dense)
-            else:
-                for p in range(first, min(first + count, len(dense))):
-                    cell.compare(np.full(len(dense), dense[p]), dense)
-                more |= first + count < len(dense)
-        a, b = (np.concatenate(x) for x in zip(*cell.found, strict=True)) if cell.found else (np.zeros(0, int),) * 2
-        return cell.ids[a], cell.ids[b], more
-
-    def small_cells(rows: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray, cell: Cell) -> None:
-        for m in np.unique(sizes).tolist():
-            i, j = np.triu_indices(m, 1)
-            base = starts[sizes == m][:, None]
-            cell.compare((base + i).reshape(-1), (base + j).reshape(-1))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for part in parts:
-            rows = part if held is None else pd.concat([held, part], ignore_index=True)
-            last = (rows[key] == rows[key].iloc[-1]).all(axis=1).to_numpy() if len(rows) else np.zeros(0, bool)
-            held = rows[last]
-            yield from done(rows[~last])
-        if held is not None:
-            yield from done(held)
-
-    def done(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if not len(rows):
-            return
-        element, b0, b1, block, ids, n, groups = (rows[c].to_numpy() for c in (*key, "block", "id", "n", "grp"))
-        sketches = sketches_of(rows["sketch"])
-        starts = np.flatnonzero(np.concatenate([[True], (element[1:] != element[:-1]) | (b0[1:] != b0[:-1]) | (b1[1:] != b1[:-1])]))
-        sizes = np.diff(np.append(starts, len(rows)))
-        whole = Cell(ids, n.astype(np.int64), sketches, groups, num, den)
-        if turn:
-            little = (sizes <= LEAF) & (sizes > 1)
-            small_cells(rows, starts[little], sizes[little], whole)
-        else:
-            whole.compare(np.repeat(starts, sizes), np.arange(len(rows)))
-        a = [ids[x] for x, _ in whole.found]
-        b = [ids[y] for _, y in whole.found]
-        open_: list[int] = []
-        large = (sizes > LEAF) & (turn > 0)
-        for s, m in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
-            own = slice(s, s + m)
-            x, y, more = pairs(Cell(ids[own], n[own].astype(np.int64), sketches[own], groups[own], num, den, block[own] if b0[s] != b1[s] else None))
-            a.append(x)
-            b.append(y)
-            if more:
-                open_.append(int(element[s]))
-        a, b = np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield pd.DataFrame({"a": pd.array([*both[:, 0].tolist(), *open_], dtype="Int64"), "b": pd.array([*both[:, 1].tolist(), *[None] * len(open_)], dtype="Int64")})
+        for whole in parts:
+            for i in range(0, len(whole), 2000):
+                yield from one(whole.iloc[i : i + 2000])
+
+    def one(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        own, n = sketches_of(part["sketch"])[:, None], part["n"].to_numpy().astype(np.int64)
+        pivots = sketches_of(part["pivots"]).reshape(len(part), PIVOTS, -1)
+        d = sketch_distance(own, pivots)
+        nearest = d.argmin(1)
+        row, j = np.nonzero(d <= d.min(1, keepdims=True) + (2 * (n * (den - num) // num))[:, None])
+        out = part[["element", "region", "id", "n", "sketch"]].iloc[row].rename(columns={"region": "parent"})
+        yield out.assign(region=out["parent"].to_numpy() * PIVOTS + j + 1, home=part["home"].to_numpy()[row] & (nearest[row] == j), pivot=pd.array([None] * len(row), dtype="Int64"))[COLUMNS]
+        pid, pn, pg = (np.stack(part[c].to_numpy()).astype(np.int64) for c in ("pid", "pn", "pg"))
+        x, y = np.maximum(n[:, None], pn), np.minimum(n[:, None], pn)
+        near = (d * (num + den) <= (x + y) * (den - num)) & (den * y >= num * x) & (part["grp"].to_numpy()[:, None] != pg)
+        row, j = np.nonzero(near)
+        pairs = pd.DataFrame({"id": part["id"].to_numpy()[row], "pivot": pid[row, j]}).drop_duplicates()
+        yield pairs.assign(pivot=pairs["pivot"].astype("Int64"), element=0, parent=0, region=0, n=0, sketch=b"", home=False)[COLUMNS]
 
     return run
 
 
+COLUMNS = ["element", "parent", "region", "id", "n", "sketch", "home", "pivot"]
+
+
 def known_groups(links: DataFrame) -> DataFrame:
     """(id, grp): a row reached by the id's links, the same for rows about one of least id; rows of equal grp are connected."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -300,6 +319,84 @@ def known_groups(links: DataFrame) -> DataFrame:
     return stored(near.join(jump, "c").select(F.col("u").alias("id"), F.col("cc").alias("grp")), "known")
 
 
+class Join:
+    """The steps of a join over one table of records; links grow from step to step."""
+
+    def __init__(self, rows: DataFrame, records: DataFrame, k: int, num: int, den: int):
+        self.rows, self.k, self.num, self.den = rows, k, num, den
+        self.fine = records.select("id", "n", "fine")
+        self.links: DataFrame | None = None
+        self.groups: DataFrame | None = None
+
+    def ids_of(self, pairs: DataFrame) -> DataFrame:
+        return small(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named"), BROADCAST)
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Adds the pairs (a, b) that are links: those that fine sketches let through, by their whole sets. Only rows that are in a pair move."""
+        pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+        fine = self.fine.join(self.ids_of(pairs), "id", "left_semi")
+        one, other = (fine.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}")) for c in ("a", "b"))
+        pairs = stored(pairs.join(one, "a").join(other, "b").mapInPandas(_possible(self.num, self.den), "a long, b long"), "possible")
+        sets = stored(self.rows.join(self.ids_of(pairs), "id", "left_semi").mapInPandas(_sets(self.k), "id long, elements array<long>"), "sets")
+        one, other = (sets.select(F.col("id").alias(c), F.col("elements").alias(f"e{c}")) for c in ("a", "b"))
+        common = F.size(F.array_intersect("ea", "eb"))
+        exact = pairs.join(one, "a").join(other, "b").where(common * self.den >= self.num * (F.size("ea") + F.size("eb") - common)).select("a", "b").distinct()
+        exact = stored(exact, "links")
+        self.links = exact if self.links is None else self.links.unionByName(exact)
+        self.groups = small(known_groups(self.links), BROADCAST)
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows with grp, the group that they are known to be in."""
+        if self.groups is None:
+            return rows.withColumn("grp", F.col("id"))
+        return rows.join(self.groups, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+
+    def part(self, regions: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+        """Parts regions (element, region, id, n, sketch, home) of more than LEAF rows until they are small or dense: small ones, and dense ones with their rows' count.
+
+        Pivots are the rows of least hash, found by aggregation; they are compared with all rows
+        of their region, so that groups of near copies are known early. Regions of one known
+        group have nothing to compare and go.
+        """
+        leaves, dense = [], []
+        key = ["element", "region"]
+        while True:
+            pivots = [F.min_by(F.struct("id", "n", "grp", "sketch"), F.xxhash64("id", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
+            stats = self.placed(regions).groupBy(*key).agg(F.count("*").alias("rows"), F.min("grp").alias("low"), F.max("grp").alias("high"), F.max("home").alias("homes"), *pivots).where("low < high and homes")
+            of = lambda f: F.array(*[F.col(f"p{j}")[f] for j in range(PIVOTS)])
+            stats = stats.select(*key, "rows", F.concat(*[F.col(f"p{j}")["sketch"] for j in range(PIVOTS)]).alias("pivots"), of("id").alias("pid"), of("n").alias("pn"), of("grp").alias("pg"))
+            stats = stored(stats, "regions")
+            leaves.append(regions.join(small(stats.where(F.col("rows") <= LEAF).select(*key), REGIONS), key, "left_semi"))
+            stats = stats.where(F.col("rows") > LEAF)
+            if not stats.limit(1).count():
+                return leaves, dense
+            large = self.placed(regions).join(small(stats, REGIONS), key)
+            parted = stored(large.select(*key, "id", "n", "sketch", "home", "grp", "pivots", "pid", "pn", "pg").mapInPandas(_parted(self.num, self.den), "element long, parent long, region long, id long, n int, sketch binary, home boolean, pivot long"), "parted")
+            sizes = parted.where("pivot is null").groupBy("element", "parent", "region").count().groupBy("element", F.col("parent").alias("region")).agg(F.max("count").alias("most"))
+            full = stored(stats.select(*key, "rows").join(sizes, key).where(F.col("most") > DENSE * F.col("rows")).select(*key, "rows"), "dense")
+            full = small(full, REGIONS)
+            dense.append(regions.join(full, key))
+            pairs = parted.where("pivot is not null").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+            regions = parted.where("pivot is null").join(full.select("element", F.col("region").alias("parent")), ["element", "parent"], "left_anti").select(*key, "id", "n", "sketch", "home")
+            self.verify(pairs)
+
+    def leaf_pairs(self, leaves: list[DataFrame]) -> DataFrame:
+        rows = self.placed(reduce(DataFrame.unionByName, leaves)).repartition("element", "region").sortWithinPartitions("element", "region")
+        return rows.mapInPandas(_leaves(self.num, self.den), "a long, b long, n int")
+
+    def dense_pairs(self, dense: list[DataFrame]) -> DataFrame:
+        rows = self.placed(reduce(DataFrame.unionByName, dense)).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        key = ["element", "region", "b0", "b1"]
+        rows = rows.select("element", "region", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "id", "n", "sketch", "home", "grp")
+        return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_blocks(self.num, self.den), "a long, b long, n int")
+
+
+def enough(num: int, den: int) -> Column:
+    """Whether pairs (of smaller size n) met in as many cells (met) as similar ones do."""
+    return F.col("met") >= F.least(1 + F.floor(F.col("n") / SHARED), F.ceil(F.col("n") * num / den))
+
+
 def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) of every row: groups of documents linked by Jaccard >= num / den of their k-word shingles.
 
@@ -317,7 +414,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     counted = rows.select("text").mapInPandas(_first_prefixes(k, num, den), "element long, n long").groupBy("element").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     late = counted.orderBy(F.desc("n"), "element").limit(MOST_FREQUENT).select("element").toPandas()["element"].to_numpy(np.int64).view(np.uint64)
     frequent = spark.sparkContext.broadcast(np.sort(late))
-    records = stored(rows.mapInPandas(_records(k, num, den, frequent), "id long, n int, s1 long, s2 long, prefix array<long>, sketch binary"), "records")
+    records = stored(rows.mapInPandas(_records(k, num, den, frequent), "id long, n int, s1 long, s2 long, prefix array<long>, sketch binary, fine binary"), "records")
 
     key = ["n", "s1", "s2"]
     classes = records.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
@@ -326,40 +423,18 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     single = records.where("n > 0 and id is not null").join(classes, key, "left").where("rep is null or rep = id")
 
     posts = single.select("id", F.explode("prefix").alias("element"))
-    shared = posts.withColumn("m", F.expr("count(*) over (partition by element)")).where("m > 1").select("element", "id", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
-    cells = stored(shared.join(single.select("id", "n", "sketch"), "id").select("element", "id", "n", "sketch", "blocks"), "cells")
-    links, sets, groups, turn = None, None, None, 0
-    while True:
-        placed = cells.withColumn("grp", F.col("id")) if groups is None else cells.join(groups, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
-        if turn:  # large cells that are one group by now have nothing to compare
-            settled = placed.where("blocks > 1").groupBy("element").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low = high").select("element")
-            placed = placed.join(small(stored(settled, "settled"), BROADCAST), "element", "left_anti")
-        every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        placed = placed.withColumn("other", F.explode(every if turn else F.when(F.col("block") == 0, every).otherwise(F.array(F.lit(0)))))
-        placed = placed.select("element", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "id", "n", "sketch", "grp")
-        placed = placed.repartition("element", "b0", "b1").sortWithinPartitions("element", "b0", "b1", "block", "id")
-        found = stored(placed.mapInPandas(_cells(num, den, turn), "a long, b long"), "candidates")
-        pairs = found.where("b is not null").distinct()
-        dense = found.where("b is null").select(F.col("a").alias("element")).distinct()
-        if turn < 2:
-            named = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(cells.join(dense, "element", "left_semi").select("id")).distinct()
-            sets = stored(rows.join(small(stored(named, "named"), BROADCAST), "id", "left_semi").mapInPandas(_sets(k), "id long, n int, elements array<long>, sketch binary, fine binary"), "sets")
-        fine = [sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}")) for c in ("a", "b")]
-        pairs = stored(pairs.join(fine[0], "a").join(fine[1], "b").mapInPandas(_possible(num, den), "a long, b long"), "possible")
-        one, other = (sets.select(F.col("id").alias(c), F.col("elements").alias(f"e{c}")) for c in ("a", "b"))
-        common = F.size(F.array_intersect("ea", "eb"))
-        exact = pairs.join(one, "a").join(other, "b").where(common * den >= num * (F.size("ea") + F.size("eb") - common)).select("a", "b")
-        exact = stored(exact, "links")
-        links = exact if links is None else links.unionByName(exact)
-        if turn:
-            if dense.limit(1).count() == 0:
-                break
-            cells = cells.join(dense, "element", "left_semi")
-            cells = stored(cells.drop("sketch").join(sets.select("id", "sketch").dropDuplicates(["id"]), "id") if turn == 1 else cells, "cells")
-        groups = small(known_groups(links), BROADCAST)
-        turn += 1
-    groups = stored(components(links), "groups").select(F.col("node").alias("rep"), "component")
+    shared = posts.withColumn("m", F.expr("count(*) over (partition by element)")).where("m > 1").select("element", "id", "m")
+    cells = stored(shared.join(single.select("id", "n", "sketch"), "id").select("element", F.lit(0).cast("long").alias("region"), "id", "n", "sketch", F.lit(True).alias("home"), "m"), "cells")
+    join = Join(rows, records, k, num, den)
+    little, large = cells.where(F.col("m") <= LEAF).drop("m"), cells.where(F.col("m") > LEAF).drop("m")
+    first = join.placed(little).repartition("element").sortWithinPartitions("element", F.xxhash64("id"))
+    join.verify(first.mapInPandas(_stars(num, den), "a long, b long"))
+    leaves, dense = join.part(large)
+    found = join.leaf_pairs([little, *leaves])
+    found = found.unionByName(join.dense_pairs(dense)) if dense else found
+    join.verify(stored(found.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("n").alias("n")), "met").where(enough(num, den)))
+    groups = stored(components(join.links), "groups").select(F.col("node").alias("rep"), "component")
+    frequent.unpersist()
     return members.join(small(groups, BROADCAST), "rep", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 

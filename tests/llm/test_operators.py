@@ -76,9 +76,11 @@ def test_jaccard(spark, odd, none):
     assert [got[i].component_id for i in range(len(sets))] == group
 
 
-def test_jaccard_of_cells_in_blocks(spark, monkeypatch):
-    """Cells of many more rows than a block: near copies of a text, and texts that only share a line with them."""
-    monkeypatch.setattr(jaccard, "CELL", 60)
+@pytest.mark.parametrize("limits", [{"BLOCK": 60}, {"LEAF": 20}])
+def test_jaccard_of_large_cells(spark, monkeypatch, limits):
+    """Cells of many more rows than a block or a leaf: near copies of a text, and texts that only share a line with them."""
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
     rng = np.random.default_rng(4)
     base = [f"w{x}" for x in rng.integers(0, 3000, 60)]
     texts = [" ".join(np.where(rng.random(60) < 0.03, f"new{i}", base)) if i < 250 else " ".join([*base[:20], *(f"v{x}" for x in rng.integers(0, 9000, 10))]) for i in range(400)]

@@ -180,36 +180,56 @@ def test_sketches_bound_the_difference():
 
 
 def test_regions_lose_no_pair():
+    """Of every similar pair, each row is in the region where the other is at home."""
     rng = np.random.default_rng(7)
     base = [rng.integers(0, 1 << 62, 120).astype(np.uint64) for _ in range(40)]
     sets = [np.unique(np.concatenate([b[rng.random(120) > 0.03], rng.integers(0, 1 << 62, 3).astype(np.uint64)])) for b in base for _ in range(6)]
-    n = np.array([len(s) for s in sets])
-    cell = jaccard.Cell(np.arange(len(sets)), n, jaccard.sketches_of([jaccard.sketch_of(s) for s in sets]), np.arange(len(sets)), 80, 100)
-    dense = cell.join(np.argsort(n, kind="stable"), np.ones(len(sets), bool))
-    found = {(min(a, b), max(a, b)) for x, y in cell.found for a, b in zip(x.tolist(), y.tolist(), strict=True)}
-    found |= {(min(a, b), max(a, b)) for d in dense for a in d.tolist() for b in d.tolist() if a != b}
-    for i, j in itertools.combinations(range(len(sets)), 2):
+    n, sketches = np.array([len(s) for s in sets]), [jaccard.sketch_of(s) for s in sets]
+    pivots = rng.choice(len(sets), jaccard.PIVOTS, replace=False)
+    rows = pd.DataFrame({"element": 5, "region": 0, "id": np.arange(len(sets)), "n": n.astype(np.int32), "sketch": sketches, "home": True, "grp": np.arange(len(sets)), "pivots": b"".join(sketches[p] for p in pivots),
+                         "pid": [pivots] * len(sets), "pn": [n[pivots]] * len(sets), "pg": [pivots] * len(sets)})
+    out = pd.concat(jaccard._parted(80, 100)(iter([rows])))
+    inside = out[out["pivot"].isna()]
+    own = dict(inside[inside["home"]][["id", "region"]].itertuples(index=False))
+    held, near = set(inside[["id", "region"]].itertuples(index=False, name=None)), set(out[out["pivot"].notna()][["pivot", "id"]].itertuples(index=False, name=None))
+    assert sorted(own) == list(range(len(sets))) and len(held) < 0.9 * jaccard.PIVOTS * len(sets)
+    for i, j in itertools.permutations(range(len(sets)), 2):
         both = len(np.intersect1d(sets[i], sets[j]))
         if both * 100 >= 80 * (n[i] + n[j] - both):
-            assert (i, j) in found
+            assert (j, own[i]) in held and (i not in pivots or (i, j) in near)
 
 
-def test_rows_of_a_known_group_are_never_paired(monkeypatch):
-    """A cell of near copies known as one group, with a row of its own: only the pairs with that row are made."""
-    made, compare = [], jaccard.Cell.compare
-    monkeypatch.setattr(jaccard.Cell, "compare", lambda cell, a, b: (made.append(len(a)), compare(cell, a, b))[1])
+def test_prefixes_of_similar_sets_share_enough():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 40)).astype(np.uint64)]))
+        frequent = np.sort(rng.choice(a, len(a) // 3, replace=False))
+        both = len(np.intersect1d(a, b))
+        if both * 100 >= 80 * (len(a) + len(b) - both):
+            met = len(np.intersect1d(*(jaccard.prefix_of(x, frequent, 80, 100) for x in (a, b))))
+            assert met >= jaccard.least_shared(min(len(a), len(b)), 80, 100)
+
+
+def rows_of(groups, **columns):
     own = np.random.default_rng(9).integers(0, 1 << 62, 100).astype(np.uint64)
+    return pd.DataFrame({"id": np.arange(len(groups)), "n": np.int32(100), "grp": groups, "home": True, "sketch": [jaccard.sketch_of(own)] * len(groups)} | columns)
+
+
+def test_rows_of_a_known_group_are_never_paired(monkeypatch):
+    """A region of near copies known as one group, with a row of its own: only the pairs with that row are made."""
+    made, compare = [], jaccard.Rows.compare
+    monkeypatch.setattr(jaccard.Rows, "compare", lambda rows, a, b: (made.append(len(a)), compare(rows, a, b))[1])
     m = 3000
-    rows = pd.DataFrame({"element": 5, "b0": 0, "b1": 0, "block": 0, "id": np.arange(m), "n": np.int32(100), "grp": [0] * (m - 1) + [m - 1], "sketch": [jaccard.sketch_of(own)] * m})
-    found = pd.concat(jaccard._cells(80, 100, 1)(iter([rows])))
-    assert found["b"].notna().all() and sorted(zip(found["a"], found["b"], strict=True)) == [(i, m - 1) for i in range(m - 1)] and sum(made) < 10 * m
+    found = pd.concat(jaccard._blocks(80, 100)(iter([rows_of([0] * (m - 1) + [m - 1], element=5, region=0, b0=0, b1=0, block=0)])))
+    assert sorted(zip(found["a"], found["b"], strict=True)) == [(i, m - 1) for i in range(m - 1)] and sum(made) < 10 * m
 
 
 def test_across_makes_each_pair_of_two_groups_once(monkeypatch):
     monkeypatch.setattr(jaccard, "PAIRS", 50)
     groups, made = np.random.default_rng(10).integers(0, 5, 60), []
-    monkeypatch.setattr(jaccard.Cell, "compare", lambda cell, a, b: made.extend(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)))
-    jaccard.Cell(np.arange(60), np.ones(60), np.zeros((60, 64), np.uint8), groups, 80, 100).across(np.arange(60))
+    monkeypatch.setattr(jaccard.Rows, "compare", lambda rows, a, b: made.extend(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)))
+    jaccard.Rows(rows_of(groups), 80, 100).across()
     assert sorted(made) == [(i, j) for i, j in itertools.combinations(range(60), 2) if groups[i] != groups[j]]
 
 
