@@ -15,6 +15,7 @@ WORD = re.compile(WORD_PATTERN)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -36,10 +37,22 @@ def n_words(col: Column) -> Column:
     return F.when(col.isNull(), F.lit(0)).otherwise(F.regexp_count(col, F.lit(WORD_PATTERN))).cast("long")
 
 
+#: Rows and bytes of a batch that a Python task holds at once.
+BATCH_ROWS, BATCH_BYTES = 2500, 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """From now on, batches of texts that reach Python are small, so that a task's memory does not rest on the rows' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is set."""
+    """The cluster's shared folder. Only where driver and executors are one process may it be unset: a folder of our own then."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="duoledger-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -48,6 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark).rstrip('/')}/duoledger/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,6 +70,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like stored, as a table bucketed by key: grouping by key then needs no shuffle of it."""
     spark = df.sparkSession
+    bounded(spark)
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/duoledger/{name}"
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(name)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
 
 #: A token is what stands between white space, lower-cased; its words are its runs of letters.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -147,7 +147,7 @@ def learn_odds(train: DataFrame, strength: float, least: int) -> dict[str, float
     TRAIN_ROWS of each label are read at most.
     """
     met = train.mapInPandas(contexts, "word string, before long, toxic int").distinct()
-    counts = met.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    counts = stored(met.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")), "words")
     lengths = F.array([F.struct(F.lit(n).alias("level"), F.concat(F.substring("word", 1, n), F.lit("*")).alias("key"), (F.length("word") > n).alias("ok")) for n in PREFIXES])
     prefixes = counts.select(F.explode(lengths).alias("p"), "t", "n").where("p.ok").groupBy(F.col("p.key").alias("key"), F.col("p.level").alias("level")).agg(
         F.sum("t").alias("t"), F.sum("n").alias("n"))
@@ -194,6 +194,7 @@ def fit(labelled: DataFrame, strength: float = 20.0, least: int = 3, drift: floa
     the mean of their best segments. The logistic map is fitted to the evidence of both
     labels. Without rows of both labels the model is unfitted and scores 0.
     """
+    labelled = stored(labelled, "labelled")
     odds = learn_odds(labelled.where("fold = 0").select("text", "toxic"), strength, least)
     model = Model(odds=odds, drift=drift)
     if not odds:
