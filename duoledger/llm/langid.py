@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import read, small, stored
 
-#: Buckets of hashed letter trigrams; languages told apart at most; rows of each declared language that teach, at most about.
+#: Buckets of hashed letter trigrams; rows of each declared language that teach, at most about.
 BUCKETS = 1 << 14
-MOST_LANGUAGES = 64
 TRAIN_ROWS = 3_000
+#: A declared code is a language if so many rows declare it, and if of texts that didn't teach this share is taken for it.
+LEAST_ROWS, CONFIRMED = 6, 0.5
 #: Characters handled at once.
 CHUNK = 1 << 20
 #: A text is undecided below these counts and shares.
@@ -96,11 +97,24 @@ def text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
     return rows.mapInPandas(run, f"{kept}, n long, letters long, chars long, ll array<double>")
 
 
+def confirmed(teach: DataFrame) -> list[str]:
+    """Codes of (text, declared, fold) whose texts of fold 1 are told as theirs by what fold 0 teaches; all codes, where none is."""
+    codes = sorted(r["declared"] for r in teach.select("declared").distinct().collect())
+    if len(codes) < 2:
+        return codes
+    told = text_scores(teach.where("fold = 1").select("text", "declared"), learn(teach.where("fold = 0").select("text", "declared"), codes))
+    told = told.where("n > 0").withColumn("told", F.element_at(F.array(*map(F.lit, codes)), F.array_position("ll", F.array_max("ll")).cast("int")))
+    share = told.groupBy("declared").agg(F.avg((F.col("told") == F.col("declared")).cast("double")).alias("share")).collect()
+    return sorted(r["declared"] for r in share if r["share"] >= CONFIRMED) or codes
+
+
 def identify(rows: DataFrame) -> DataFrame:
     """rows (key columns, text, declared, host, suffix) with text replaced by: language, posterior, text_language, accepted.
 
-    The languages are the declared values of at least a thousandth of the rows (64 at most). Text
-    likelihoods come from hashed letter trigrams. What texts alone say is counted by host,
+    The languages are the declared codes (two or three letters) of at least LEAST_ROWS rows that
+    their own texts confirm: of a half that taught, texts of the other half must be told as that
+    language. How many rows declare others doesn't matter, and there may be any number. At most
+    about TRAIN_ROWS rows of each teach, chosen by a hash of the row. Text likelihoods come from hashed letter trigrams. What texts alone say is counted by host,
     by address suffix and in all, each level smoothed by the one above: that is the prior.
     How often a declared language goes with each text language gives its likelihood.
     accepted: the text has trigrams, a quarter of it are letters, and the posterior is 0.5 or more.
@@ -112,18 +126,16 @@ def identify(rows: DataFrame) -> DataFrame:
     """
     own = [c for c in rows.columns if c not in ("text", "declared", "host", "suffix")]
     rows = rows.withColumn("declared", F.lower(F.regexp_extract(F.coalesce("declared", F.lit("")), r"^\s*([A-Za-z]+)", 1)))
-    seen = rows.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES + 1).collect()
-    total = sum(r["count"] for r in seen)
-    by = {r["declared"]: r["count"] for r in seen if r["declared"] and r["count"] >= total / 1000}
-    languages = sorted(by)
+    codes = rows.where(F.col("declared").rlike("^[a-z]{2,3}$")).groupBy("declared").count().where(F.col("count") >= LEAST_ROWS)
+    codes = codes.select("declared", F.least(F.lit(1.0), TRAIN_ROWS / F.col("count")).alias("share"))
+    by_row = F.xxhash64(F.lit("teach"), *rows.columns)
+    teach = rows.withColumn("chance", by_row).join(F.broadcast(codes), "declared").where(F.pmod("chance", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    teach = stored(teach.select("text", "declared", F.expr("pmod(shiftright(chance, 32), 2)").alias("fold")), "teach")
+    languages = confirmed(teach)
     if not languages:
         empty = {"language": F.lit(None).cast("string"), "posterior": F.lit(0.0), "text_language": F.lit(None).cast("string"), "accepted": F.lit(False)}
         return rows.select(*own, *[v.alias(k) for k, v in empty.items()])
-    share = F.lit(0.0)
-    for language, n in by.items():
-        share = F.when(F.col("declared") == language, min(1.0, TRAIN_ROWS / n)).otherwise(share)
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)
-    model = learn(rows.where(chosen).select("text", "declared"), languages)
+    model = learn(teach.where(F.col("declared").isin(languages)).select("text", "declared"), languages)
     scored = stored(text_scores(rows, model), "language")
     scored = scored.withColumn("declared", F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(""))
     scored = scored.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("suffix", F.coalesce("suffix", F.lit("")))

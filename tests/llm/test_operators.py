@@ -45,6 +45,24 @@ def test_sharding(spark, odd, none):
     assert len(loads) == 16 and max(loads) <= 1.01 * sum(loads) / 16 and min(loads) >= 0.97 * sum(loads) / 16
 
 
+def test_a_further_shard_moves_little(spark):
+    """The ring against a plain walk; without bounds, cells move to the new shard alone, a seventeenth of them; with bounds, few others."""
+    rings = {n: [(p, a) for r in sharding.ring(spark, n, 64).collect() for p, a in zip(r.vpos, r.after, strict=True)] for n in (16, 17)}
+    nodes = dict((p, a[0]) for p, a in rings[17])
+    assert [(p, a[0]) for p, a in rings[16]] == [(p, s) for p, s in nodes.items() if s != 16] and len(nodes) == 17 * 64
+    for k, (_, after) in enumerate(rings[16][:50]):
+        plain = []
+        for _, a in rings[16][k:] + rings[16][:k]:
+            plain += [a[0]] * (a[0] not in plain)
+        assert list(after) == plain
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
+    moved = {}
+    for slack in (0.001, 1e6):
+        was, now = ({r.id: r.shard for r in sharding.shard(docs, "doc_id", "text", n, slack=slack).collect()} for n in (16, 17))
+        moved[slack] = [now[i] for i in was if was[i] != now[i]]
+    assert set(moved[1e6]) == {16} and 0.03 < len(moved[1e6]) / 20_000 < 0.09 and len(moved[0.001]) < 0.2 * 20_000
+
+
 def test_mixing(spark, odd, none):
     rows = mixing.mix(odd, "doc_id", "text", "source").collect()
     assert len(rows) == 12 and all(r.taken == r.copies * r.size <= 2 * r.size for r in rows) and mixing.mix(none, "doc_id", "text", "source").count() == 0
@@ -236,3 +254,10 @@ def test_pipeline(spark, tmp_path):
     assert mixed.columns == corpus_pipeline.COLUMNS and max(r["count"] for r in mixed.where("doc_id is not null").groupBy("doc_id").count().collect()) <= 2
     out = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out and set(out) <= {None, *range(60)} and all(n > 0 for n in out.values())
+
+
+def test_rare_languages_are_known_and_wrong_codes_are_not(spark):
+    said = {"en": "the cat and the dog of this house with that thing", "pl": "kot oraz pies w domu gdzie jest bardzo dużo rzeczy które wszyscy znamy", "zz": "the cat and the dog of this house with that thing"}
+    rows = [(f"{x}{i}", " ".join(np.random.default_rng(i).permutation(t.split())), x, "h", None) for x, t in said.items() for i in range(1200 if x == "en" else 16)]
+    got = langid.identify(spark.createDataFrame(rows, "key string, text string, declared string, host string, suffix string"))
+    assert {(r.k, r.language) for r in got.select(F.substring("key", 1, 2).alias("k"), "language").distinct().collect()} == {("en", "en"), ("pl", "pl"), ("zz", "en")}

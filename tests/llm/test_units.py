@@ -69,6 +69,17 @@ def test_bpe_equals_the_library():
         assert " ".join(own.pieces[i] for i in ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_very_long_words():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    vocabulary, library = bpe.load(path), Tokenizer.from_file(path)
+    rng = random.Random(5)
+    for word in ("a" * 3001, "".join(rng.choices("abcdefgh", k=20_000)), "é" * 501, "the" * 1000):
+        assert bpe.encode_word(word, vocabulary, bpe.byte_signs()) == library.encode(word, add_special_tokens=False).ids
+    assert bpe.encode_word("".join(rng.choices("etaoin", k=1_000_000)), vocabulary, bpe.byte_signs())
+
+
 def test_webp_round_trip():
     rng = np.random.default_rng(5)
     tiles = [bytes(64), b"ab" * 32, rng.integers(0, 256, 4096, dtype=np.uint8).tobytes(), b"x" * 60 + bytes(900), b"abcdefgh" * 200]
