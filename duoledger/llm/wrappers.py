@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 SCOPES = frozenset("ul ol dl table tr tbody thead article section div main aside nav header footer form blockquote body html".split())
 #: Elements, roles and words of class and id names that are never the article.
 NOT_ARTICLE = frozenset("nav footer aside form button select dialog menu head object video audio canvas".split())
+#: Of these, those that stand in a line of text.
+INLINE_BOXES = frozenset("button select object video audio canvas".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 NOT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|sidebar\w*|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|"
@@ -32,13 +37,13 @@ SPACE = re.compile(r"\s+")
 CONSTANT, LEAST_PAGES = 0.9, 3
 
 
-class Node:
-    """An element: its label, and its children (nodes and texts) in order."""
+class Page:
+    """A parsed page: its elements in page order (tag, label, whether it is boilerplate, parent), and events: an element's number where it opens, ~number where it closes, and texts."""
 
-    __slots__ = ("tag", "label", "children", "boilerplate", "shape")
+    __slots__ = ("tags", "labels", "boilerplate", "parents", "events")
 
-    def __init__(self, tag: str, label: str, boilerplate: bool):
-        self.tag, self.label, self.children, self.boilerplate, self.shape = tag, label, [], boilerplate, None
+    def __init__(self):
+        self.tags, self.labels, self.boilerplate, self.parents, self.events = ["#root"], ["#root"], [False], [-1], []
 
 
 _elements: dict[tuple[str, str], tuple[str, bool]] = {}
@@ -61,92 +66,212 @@ def _judged(tag: str, attributes: str) -> tuple[str, bool]:
     return tag + "".join(f".{c}" for c in sorted(found.get("class", "").split())), tag in NOT_ARTICLE or found.get("role", "").lower() in NOT_ROLES or hidden or own
 
 
-def parse(text: str) -> Node:
-    """The tree of a page. Unclosed and stray tags are taken as browsers mostly do."""
-    root = Node("#root", "#root", False)
-    stack, at = [root], 0
+def parse(text: str) -> Page:
+    """The elements of a page. Unclosed and stray tags are taken as browsers mostly do. Nesting may be of any depth: nothing here recurses."""
+    page, at = Page(), 0
+    stack, open_ = [0], Counter()  # numbers of open elements; how many of each tag are open
+
+    def close(i: int) -> None:
+        """The i-th element of the stack and all in it."""
+        while len(stack) > i:
+            n = stack.pop()
+            open_[page.tags[n]] -= 1
+            page.events.append(~n)
+
     while m := TAG.search(text, at):
         if m.start() > at:
-            stack[-1].children.append(text[at : m.start()])
+            page.events.append(text[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
+                own = page.tags[stack[i]]
+                if own == tag:
+                    close(i)
                     break
-                if tag in INLINE and stack[i].tag not in INLINE:
+                if tag in INLINE and own not in INLINE:
                     break
             continue
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in CLOSES.get(tag, {"p"} if tag not in INLINE else ()):
-                del stack[i:]
-            elif stack[i].tag in SCOPES:
-                break
+        ends = CLOSES.get(tag, {"p"} if tag not in INLINE else ())
+        if any(open_[t] for t in ends):
+            for i in range(len(stack) - 1, 0, -1):
+                own = page.tags[stack[i]]
+                if own in ends:
+                    close(i)
+                elif own in SCOPES:
+                    break
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             at = end.end() if end else len(text)
             continue
-        node = Node(tag, *_element(tag, m[3]))
-        stack[-1].children.append(node)
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+        n, (label, boilerplate) = len(page.tags), _element(tag, m[3])
+        page.tags.append(tag)
+        page.labels.append(label)
+        page.boilerplate.append(boilerplate)
+        page.parents.append(stack[-1])
+        page.events.append(n)
+        if tag in VOID or m[3].rstrip().endswith("/"):
+            page.events.append(~n)
+        else:
+            stack.append(n)
+            open_[tag] += 1
     if at < len(text):
-        stack[-1].children.append(text[at:])
-    return root
+        page.events.append(text[at:])
+    close(1)
+    return page
 
 
 # ---------------------------------------------------------------- skeletons and their alignment
 
 
-def skeleton(node: Node) -> tuple:
-    """(label, children): block elements alone, runs of equal siblings as one."""
-    if node.shape is None:
-        children: list[tuple] = []
-        for c in node.children:
-            if isinstance(c, Node) and c.tag not in INLINE:
-                s = skeleton(c)
-                if not children or children[-1] != s:
-                    children.append(s)
-        node.shape = node.label, tuple(children)
-    return node.shape
-
-
-def match(a: tuple, b: tuple) -> tuple[int, list]:
-    """Simple tree matching: most pairs of nodes with equal labels, in order and under matched parents; and the pairs of children."""
-    if a[0] != b[0]:
-        return 0, []
-    m, n = len(a[1]), len(b[1])
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    own = [[match(x, y) for y in b[1]] for x in a[1]]
-    for i in range(m):
-        for j in range(n):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + own[i][j][0])
-    pairs, i, j = [], m, n
-    while i and j:
-        if own[i - 1][j - 1][0] and best[i][j] == best[i - 1][j - 1] + own[i - 1][j - 1][0]:
-            pairs.append((i - 1, j - 1, own[i - 1][j - 1][1]))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[m][n] + 1, pairs[::-1]
-
-
-def slots_of(page: tuple, template: tuple, name: str = "0") -> list[str]:
-    """For each node of a page's skeleton, depth first: the place of its match in the template, or its own path where it has none."""
-    def walk(node: tuple, pairs: list | None, at: str) -> list[str]:
-        out = [at]
-        to = {i: (j, own) for i, j, own in pairs or []}
-        for i, c in enumerate(node[1]):
-            j, own = to.get(i, (None, None))
-            out += walk(c, own, f"{at}.{j}" if j is not None else f"{at}/{c[0]}")
-        return out
-
-    return walk(page, match(page, template)[1], name)
+class Shapes:
+    """Trees of labels by number: equal trees have one number. parts: each tree's label and children; count: its nodes."""
+
+    def __init__(self):
+        self.known: dict[tuple[str, tuple[int, ...]], int] = {}
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
+        self.count: list[int] = []
+
+    def of(self, label: str, children: list[int]) -> int:
+        """The tree of a label and children, runs of equal siblings being one."""
+        key = label, tuple(c for i, c in enumerate(children) if not i or children[i - 1] != c)
+        if key not in self.known:
+            self.known[key] = len(self.parts)
+            self.parts.append(key)
+            self.count.append(1 + sum(self.count[c] for c in key[1]))
+        return self.known[key]
+
+    def written(self, shape: int) -> str:
+        """(depth, label) of each node, depth first."""
+        out, stack = [], [(0, shape)]
+        while stack:
+            depth, n = stack.pop()
+            out.append(f"{depth} {self.parts[n][0]}")
+            stack += [(depth + 1, c) for c in reversed(self.parts[n][1])]
+        return "\n".join(out)
+
+    def read(self, written: str) -> int:
+        stack: list[tuple[str, list[int]]] = []
+        for line in [*written.split("\n"), "0 "]:
+            depth, _, label = line.partition(" ")
+            while len(stack) > int(depth):
+                own, children = stack.pop()
+                n = self.of(own, children)
+                if not stack:
+                    return n
+                stack[-1][1].append(n)
+            stack.append((label, []))
+        raise ValueError("no tree")
+
+
+def skeleton(page: Page) -> tuple[Shapes, int, list[int]]:
+    """The tree of a page's block elements (those in an inline element or in boilerplate are in none), and each element's place in it, depth first; -1 for the others."""
+    blocks = [True] * len(page.tags)
+    children: list[list[int]] = [[] for _ in page.tags]
+    for n in range(1, len(page.tags)):
+        up = page.parents[n]
+        blocks[n] = blocks[up] and not page.boilerplate[n] and page.tags[n] not in INLINE
+        if blocks[n]:
+            children[up].append(n)
+    shapes, shape, place = Shapes(), [0] * len(page.tags), [-1] * len(page.tags)
+    for n in range(len(page.tags) - 1, -1, -1):
+        if blocks[n]:
+            shape[n] = shapes.of(page.labels[n], [shape[c] for c in children[n]])
+    place[0] = 0
+    for n in range(len(page.tags)):
+        if blocks[n]:
+            following, last = place[n] + 1, None
+            for c in children[n]:
+                if shape[c] != last:
+                    place[c], last = following, shape[c]
+                    following += shapes.count[last]
+                else:
+                    place[c] = following - shapes.count[last]
+    return shapes, shape[0], place
+
+
+class Alignment:
+    """Simple tree matching of two trees: most pairs of nodes with equal labels, in order and under matched parents."""
+
+    def __init__(self, shapes: Shapes):
+        self.shapes, self.size, self.found = shapes, {}, {}
+
+    def match(self, a: int, b: int) -> int:
+        """The number of pairs. Pairs of subtrees are done once each, those below first."""
+        parts, stack = self.shapes.parts, [(a, b)]
+        while stack:
+            x, y = stack[-1]
+            if (x, y) in self.size:
+                stack.pop()
+                continue
+            if parts[x][0] != parts[y][0]:
+                self.size[x, y] = 0
+            elif x == y:
+                self.size[x, y] = self.shapes.count[x]
+            else:
+                below = [(u, v) for u in set(parts[x][1]) for v in set(parts[y][1]) if (u, v) not in self.size]
+                if below:
+                    stack += below
+                    continue
+                self.size[x, y], pairs = self._children(x, y)
+                self.found[x, y] = dict(pairs)
+            stack.pop()
+        return self.size[a, b]
+
+    def _children(self, x: int, y: int) -> tuple[int, list[tuple[int, int]]]:
+        """Best in-order pairs of the children of two nodes; equal ones at either end are paired outright, which is never worse."""
+        own, other = self.shapes.parts[x][1], self.shapes.parts[y][1]
+        m, n, first, last = len(own), len(other), 0, 0
+        while first < min(m, n) and own[first] == other[first]:
+            first += 1
+        while last < min(m, n) - first and own[m - 1 - last] == other[n - 1 - last]:
+            last += 1
+        pairs = [(i, i) for i in range(first)] + [(m - 1 - i, n - 1 - i) for i in range(last)]
+        total = 1 + sum(self.shapes.count[own[i]] for i, _ in pairs)
+        a, b = own[first : m - last], other[first : n - last]
+        if not a or not b:
+            return total, pairs
+        kinds, at = np.unique(np.array(b), return_inverse=True)
+        weights = {u: np.array([self.size[u, v] for v in kinds.tolist()])[at] for u in set(a)}
+        best, taken = np.zeros(len(b) + 1, np.int64), np.zeros((len(a), len(b)), np.int8)
+        for i, u in enumerate(a):
+            with_pair = np.where(weights[u] > 0, best[:-1] + weights[u], -1)
+            row = np.maximum.accumulate(np.maximum(best[1:], with_pair))
+            taken[i] = np.where(np.concatenate([[0], row[:-1]]) == row, 2, np.where(best[1:] == row, 1, 0))  # 2: left, 1: up, 0: the pair
+            best = np.concatenate([[0], row])
+        i, j = len(a) - 1, len(b) - 1
+        while i >= 0 and j >= 0:
+            if taken[i, j] == 0:
+                pairs.append((first + i, first + j))
+                i, j = i - 1, j - 1
+            elif taken[i, j] == 1:
+                i -= 1
+            else:
+                j -= 1
+        return total + int(best[-1]), pairs
+
+    def pairs(self, a: int, b: int) -> dict[int, int]:
+        """Children of matched trees a and b, by place."""
+        return {i: i for i in range(len(self.shapes.parts[a][1]))} if a == b else self.found[a, b]
+
+
+def slots_of(page: str, template: str) -> list[int]:
+    """For each node of a page's skeleton, depth first: a hash of the place of its match in the template, or of its own path where it has none."""
+    shapes = Shapes()
+    a, b = shapes.read(page), shapes.read(template)
+    align = Alignment(shapes)
+    matched = align.match(a, b) > 0
+    out, stack = [], [(a, b if matched else None, "0")]
+    while stack:
+        x, y, path = stack.pop()
+        slot = xxhash.xxh64_intdigest(path)
+        out.append(slot - (1 << 63))
+        to = align.pairs(x, y) if y is not None else {}
+        own, other = shapes.parts[x][1], shapes.parts[y][1] if y is not None else ()
+        stack += [(c, other[to[i]], f"{slot}.{to[i]}") if i in to else (c, None, f"{slot}/{shapes.parts[c][0]}") for i, c in reversed(list(enumerate(own)))]
+    return out
 
 
 # ---------------------------------------------------------------- blocks
@@ -156,74 +281,49 @@ def clean(parts: list[str]) -> str:
     return SPACE.sub(" ", references.unescape("".join(parts))).strip()
 
 
-def blocks(root: Node) -> tuple[list[tuple[int, str]], str]:
-    """(number of the skeleton's node, text) of the blocks that may be the article, in page order; and a title.
+def blocks(page: Page, place: list[int]) -> list[tuple[int, str]]:
+    """(place in the skeleton, text) of the blocks that may be the article, in page order.
 
     Where the page has an article element (or else a main element) only what is in one counts.
     """
     out: list[tuple[int, str, int]] = []
-    number = -1
-
-    def walk(node: Node, at: int, rank: int, dropped: bool) -> None:
-        nonlocal number
-        run: list[str] = []
-
-        def flush() -> None:
-            if run and (text := clean(run)) and not dropped:
+    run: list[str] = []
+    gone = 0  # open elements in boilerplate
+    inside: list[tuple[int, int, bool]] = [(0, 0, False)]  # (place, rank, dropped) of the open elements
+
+    def flush() -> None:
+        if run:
+            at, rank, dropped = inside[-1]
+            if not dropped and (text := clean(run)):
                 out.append((at, text, rank))
             run.clear()
 
-        def inline(n: Node) -> None:
-            for c in n.children:
-                if isinstance(c, str):
-                    run.append(c)
-                elif c.boilerplate:
-                    run.append(" ")
-                elif c.tag in INLINE:
-                    if c.tag in ("br", "wbr"):
-                        run.append(" " if c.tag == "br" else "")
-                    else:
-                        inline(c)
-                else:
-                    enter(c, n)
-
-        def enter(c: Node, parent: Node) -> None:
-            nonlocal number, last
+    for event in page.events:
+        if isinstance(event, str):
+            if not gone:
+                run.append(event)
+            continue
+        n = event if event >= 0 else ~event
+        tag = page.tags[n]
+        inline = tag in INLINE or tag in INLINE_BOXES
+        if gone or page.boilerplate[n]:
+            gone += 1 if event >= 0 else -1
+            if gone <= 1:
+                run.append(" ") if inline else flush()
+        elif inline:
+            if event >= 0 and tag == "br":
+                run.append(" ")
+        elif event >= 0:
             flush()
-            if parent is node:
-                s = skeleton(c)
-                if s != last:
-                    number += 1
-                    base, last = number, s
-                    counts.append((base, _count(s)))
-                    number = base + counts[-1][1] - 1
-                numbers = counts[-1][0]
-            else:
-                numbers = at
-            sub = 2 if c.tag == "article" else max(rank, 1) if c.tag == "main" else rank
-            _descend(c, numbers, sub, dropped or c.boilerplate or (c.tag == "header" and sub == 0))
-
-        def _descend(c: Node, numbers: int, sub: int, gone: bool) -> None:
-            nonlocal number
-            kept = number
-            number = numbers
-            walk(c, numbers, sub, gone)
-            number = kept
-
-        last: tuple | None = None
-        counts: list[tuple[int, int]] = []
-        inline(node)
-        flush()
-
-    number = 0
-    walk(root, 0, 0, False)
+            at, rank, dropped = inside[-1]
+            rank = 2 if tag == "article" else max(rank, 1) if tag == "main" else rank
+            inside.append((place[n] if place[n] >= 0 else at, rank, dropped or (tag == "header" and rank == 0)))
+        else:
+            flush()
+            inside.pop()
+    flush()
     most = max((r for _, _, r in out), default=0)
-    found = [(at, text) for at, text, r in out if r == most]
-    return found, found[0][1] if found else ""
-
-
-def _count(s: tuple) -> int:
-    return 1 + sum(map(_count, s[1]))
+    return [(at, text) for at, text, r in out if r == most]
 
 
 # ---------------------------------------------------------------- the operator
@@ -231,52 +331,54 @@ def _count(s: tuple) -> int:
 
 def _parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        rows = []
-        for id_, text in zip(part["id"], part["html"], strict=True):
-            root = parse(text or "")
-            found, _ = blocks(root)
-            rows.append((id_, repr(skeleton(root)), [a for a, _ in found], [t for _, t in found]))
-        yield part.drop(columns=["id", "html"]).assign(**dict(zip(("id", "skeleton", "at", "texts"), map(list, zip(*rows, strict=True)), strict=True)))[["id", "url", "host", "skeleton", "at", "texts"]] if rows else \
-            pd.DataFrame(columns=["id", "url", "host", "skeleton", "at", "texts"])
-
-
-def _aligned(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one host's different skeletons: the commonest is the template; the slots of each."""
-    import ast
-
-    rows = rows.sort_values(["n", "skeleton"], ascending=[False, True], kind="stable")
-    template = ast.literal_eval(rows["skeleton"].iloc[0])
-    return pd.DataFrame({"host": rows["host"], "skeleton": rows["skeleton"], "slots": [slots_of(ast.literal_eval(s), template) for s in rows["skeleton"]]})
+        written, at, texts = [], [], []
+        for text in part["html"]:
+            page = parse(text or "")
+            shapes, shape, place = skeleton(page)
+            found = blocks(page, place)
+            written.append(shapes.written(shape))
+            at.append([a for a, _ in found])
+            texts.append([t for _, t in found])
+        yield part[["id", "url", "host"]].assign(skeleton=written, at=at, texts=texts)
+
+
+def _aligned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        yield part[["host", "shape"]].assign(slots=[slots_of(s, t) for s, t in zip(part["skeleton"], part["template"], strict=True)])
 
 
 def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """(id, url, text, n_chars): the article of every page.
 
-    Each page is parsed in its own task. The different skeletons of a host (its trees of
-    block elements, runs of siblings as one) are aligned with its commonest by simple
-    tree matching, which names the slot of every block. Blocks that nearly all different
+    Each page is parsed in its own task. Each different skeleton of a host (a tree of
+    block elements, runs of equal siblings as one) is aligned with the host's commonest by simple
+    tree matching, which names the slot of every block; skeletons of one host are rows like
+    others, so a host's work is spread. Blocks that nearly all different
     pages of a host (three at least; pages differ by any of their blocks) have in the same
     slot are its template and go; so do parts whose
     element, role or name says that they are menus, footers, adverts, forms, comments and
     the like. The rest are the article's blocks: of the article elements where there are
     any, else of main, else of the page.
 
-    Null and empty pages have the text "". Null urls are a host of their own. Repeated rows
+    Null and empty pages have the text "". Null urls are a host of their own. Pages may be
+    long and nested to any depth. Repeated rows
     and pages of equal blocks count as one page for the template and give equal results. An empty table gives no
     rows. Other columns are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     kind = dict(rows.dtypes)["id"]
-    parsed = stored(rows.mapInPandas(_parsed, f"id {kind}, url string, host string, skeleton string, at array<int>, texts array<string>").withColumn("page", F.xxhash64("texts")), "pages")
-    shapes = parsed.groupBy("host", "skeleton").agg(F.count("*").alias("n"))
-    slots = stored(shapes.groupBy("host").applyInPandas(_aligned, "host string, skeleton string, slots array<string>"), "slots")
-    placed = parsed.join(small(slots, 50_000), ["host", "skeleton"])
+    parsed = rows.mapInPandas(_parsed, f"id {kind}, url string, host string, skeleton string, at array<int>, texts array<string>")
+    parsed = stored(parsed.withColumns({"page": F.xxhash64("texts"), "shape": F.xxhash64("skeleton")}), "pages")
+    shapes = stored(parsed.groupBy("host", "shape").agg(F.min("skeleton").alias("skeleton"), F.count("*").alias("n")), "shapes")
+    template = stored(shapes.groupBy("host").agg(F.min_by("skeleton", F.struct(-F.col("n"), "shape")).alias("template")), "templates")
+    slots = shapes.join(small(template, 2_000), "host").select("host", "shape", "skeleton", "template").mapInPandas(_aligned, "host string, shape long, slots array<long>")
+    placed = parsed.drop("skeleton").join(small(stored(slots, "slots"), 20_000), ["host", "shape"])
     placed = placed.withColumn("places", F.expr("transform(at, i -> slots[i])")).withColumn("keys", F.expr("zip_with(places, texts, (p, t) -> xxhash64(p, t))"))
     seen = placed.select("host", "page", F.explode(F.array_distinct("keys")).alias("key")).distinct()
     different = parsed.where(F.size("texts") > 0).select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     constant = seen.groupBy("host", "key").agg(F.count("*").alias("n")).join(small(different, 100_000), "host").where(F.col("n") >= CONSTANT * F.col("pages"))
-    constant = stored(constant.groupBy("host").agg(F.collect_set("key").alias("template")), "template")
+    constant = stored(constant.groupBy("host").agg(F.collect_set("key").alias("template")), "template")  # no more than a page's blocks by a tenth
     placed = placed.join(small(constant, 50_000), "host", "left")
     kept = F.expr("filter(texts, (t, i) -> template is null or not array_contains(template, keys[i]))")
     text = F.array_join(kept, "\n")

@@ -232,8 +232,9 @@ def test_pages(spark):
 def test_pages_of_small_hosts_and_of_one_opening(spark):
     """Plain blocks that a host's pages share go, also where it has three pages or all begin with one line."""
     rows = [(i, f"http://{'few' if i < 3 else 'many'}.example/{i}", f"<html><body><div>Site name</div><div>Home | News</div><p>Body {i}</p><p>More of {i}</p></body></html>") for i in range(14)]
+    rows += [(99, "http://many.example/99", "<div>" * 5_000 + "deep")]
     got = by_id(wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html"))
-    assert all(got[i].text == f"Body {i}\nMore of {i}" for i in range(14))
+    assert all(got[i].text == f"Body {i}\nMore of {i}" for i in range(14)) and got[99].text == "deep"
 
 
 def test_pipeline(spark, tmp_path):

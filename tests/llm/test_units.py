@@ -265,16 +265,65 @@ def test_likelihoods_are_exact():
 def test_blocks_of_pages():
     page = ('<html><head><title>t</title><script>var a="</p>";</script></head><body><header>Site</header><nav><a href=x>menu</a></nav><main><div class="sidebar">x</div><article><header><h1>T &amp; U</h1></header>'
             '<p>a<b>b</b>  c<br>d<p>e <i>f</i><!-- no --><div class="comments"><p>bad</p></div><div class="ad">buy</div><ul><li>one<li>two</ul>tail</article></main><form>f</form><footer>z</footer></body></html>')
-    found, title = wrappers.blocks(wrappers.parse(page))
-    assert [t for _, t in found] == ["T & U", "ab c d", "e f", "one", "two", "tail"] and title == "T & U"
-    assert wrappers.blocks(wrappers.parse("")) == ([], "") and [t for _, t in wrappers.blocks(wrappers.parse("<p>x<div>y"))[0]] == ["x", "y"]
+    assert texts_of(page) == ["T & U", "ab c d", "e f", "one", "two", "tail"]
+    assert texts_of("") == [] and texts_of("<p>x<div>y") == ["x", "y"] and texts_of("a<nav>b</nav>c <button>d</button>e") == ["a", "c e"]
+
+
+def texts_of(html):
+    page = wrappers.parse(html)
+    return [t for _, t in wrappers.blocks(page, wrappers.skeleton(page)[2])]
+
+
+def test_deep_and_wide_pages():
+    """Ten thousand levels of blocks, inline elements and unknown ones, and pages of many blocks."""
+    for tag in ("div", "b", "x", "p", "ul><li"):
+        assert texts_of(f"<{tag}>" * 10_000 + "inmost")[-1] == "inmost"
+    page = wrappers.parse("<div>" * 10_000 + "x")
+    shapes, shape, place = wrappers.skeleton(page)
+    written = shapes.written(shape)
+    assert place[-1] == 10_000 and len(set(wrappers.slots_of(written, written))) == 10_001
+    assert wrappers.slots_of(written, "0 #root\n1 div")[:2] == wrappers.slots_of("0 #root\n1 div", written)
+    wide = wrappers.parse("".join(f"<p>{i}<h{i % 5 + 1}>{i}" for i in range(3_000)))
+    shapes, shape, place = wrappers.skeleton(wide)
+    assert len(wrappers.slots_of(shapes.written(shape), "0 #root" + "\n1 h2\n1 p" * 2_000)) == 6_001 and max(place) == 6_000
+
+
+def brute_match(a, b):
+    """Nested tuples (label, children): most pairs, by the recurrence."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(x, y):
+        return 0 if not x or not y else max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + brute_match(x[0], y[0]))
+
+    return 1 + best(a[1], b[1])
 
 
 def test_tree_matching():
-    a = ("div", (("p", ()), ("ul", (("li", ()),)), ("p", ())))
-    b = ("div", (("ul", (("li", ()),)), ("p", ()), ("hr", ())))
-    assert wrappers.match(a, b)[0] == 4 and wrappers.slots_of(a, b) == ["0", "0/p", "0.0", "0.0.0", "0.1"]
-    assert wrappers.match(("a", ()), ("b", ()))[0] == 0
+    rng = random.Random(11)
+
+    def tree(depth):
+        children = []
+        for c in (tree(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)):
+            children += [c] if not children or children[-1] != c else []
+        return rng.choice("ab"), tuple(children)
+
+    def lines(t, depth=0):
+        return [f"{depth} {t[0]}", *(x for c in t[1] for x in lines(c, depth + 1))]
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        shapes = wrappers.Shapes()
+        x, y = shapes.read("\n".join(lines(a))), shapes.read("\n".join(lines(b)))
+        align = wrappers.Alignment(shapes)
+        assert align.match(x, y) == brute_match(a, b) and shapes.written(x) == "\n".join(lines(a))
+        if a[0] == b[0]:
+            slots, of = (wrappers.slots_of("\n".join(lines(t)), "\n".join(lines(b))) for t in (a, b))
+            assert len(set(slots) & set(of)) == brute_match(a, b)
+    a = "0 div\n1 p\n1 ul\n2 li\n1 p"
+    b = "0 div\n1 ul\n2 li\n1 p\n1 hr"
+    to = wrappers.slots_of(b, b)
+    assert wrappers.slots_of(a, b)[0] == to[0] and wrappers.slots_of(a, b)[2:] == to[1:4] and wrappers.slots_of(a, b)[1] not in to
 
 
 def test_trigrams_are_of_letters():
