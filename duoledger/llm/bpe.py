@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, release
 from .dictionary import chunked, pack_numbers, unpack, unpack_numbers
 
 #: The vocabulary's own split, with the white space of Unicode spelled out.
@@ -108,6 +108,7 @@ def _encoded(fields):
     """Of one bucket of words, from all chunks: every distinct word is encoded once; its ids go back to each chunk."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        release()  # of what earlier groups held
         v, signs, done, out = Vocabulary(**fields.value), byte_signs(), {}, []
         for chunk, at, blob in zip(rows["chunk"], rows["at"], rows["words"], strict=True):
             flat, lengths = [], []
@@ -122,11 +123,12 @@ def _encoded(fields):
     return run
 
 
-def _joined(fields):
+def _joined(shown_as):
     """The ids of each document by the numbers of its words; the text that they decode to by the pieces of the ids."""
 
     def run(docs: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
-        pieces = fields.value["pieces"]
+        release()
+        pieces = shown_as.value
         at = [np.cumsum(unpack_numbers(x)) for x in tables["at"]]
         lengths = [unpack_numbers(x) for x in tables["lengths"]]
         flat = [unpack_numbers(x) for x in tables["flat"]]
@@ -174,6 +176,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = load(path)
     fields = spark.sparkContext.broadcast(vars(vocabulary))
+    pieces = spark.sparkContext.broadcast(vocabulary.pieces)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
@@ -182,7 +185,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     tables = chunks.where("bucket >= 0").select("bucket", "chunk", "at", "words").groupBy("bucket").applyInPandas(
         _encoded(fields), "chunk string, at binary, lengths binary, flat binary")
     own = chunks.where("bucket < 0").select("chunk", "ids", "counts", "words")
-    return own.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInPandas(_joined(fields), f"id {kind}, ids array<int>, decoded string")
+    return own.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInPandas(_joined(pieces), f"id {kind}, ids array<int>, decoded string")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import stored_by
+from .common import release, stored_by
 
 #: Characters of text in a chunk: the rows that share one dictionary of words.
-CHUNK = 8_000_000
+CHUNK = 6_000_000
 #: Words of documents that are compressed together.
 TOGETHER = 100_000
 COLUMNS = ["chunk", "bucket", "at", "words", "train", "ids", "counts", "weights"]
@@ -52,6 +52,7 @@ def _chunks(splitter: Callable[[], Callable[[str | None], list[str]]], buckets:
     and of dictionaries (chunk, bucket, numbers as steps, words, sums of weights)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         split, task = splitter(), TaskContext.get().partitionId()
         numbers: dict[str, int] = {}
         size, k, train = 0, 0, np.zeros(1 << 16, np.int64)

@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_words, components, read, small, stored
+from .common import byte_words, components, read, release, small, stored
 
 #: Counters of a sketch, each kept modulo 16; rows of a region that are compared outright; pivots of a larger one.
 COUNTERS, LEAF, PIVOTS = 64, 48, 8
 #: A region is dense, and not parted further, if one of its parts has more than this share of its rows.
 DENSE = 0.75
+#: Dense regions are compared with further pivots as long as that links this share of their rows.
+STARRED = 0.1
 #: Counters of the sketches by which pairs are checked before their whole sets.
 FINE = 1024
 #: Elements of a set for each further element that prefixes of similar sets have in common at least.
@@ -34,7 +36,7 @@ SHARED = 64
 #: An element is frequent, and so comes late in the order, from this number of prefixes on; most of them that are named.
 FREQUENT, MOST_FREQUENT = 64, 1 << 17
 #: Rows of a block of a dense region, which is dealt as pairs of blocks. Pairs of rows that are compared at once.
-BLOCK, PAIRS = 1024, 1 << 16
+BLOCK, PAIRS = 1024, 1 << 14
 #: Rows up to which a table of ids, or of regions with their pivots, is broadcast.
 BROADCAST, REGIONS = 1_000_000, 50_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -128,6 +130,7 @@ def _first_prefixes(k: int, num: int, den: int):
 
 def _records(k: int, num: int, den: int, frequent):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         shingler, late = Shingler(k), frequent.value
         for part in parts:
             rows = []
@@ -177,6 +180,7 @@ class Rows:
     def __init__(self, rows: pd.DataFrame, num: int, den: int):
         self.ids, self.n, self.groups, self.home = (rows[c].to_numpy() for c in ("id", "n", "grp", "home"))
         self.sketches, self.num, self.den = sketches_of(rows["sketch"]), num, den
+        self.fine = sketches_of(rows["fine"]) if "fine" in rows else None
         self.blocks = rows["block"].to_numpy() if "block" in rows else None
         self.found: list[pd.DataFrame] = []
 
@@ -192,6 +196,9 @@ class Rows:
             x, y = x[self.home[x]], y[self.home[x]]
             near = similar_by(self.sketches[x], self.sketches[y], self.n[x], self.n[y], self.num, self.den)
             x, y = x[near], y[near]
+            if self.fine is not None:
+                near = similar_by(self.fine[x], self.fine[y], self.n[x], self.n[y], self.num, self.den)
+                x, y = x[near], y[near]
             self.found.append(pd.DataFrame({"a": self.ids[x], "b": self.ids[y], "n": np.minimum(self.n[x], self.n[y])}))
 
     def across(self) -> None:
@@ -278,9 +285,9 @@ def _blocks(num: int, den: int):
 
 
 def _parted(num: int, den: int):
-    """Rows of large regions, each with its region's pivots (sketches, pid, pn, pg): once for each part that it belongs to or whose boundary is near, and as a pair (pivot, id) with each pivot that may be similar.
+    """Rows of large regions, each with its region's pivots (sketches, pid, pn, pg): once for each part that it belongs to or whose boundary is near, and as a pair (pivot, id) with one pivot that may be similar.
 
-    The window of a row is twice the greatest distance of sets similar to it.
+    Which pivot that is follows a hash of ids, so that it is mostly the same in all cells of a row. The window of a row is twice the greatest distance of sets similar to it.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,8 +306,9 @@ def _parted(num: int, den: int):
         pid, pn, pg = (np.stack(part[c].to_numpy()).astype(np.int64) for c in ("pid", "pn", "pg"))
         x, y = np.maximum(n[:, None], pn), np.minimum(n[:, None], pn)
         near = (d * (num + den) <= (x + y) * (den - num)) & (den * y >= num * x) & (part["grp"].to_numpy()[:, None] != pg)
-        row, j = np.nonzero(near)
-        pairs = pd.DataFrame({"id": part["id"].to_numpy()[row], "pivot": pid[row, j]}).drop_duplicates()
+        order = np.where(near, pid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1), np.uint64((1 << 64) - 1))
+        row = np.flatnonzero(near.any(1))
+        pairs = pd.DataFrame({"id": part["id"].to_numpy()[row], "pivot": pid[row, order[row].argmin(1)]}).drop_duplicates()
         yield pairs.assign(pivot=pairs["pivot"].astype("Int64"), element=0, parent=0, region=0, n=0, sketch=b"", home=False)[COLUMNS]
 
     return run
@@ -331,8 +339,8 @@ class Join:
     def ids_of(self, pairs: DataFrame) -> DataFrame:
         return small(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named"), BROADCAST)
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Adds the pairs (a, b) that are links: those that fine sketches let through, by their whole sets. Only rows that are in a pair move."""
+    def verify(self, pairs: DataFrame) -> int:
+        """Adds the pairs (a, b) that are links, and counts them: those that fine sketches let through, by their whole sets. Only rows that are in a pair move."""
         pairs = stored(pairs.select("a", "b").distinct(), "pairs")
         fine = self.fine.join(self.ids_of(pairs), "id", "left_semi")
         one, other = (fine.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}")) for c in ("a", "b"))
@@ -344,6 +352,7 @@ class Join:
         exact = stored(exact, "links")
         self.links = exact if self.links is None else self.links.unionByName(exact)
         self.groups = small(known_groups(self.links), BROADCAST)
+        return exact.count()
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows with grp, the group that they are known to be in."""
@@ -351,44 +360,63 @@ class Join:
             return rows.withColumn("grp", F.col("id"))
         return rows.join(self.groups, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
 
-    def part(self, regions: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    def pivoted(self, regions: DataFrame, turn: int) -> DataFrame:
+        """Regions that are not of one known group: rows, and PIVOTS of them by least hash, found by aggregation."""
+        pivots = [F.min_by(F.struct("id", "n", "grp", "sketch"), F.xxhash64("id", F.lit(turn * PIVOTS + j))).alias(f"p{j}") for j in range(PIVOTS)]
+        stats = self.placed(regions).groupBy("element", "region").agg(F.count("*").alias("rows"), F.min("grp").alias("low"), F.max("grp").alias("high"), F.max("home").alias("homes"), *pivots).where("low < high and homes")
+        of = lambda f: F.array(*[F.col(f"p{j}")[f] for j in range(PIVOTS)])
+        return stored(stats.select("element", "region", "rows", F.concat(*[F.col(f"p{j}")["sketch"] for j in range(PIVOTS)]).alias("pivots"), of("id").alias("pid"), of("n").alias("pn"), of("grp").alias("pg")), "regions")
+
+    def compared(self, regions: DataFrame, stats: DataFrame) -> DataFrame:
+        """Rows of the regions in the parts that their pivots make, and pairs with pivots."""
+        rows = self.placed(regions).join(small(stats, REGIONS), ["element", "region"])
+        return rows.select("element", "region", "id", "n", "sketch", "home", "grp", "pivots", "pid", "pn", "pg").mapInPandas(_parted(self.num, self.den), "element long, parent long, region long, id long, n int, sketch binary, home boolean, pivot long")
+
+    def part(self, regions: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
         """Parts regions (element, region, id, n, sketch, home) of more than LEAF rows until they are small or dense: small ones, and dense ones with their rows' count.
 
-        Pivots are the rows of least hash, found by aggregation; they are compared with all rows
-        of their region, so that groups of near copies are known early. Regions of one known
-        group have nothing to compare and go.
+        Pivots are compared with all rows of their region, so that groups of near copies are
+        known early. Regions of one known group have nothing to compare and go.
         """
-        leaves, dense = [], []
-        key = ["element", "region"]
+        leaves, dense, key = [], [], ["element", "region"]
         while True:
-            pivots = [F.min_by(F.struct("id", "n", "grp", "sketch"), F.xxhash64("id", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
-            stats = self.placed(regions).groupBy(*key).agg(F.count("*").alias("rows"), F.min("grp").alias("low"), F.max("grp").alias("high"), F.max("home").alias("homes"), *pivots).where("low < high and homes")
-            of = lambda f: F.array(*[F.col(f"p{j}")[f] for j in range(PIVOTS)])
-            stats = stats.select(*key, "rows", F.concat(*[F.col(f"p{j}")["sketch"] for j in range(PIVOTS)]).alias("pivots"), of("id").alias("pid"), of("n").alias("pn"), of("grp").alias("pg"))
-            stats = stored(stats, "regions")
+            stats = self.pivoted(regions, 0)
             leaves.append(regions.join(small(stats.where(F.col("rows") <= LEAF).select(*key), REGIONS), key, "left_semi"))
             stats = stats.where(F.col("rows") > LEAF)
             if not stats.limit(1).count():
-                return leaves, dense
-            large = self.placed(regions).join(small(stats, REGIONS), key)
-            parted = stored(large.select(*key, "id", "n", "sketch", "home", "grp", "pivots", "pid", "pn", "pg").mapInPandas(_parted(self.num, self.den), "element long, parent long, region long, id long, n int, sketch binary, home boolean, pivot long"), "parted")
+                return leaves, self.starred(stored(reduce(DataFrame.unionByName, dense), "dense")) if dense else None
+            parted = stored(self.compared(regions, stats), "parted")
             sizes = parted.where("pivot is null").groupBy("element", "parent", "region").count().groupBy("element", F.col("parent").alias("region")).agg(F.max("count").alias("most"))
-            full = stored(stats.select(*key, "rows").join(sizes, key).where(F.col("most") > DENSE * F.col("rows")).select(*key, "rows"), "dense")
-            full = small(full, REGIONS)
+            full = small(stored(stats.select(*key, "rows").join(sizes, key).where(F.col("most") > DENSE * F.col("rows")).select(*key, "rows"), "full"), REGIONS)
             dense.append(regions.join(full, key))
             pairs = parted.where("pivot is not null").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
             regions = parted.where("pivot is null").join(full.select("element", F.col("region").alias("parent")), ["element", "parent"], "left_anti").select(*key, "id", "n", "sketch", "home")
             self.verify(pairs)
 
+    def starred(self, dense: DataFrame) -> DataFrame:
+        """Compares dense regions with other pivots, turn by turn, as long as that links many of their rows: groups grow, and few rows are left whose pairs must be made."""
+        turn = 1
+        while True:
+            stats = self.pivoted(dense, turn)
+            pairs = self.compared(dense, stats).where("pivot is not null").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+            found = self.verify(pairs)
+            self.groups = small(stored(components(self.links).select(F.col("node").alias("id"), F.col("component").alias("grp")), "known"), BROADCAST)
+            if found < STARRED * dense.join(small(stats.select("element", "region"), REGIONS), ["element", "region"], "left_semi").select("id").distinct().count() or not found:
+                return dense
+            turn += 1
+
     def leaf_pairs(self, leaves: list[DataFrame]) -> DataFrame:
         rows = self.placed(reduce(DataFrame.unionByName, leaves)).repartition("element", "region").sortWithinPartitions("element", "region")
         return rows.mapInPandas(_leaves(self.num, self.den), "a long, b long, n int")
 
-    def dense_pairs(self, dense: list[DataFrame]) -> DataFrame:
-        rows = self.placed(reduce(DataFrame.unionByName, dense)).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    def dense_pairs(self, dense: DataFrame) -> DataFrame:
+        """Of dense regions, by fine sketches too: their rows are much alike."""
+        settled = self.placed(dense).groupBy("element", "region").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("element", "region")
+        rows = self.placed(dense.join(small(stored(settled, "open"), REGIONS), ["element", "region"], "left_semi")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         key = ["element", "region", "b0", "b1"]
-        rows = rows.select("element", "region", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "id", "n", "sketch", "home", "grp")
+        rows = rows.join(self.fine.select("id", "fine").dropDuplicates(["id"]), "id")
+        rows = rows.select("element", "region", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "id", "n", "sketch", "fine", "home", "grp")
         return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_blocks(self.num, self.den), "a long, b long, n int")
 
 
@@ -431,7 +459,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     join.verify(first.mapInPandas(_stars(num, den), "a long, b long"))
     leaves, dense = join.part(large)
     found = join.leaf_pairs([little, *leaves])
-    found = found.unionByName(join.dense_pairs(dense)) if dense else found
+    found = found if dense is None else found.unionByName(join.dense_pairs(dense))
     join.verify(stored(found.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("n").alias("n")), "met").where(enough(num, den)))
     groups = stored(components(join.links), "groups").select(F.col("node").alias("rep"), "component")
     frequent.unpersist()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small, stored
+from .common import read, release, small, stored
 
 #: Buckets of hashed letter trigrams; rows of each declared language that teach, at most about.
 BUCKETS = 1 << 14
@@ -77,6 +77,7 @@ def learn(rows: DataFrame, languages: list[str], beta: float = 0.5) -> TextModel
 def text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
     """rows with text replaced by n (trigrams), letters, chars and ll (log-likelihood of each language)."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         letters = _letters()
         for part in parts:
             n, found, chars, ll = [], [], [], []

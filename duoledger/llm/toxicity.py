@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import read, release, stored
 
 #: A token is what stands between white space, lower-cased; its words are its runs of letters.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -248,6 +248,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFram
     and repeated rows are scored alike; the row's other columns are ignored.
     """
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         scorer = Scorer(model)
         for part in parts:
             rows = [scorer.passages(t) for t in part["text"]]
