@@ -51,10 +51,12 @@ def bounded(spark: SparkSession) -> None:
 
 
 def release() -> None:
-    """Give memory that a Python task no longer uses back to the machine: workers live on for the tasks of later stages."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-        ctypes.CDLL(None).malloc_trim(0)
+    """Give memory that a Python task no longer uses back to the machine, now and whenever a large array goes: workers live on for the tasks of later stages."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has these
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD: arrays of 2 MB and more are the system's own pages
+        libc.malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from .common import release, stored_by
 
 #: Characters of text in a chunk: the rows that share one dictionary of words.
-CHUNK = 6_000_000
+CHUNK = 4_000_000
 #: Words of documents that are compressed together.
 TOGETHER = 100_000
 COLUMNS = ["chunk", "bucket", "at", "words", "train", "ids", "counts", "weights"]
