@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import period_of
+from ..functions.calendar import period_axis, period_of
 
 #: Where money sits. A card is a debt: no cash moves until its bill is paid.
 CASH_TYPES = ["bank", "cash", "investment"]
@@ -38,7 +38,7 @@ def sections(rows: DataFrame) -> DataFrame:
 
 
 def monthly(rows: DataFrame, accounts: DataFrame, start: str, end: str) -> DataFrame:
-    """(period, opening, inflow, outflow, operating, transfers, net, closing) of each month of the range that has entries.
+    """(period, opening, inflow, outflow, operating, transfers, net, closing) of each month of the range, also of those without entries.
 
     The first opening is that of the accounts and of all that moved before. Months are few,
     so the running sum stands on their aggregate.
@@ -49,6 +49,7 @@ def monthly(rows: DataFrame, accounts: DataFrame, start: str, end: str) -> DataF
     part = lambda name, c: F.coalesce(F.sum(F.when(F.col("section") == name, F.col(c))), F.lit(0))
     months = rows.where((F.col("period") >= a) & (F.col("period") <= b)).groupBy("period").agg(
         part("in", "cents").alias("inflow"), part("out", "cents").alias("outflow"), part("transfer", "signed_cents").alias("transfers"))
+    months = period_axis(rows.sparkSession, start, end).join(months, "period", "left").na.fill(0, ["inflow", "outflow", "transfers"])
     months = months.withColumn("operating", F.col("inflow") - F.col("outflow")).withColumn("net", F.col("operating") + F.col("transfers"))
     first = before.join(opened, F.lit(True)).select((F.col("moved") + F.col("opened")).alias("first"))
     upto = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +13,25 @@ from ..functions.text import digits, normalize
 CONFIDENCE = {"rule_tax_id": 1.0, "rule_text": 0.95, "history_tax_id": 0.9, "history_description": 0.85, "person": 0.7}
 
 
+#: Rules, and people, that a batch is compared with at most: people write them, so they are few.
+FEW = 10_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df to be broadcast, as every subject is compared with every row of it; an error where it isn't few rows."""
+    if df.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} rules or people")
+    return F.broadcast(df)
+
+
 def valid_rules(rules: DataFrame) -> DataFrame:
-    """Active rules; those whose pattern is no regular expression match nothing. Rules are few and written by people."""
+    """Active rules; those whose pattern is no regular expression of Spark's match nothing."""
+    compiled = rules.sparkSession._jvm.java.util.regex.Pattern
     broken = []
-    for r in rules.where("active and match_type = 'regex'").select("id", "pattern").collect():
+    for r in few(rules.where("active and match_type = 'regex'")).select("id", "pattern").collect():
         try:
-            re.compile(r["pattern"])
-        except re.error:
+            compiled.compile(r["pattern"])
+        except (Py4JError, PySparkException):
             broken.append(r["id"])
     return rules.where(F.col("active") & ~F.col("id").isin(broken)) if broken else rules.where("active")
 
@@ -27,22 +39,26 @@ def valid_rules(rules: DataFrame) -> DataFrame:
 def matches(subjects: DataFrame, rules: DataFrame) -> DataFrame:
     """(subject_id, rule_id, category_id, by_tax_id, priority): every rule that applies to every subject.
 
-    Rules of exact text join on it; the others are compared with each subject, which takes a
-    broadcast of the rules.
+    Account, amount bounds and counterparty are conditions of every rule that states them; a
+    counterparty without digits is nobody. A counterparty rule whose pattern is empty or * needs no
+    text; a rule of amount_range needs a bound. Rules of exact text join on it; the others
+    are compared with each subject, which takes a broadcast of the rules.
     """
     s = subjects.select(F.col("id").alias("subject_id"), "description", normalize(F.col("description")).alias("text"), F.abs("cents").alias("amount"),
                         F.col("account_id").alias("s_account"), digits(F.coalesce("counterparty_tax_id", F.lit(""))).alias("tax"))
     r = valid_rules(rules).select(F.col("id").alias("rule_id"), "priority", "match_type", "pattern", "amount_min", "amount_max", "account_id", "category_id",
-                                  digits(F.coalesce("counterparty_tax_id", F.lit(""))).alias("r_tax"), normalize(F.coalesce("pattern", F.lit(""))).alias("r_text"))
-    place = F.col("account_id").isNull() | (F.col("account_id") == F.col("s_account"))
-    tax = (F.col("r_tax") == "") | (F.col("r_tax") == F.col("tax"))
-    exact = s.join(F.broadcast(r.where("match_type = 'exact'")), F.col("text") == F.col("r_text")).where(place & tax)
-    any_text = (F.col("pattern") == "*") & (F.col("r_tax") != "")
-    text = (F.when(any_text, True).when(F.col("match_type") == "contains", (F.col("r_text") != "") & F.col("text").contains(F.col("r_text")))
-            .when(F.col("match_type") == "amount_range", (F.col("amount") >= F.coalesce("amount_min", F.lit(0))) & (F.col("amount") <= F.coalesce("amount_max", F.lit((1 << 63) - 1))))
+                                  F.col("counterparty_tax_id").isNotNull().alias("bound"), digits(F.coalesce("counterparty_tax_id", F.lit(""))).alias("r_tax"), normalize(F.coalesce("pattern", F.lit(""))).alias("r_text"))
+    r = r.withColumn("identity", F.col("bound") & F.trim(F.coalesce("pattern", F.lit(""))).isin("", "*"))
+    holds = ((F.col("account_id").isNull() | (F.col("account_id") == F.col("s_account")))
+             & (F.col("amount_min").isNull() | (F.col("amount") >= F.col("amount_min"))) & (F.col("amount_max").isNull() | (F.col("amount") <= F.col("amount_max")))
+             & (~F.col("bound") | ((F.col("r_tax") != "") & (F.col("r_tax") == F.col("tax")))))
+    equal = (F.col("match_type") == "exact") & ~F.col("identity")
+    exact = s.join(few(r.where(equal)), F.col("text") == F.col("r_text")).where(holds)
+    text = (F.when(F.col("identity"), True).when(F.col("match_type") == "contains", (F.col("r_text") != "") & F.col("text").contains(F.col("r_text")))
+            .when(F.col("match_type") == "amount_range", F.col("amount_min").isNotNull() | F.col("amount_max").isNotNull())
             .when(F.col("match_type") == "regex", F.expr("regexp_like(description, concat('(?i)', pattern))")))
-    other = s.join(F.broadcast(r.where("match_type <> 'exact'")), place & tax & text)
-    return exact.unionByName(other).select("subject_id", "rule_id", "category_id", (F.col("r_tax") != "").alias("by_tax_id"), "priority")
+    other = s.join(few(r.where(~equal)), holds & text)
+    return exact.unionByName(other).select("subject_id", "rule_id", "category_id", F.col("bound").alias("by_tax_id"), "priority")
 
 
 def first_rule(subjects: DataFrame, rules: DataFrame) -> DataFrame:
@@ -57,10 +73,11 @@ def latest(history: DataFrame, key: str) -> DataFrame:
 
 
 def by_person(subjects: DataFrame, people: DataFrame) -> DataFrame:
-    """(subject_id, person_id): people of whose name two words of three letters or more are in the description; most words first."""
-    words = people.select(F.col("id").alias("person_id"), F.explode(F.array_distinct(F.filter(F.split(normalize(F.col("name")), " "), lambda w: F.length(w) >= 3))).alias("word"))
-    s = subjects.select(F.col("id").alias("subject_id"), F.explode(F.array_distinct(F.split(normalize(F.col("description")), "[^A-Z0-9]+"))).alias("word"))
-    score = s.join(words, "word").groupBy("subject_id", "person_id").agg(F.count("*").alias("score")).where("score >= 2")
+    """(subject_id, person_id): people of whose name two parts of three letters or more stand in the description; most parts first, then the larger share of the name, then by id."""
+    parts = people.select(F.col("id").alias("person_id"), F.filter(F.split(normalize(F.col("name")), " "), lambda w: F.length(w) >= 3).alias("parts")).where(F.size("parts") >= 2)
+    s = subjects.select(F.col("id").alias("subject_id"), normalize(F.col("description")).alias("text"))
+    found = F.size(F.filter("parts", lambda w: F.col("text").contains(w)))
+    score = s.join(few(parts), found >= 2).select("subject_id", "person_id", (found + found / F.size("parts")).alias("score"))
     return score.groupBy("subject_id").agg(F.min_by("person_id", F.struct(-F.col("score"), "person_id")).alias("person_id"))
 
 

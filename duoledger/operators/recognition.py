@@ -70,12 +70,23 @@ def missing_reports(contracts: DataFrame, reports: DataFrame, through: str) -> D
     return axis(contracts, F.least(F.coalesce("end_date", last), last)).select("contract_id", "period").join(reports, ["contract_id", "period"], "left_anti")
 
 
+def contracted(contracts: DataFrame) -> DataFrame:
+    """contracts with contracted: the total, or else the months of a fee from start to end, prorated as the plan is; null where neither is known."""
+    open_ = contracts.where("total_cents is null and monthly_cents is not null and start_date is not null and end_date is not null")
+    rows = axis(open_, F.col("end_date"))
+    covered, days = covered_days(F.col("period"), F.col("start_date"), F.col("end_date")), days_in_month(F.col("period"))
+    fee = F.when(F.col("prorate") & (covered < days), mul_ratio(F.col("monthly_cents"), covered, days)).otherwise(F.col("monthly_cents"))
+    fees = rows.groupBy("contract_id").agg(F.sum(fee).alias("fees"))
+    return contracts.join(fees, "contract_id", "left").withColumn("contracted", F.coalesce("total_cents", "fees")).drop("fees")
+
+
 def deferred(contracts: DataFrame, recognised: DataFrame) -> DataFrame:
-    """(contract_id, contracted, recognised, to_recognise, to_invoice): what is contracted less what is recognised, split by sign."""
+    """(contract_id, contracted, recognised, to_recognise, to_invoice): what is contracted less what is recognised, split by sign; both null where the former is unknown."""
     done = recognised.groupBy("contract_id").agg(F.sum("cents").alias("recognised"))
-    rows = contracts.join(done, "contract_id", "left").withColumn("recognised", F.coalesce("recognised", F.lit(0)))
-    left = F.col("total_cents") - F.col("recognised")
-    return rows.select("contract_id", F.col("total_cents").alias("contracted"), "recognised", F.greatest(left, F.lit(0)).alias("to_recognise"), F.greatest(-left, F.lit(0)).alias("to_invoice"))
+    rows = contracted(contracts).join(done, "contract_id", "left").withColumn("recognised", F.coalesce("recognised", F.lit(0)))
+    left = F.col("contracted") - F.col("recognised")
+    positive = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(0)))
+    return rows.select("contract_id", "contracted", "recognised", positive(left).alias("to_recognise"), positive(-left).alias("to_invoice"))
 
 
 def reconcile(recognised: DataFrame, invoices: DataFrame, receipts: DataFrame) -> DataFrame:

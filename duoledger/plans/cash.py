@@ -51,9 +51,9 @@ def a5(spark, sf_dir):
 @query("w1_running_balance", CLASSIFIED + f""", first AS (
   SELECT (SELECT coalesce(sum(opening_cents), 0) FROM accounts WHERE type <> 'credit_card') + (SELECT coalesce(sum(signed_cents), 0) FROM own WHERE occurred_on < DATE '{START}') AS first),
 months AS (
-  SELECT period, coalesce(sum(cents) FILTER (section = 'in'), 0) AS inflow, coalesce(sum(cents) FILTER (section = 'out'), 0) AS outflow,
+  SELECT CAST(month AS DATE) AS period, coalesce(sum(cents) FILTER (section = 'in'), 0) AS inflow, coalesce(sum(cents) FILTER (section = 'out'), 0) AS outflow,
     coalesce(sum(signed_cents) FILTER (section = 'transfer'), 0) AS transfers
-  FROM own WHERE period BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY 1),
+  FROM generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 MONTH) g(month) LEFT JOIN own ON period = CAST(month AS DATE) GROUP BY 1),
 run AS (SELECT *, inflow - outflow AS operating, inflow - outflow + transfers AS net, first + sum(inflow - outflow + transfers) OVER (ORDER BY period) AS closing FROM months, first)
 SELECT period, (closing - net)::BIGINT AS opening, inflow::BIGINT AS inflow, outflow::BIGINT AS outflow, operating::BIGINT AS operating, transfers::BIGINT AS transfers, net::BIGINT AS net, closing::BIGINT AS closing FROM run""")
 def w1(spark, sf_dir):

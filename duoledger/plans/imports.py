@@ -71,13 +71,19 @@ SUBJECTS = """WITH subjects AS (SELECT event_id AS id, 'Pago ' || event_type ||
   CASE WHEN event_id % 4 = 0 THEN CAST(10000 + user_id % 7 AS VARCHAR) END AS tax FROM events),
 rules(rule_id, priority, match_type, pattern, tax, lo, hi, account_id, category_id) AS (VALUES
   ('r1', 10, 'contains', 'purchase', NULL, NULL, NULL, NULL, 5), ('r2', 5, 'amount_range', '', NULL, 5000, 8000, NULL, 6), ('r3', 20, 'contains', '*', '10003', NULL, NULL, NULL, 7),
-  ('r4', 5, 'regex', 'view\\s+1\\d$', NULL, NULL, NULL, NULL, 8), ('r5', 1, 'exact', 'PAGO ERROR 7', NULL, NULL, NULL, NULL, 3), ('r6', 1, 'contains', 'click', NULL, NULL, NULL, 12, 9)),
-m AS (SELECT s.id AS subject_id, r.rule_id, r.category_id, r.tax IS NOT NULL AS by_tax_id, priority FROM subjects s JOIN rules r ON (r.account_id IS NULL OR r.account_id = s.account_id) AND (r.tax IS NULL OR r.tax = s.tax)
-  AND CASE match_type WHEN 'contains' THEN r.pattern = '*' OR contains(upper(description), upper(r.pattern)) WHEN 'exact' THEN upper(description) = r.pattern WHEN 'regex' THEN regexp_matches(description, r.pattern, 'i') ELSE abs(cents) BETWEEN lo AND hi END),
+  ('r4', 5, 'regex', 'view\\s+1\\d$', NULL, NULL, NULL, NULL, 8), ('r5', 1, 'exact', 'PAGO ERROR 7', NULL, NULL, NULL, NULL, 3), ('r6', 1, 'contains', 'click', NULL, NULL, NULL, 12, 9),
+  ('r9', 4, 'contains', 'view', NULL, 1000, 2000, NULL, 10), ('r10', 0, 'amount_range', 'x', NULL, NULL, NULL, NULL, 1), ('r11', 30, 'exact', '*', '10.004', NULL, 9000, NULL, 2), ('r12', 0, 'contains', '', '--', NULL, NULL, NULL, 1), ('r13', 31, 'regex', ' ', '10005', NULL, NULL, NULL, 3), ('r14', 2, 'contains', 'click', '10006', NULL, NULL, NULL, 4)),
+m AS (SELECT s.id AS subject_id, r.rule_id, r.category_id, r.tax IS NOT NULL AS by_tax_id, priority FROM subjects s JOIN rules r ON (r.account_id IS NULL OR r.account_id = s.account_id)
+  AND (r.tax IS NULL OR (regexp_replace(r.tax, '\\D', '', 'g') <> '' AND regexp_replace(r.tax, '\\D', '', 'g') = s.tax)) AND (lo IS NULL OR abs(cents) >= lo) AND (hi IS NULL OR abs(cents) <= hi)
+  AND CASE WHEN r.tax IS NOT NULL AND trim(r.pattern) IN ('', '*') THEN true WHEN match_type = 'contains' THEN r.pattern <> '' AND contains(upper(description), upper(r.pattern)) WHEN match_type = 'exact' THEN upper(description) = r.pattern
+    WHEN match_type = 'regex' THEN regexp_matches(description, r.pattern, 'i') ELSE lo IS NOT NULL OR hi IS NOT NULL END),
 f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY by_tax_id DESC, priority, rule_id) = 1)"""
 RULES = [("r1", 10, "contains", "purchase", None, None, None, None, 5, True), ("r2", 5, "amount_range", "", None, 5000, 8000, None, 6, True), ("r3", 20, "contains", "*", "10003", None, None, None, 7, True),
          ("r4", 5, "regex", r"view\s+1\d$", None, None, None, None, 8, True), ("r5", 1, "exact", "PAGO ERROR 7", None, None, None, None, 3, True), ("r6", 1, "contains", "click", None, None, None, 12, 9, True),
-         ("r7", 0, "regex", "([", None, None, None, None, 1, True), ("r8", 0, "contains", "Pago", None, None, None, None, 1, False)]
+         ("r7", 0, "regex", "([", None, None, None, None, 1, True), ("r8", 0, "contains", "Pago", None, None, None, None, 1, False),
+         ("r9", 4, "contains", "view", None, 1000, 2000, None, 10, True), ("r10", 0, "amount_range", "x", None, None, None, None, 1, True), ("r11", 30, "exact", "*", "10.004", None, 9000, None, 2, True),
+         ("r12", 0, "contains", "", "--", None, None, None, 1, True), ("r13", 31, "regex", " ", "10005", None, None, None, 3, True), ("r14", 2, "contains", "click", "10006", None, None, None, 4, True),
+         ("r15", 0, "regex", "(?P<x>a)", None, None, None, None, 1, True)]
 
 
 def subjects(spark, sf_dir):
@@ -117,8 +123,10 @@ def a12(spark, sf_dir):
     return categorize.latest(history(spark, sf_dir).withColumn("text", normalize(F.col("description"))), "text")
 
 
-SUGGESTED = SUBJECTS + HISTORY + """, people(person_id, a, b) AS (VALUES ('p1', 'SIGNUP', '11'), ('p2', 'PAGO', 'SIGNUP')),
-p AS (SELECT id AS subject_id, min(person_id) AS person_id FROM subjects, people WHERE list_contains(string_split(upper(description), ' '), a) AND list_contains(string_split(upper(description), ' '), b) AND length(a) >= 3 AND length(b) >= 3 GROUP BY 1),
+SUGGESTED = SUBJECTS + HISTORY + """, people(person_id, parts) AS (VALUES ('p1', ['SIGN', '11']), ('p2', ['PAGO', 'SIGNUP']), ('p3', ['AGO', 'IGNU', 'NOBODY']), ('p4', ['PAG', 'GNUP', 'SIG'])),
+named AS (SELECT person_id, [x FOR x IN parts IF length(x) >= 3] AS parts FROM people),
+scored AS (SELECT id AS subject_id, person_id, len([x FOR x IN parts IF contains(upper(description), x)]) AS n, len(parts) AS of FROM subjects, named WHERE len(parts) >= 2),
+p AS (SELECT subject_id, person_id FROM scored WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY n + n / of DESC, person_id) = 1),
 j AS (SELECT s.id AS subject_id, f.rule_id, f.by_tax_id, f.category_id AS rc, t.category_id AS tc, x.category_id AS xc, p.person_id AS pp FROM subjects s LEFT JOIN f ON f.subject_id = s.id LEFT JOIN by_tax t ON t.tax = s.tax LEFT JOIN by_text x ON x.text = upper(s.description) LEFT JOIN p ON p.subject_id = s.id),
 k AS (SELECT *, CASE WHEN rule_id IS NOT NULL THEN CASE WHEN by_tax_id THEN 'rule_tax_id' ELSE 'rule_text' END WHEN tc IS NOT NULL THEN 'history_tax_id' WHEN xc IS NOT NULL THEN 'history_description' WHEN pp IS NOT NULL THEN 'person' ELSE 'none' END AS source FROM j)
 SELECT subject_id, (CASE WHEN source LIKE 'rule%' THEN rc WHEN source = 'history_tax_id' THEN tc WHEN source = 'history_description' THEN xc WHEN source = 'person' THEN 4 END)::BIGINT AS category_id, CASE WHEN source = 'person' THEN pp END AS person_id, source,
@@ -127,7 +135,7 @@ SELECT subject_id, (CASE WHEN source LIKE 'rule%' THEN rc WHEN source = 'history
 
 @query("c15_suggest", SUGGESTED)
 def c15(spark, sf_dir):
-    people = spark.createDataFrame([("p1", "Signup 11"), ("p2", "Pago Signup")], "id string, name string")
+    people = spark.createDataFrame([("p1", "Sign 11"), ("p2", "Pago Signup"), ("p3", "ago ignu Nobody"), ("p4", "Pag gnup Sig")], "id string, name string")
     return categorize.suggest(subjects(spark, sf_dir), rules(spark), history(spark, sf_dir), people, 4)
 
 
