@@ -37,6 +37,28 @@ def sections(rows: DataFrame) -> DataFrame:
     return rows.groupBy("section", "code", "period").agg(F.sum(c).alias("cents"))
 
 
+def matrix(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """(section, line, period, cents) of each month of the range: a line for each code that the section has in it, 'none' without category, and 'total'.
+
+    Months in which a line has nothing stand with zero. Only the aggregate by line and
+    month, bounded by chart and range, meets the axis.
+    """
+    a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+    own = sections(rows.where((F.col("period") >= a) & (F.col("period") <= b)))
+    both = F.explode(F.array(F.coalesce("code", F.lit("none")), F.lit("total"))).alias("line")
+    own = own.select("section", both, "period", "cents").groupBy("section", "line", "period").agg(F.sum("cents").alias("cents"))
+    axis = F.explode(F.sequence(a, b, F.expr("interval 1 month"))).alias("period")
+    return own.select("section", "line").distinct().select("section", "line", axis).join(own, ["section", "line", "period"], "left").na.fill(0, ["cents"])
+
+
+def drilled(rows: DataFrame, chart: DataFrame, code: str | None, period: str) -> DataFrame:
+    """The rows behind a cell of the matrix: those of all categories of a code, or without category where code is None."""
+    own = rows.where(F.col("period") == F.lit(period).cast("date"))
+    if code is None:
+        return own.where("category_id is null")
+    return own.join(F.broadcast(chart.where(F.col("code") == code).select("category_id")), "category_id", "left_semi")
+
+
 def monthly(rows: DataFrame, accounts: DataFrame, start: str, end: str) -> DataFrame:
     """(period, opening, inflow, outflow, operating, transfers, net, closing) of each month of the range, also of those without entries.
 

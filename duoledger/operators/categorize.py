@@ -98,3 +98,24 @@ def suggest(subjects: DataFrame, rules: DataFrame, history: DataFrame, people: D
     for name, value in CONFIDENCE.items():
         trust = F.when(F.col("source") == name, value).otherwise(trust)
     return rows.select("subject_id", category.cast("long").alias("category_id"), F.when(F.col("source") == "person", F.col("person_id")).alias("person_id"), "source", trust.alias("confidence"), "rule_id")
+
+
+#: Fixed value: from this confidence on a suggestion is taken without being asked for.
+SURE = 0.8
+
+
+def sure(entries: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """(id, category_id, source, confidence): what entries (id, category_id) without a category take from suggestions; those that have one stay as they are."""
+    s = suggestions.where(F.col("category_id").isNotNull() & (F.col("confidence") >= SURE)).select(F.col("subject_id").alias("id"), "category_id", "source", "confidence")
+    return entries.where("category_id is null").select("id").join(s, "id")
+
+
+def import_decisions(staged: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """(import_id, pending, undecided, chosen) from staged rows (id, import_id, status): pending rows, those without a suggested category, and those that start out chosen.
+
+    A row starts out chosen if its category is known and did not come from a model, or
+    comes from one that is sure.
+    """
+    rows = staged.where("status = 'pending'").join(suggestions.select(F.col("subject_id").alias("id"), "category_id", "source", "confidence"), "id", "left")
+    known = F.col("category_id").isNotNull()
+    return rows.groupBy("import_id").agg(F.count("*").alias("pending"), F.count(F.when(~known, 1)).alias("undecided"), F.count(F.when(known & ((F.col("source") != "ai") | (F.col("confidence") >= SURE)), 1)).alias("chosen"))

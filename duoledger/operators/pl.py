@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Blocks of the statement. Transfers are in none.
@@ -21,13 +21,23 @@ SUBTOTALS = {
 LINES = [REVENUE, DEDUCTIONS, "net-revenue", DIRECT, "gross-margin", *OPERATING, "operating", "ebitda", OWNERS, "no-group", "result"]
 
 
+def _block() -> Column:
+    return F.when(F.col("dre_group").isin(GROUPS), F.col("dre_group")).otherwise("no-group")
+
+
+def category_lines(rows: DataFrame, column: str) -> DataFrame:
+    """(line, code, column, cents) from (dre_group, code, column, cents): what each category adds to its block. A null code is a category that the chart doesn't name; lines of zero stay."""
+    own = rows.where(F.coalesce(F.col("dre_group"), F.lit("")) != IGNORED)
+    return own.groupBy(_block().alias("line"), "code", column).agg(F.sum("cents").alias("cents"))
+
+
 def lines(rows: DataFrame, column: str) -> DataFrame:
     """(line, ord, column, cents) from (dre_group, column, cents): blocks, the unknown groups' line, subtotals.
 
     One aggregation by group; subtotals are sums of its few rows. The line of unknown groups
     is in no subtotal and stands only where it isn't zero.
     """
-    group = F.when(F.col("dre_group").isin(GROUPS), F.col("dre_group")).otherwise("no-group")
+    group = _block()
     own = rows.where(F.coalesce(F.col("dre_group"), F.lit("")) != IGNORED).groupBy(group.alias("line"), F.col(column)).agg(F.sum("cents").alias("cents"))
     terms = [F.struct(F.col("line").alias("line"), F.col("cents").alias("cents"))]
     for name, (plus, minus) in SUBTOTALS.items():
@@ -40,14 +50,19 @@ def lines(rows: DataFrame, column: str) -> DataFrame:
     return out.select("line", place.alias("ord"), column, "cents")
 
 
-def consolidated(rows: DataFrame) -> DataFrame:
-    """lines by column: each entity, eliminations, total. Intercompany rows also count negated in the last two."""
+def fanned(rows: DataFrame) -> DataFrame:
+    """(dre_group, code, col, cents) by column: each entity, eliminations, total. Intercompany rows also count negated in the last two."""
     c, mutual = F.col("cents"), F.col("is_intercompany")
     column = lambda name, value: F.struct(name.alias("col"), value.alias("cents"))
     own = F.array(column(F.concat(F.lit("entity-"), F.col("entity_id").cast("string")), c), column(F.lit("total"), c))
     both = F.array(column(F.lit("eliminations"), -c), column(F.lit("total"), -c))
-    fan = rows.select("dre_group", F.explode(F.when(mutual, F.concat(own, both)).otherwise(own)).alias("r")).select("dre_group", "r.col", "r.cents")
-    return lines(fan, "col")
+    code = F.col("code") if "code" in rows.columns else F.lit(None).cast("string").alias("code")
+    return rows.select("dre_group", code, F.explode(F.when(mutual, F.concat(own, both)).otherwise(own)).alias("r")).select("dre_group", "code", "r.col", "r.cents")
+
+
+def consolidated(rows: DataFrame) -> DataFrame:
+    """lines by column of fanned rows."""
+    return lines(fanned(rows), "col")
 
 
 def compare(cash: DataFrame, recognition: DataFrame) -> DataFrame:

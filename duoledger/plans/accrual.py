@@ -59,6 +59,37 @@ def c4(spark, sf_dir):
     return pl.consolidated(recognition(spark, sf_dir))
 
 
+def _categories(column: str) -> str:
+    return f"""SELECT CASE WHEN dre_group IN ({', '.join(map(repr, pl.GROUPS))}) THEN dre_group ELSE 'no-group' END AS line, code, {column}, sum(cents)::BIGINT AS cents
+FROM src WHERE coalesce(dre_group, '') <> 'transferencias' GROUP BY ALL"""
+
+
+@query("a2_category_lines", MIRROR + ", src AS (SELECT * FROM recognition) " + _categories("period"))
+def a2(spark, sf_dir):
+    return pl.category_lines(recognition(spark, sf_dir), "period")
+
+
+@query("c4_category_lines", MIRROR + FAN.replace("SELECT dre_group,", "SELECT dre_group, code,") + _categories("col"))
+def c4_categories(spark, sf_dir):
+    return pl.category_lines(pl.fanned(recognition(spark, sf_dir)), "col")
+
+
+@query("p19_cell_entries", MIRROR + """ SELECT entity_id, category_id, period, cents, entry_kind FROM recognition
+WHERE period BETWEEN DATE '1997-03-01' AND DATE '1997-05-01' AND category_id IN (SELECT category_id FROM chart WHERE code IN ('7.01', '3.02'))""")
+def p19(spark, sf_dir):
+    """What stands behind a cell of the statement: all categories of a line's codes, a month or a range."""
+    ids = proxy.chart(spark).where(F.col("code").isin("7.01", "3.02")).select("category_id")
+    r = recognition(spark, sf_dir).where(F.col("period").between("1997-03-01", "1997-05-01"))
+    return r.join(F.broadcast(ids), "category_id", "left_semi").select("entity_id", "category_id", "period", "cents", "entry_kind")
+
+
+@query("a22_accrual_totals", MIRROR + """ SELECT entity_id, coalesce(sum(cents) FILTER (entry_kind = 'revenue'), 0)::BIGINT AS revenue, coalesce(sum(cents) FILTER (entry_kind = 'cost'), 0)::BIGINT AS cost
+FROM recognition GROUP BY 1""")
+def a22(spark, sf_dir):
+    part = lambda kind: F.coalesce(F.sum(F.when(F.col("entry_kind") == kind, F.col("cents"))), F.lit(0))
+    return recognition(spark, sf_dir).groupBy("entity_id").agg(part("revenue").alias("revenue"), part("cost").alias("cost"))
+
+
 @query("x3_elimination", MIRROR + FAN + "SELECT col, count(*)::BIGINT AS n, sum(cents)::BIGINT AS cents FROM src WHERE dre_group = 'receita_bruta' GROUP BY 1")
 def x3(spark, sf_dir):
     r = recognition(spark, sf_dir).where("dre_group = 'receita_bruta'")

@@ -48,6 +48,27 @@ def a5(spark, sf_dir):
     return cashflow.sections(rows(spark, sf_dir))
 
 
+@query("c1_cash_matrix", CLASSIFIED + f""", cells AS (
+  SELECT section, unnest([coalesce(code, 'none'), 'total']) AS line, period, CASE WHEN section = 'transfer' THEN signed_cents ELSE cents END AS cents FROM own WHERE period BETWEEN DATE '{START}' AND DATE '{END}'),
+shells AS (SELECT section, line, CAST(month AS DATE) AS period FROM (SELECT DISTINCT section, line FROM cells), generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 MONTH) g(month))
+SELECT s.section, s.line, s.period, coalesce(sum(cents), 0)::BIGINT AS cents FROM shells s LEFT JOIN cells c ON s.section = c.section AND s.line = c.line AND s.period = c.period GROUP BY ALL""")
+def c1(spark, sf_dir):
+    return cashflow.matrix(rows(spark, sf_dir), START, END)
+
+
+DRILLED = "SELECT account_id, occurred_on, direction, cents FROM own WHERE period = DATE '1997-04-01' AND "
+
+
+@query("p14_cell_entries", CLASSIFIED + DRILLED + "category_id IN (SELECT category_id FROM chart WHERE code = '7.01')")
+def p14(spark, sf_dir):
+    return cashflow.drilled(rows(spark, sf_dir), proxy.chart(spark), "7.01", "1997-04-01").select("account_id", "occurred_on", "direction", "cents")
+
+
+@query("p14_cell_uncategorised", CLASSIFIED + DRILLED + "category_id IS NULL")
+def p14_none(spark, sf_dir):
+    return cashflow.drilled(rows(spark, sf_dir), proxy.chart(spark), None, "1997-04-01").select("account_id", "occurred_on", "direction", "cents")
+
+
 @query("w1_running_balance", CLASSIFIED + f""", first AS (
   SELECT (SELECT coalesce(sum(opening_cents), 0) FROM accounts WHERE type <> 'credit_card') + (SELECT coalesce(sum(signed_cents), 0) FROM own WHERE occurred_on < DATE '{START}') AS first),
 months AS (

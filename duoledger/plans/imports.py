@@ -139,6 +139,21 @@ def c15(spark, sf_dir):
     return categorize.suggest(subjects(spark, sf_dir), rules(spark), history(spark, sf_dir), people, 4)
 
 
+@query("c16_sure_categories", f"SELECT subject_id AS id, category_id, source, confidence FROM ({SUGGESTED}) WHERE subject_id % 2 = 1 AND category_id IS NOT NULL AND confidence >= 0.8")
+def c16(spark, sf_dir):
+    """Each second subject has a category already."""
+    own = subjects(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, F.lit(8)).alias("category_id"))
+    return categorize.sure(own, c15(spark, sf_dir))
+
+
+@query("c33_import_decisions", f"""SELECT subject_id % 5 AS import_id, count(*)::BIGINT AS pending, (count(*) - count(category_id))::BIGINT AS undecided, count(category_id)::BIGINT AS chosen
+FROM ({SUGGESTED}) WHERE subject_id % 3 <> 0 GROUP BY 1""")
+def c33(spark, sf_dir):
+    """Subjects as rows of five imports, each third one settled already."""
+    staged = subjects(spark, sf_dir).select("id", (F.col("id") % 5).alias("import_id"), F.when(F.col("id") % 3 != 0, "pending").otherwise("approved").alias("status"))
+    return categorize.import_decisions(staged, c15(spark, sf_dir))
+
+
 @query("a20_suggestions_by_source", f"SELECT source, count(*)::BIGINT AS n FROM ({SUGGESTED}) GROUP BY 1")
 def a20(spark, sf_dir):
     return c15(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
@@ -167,7 +182,23 @@ def c17(spark, sf_dir):
 
 @query("a16_lower_median", CHARGES + " SELECT supplier, quantile_disc(cents, 0.5)::BIGINT AS typical FROM charges GROUP BY 1")
 def a16(spark, sf_dir):
-    return charges(spark, sf_dir).groupBy("supplier").agg(recurrence.lower_median("cents").alias("typical"))
+    return recurrence.lower_median(charges(spark, sf_dir), "supplier", "cents").select("supplier", "typical")
+
+
+@query("a17_subscription_total", f"SELECT count(*)::BIGINT AS subscriptions, coalesce(sum(monthly_cost), 0)::BIGINT AS monthly_total, (12 * coalesce(sum(monthly_cost), 0))::BIGINT AS yearly_total FROM ({RECURRING}) WHERE active")
+def a17(spark, sf_dir):
+    return recurrence.total(recurrence.detect(charges(spark, sf_dir), "supplier", "2001-09-01"))
+
+
+@query("a25_parse_bounds", LINES + " SELECT account_id, min(occurred_on) AS first_on, max(occurred_on) AS last_on, count(*)::BIGINT AS n, sum(CASE WHEN direction = 'in' THEN cents ELSE -cents END)::BIGINT AS net FROM lines GROUP BY 1")
+def a25(spark, sf_dir):
+    """What a file spans, and its signed sum."""
+    return lines(spark, sf_dir).groupBy("account_id").agg(F.min("occurred_on").alias("first_on"), F.max("occurred_on").alias("last_on"), F.count("*").alias("n"), F.sum(F.when(F.col("direction") == "in", F.col("cents")).otherwise(-F.col("cents"))).alias("net"))
+
+
+@query("a27_actors", "SELECT DISTINCT user_id AS actor FROM events WHERE user_id IS NOT NULL")
+def a27(spark, sf_dir):
+    return proxy.table(spark, sf_dir, "events").where("user_id is not null").select(F.col("user_id").alias("actor")).distinct()
 
 
 CHANGES = """WITH b AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 11 <> 0),

@@ -134,3 +134,49 @@ def test_subscriptions(spark):
 def test_violations(spark):
     rows = spark.createDataFrame([(-1, "in", D(2026, 1, 2)), (1, "up", None), (1, "in", None)], "cents long, direction string, competence_period date")
     assert sorted(r.violation for r in audit.violations(rows, audit.entry_checks()).collect()) == ["amount-sign", "competence-month", "direction"]
+
+
+def test_lower_median_of_repeated_values(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(k, draw.choice([None, *range(7)])) for k in "abc" for _ in range(draw.randint(1, 60))] + [("hot", draw.randint(0, 9)) for _ in range(2000)] + [("none", None)]
+    got = {r.k: (r.n, r.typical) for r in recurrence.lower_median(spark.createDataFrame(rows, "k string, v long"), "k", "v").collect()}
+    known = {k: sorted(v for o, v in rows if o == k and v is not None) for k in {k for k, _ in rows}}
+    assert got == {k: (len(v), v[(len(v) - 1) // 2]) for k, v in known.items() if v}
+
+
+def test_charges_of_one_day_are_gaps_of_none(spark):
+    """As listing all charges in order does."""
+    import random
+    import statistics
+
+    draw = random.Random(11)
+    rows = []
+    for k in range(40):
+        day = D(2025, 1, 3)
+        for _ in range(draw.randint(1, 14)):
+            rows += [(k, day, 1000)] * draw.choice([1, 1, 1, 1, 2, 3])
+            day += datetime.timedelta(days=draw.choice([30, 31, 29, 30, 12]))
+    rows += [(0, None, 1000), (1, D(2025, 1, 3), None)]
+    want = {}
+    for k in range(40):
+        days = sorted(d for o, d, c in rows if o == k and d and c)
+        gaps = [(b - a).days for a, b in zip(days, days[1:])]
+        if len(days) >= 3:
+            middle = int(statistics.median(gaps) + 0.5)
+            if abs(middle - 30) <= 8 and 2 * sum(abs(g - middle) <= 5 for g in gaps) >= len(gaps):
+                want[k] = (len(days), middle, days[0], days[-1])
+    found = recurrence.detect(spark.createDataFrame(rows, "supplier long, occurred_on date, cents long"), "supplier", "2026-01-01")
+    assert {r.supplier: (r.charges, r.gap_days, r.first_on, r.last_on) for r in found.collect()} == want and want
+
+
+def test_matrix_has_every_month_and_its_lines_sum(spark, chart):
+    a = spark.createDataFrame([(1, "bank", 0)], ACCOUNT)
+    e = spark.createDataFrame([(1, D(2026, 1, 5), 100, "in", 1, 0, None), (1, D(2026, 3, 5), 30, "in", None, 0, None), (1, D(2026, 3, 6), 7, "out", 4, 0, None), (1, D(2026, 9, 6), 9, "out", 3, 0, None)], ENTRY)
+    rows = cashflow.classified(e, a, chart)
+    got = {(r.section, r.line, r.period.month): r.cents for r in cashflow.matrix(rows, "2026-01-01", "2026-03-01").collect()}
+    want = {("in", "3.01"): [100, 0, 0], ("in", "none"): [0, 0, 30], ("in", "total"): [100, 0, 30], ("transfer", "99.02"): [0, 0, -7], ("transfer", "total"): [0, 0, -7]}
+    assert got == {(*k, m + 1): v for k, vs in want.items() for m, v in enumerate(vs)}
+    assert [r.cents for r in cashflow.drilled(rows, chart, None, "2026-03-01").collect()] == [30]
+    assert [r.cents for r in cashflow.drilled(rows, chart, "99.02", "2026-03-01").collect()] == [7]
