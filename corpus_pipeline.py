@@ -55,9 +55,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; rows that are equal, as often as the least of them."""
-    taken = mixing.mix(docs.withColumn("row", _row()), "row", "text", "source").where("copies > 0").groupBy(F.col("id").alias("row")).agg(F.min("copies").alias("copies"))
-    rows = docs.withColumn("row", _row()).join(small(stored(taken, "taken"), BROADCAST), "row")
+    """Documents as often as the mix takes them; a row that repeats, as often as all its repeats together."""
+    mixed = mixing.mix(docs.withColumn("row", _row()), "row", "text", "source").groupBy(F.col("id").alias("row"))
+    taken = stored(mixed.agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "taken")
+    rows = docs.withColumn("row", _row()).join(small(taken, BROADCAST), "row")
+    if taken.where("rows > 1").limit(1).count():
+        rows = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["row"]))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

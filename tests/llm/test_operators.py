@@ -257,6 +257,68 @@ def test_pipeline(spark, tmp_path):
     assert out and set(out) <= {None, *range(60)} and all(n > 0 for n in out.values())
 
 
+def shares(sizes, factor=1.5):
+    """Targets of sources (by weight 3, 1, 2, at most twice the size each), by handing the excess on."""
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    left, open_, target = factor * sum(sizes.values()), set(sizes), {}
+    while True:
+        all_ = sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / all_ > 2 * sizes[s]}
+        if not full:
+            return target | {s: left * weight[s] / all_ for s in open_}
+        target |= {s: 2 * sizes[s] for s in full}
+        left, open_ = left - sum(2 * sizes[s] for s in full), open_ - full
+
+
+def test_pipeline_stage_by_stage_against_brute_force(spark, tmp_path):
+    import collections
+
+    import corpus_pipeline
+    import public_tokenizers
+    import tokenizers
+
+    rng, bad = np.random.default_rng(8), "vile scum filth idiot trash hateful worthless pathetic".split()
+    drawn = lambda n: [f"w{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}" for x in rng.integers(0, 600, n)]
+    rows = [(i, " ".join(["the and of to in", *drawn(20), *(rng.choice(bad, 15) if i % 4 == 0 else []), *drawn(20)]), "en", f"s{i % 3}" if i % 7 else None) for i in range(240)]
+    rows += [(300 + j, rows[j][1] + " more", "en", "s1") for j in range(1, 140, 7)] + [(900, "123 456 !!", "en", "s2")]
+    rows += [(None, "the and of to in " + " ".join(drawn(30)), "en", "s0")] * 3
+    spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    toxic = lambda i: i is not None and (i if i < 240 else i - 300) % 4 == 0
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    before = [tuple(r) for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        after = [tuple(r) for r in docs.collect()]
+        if name == "language_id":
+            assert sorted(after, key=str) == sorted((r for r in before if r[0] != 900), key=str)
+        elif name == "toxicity":
+            assert sorted(after, key=str) == sorted((r for r in before if not toxic(r[0])), key=str)
+        elif name == "ngram_jaccard":
+            sets = {r[0]: {tuple(w[i : i + 5]) for w in [r[1].split()] for i in range(len(w) - 4)} for r in before if r[0] is not None}
+            gone = {b for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+            assert gone and sorted(after, key=str) == sorted((r for r in before if r[0] not in gone), key=str)
+        elif name == "mixing":
+            sizes = collections.Counter()
+            taken = collections.Counter()
+            for out, of in ((before, sizes), (after, taken)):
+                for r in out:
+                    of[r[3]] += len(r[1].split())
+            assert all(abs(taken[s] - t) <= 100 for s, t in shares(sizes).items())
+            had, has = collections.Counter(before), collections.Counter(after)
+            assert all(has[r] <= 2 * had[r] for r in has)
+            seen = collections.Counter((r[0], r[1]) for r in after)
+        else:
+            tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+            want = collections.Counter()
+            for (i, text), n in seen.items():
+                want[i, tuple(tok.encode(text, add_special_tokens=False).ids)] += n
+            assert collections.Counter((r[0], tuple(r[2])) for r in after) == want and all(r[1] == len(r[2]) for r in after)
+        before = after
+
+
 def test_rare_languages_are_known_and_wrong_codes_are_not(spark):
     said = {"en": "the cat and the dog of this house with that thing", "pl": "kot oraz pies w domu gdzie jest bardzo dużo rzeczy które wszyscy znamy", "zz": "the cat and the dog of this house with that thing"}
     rows = [(f"{x}{i}", " ".join(np.random.default_rng(i).permutation(t.split())), x, "h", None) for x, t in said.items() for i in range(1200 if x == "en" else 16)]
