@@ -78,3 +78,8 @@ def today(as_of: str | None = None) -> Column:
 
 def period_axis(spark, start: str, end: str) -> DataFrame:
     return spark.range(1).select(F.explode(each_period(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("period"))
+
+
+def period_param(text: Column, default: Column) -> Column:
+    """The month of YYYY-MM, or the default where the text is none."""
+    return F.coalesce(F.when(text.rlike(r"^\d{4}-\d{2}$"), F.try_to_date(F.concat(text, F.lit("-01")), "yyyy-MM-dd")), default)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json import changed_fields
+from ..functions.money import format_money, parse_money
+
+#: Fields that hold money.
+MONEY = ["amount", "opening_balance", "total_value", "monthly_value", "gross_amount", "net_amount", "amount_min", "amount_max"]
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
@@ -21,6 +25,28 @@ def field_changes(diff: DataFrame, key: list[str]) -> DataFrame:
     return diff.select(*key, F.inline(changed_fields(F.col("before_json"), F.col("after_json"))))
 
 
+def described(field: Column, value: Column) -> Column:
+    """A field's stored value (text) as a reader sees it: money as money, yes and no, ids by their first eight signs, a dash for nothing."""
+    money = format_money(parse_money(value, "."))
+    return (F.when(value.isNull() | (value == ""), "—").when(field.isin(MONEY), F.coalesce(money, value)).when(value == "true", "sim").when(value == "false", "não")
+            .when(value.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-"), F.concat(value.substr(1, 8), F.lit("…"))).otherwise(value))
+
+
+def log(events: DataFrame, entity_ids: list[int], table_name: str | None = None, actor: int | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Audit rows of entities, cut to a table, an actor and days; the last day counts to its last whole second."""
+    rows = events.where(F.col("entity_id").isin(entity_ids))
+    for column, value in (("table_name", table_name), ("actor", actor)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    rows = rows if first is None else rows.where(F.col("created_at") >= F.lit(f"{first} 00:00:00").cast("timestamp"))
+    return rows if last is None else rows.where(F.col("created_at") <= F.lit(f"{last} 23:59:59").cast("timestamp"))
+
+
+def trail(events: DataFrame, key: list[str], most: int = 50) -> DataFrame:
+    """The last `most` rows of each key, the newest first by place; of one moment the greatest id first."""
+    order = Window.partitionBy(*key).orderBy(F.desc("created_at"), F.desc("id"))
+    return events.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
 def violations(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """rows that break a check, once for each, with its name."""
     broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(True)), F.lit(name)) for name, ok in checks.items()]), lambda x: x.isNotNull())

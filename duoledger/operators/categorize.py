@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digits, normalize
@@ -110,12 +110,16 @@ def sure(entries: DataFrame, suggestions: DataFrame) -> DataFrame:
     return entries.where("category_id is null").select("id").join(s, "id")
 
 
+def starts_chosen(category: Column, source: Column, confidence: Column) -> Column:
+    """Whether a staged row is chosen before its reader looks: its category is known, and does not come from a model, or from one that is sure."""
+    return category.isNotNull() & F.coalesce((source != "ai") | (confidence >= SURE), F.lit(False))
+
+
 def import_decisions(staged: DataFrame, suggestions: DataFrame) -> DataFrame:
     """(import_id, pending, undecided, chosen) from staged rows (id, import_id, status): pending rows, those without a suggested category, and those that start out chosen.
 
-    A row starts out chosen if its category is known and did not come from a model, or
-    comes from one that is sure.
+    A row starts out chosen as starts_chosen says.
     """
     rows = staged.where("status = 'pending'").join(suggestions.select(F.col("subject_id").alias("id"), "category_id", "source", "confidence"), "id", "left")
     known = F.col("category_id").isNotNull()
-    return rows.groupBy("import_id").agg(F.count("*").alias("pending"), F.count(F.when(~known, 1)).alias("undecided"), F.count(F.when(known & ((F.col("source") != "ai") | (F.col("confidence") >= SURE)), 1)).alias("chosen"))
+    return rows.groupBy("import_id").agg(F.count("*").alias("pending"), F.count(F.when(~known, 1)).alias("undecided"), F.count(F.when(starts_chosen(F.col("category_id"), F.col("source"), F.col("confidence")), 1)).alias("chosen"))

@@ -51,3 +51,18 @@ def rule_hits(rules: DataFrame, decided: DataFrame) -> DataFrame:
     """rules with hits raised by the decisions of each."""
     n = decided.where("rule_id is not null").groupBy("rule_id").agg(F.count("*").alias("_n"))
     return rules.join(n, "rule_id", "left").withColumn("hits", F.col("hits") + F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def touch(before: DataFrame, after: DataFrame, key: list[str], at: str) -> DataFrame:
+    """after with updated_at: `at` where a row is new or any other column has changed, else as it was."""
+    values = [c for c in after.columns if c not in (*key, "updated_at")]
+    old = before.select(*key, F.struct(*values).alias("_old"), F.col("updated_at").alias("_was"), F.lit(True).alias("_known"))
+    same = F.col("_known").isNotNull() & F.struct(*values).eqNullSafe(F.col("_old"))
+    return after.drop("updated_at").join(old, key, "left").withColumn("updated_at", F.when(same, F.col("_was")).otherwise(F.lit(at).cast("timestamp"))).drop("_old", "_was", "_known")
+
+
+def seeded(existing: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """Accounts after a seed that may run again: new ones are added, an opening of zero is filled, any other opening stays."""
+    w = wanted.select(*key, F.col("opening_cents").alias("_opening"))
+    old = existing.join(w, key, "left").withColumn("opening_cents", F.when(F.col("opening_cents") == 0, F.coalesce("_opening", F.lit(0))).otherwise(F.col("opening_cents"))).select(*existing.columns)
+    return old.unionByName(wanted.join(existing.select(*key), key, "left_anti"), allowMissingColumns=True)

@@ -19,8 +19,8 @@ def has_override(override: Column, day: Column) -> Column:
     return F.coalesce(override != period_of(day), F.lit(False))
 
 
-def mirror(entries: DataFrame, chart: DataFrame) -> DataFrame:
-    """Cost rows: out counts up, in (a refund) down; entries of no amount have none."""
+def mirror(entries: DataFrame, chart: DataFrame, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Cost rows: out counts up, in (a refund) down; entries of no amount have none. keep: further columns of the entries."""
     own = entries.where("cents <> 0").join(F.broadcast(chart.where(F.col("kind").isin(MIRRORED))), "category_id")
-    return own.select("entity_id", "category_id", "code", "dre_group", competence(F.col("competence_period"), F.col("occurred_on")).alias("period"),
+    return own.select(*keep, "entity_id", "category_id", "code", "dre_group", competence(F.col("competence_period"), F.col("occurred_on")).alias("period"),
                       F.when(F.col("direction") == "out", F.col("cents")).otherwise(-F.col("cents")).alias("cents"), F.lit("cost").alias("entry_kind"))

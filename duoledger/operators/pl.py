@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import month_label
+
 #: Blocks of the statement. Transfers are in none.
 REVENUE, DEDUCTIONS, DIRECT, OWNERS, IGNORED = "receita_bruta", "deducoes", "custos_diretos", "socios", "transferencias"
 OPERATING = ["pessoal", "ferramentas", "servicos", "viagem", "outras", "financeiras"]
@@ -71,3 +73,11 @@ def compare(cash: DataFrame, recognition: DataFrame) -> DataFrame:
         recognition.select("period", F.concat(F.lit("recognised_"), F.col("entry_kind")).alias("what"), "cents"))
     part = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("cents"))), F.lit(0)).alias(what)
     return rows.rollup("period").agg(*map(part, ("cash_in", "cash_out", "recognised_revenue", "recognised_cost")))
+
+
+def columns(periods: DataFrame | None, entities: DataFrame | None = None) -> DataFrame:
+    """(key, label) of a report's columns: its periods, or the entities (entity_id, name), eliminations and the consolidated total."""
+    if entities is None:
+        return periods.select(F.col("period").cast("string").alias("key"), month_label(F.col("period")).alias("label"))
+    fixed = entities.sparkSession.createDataFrame([("eliminations", "Eliminações"), ("total", "Consolidado")], "key string, label string")
+    return entities.select(F.concat(F.lit("entity-"), F.col("entity_id").cast("string")).alias("key"), F.col("name").alias("label")).unionByName(fixed)

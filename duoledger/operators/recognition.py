@@ -110,3 +110,14 @@ def merge_actions(plan: DataFrame, existing: DataFrame) -> DataFrame:
     action = (F.when(F.col("was").isNull(), "insert").when(F.coalesce("manually_edited", F.lit(False)), "skip").when(F.col("planned").isNull(), "remove")
               .when(F.col("planned") == F.col("was"), "keep").otherwise("update"))
     return both.select(*key, "planned", "was", action.alias("action"))
+
+
+def revenue_category(contracts: DataFrame, chart: DataFrame) -> DataFrame:
+    """contracts (entity_id, revenue_code, ...) with category_id of the entity's chart (entity_id, code, category_id), and refused where it has no such code."""
+    codes = chart.select("entity_id", F.col("code").alias("revenue_code"), "category_id")
+    return contracts.join(codes, ["entity_id", "revenue_code"], "left").withColumn("refused", F.col("category_id").isNull())
+
+
+def totals(reconciled: DataFrame, key: list[str]) -> DataFrame:
+    """Recognised, invoiced and received in all, by key."""
+    return reconciled.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("recognised", "invoiced", "received")])

@@ -21,6 +21,22 @@ def prompt_batches(subjects: DataFrame, size: int = 120) -> DataFrame:
     return rows.groupBy("import_id", "batch").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("prompt"))
 
 
+#: Signs of a contract that a model reads at most, and the note that there are more. The limit is the model's.
+CONTRACT_SIGNS, CUT = 60_000, "[...documento truncado...]"
+
+
+def contract_prompts(contracts: DataFrame) -> DataFrame:
+    """(id, prompt) of contract texts (id, text)."""
+    t = F.trim("text")
+    cut = F.when(F.length(t) > CONTRACT_SIGNS, F.concat(t.substr(1, CONTRACT_SIGNS), F.lit(f"\n\n{CUT}"))).otherwise(t)
+    return contracts.select("id", F.concat(F.lit("CONTRATO\n\n"), F.coalesce(cut, F.lit(""))).alias("prompt"))
+
+
+def open_subjects(staged: DataFrame) -> DataFrame:
+    """Staged rows (status, suggested_category_id, ...) that a model may be asked about: pending, and without a suggestion."""
+    return staged.where("status = 'pending' and suggested_category_id is null")
+
+
 def checked_replies(replies: DataFrame, subjects: DataFrame, chart: DataFrame) -> DataFrame:
     """(import_id, ref, category_code, confidence, reason) of each suggestion in (import_id, reply); reason is null where it may be used.
 

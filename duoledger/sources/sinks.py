@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import re
+import unicodedata
 import zipfile
+from decimal import Decimal
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -25,6 +27,12 @@ def column_name(i: int) -> str:
     return name
 
 
+def slug(text: str) -> str:
+    """Small letters and digits without accents, dashes for the rest."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    return re.sub("[^a-z0-9]+", "-", plain.lower()).strip("-")
+
+
 def workbook(sheets: dict[str, list[list]]) -> bytes:
     """Rows of strings, numbers (cents are given as decimals) and nulls; a workbook has one sheet at least."""
     if not sheets:
@@ -75,3 +83,17 @@ def export_csv(report: DataFrame, path: str, money: list[str]) -> None:
     """A distributed report as CSV files, money columns shown as money."""
     shown = report.select(*[format_money(F.col(c)).alias(c) if c in money else F.col(c) for c in report.columns])
     shown.write.option("sep", ";").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def sheet(report: DataFrame) -> list[list]:
+    """Header and rows of a report, which is of a reader's size."""
+    return [report.columns, *[[v if v is None or isinstance(v, (int, float, Decimal)) else str(v) for v in r] for r in report.collect()]]
+
+
+def export(sheets: dict[str, DataFrame], fmt: str) -> bytes:
+    """A report's file: a workbook of all its sheets, or the first one as text."""
+    if fmt == "xlsx":
+        return workbook({name: sheet(df) for name, df in sheets.items()})
+    if fmt == "csv":
+        return csv_text(sheet(next(iter(sheets.values())))).encode()
+    raise ValueError(f"no such format: {fmt}")
