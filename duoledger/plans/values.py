@@ -87,3 +87,108 @@ def f28(spark, sf_dir):
 @query("f22_excel_serial", "SELECT o_orderkey, CAST(DATE '1899-12-30' + CAST(40000 + o_orderkey % 9000 AS INTEGER) AS DATE) AS day FROM orders")
 def f22(spark, sf_dir):
     return proxy.table(spark, sf_dir, "orders").select("o_orderkey", calendar.excel_serial(40000 + F.col("o_orderkey") % 9000).alias("day"))
+
+
+@query("f7_numeric", "SELECT o_orderkey, CAST(CAST(round(o_totalprice * 100) AS BIGINT) / 100.0 AS DECIMAL(14,2))::VARCHAR AS amount, CAST(round(o_totalprice * 100) AS BIGINT) AS back FROM orders")
+def f7(spark, sf_dir):
+    """Cents to a stored amount and back."""
+    amount = money.to_numeric(money.cents(F.col("o_totalprice")))
+    return proxy.table(spark, sf_dir, "orders").select("o_orderkey", amount.cast("string").alias("amount"), money.cents(amount).alias("back"))
+
+
+@query("f9_percent", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE (o_orderkey % 100) * 1000 + CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 123 ELSE 50 END END::BIGINT AS thousandths FROM orders""")
+def f9(spark, sf_dir):
+    """Percents written with a comma, a point, further digits, and not at all."""
+    n, k = (F.col("o_orderkey") % 100).cast("string"), F.col("o_orderkey") % 4
+    text = F.when(k == 0, n).when(k == 1, F.concat(n, F.lit(",1239 %"))).when(k == 2, F.concat(n, F.lit(".05%"))).otherwise(F.concat(n, F.lit(" per cent")))
+    return proxy.table(spark, sf_dir, "orders").select("o_orderkey", money.parse_percent(text).alias("thousandths"))
+
+
+DAYS = """WITH d AS (SELECT o_orderkey, (1990 + o_orderkey % 30)::INTEGER AS y, (1 + o_orderkey % 13)::INTEGER AS m, (1 + o_orderkey % 31)::INTEGER AS d FROM orders), r AS (SELECT *, try_cast(printf('%04d-%02d-%02d', y, m, d) AS DATE) AS day FROM d)"""
+
+
+def _days(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return proxy.table(spark, sf_dir, "orders").select("o_orderkey", (1990 + k % 30).cast("int").alias("y"), (1 + k % 13).cast("int").alias("m"), (1 + k % 31).cast("int").alias("d"))
+
+
+@query("f10_iso_day", DAYS + " SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN day END AS day FROM r")
+def f10(spark, sf_dir):
+    """Days of which many don't exist; each seventh is written with a slash."""
+    t = F.format_string("%04d-%02d-%02d", "y", "m", "d")
+    t = F.when(F.col("o_orderkey") % 7 == 0, F.translate(t, "-", "/")).otherwise(t)
+    return _days(spark, sf_dir).select("o_orderkey", calendar.parse_iso(t).alias("day"))
+
+
+@query("f11_br_day", DAYS + " SELECT o_orderkey, day, strftime(day, '%d/%m/%Y') AS shown FROM r")
+def f11(spark, sf_dir):
+    """The same days as written here, some without leading zeros: one that doesn't exist is none, and never the next month's."""
+    t = F.when(F.col("o_orderkey") % 2 == 0, F.format_string("%02d/%02d/%04d", "d", "m", "y")).otherwise(F.format_string(" %d/%d/%04d ", "d", "m", "y"))
+    return _days(spark, sf_dir).select("o_orderkey", calendar.parse_br(t).alias("day")).select("o_orderkey", "day", calendar.format_br(F.col("day")).alias("shown"))
+
+
+@query("f15_add_months", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + to_months(CAST(o_orderkey % 25 - 12 AS INTEGER)) AS DATE) AS day, ((year(DATE '2000-05-31') * 12 + 5) - (year(o_orderdate) * 12 + month(o_orderdate)))::INTEGER AS months FROM orders")
+def f15(spark, sf_dir):
+    """Months later or earlier, cut at the month's last day; whole calendar months to a day."""
+    d = F.col("o_orderdate").cast("date")
+    return proxy.table(spark, sf_dir, "orders").select("o_orderkey", calendar.add_months(d, (F.col("o_orderkey") % 25 - 12).cast("int")).alias("day"), calendar.months_between(d, F.lit("2000-05-31").cast("date")).alias("months"))
+
+
+@query("f21_card_day", DAYS + ", t AS (SELECT *, try_cast(printf('1998-%02d-%02d', m, d) AS DATE) AS this, try_cast(printf('1997-%02d-%02d', m, d) AS DATE) AS before FROM d) SELECT o_orderkey, CASE WHEN this <= DATE '1998-02-20' THEN this ELSE before END AS day FROM t")
+def f21(spark, sf_dir):
+    """Days of a bill that closed on 20 February: those after it are of the year before."""
+    return _days(spark, sf_dir).select("o_orderkey", calendar.card_date(F.format_string("%02d/%02d", "d", "m"), F.lit("1998-02-20").cast("date")).alias("day"))
+
+
+@query("f24_header", f"SELECT p_partkey, trim(regexp_replace(lower(translate('Nº. ' || p_name || ' / ' || p_type || ' (R$)', '{ACCENTED}', '{PLAIN}')), '[^a-z0-9]+', ' ', 'g')) AS header FROM part")
+def f24(spark, sf_dir):
+    return proxy.table(spark, sf_dir, "part").select("p_partkey", text.normalize_header(F.concat(F.lit("Nº. "), "p_name", F.lit(" / "), "p_type", F.lit(" (R$)"))).alias("header"))
+
+
+@query("f27_proposed_pattern", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '*' WHEN 1 THEN 'PIX ' || upper(o_orderpriority) ELSE 'PIX ' || upper(o_orderpriority) || ' 12' END AS pattern FROM orders""")
+def f27(spark, sf_dir):
+    """Descriptions with dates, long numbers and trailing dashes; a third with a known counterparty."""
+    k = F.col("o_orderkey") % 3
+    d = F.concat(F.lit("Pix  "), "o_orderpriority", F.when(k == 1, F.lit(" 12/03/2024 000123456 --*")).otherwise(F.lit(" 12 05/11 ")))
+    return proxy.table(spark, sf_dir, "orders").select("o_orderkey", text.propose_pattern(d, F.when(k == 0, "12.345")).alias("pattern"))
+
+
+@query("f29_sweep", "SELECT event_id, event_id % 4 IN (0, 1) AS sweep FROM events")
+def f29(spark, sf_dir):
+    k = F.col("event_id") % 4
+    t = F.when(k == 0, "RES APLIC AUT MAIS").when(k == 1, "Apl. Aplic. Aut. Mais").when(k == 2, "REND PAGO APLIC AUT MAIS").otherwise(F.col("event_type"))
+    return proxy.table(spark, sf_dir, "events").select("event_id", text.automatic_sweep(t).alias("sweep"))
+
+
+@query("f30_header_roles", "SELECT * FROM (VALUES ('Data', 'date'), ('Lançamento', 'description'), ('Valor (R$)', 'amount'), ('Saldo (R$)', 'balance'), ('Razão Social', 'counterparty'), ('CPF/CNPJ', 'tax_id'), ('Débito (R$)', 'debit'), ('Agência', NULL)) h(header, role)")
+def f30(spark, sf_dir):
+    from ..sources.statements import role_of
+
+    heads = ["Data", "Lançamento", "Valor (R$)", "Saldo (R$)", "Razão Social", "CPF/CNPJ", "Débito (R$)", "Agência"]
+    return spark.createDataFrame([(h,) for h in heads], "header string").select("header", role_of(F.col("header")).alias("role"))
+
+
+@query("f32_slug", f"SELECT p_partkey, trim(regexp_replace(lower(translate('Relatório: ' || p_name || '!', '{ACCENTED}', '{PLAIN}')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def f32(spark, sf_dir):
+    return proxy.table(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat(F.lit("Relatório: "), "p_name", F.lit("!"))).alias("slug"))
+
+
+@query("p15_month_param", DAYS + " SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN try_cast(printf('%04d-%02d-01', y, m) AS DATE) END, DATE '2024-01-01') AS period FROM r")
+def p15(spark, sf_dir):
+    """Months of a request: the thirteenth, and what is no month, take the year's first."""
+    t = F.when(F.col("o_orderkey") % 5 == 0, F.format_string("%04d/%02d", "y", "m")).otherwise(F.format_string("%04d-%02d", "y", "m"))
+    return _days(spark, sf_dir).select("o_orderkey", calendar.period_param(t, F.lit("2024-01-01").cast("date")).alias("period"))
+
+
+@query("p20_form_fields", """SELECT event_id, event_id % 4 <> 0 AS named, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(date_trunc('month', ts) AS DATE) END AS month, event_id % 3 <> 2 OR day(ts) = 1 AS month_ok,
+  CASE WHEN event_id % 5 = 0 THEN 0 WHEN event_id % 5 <> 1 THEN CAST(round(value * 100) AS BIGINT) END AS cents, event_type IN ('view', 'click') AS chosen, CASE WHEN event_id % 6 = 0 THEN 9 ELSE event_id END::BIGINT AS n, event_id % 2 = 0 AS ticked FROM events""".replace(
+    "CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(date_trunc('month', ts) AS DATE) END", "CASE WHEN event_id % 3 = 1 OR (event_id % 3 = 2 AND day(ts) = 1) THEN CAST(date_trunc('month', ts) AS DATE) END"))
+def p20(spark, sf_dir):
+    """Fields as people fill them in, some empty, some wrong."""
+    from ..functions import forms
+
+    i, e = F.col("event_id"), proxy.table(spark, sf_dir, "events")
+    month = forms.optional_month(F.when(i % 3 == 0, " ").when(i % 3 == 1, F.date_format("ts", "yyyy-MM")).otherwise(F.date_format("ts", "yyyy-MM-dd")))
+    amount = forms.money(F.when(i % 5 == 0, "").when(i % 5 == 1, "a lot").otherwise(money.format_money(money.cents(F.col("value")))), optional=True)
+    return e.select("event_id", forms.required_text(F.when(i % 4 == 0, "  ").otherwise(F.col("event_type")))["ok"].alias("named"), month["value"].alias("month"), month["ok"].alias("month_ok"), amount["value"].alias("cents"),
+                    forms.choice(F.col("event_type"), ["view", "click"])["ok"].alias("chosen"), forms.integer(F.when(i % 6 == 0, "none").otherwise(F.concat(i.cast("string"), F.lit(" rows"))), 9).alias("n"), forms.ticked(F.when(i % 2 == 0, "on").otherwise("off")).alias("ticked"))

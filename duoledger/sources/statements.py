@@ -59,7 +59,7 @@ def parse_statement(cells: DataFrame, file: str = "path") -> DataFrame:
 
 
 def layout(items: DataFrame, file: str = "path") -> DataFrame:
-    """(file, page, line_at, line, column_at, x, text) from positioned text (file, page, x, y, width, text).
+    """(file, page, line_at, line, column_at, x, y, text) from positioned text (file, page, x, y, width, text).
 
     Columns begin at crowded places (2-point bins that hold 4 % of the page's items, three at
     least) that are 190 points apart; items within 3 points of a line's first stand on it;
@@ -79,14 +79,15 @@ def layout(items: DataFrame, file: str = "path") -> DataFrame:
             lines.append(at)
         rows = rows.assign(line_at=lines).sort_values(["line_at", "x"], kind="stable")
         text = rows.groupby("line_at")["text"].transform(" ".join)
-        return rows.assign(line=text)[[file, "page", "line_at", "line", "column_at", "x", "text"]]
+        return rows.assign(line=text)[[file, "page", "line_at", "line", "column_at", "x", "y", "text"]]
 
-    return items.groupBy(file, "page").applyInPandas(page, f"{file} string, page int, line_at int, line string, column_at int, x double, text string")
+    return items.groupBy(file, "page").applyInPandas(page, f"{file} string, page int, line_at int, line string, column_at int, x double, y double, text string")
 
 
 def parse_card(lines: DataFrame, reference: str, file: str = "path") -> DataFrame:
     """(file, page, line_at, card, section, occurred_on, description, cents, direction, instalment) of charges from laid-out lines (file, page, line_at, line).
 
+    For bills of which only the text of lines is known; parse_invoice reads positioned items.
     Section and card carry down from the last line that names them; charges of instalments
     to come are left out.
     """
@@ -104,6 +105,61 @@ def parse_card(lines: DataFrame, reference: str, file: str = "path") -> DataFram
                        F.abs(amount).alias("cents"), F.when(amount < 0, "in").otherwise("out").alias("direction"), instalment(description, at_end=True).alias("instalment"))
 
 
+#: How far from its heading an amount may stand, and how far below a charge its further lines.
+AMOUNT_REACH, FURTHER = 80.0, 24.0
+#: What a line begins with (small letters, plain signs), and the section that it opens; None for lines that only end a charge.
+OPENERS = {"lancamentos compras e saques": "charges", "lancamentos internacionais": "international", "lancamentos produtos e servicos": "products", "compras parceladas": "future",
+           "limites de credito": "closed", "encargos cobrados": "closed", "lancamentos no cartao": None, "total transacoes inter": None, "total lancamentos inter": None, "lancamentos produtos": None}
+TOTAL, TAX = "total dos lancamentos atuais", "repasse de iof"
+
+
+def parse_invoice(items: DataFrame, reference: str, file: str = "path") -> DataFrame:
+    """(file, page, line_at, kind, section, card, occurred_on, description, detail, cents, direction, instalment) of a card bill from laid-out items (file, page, line_at, line, column_at, x, y, text).
+
+    kind is charge, total (the printed sum), or discarded: charges of bills to come, and
+    dated lines without amount, date or description. Headings of a column say where its
+    amounts stand: the amount nearest to that place within 80 points is the charge's, and
+    none farther away; without a heading it is the last amount of the line. Foreign tax is a
+    charge of the reference day. Lines close below a charge, in its column, are its detail.
+    A bill is one group, of the size of a bill.
+    """
+    item = F.struct("x", F.trim("text").alias("text"))
+    lines = items.groupBy(file, "page", "line_at").agg(F.max("y").alias("y"), F.max("column_at").alias("column_at"), F.max("line").alias("line"), F.array_sort(F.collect_list(item)).alias("items"))
+    h = normalize_header(F.col("line"))
+    dated = F.element_at("items", 1)["text"].rlike(r"^\d{2}/\d{2}$")
+    which = lambda pattern: F.filter("items", lambda i: i["text"].rlike(pattern))
+    heading = F.when(F.size(which("(?i)^data$")) > 0, F.coalesce(F.get(which(r"(?i)^valor\s+em\s+r\$$"), F.lit(0))["x"], F.try_element_at(which(r"(?i)^r\$$"), F.lit(-1))["x"]))
+    opens, marker = F.lit(None).cast("string"), F.lit(False)
+    for head, name in reversed(OPENERS.items()):
+        opens, marker = F.when(h.startswith(head), F.lit(name)).otherwise(opens), marker | h.startswith(head)
+    opens = F.when(h.contains(TOTAL), "closed").otherwise(opens)
+    card = F.regexp_extract(F.trim("line"), r"\(final (\d{4})\)$", 1)
+    names = (card != "") & ~h.startswith("lancamentos")
+    what = (F.when(heading.isNotNull(), "heading").when(h.contains(TOTAL), "total").when(h.startswith(TAX), "tax").when(marker | names, "marker").when(dated, "dated").otherwise("plain"))
+    rows = lines.withColumns({"heading": heading, "opens": F.when(heading.isNull(), opens), "names": F.when(names & heading.isNull(), card), "what": what})
+    order = Window.partitionBy(file).orderBy("page", "line_at")
+    down = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"section": down(F.col("opens"), order), "card": down(F.col("names"), order), "at": down(F.col("heading"), Window.partitionBy(file, "column_at").orderBy("page", "line_at"))})
+    money = F.filter(F.transform("items", lambda i, k: F.struct(F.abs(i["x"] - F.col("at")).alias("off"), k.alias("k"), parse_money(F.regexp_replace(i["text"], r"\s", ""), ",").alias("cents"), i["text"].alias("text"))),
+                     lambda m: F.regexp_replace(m["text"], r"\s", "").rlike(r"^-?(R\$)?[\d.]*\d,\d{2}$"))
+    near = F.array_min(F.filter(money, lambda m: m["off"] <= AMOUNT_REACH))
+    rows = rows.withColumn("amount", F.when(F.col("at").isNull(), F.try_element_at(money, F.lit(-1))).otherwise(near))
+    day = F.lit(reference).cast("date")
+    text = F.trim(F.array_join(F.transform(F.slice("items", 2, F.greatest(F.col("amount.k") - 1, F.lit(0))), lambda i: i["text"]), " "))
+    tax, live = F.col("what") == "tax", F.coalesce(F.col("section").isin("charges", "international", "products"), F.lit(False))
+    rows = rows.withColumns({"description": F.when(tax, "Repasse de IOF").when(F.col("what") == "dated", text), "occurred_on": F.when(tax, day).when(F.col("what") == "dated", card_date(F.element_at("items", 1)["text"], day)), "cents": F.col("amount.cents")})
+    whole = F.coalesce((F.col("description") != "") & F.col("occurred_on").isNotNull() & F.col("cents").isNotNull(), F.lit(False))
+    dated = F.col("what") == "dated"
+    kind = (F.when(F.col("what") == "total", "total").when(tax & whole & (F.col("cents") != 0), "charge").when(dated & live & whole, "charge").when(dated & (live | (F.col("section") == "future")), "discarded"))
+    rows = rows.withColumn("kind", kind)
+    apart = (F.col("what") != "plain") | F.lag("column_at").over(order).isNull() | (F.lag("column_at").over(order) != F.col("column_at")) | (F.lag("y").over(order) - F.col("y") > FURTHER) | (F.lag("page").over(order) != F.col("page"))
+    rows = rows.withColumn("run", F.sum(apart.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    below = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == "plain", F.struct("page", "line_at", "line"))).over(Window.partitionBy(file, "run"))), lambda x: x["line"]), " · ")
+    rows = rows.withColumn("detail", F.when((F.col("kind") == "charge") & ~tax & (below != ""), below)).where("kind is not null")
+    return rows.select(file, "page", "line_at", "kind", "section", "card", "occurred_on", F.coalesce("description", F.col("line")).alias("description"), "detail", F.abs("cents").alias("cents"),
+                       F.when(F.col("cents") < 0, "in").when(F.col("cents") >= 0, "out").alias("direction"), instalment(F.col("description"), at_end=True).alias("instalment"))
+
+
 def reconcile_card(charges: DataFrame, printed: DataFrame, file: str = "path") -> DataFrame:
     """(file, total, printed, exact): a bill whose charges do not sum to its printed total is refused whole."""
     total = charges.where("section <> 'payments' or section is null").groupBy(file).agg(F.sum(F.when(F.col("direction") == "out", F.col("cents")).otherwise(-F.col("cents"))).alias("total"))
