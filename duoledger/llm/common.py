@@ -94,6 +94,25 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of one key from which the key is hot, at least; rows of a table up to which it is broadcast.
+HOT, FEW = 10_000, 1_000_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the one row of table (key, copies, ...) of their key, which every row has; copies is dropped.
+
+    A small table is broadcast. Of a large one, the hot keys are: those of at least n / FEW
+    of n rows, so FEW at most. No other key fills a task, and they are joined by shuffle.
+    """
+    table = stored(table, "lookup")
+    if table.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(table.drop("copies")), key)
+    least = max(HOT, -(-table.agg(F.sum("copies")).first()[0] // FEW))
+    hot = F.broadcast(table.where(F.col("copies") >= least).drop("copies"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("copies") < least).drop("copies"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with the smallest node reachable, of every node that has an edge.
 
