@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dedup_hash
+from .scans import blocked, last_before, running
 
 
 def with_occurrence(lines: DataFrame, order: list[str]) -> DataFrame:
@@ -27,15 +28,13 @@ def reconcile_statement(movements: DataFrame, declared: DataFrame, opening_cents
 
     A day's expected balance is the balance declared last before it (or the opening) plus
     what moved since. Without an opening the first declared day anchors and is not judged.
+    Running sums and anchors pass from block to block, so one account may hold most days.
     """
     days = movements.groupBy(*key, "day").agg(F.sum("signed_cents").alias("moved")).withColumn("actual", F.lit(None).cast("long")).unionByName(
         declared.select(*key, "day", F.lit(0).cast("long").alias("moved"), F.col("balance").alias("actual")))
     days = days.groupBy(*key, "day").agg(F.sum("moved").alias("moved"), F.max("actual").alias("actual"))
-    order = Window.partitionBy(*key).orderBy("day")
-    run = F.sum("moved").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    days = days.withColumn("run", run)
-    anchor = F.last(F.when(F.col("actual").isNotNull(), F.struct("actual", "run")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    days = days.withColumn("anchor", anchor)
+    days = running(blocked(days, key, ["day"]), key, ["day"], {"run": "moved"})
+    days = last_before(days.withColumn("_anchor", F.when(F.col("actual").isNotNull(), F.struct("actual", "run"))), key, ["day"], {"anchor": "_anchor"})
     expected = F.when(F.col("anchor").isNotNull(), F.col("anchor.actual") + F.col("run") - F.col("anchor.run"))
     if opening_cents is not None:
         expected = F.coalesce(expected, F.lit(opening_cents) + F.col("run"))
