@@ -106,7 +106,7 @@ def learn(vectors: DataFrame, parts: int, entries: int, rounds: int) -> np.ndarr
     longest = vectors.agg(F.max("size")).first()[0] or 0
     width = -(-longest // parts)
     first = vectors.select("id", "vec").orderBy(F.col("id").asc_nulls_last(), "vec").limit(entries).toPandas()
-    books = unpacked(first["vec"], parts * width).reshape(-1, parts, width).transpose(1, 0, 2).copy() if len(first) else np.zeros((parts, 0, width), np.int64)
+    books = unpacked(first["vec"], parts * width).reshape(len(first), parts, width).transpose(1, 0, 2).copy()
     for _ in range(rounds if books.size else 0):
         sums = vectors.select("vec").mapInPandas(_sums(books), "part int, entry int, place int, total long, n long")
         sums = sums.groupBy("part", "entry", "place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n"))
