@@ -2,38 +2,38 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digits, normalize
+from .grams import beside, containing, folded, rarest, required_literal
+from .intervals import in_interval
 
 #: How far each route is trusted.
 CONFIDENCE = {"rule_tax_id": 1.0, "rule_text": 0.95, "history_tax_id": 0.9, "history_description": 0.85, "person": 0.7}
 
 
-#: Rules, and people, that a batch is compared with at most: people write them, so they are few.
-FEW = 10_000
+#: Rules, or people, up to which each subject is compared with all of them.
+BESIDE = 1_000
+
 
+def valid_rules(rules: DataFrame) -> DataFrame:
+    """Active rules; those whose pattern is no regular expression of the machine that runs it match nothing. Each is compiled where it is read."""
+    compiles = F.call_function("try_reflect", F.lit("java.util.regex.Pattern"), F.lit("matches"), F.coalesce("pattern", F.lit("")), F.lit(""))
+    return rules.where(F.col("active") & ((F.col("match_type") != "regex") | compiles.isNotNull()))
 
-def few(df: DataFrame) -> DataFrame:
-    """df to be broadcast, as every subject is compared with every row of it; an error where it isn't few rows."""
-    if df.limit(FEW + 1).count() > FEW:
-        raise ValueError(f"more than {FEW} rules or people")
-    return F.broadcast(df)
 
+def _holds() -> Column:
+    """Conditions of every rule that states them: account and amount bounds."""
+    return ((F.col("account_id").isNull() | (F.col("account_id") == F.col("s_account")))
+            & (F.col("amount_min").isNull() | (F.col("amount") >= F.col("amount_min"))) & (F.col("amount_max").isNull() | (F.col("amount") <= F.col("amount_max"))))
 
-def valid_rules(rules: DataFrame) -> DataFrame:
-    """Active rules; those whose pattern is no regular expression of Spark's match nothing."""
-    compiled = rules.sparkSession._jvm.java.util.regex.Pattern
-    broken = []
-    for r in few(rules.where("active and match_type = 'regex'")).select("id", "pattern").collect():
-        try:
-            compiled.compile(r["pattern"])
-        except (Py4JError, PySparkException):
-            broken.append(r["id"])
-    return rules.where(F.col("active") & ~F.col("id").isin(broken)) if broken else rules.where("active")
+
+def _fits() -> Column:
+    """Whether a regular rule's pattern is found in the description, whatever the case of its letters."""
+    return F.expr("regexp_like(description, concat('(?iu)', if(match_type = 'regex', pattern, '')))")
 
 
 def matches(subjects: DataFrame, rules: DataFrame) -> DataFrame:
@@ -41,24 +41,52 @@ def matches(subjects: DataFrame, rules: DataFrame) -> DataFrame:
 
     Account, amount bounds and counterparty are conditions of every rule that states them; a
     counterparty without digits is nobody. A counterparty rule whose pattern is empty or * needs no
-    text; a rule of amount_range needs a bound. Rules of exact text join on it; the others
-    are compared with each subject, which takes a broadcast of the rules.
+    text; a rule of amount_range needs a bound.
+
+    Up to BESIDE rules are broadcast and compared with each subject. More of them meet
+    subjects by equality: of the counterparty; of the text; of the rarest gram
+    of a text that must be contained (of a regular expression: the letters that it
+    requires); of the block of an amount range. Only regular expressions that require no
+    letters are tried on every different description. So rules may be as many as subjects.
     """
     s = subjects.select(F.col("id").alias("subject_id"), "description", normalize(F.col("description")).alias("text"), F.abs("cents").alias("amount"),
                         F.col("account_id").alias("s_account"), digits(F.coalesce("counterparty_tax_id", F.lit(""))).alias("tax"))
     r = valid_rules(rules).select(F.col("id").alias("rule_id"), "priority", "match_type", "pattern", "amount_min", "amount_max", "account_id", "category_id",
                                   F.col("counterparty_tax_id").isNotNull().alias("bound"), digits(F.coalesce("counterparty_tax_id", F.lit(""))).alias("r_tax"), normalize(F.coalesce("pattern", F.lit(""))).alias("r_text"))
-    r = r.withColumn("identity", F.col("bound") & F.trim(F.coalesce("pattern", F.lit(""))).isin("", "*"))
-    holds = ((F.col("account_id").isNull() | (F.col("account_id") == F.col("s_account")))
-             & (F.col("amount_min").isNull() | (F.col("amount") >= F.col("amount_min"))) & (F.col("amount_max").isNull() | (F.col("amount") <= F.col("amount_max")))
-             & (~F.col("bound") | ((F.col("r_tax") != "") & (F.col("r_tax") == F.col("tax")))))
-    equal = (F.col("match_type") == "exact") & ~F.col("identity")
-    exact = s.join(few(r.where(equal)), F.col("text") == F.col("r_text")).where(holds)
-    text = (F.when(F.col("identity"), True).when(F.col("match_type") == "contains", (F.col("r_text") != "") & F.col("text").contains(F.col("r_text")))
-            .when(F.col("match_type") == "amount_range", F.col("amount_min").isNotNull() | F.col("amount_max").isNotNull())
-            .when(F.col("match_type") == "regex", F.expr("regexp_like(description, concat('(?i)', pattern))")))
-    other = s.join(few(r.where(~equal)), holds & text)
-    return exact.unionByName(other).select("subject_id", "rule_id", "category_id", F.col("bound").alias("by_tax_id"), "priority")
+    identity = F.col("bound") & F.trim(F.coalesce("pattern", F.lit(""))).isin("", "*")
+    ranged = F.col("amount_min").isNotNull() | F.col("amount_max").isNotNull()
+    literal = F.when(F.col("match_type") == "regex", required_literal(F.col("pattern")))
+    way = (F.when(F.col("bound"), F.when(F.col("r_tax") != "", "tax")).when(F.col("match_type") == "exact", "exact").when((F.col("match_type") == "contains") & (F.col("r_text") != ""), "contains")
+           .when((F.col("match_type") == "amount_range") & ranged, "range").when(F.col("match_type") == "regex", F.when(literal.isNotNull(), "letters").when(F.col("pattern").isNotNull(), "any")))
+    r = r.withColumns({"identity": identity, "letters": literal, "way": way}).where("way is not null")
+    text = (F.when(F.col("identity"), True).when(F.col("match_type") == "contains", (F.col("r_text") != "") & F.col("text").contains(F.col("r_text"))).when(F.col("match_type") == "exact", F.col("text") == F.col("r_text"))
+            .when(F.col("match_type") == "amount_range", ranged).when(F.col("match_type") == "regex", _fits()))
+    shown = ["subject_id", "rule_id", "category_id", F.col("bound").alias("by_tax_id"), "priority"]
+    if r.limit(BESIDE + 1).count() <= BESIDE:
+        return s.join(F.broadcast(r), _holds() & (~F.col("bound") | (F.col("r_tax") == F.col("tax"))) & text).select(*shown)
+    ways = {row[0] for row in r.select("way").distinct().collect()}  # six at most
+    of = lambda name: r.where(F.col("way") == name)
+    found = []
+    if "tax" in ways:
+        found.append(s.join(of("tax"), F.col("tax") == F.col("r_tax")).where(text))
+    if "exact" in ways:
+        found.append(s.join(of("exact"), F.col("text") == F.col("r_text")))
+    if "contains" in ways:
+        pairs = containing(s.select("text").where("text is not null").distinct(), "text", of("contains"), "r_text")
+        found.append(s.join(pairs, "text").join(of("contains"), "r_text"))
+    if "letters" in ways:
+        said = s.withColumn("_said", folded(F.col("description")))
+        pairs = containing(said.select("_said").where("_said is not null").distinct(), "_said", of("letters"), "letters")
+        found.append(said.join(pairs, "_said").join(of("letters"), "letters").where(_fits()))
+    if "any" in ways:
+        pairs = beside(s.select("description").where("description is not null").distinct(), of("any")).where(_fits())
+        found.append(s.join(pairs, "description"))
+    if "range" in ways:
+        low, high = F.coalesce("amount_min", F.lit(0)), F.coalesce("amount_max", F.lit(1 << 62))
+        spans = of("range").withColumns({"_low": low.cast("long"), "_high": high.cast("long")})
+        for keys, own in ((["s_account"], spans.where("account_id is not null").withColumn("s_account", F.col("account_id"))), ([], spans.where("account_id is null"))):
+            found.append(in_interval(s, own, keys, "amount", "_low", "_high"))
+    return reduce(DataFrame.unionByName, [f.where(_holds()).select(*shown) for f in found])
 
 
 def first_rule(subjects: DataFrame, rules: DataFrame) -> DataFrame:
@@ -73,12 +101,26 @@ def latest(history: DataFrame, key: str) -> DataFrame:
 
 
 def by_person(subjects: DataFrame, people: DataFrame) -> DataFrame:
-    """(subject_id, person_id): people of whose name two parts of three letters or more stand in the description; most parts first, then the larger share of the name, then by id."""
+    """(subject_id, person_id): people of whose name two parts of three letters or more stand in the description; most parts first, then the larger share of the name, then by id.
+
+    Up to BESIDE people are broadcast. Of n parts, two can't stand in a text without one of
+    any n - 1: so of more people, each is looked up by all parts but the commonest, and the
+    whole test is made on those who are met.
+    """
     parts = people.select(F.col("id").alias("person_id"), F.filter(F.split(normalize(F.col("name")), " "), lambda w: F.length(w) >= 3).alias("parts")).where(F.size("parts") >= 2)
-    s = subjects.select(F.col("id").alias("subject_id"), normalize(F.col("description")).alias("text"))
+    s = subjects.select(F.col("id").alias("subject_id"), normalize(F.col("description")).alias("text")).where("text is not null")
     found = F.size(F.filter("parts", lambda w: F.col("text").contains(w)))
-    score = s.join(few(parts), found >= 2).select("subject_id", "person_id", (found + found / F.size("parts")).alias("score"))
-    return score.groupBy("subject_id").agg(F.min_by("person_id", F.struct(-F.col("score"), "person_id")).alias("person_id"))
+    if parts.limit(BESIDE + 1).count() <= BESIDE:
+        score = s.join(F.broadcast(parts), found >= 2).select("subject_id", "person_id", (found + found / F.size("parts")).alias("score"))
+        return score.groupBy("subject_id").agg(F.min_by("person_id", F.struct(-F.col("score"), "person_id")).alias("person_id"))
+    texts, each = s.select("text").distinct(), parts.select("person_id", "parts", F.posexplode("parts").alias("_at", "part"))
+    index = rarest(texts, "text", each, "part")
+    common = Window.partitionBy("person_id").orderBy(F.desc("_texts"), "_at")
+    sought = each.join(index, "part", "left").na.fill(0, ["_texts"]).withColumn("_k", F.row_number().over(common)).where("_k > 1").select("person_id", "parts", "part")
+    met = containing(texts, "text", sought, "part", index).join(sought, "part").select("text", "person_id", "parts").distinct()
+    score = met.where(found >= 2).select("text", "person_id", (found + found / F.size("parts")).alias("score"))
+    best = score.groupBy("text").agg(F.min_by("person_id", F.struct(-F.col("score"), "person_id")).alias("person_id"))
+    return s.join(best, "text").select("subject_id", "person_id")
 
 
 def suggest(subjects: DataFrame, rules: DataFrame, history: DataFrame, people: DataFrame, payroll_category: int | None) -> DataFrame:
