@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looked_up, read, stored
+from .common import looked_up, mapped, read, stored
 
 #: A component x is stored as floor(SCALE * x), between -WIDEST and WIDEST: squares of differences then fit a long.
 SCALE, WIDEST = 4096, 1 << 26
@@ -158,10 +158,9 @@ def compress(table: DataFrame, id_col: str, vector_col: str, label_col: str, par
     if not 1 <= entries <= 1 << 16 or parts < 1:
         raise ValueError("entries: 1 to 65536; parts: 1 or more")
     rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), F.col(label_col).alias("label"))
-    kinds = dict(rows.dtypes)
-    vectors = stored(rows.mapInPandas(_whole, f"id {kinds['id']}, label {kinds['label']}, vec binary, size long"), "whole")
+    vectors = stored(mapped(rows, _whole, "vec binary, size long", "id", "label"), "whole")
     books = learn(vectors, parts, entries, rounds)
-    coded = vectors.select("id", "label", "vec").mapInPandas(_coded(books), f"id {kinds['id']}, label {kinds['label']}, code string, error long")
+    coded = mapped(vectors.select("id", "label", "vec"), _coded(books), "code string, error long", "id", "label")
     key = F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit(""))
     coded = stored(coded.withColumn("key", key), "coded")
     totals = coded.groupBy("key").agg(F.try_sum("error").alias("label_error"), F.count("*").alias("copies"))

@@ -50,6 +50,14 @@ def bounded(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def mapped(rows: DataFrame, run, schema: str, *kept: str) -> DataFrame:
+    """rows.mapInPandas(run, schema) with the columns kept as text on the way: where one is null, pandas would make floats of whole numbers, and large ones would change."""
+    kinds = dict(rows.dtypes)
+    fields = ", ".join(f"{c} string" for c in kept)
+    out = rows.withColumns({c: F.col(c).cast("string") for c in kept}).mapInPandas(run, f"{fields}, {schema}")
+    return out.withColumns({c: F.col(c).cast(kinds[c]) for c in kept})
+
+
 def release() -> None:
     """Give memory that a Python task no longer uses back to the machine, now and whenever a large array goes: workers live on for the tasks of later stages."""
     pa.set_memory_pool(pa.system_memory_pool())

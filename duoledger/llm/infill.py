@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, read, release
+from .common import bounded, mapped, read, release
 
 #: What a run of a class does to the count of units: nothing, closes one at its end, closes one at each of its characters.
 OPEN, ONCE, EACH = 0, 1, 2
@@ -137,8 +137,7 @@ def fill_in_middle(docs: DataFrame, id_col: str, text_col: str, unit: str = "lin
     bounded(docs.sparkSession)
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k + 1}") for k in range(4)])
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(_cut(unit, markers, rate, spm), f"id {kind}, n long, form string, prefix_chars long, middle_chars long, output string")
+    return mapped(rows, _cut(unit, markers, rate, spm), "n long, form string, prefix_chars long, middle_chars long, output string", "id")
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_words, components, read, release, small, stored
+from .common import byte_words, components, mapped, read, release, small, stored
 
 #: Counters of a sketch, each kept modulo 16; rows of a region that are compared outright; pivots of a larger one.
 COUNTERS, LEAF, PIVOTS = 64, 48, 8
@@ -442,7 +442,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     counted = rows.select("text").mapInPandas(_first_prefixes(k, num, den), "element long, n long").groupBy("element").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     late = counted.orderBy(F.desc("n"), "element").limit(MOST_FREQUENT).select("element").toPandas()["element"].to_numpy(np.int64).view(np.uint64)
     frequent = spark.sparkContext.broadcast(np.sort(late))
-    records = stored(rows.mapInPandas(_records(k, num, den, frequent), "id long, n int, s1 long, s2 long, prefix array<long>, sketch binary, fine binary"), "records")
+    records = stored(mapped(rows, _records(k, num, den, frequent), "n int, s1 long, s2 long, prefix array<long>, sketch binary, fine binary", "id"), "records")
 
     key = ["n", "s1", "s2"]
     classes = records.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from duoledger.llm import codes, common, counts, infill
+from duoledger.llm import codes, common, counts, infill, jaccard
 
 UNITS = {"line": r"[^\n]*\n|[^\n]+", "word": r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", "char": r"(?s:.)"}
 LONG = "lorem ipsum\n dolor " * 30_000
@@ -55,6 +55,15 @@ def test_fill_in_middle(odd, unit, rate, markers):
         assert r.output == {"plain": text, "psm": p + head + s + tail + m + mid, "spm": s + tail + p + head + m + mid}[form]
 
 
+def test_large_ids_beside_a_null_one_stay_whole(spark):
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "a b c d e f"), (None, "x"), (big + 1, "a b c d e f")], "doc_id long, text string").coalesce(1)
+    assert {r.id for r in infill.fill_in_middle(docs, "doc_id", "text").collect()} == {big, big + 1, None}
+    assert {(r.id, r.component_id) for r in jaccard.similar(docs, "doc_id", "text").collect()} == {(big, big), (big + 1, big), (None, None)}
+    vectors = docs.select("doc_id", F.array(F.lit(1.0)).alias("v"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("label"))
+    assert {(r.id, r.label) for r in codes.compress(vectors, "doc_id", "v", "label").collect()} == {(big, big), (big + 1, big + 1), (None, None)}
+
+
 def test_markers_that_cannot_be_told_are_refused(odd):
     for markers in [("", "<S>", "<M>"), ("<P>", "<P>x", "<M>"), ("ab", "ba", "<M>")]:
         with pytest.raises(ValueError, match="markers"):

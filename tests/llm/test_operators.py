@@ -251,6 +251,8 @@ def test_pipeline(spark, tmp_path):
     single = corpus_pipeline.near_duplicates(spark, docs.unionByName(docs.where("doc_id = 5")), str(tmp_path))
     ids = sorted(r.doc_id for r in single.where("doc_id is not null").collect())
     assert ids == [*range(60), 62, 63]
+    two = spark.createDataFrame([(1, texts[7], "en", "a", 1), (1, texts[8], "en", "a", 1), (2, texts[8] + " end", "en", "a", 1), (1, texts[7], "en", "a", 1)], docs.schema)
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, two, str(tmp_path)).collect()) == sorted([(1, texts[7]), (1, texts[8])])
     mixed = corpus_pipeline.mixture(spark, docs, str(tmp_path))
     assert mixed.columns == corpus_pipeline.COLUMNS and max(r["count"] for r in mixed.where("doc_id is not null").groupBy("doc_id").count().collect()) <= 2
     out = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
