@@ -43,14 +43,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group linked by Jaccard 0.8 of five-word shingles; one row of an id that repeats."""
-    found = stored(jaccard.similar(docs, "doc_id", "text", 5, 80, 100).select("id", "component_id"), "groups")
-    gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(small(stored(gone, "gone"), BROADCAST), "doc_id", "left_anti")
-    again = stored(found.where("id is not null").groupBy(F.col("id").alias("doc_id")).count().where("count > 1").select("doc_id"), "again")
+    """One document of each group linked by Jaccard 0.8 of five-word shingles: that of the smallest id, and of rows of one id the one of the least hash.
+
+    Rows are told apart by their hash, so different texts under one id are documents of
+    their own; rows that repeat are one. Rows without an id stay.
+    """
+    rows = docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), _row()))
+    found = stored(jaccard.similar(rows, "row", "text", 5, 80, 100).where("id is not null").groupBy(F.col("id").alias("row")).agg(F.min("component_id").alias("component"), F.count("*").alias("times")), "groups")
+    many = found.groupBy("component").agg(F.count("*").alias("rows")).where("rows > 1").select("component")
+    members = stored(found.join(small(stored(many, "many"), BROADCAST), "component", "left_semi").select("row", "component"), "members")
+    ids = rows.select("row", "doc_id").join(small(members, BROADCAST), "row").groupBy("component").agg(F.min_by("row", F.struct("doc_id", "row")).alias("first"))
+    gone = stored(members.join(ids, "component").where("row <> first").select("row"), "gone")
+    kept = rows.join(small(gone, BROADCAST), "row", "left_anti")
+    again = stored(found.where("times > 1").select("row"), "again")
     if again.limit(1).count():
         again = small(again, BROADCAST)
-        kept = kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(kept.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
+        kept = kept.join(again, "row", "left_anti").unionByName(kept.join(again, "row", "left_semi").dropDuplicates(["row"]))
     return kept.select(*COLUMNS)
 
 
