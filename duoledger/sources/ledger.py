@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.approval import admitted
+
 
 class Clash(ValueError):
     """A batch that doesn't fit the ledger; nothing of it was applied."""
@@ -91,3 +93,13 @@ class Ledger:
         self._logged(batch, "staged")
         self._finish(batch)
         return True
+
+    def merge(self, batch: str, plan: DataFrame) -> bool:
+        """Applies a merge plan (action, contract_id or another key, planned as cents): its removals delete, rows edited by hand and right ones stay."""
+        verb = F.when(F.col("action") == "remove", "delete").otherwise(F.col("action"))
+        return self.apply(batch, plan.withColumn("action", verb))
+
+    def admit(self, batch: str, entries: DataFrame, order: list[str]) -> bool:
+        """Inserts the entries (entity_id, dedup_hash, ...) whose hash the ledger hasn't, the first of equal ones; run again, it adds nothing."""
+        new = admitted(entries, self.rows(), order).where("admitted").withColumn("action", F.lit("insert"))
+        return self.apply(batch, new)
