@@ -83,3 +83,51 @@ def balances(entries: DataFrame, accounts: DataFrame, until: str) -> DataFrame:
     """(account_id, type, balance) of every account, opening included whatever its date."""
     moved = entries.where(F.col("occurred_on") <= F.lit(until).cast("date")).groupBy("account_id").agg(F.sum(signed(F.col("direction"), F.col("cents"))).alias("moved"))
     return accounts.join(moved, "account_id", "left").select("account_id", "type", (F.col("opening_cents") + F.coalesce("moved", F.lit(0))).alias("balance"))
+
+
+def merged_chart(charts: DataFrame) -> DataFrame:
+    """(category_id, entity_id, code, name, kind) of the charts of several entities (category_id, entity_id, code, name, kind, sort_order): what shares a code is one category, named by the first chart in order that has it."""
+    first = charts.groupBy("code").agg(F.min_by(F.struct("name", "kind"), F.struct("sort_order", "entity_id", "category_id")).alias("_first"))
+    return charts.select("category_id", "entity_id", "code").join(first, "code").select("category_id", "entity_id", "code", "_first.name", "_first.kind")
+
+
+def consolidated(entries: DataFrame, accounts: DataFrame, charts: DataFrame, start: str, end: str) -> DataFrame:
+    """(section, line, name, period, cents) of all entities together: the matrix by code, and the section balance with lines opening, net and closing.
+
+    Categories are merged by code (merged_chart); entries without one, or of a category that
+    their entity's chart hasn't, are the line none. Charts are small next to the entries:
+    the join's strategy is left to Spark.
+    """
+    merged = merged_chart(charts)
+    own = entries.join(cash_accounts(accounts).select("account_id"), "account_id", "left_semi").join(merged.select("category_id", "entity_id", "code", "kind"), ["category_id", "entity_id"], "left")
+    own = own.withColumns({"section": section(F.col("kind"), F.col("direction")), "period": period_of(F.col("occurred_on")), "signed_cents": signed(F.col("direction"), F.col("cents"))})
+    names = merged.groupBy("code").agg(F.first("name").alias("name")).withColumnRenamed("code", "line")
+    cells = matrix(own, start, end).join(names, "line", "left").select("section", "line", "name", "period", "cents")
+    months = monthly(own, accounts, start, end)
+    frame = F.array(*[F.struct(F.lit(n).alias("line"), F.col(n).alias("cents")) for n in ("opening", "net", "closing")])
+    balance = months.select("period", F.inline(frame)).select(F.lit("balance").alias("section"), "line", F.lit(None).cast("string").alias("name"), "period", "cents")
+    return cells.unionByName(balance)
+
+
+def warnings(entries: DataFrame, accounts: DataFrame, chart: DataFrame, start: str, end: str) -> DataFrame:
+    """(code, subject, n): what a reader of the cash flow should know.
+
+    empty-month: a month of the range without an entry in a cash account (n 0).
+    dropped-account: an account that isn't cash, or isn't known, with entries in the range,
+    which the flow leaves out; subject is the account, n its entries. late-opening: a cash
+    account whose opening is dated after the range's start, yet counted (where accounts
+    have opened_on). uncategorised: n entries of cash accounts in the range without a category.
+    """
+    a, b = F.lit(start).cast("date"), F.last_day(F.lit(end).cast("date"))
+    inside = entries.where(F.col("occurred_on").between(a, b))
+    cash = cash_accounts(accounts).select("account_id", F.lit(True).alias("_cash"))
+    judged = inside.join(cash, "account_id", "left")
+    own = judged.where("_cash").groupBy(period_of(F.col("occurred_on")).alias("period")).agg(F.count("*").alias("n"), F.count(F.when(F.col("category_id").isNull(), 1)).alias("bare"))
+    row = lambda code, subject, n: [F.lit(code).alias("code"), subject.cast("string").alias("subject"), n.cast("long").alias("n")]
+    empty = period_axis(entries.sparkSession, start, end).join(own, "period", "left").where("n is null").select(*row("empty-month", F.col("period"), F.lit(0)))
+    dropped = judged.where("_cash is null").groupBy("account_id").agg(F.count("*").alias("n")).select(*row("dropped-account", F.col("account_id"), F.col("n")))
+    bare = own.agg(F.sum("bare").alias("n")).where("n > 0").select(*row("uncategorised", F.lit(None), F.col("n")))
+    out = empty.unionByName(dropped).unionByName(bare)
+    if "opened_on" in accounts.columns:
+        out = out.unionByName(cash_accounts(accounts).where(F.col("opened_on") > a).select(*row("late-opening", F.col("account_id"), F.lit(1))))
+    return out

@@ -54,6 +54,13 @@ def detect(charges: DataFrame, key: str, as_of: str) -> DataFrame:
     return found.select(key, "charges", "typical", "gap_days", "cadence", "first_on", "last_on", active.alias("active"), monthly.alias("monthly_cost"))
 
 
+def last_charge(charges: DataFrame, found: DataFrame, key: str, shown: list[str]) -> DataFrame:
+    """found (of detect) with `shown` columns (label, category, account) of each supplier's last charge that counts: not far from the typical amount; of one day, the greatest amount, then the greatest values."""
+    own = charges.join(found.select(key, "typical"), key).where(F.abs(F.col("cents") - F.col("typical")) <= mul_ratio(F.col("typical"), F.lit(SPREAD), F.lit(100)))
+    last = own.groupBy(key).agg(F.max(F.struct("occurred_on", "cents", *shown)).alias("_last"))
+    return found.join(last, key).select(*found.columns, *[F.col(f"_last.{c}").alias(c) for c in shown])
+
+
 def total(found: DataFrame) -> DataFrame:
     """One row (subscriptions, monthly_total, yearly_total) of those that are active."""
     of = F.coalesce(F.sum("monthly_cost"), F.lit(0))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json import extract_json
 
 REPLY = "array<struct<ref:string,category_code:string,client_id:string,person_id:string,confidence:double,reasoning:string>>"
-#: Fields of a contract draft.
-DRAFT = ["client", "title", "type", "total", "monthly", "start_date", "end_date", "method", "payment_terms", "notes"]
+#: Fields of a contract draft, as replies name them; kinds of contract; signs of a snippet that are kept.
+DRAFT = ["clientName", "name", "type", "totalValue", "monthlyValue", "startDate", "endDate", "billingTerms", "paymentTerms", "scope"]
+KINDS, SNIPPET = ["retainer", "project"], 400
 
 
 def prompt_batches(subjects: DataFrame, size: int = 120) -> DataFrame:
@@ -25,8 +26,16 @@ def prompt_batches(subjects: DataFrame, size: int = 120) -> DataFrame:
 CONTRACT_SIGNS, CUT = 60_000, "[...documento truncado...]"
 
 
+def contract_rules() -> str:
+    """What a model is told before a contract."""
+    return f"""Extract the main terms of a service contract. Reply with one JSON object and nothing else.
+Each field found is {{"value": ..., "snippet": ...}}: the value as the contract writes it, neither converted nor computed, and the words it stands in, 200 signs at most.
+Leave out what the contract does not say. Dates stay as written. type is one of: {", ".join(KINDS)}.
+Fields: {", ".join(DRAFT)}."""
+
+
 def contract_prompts(contracts: DataFrame) -> DataFrame:
-    """(id, prompt) of contract texts (id, text)."""
+    """(id, prompt) of contract texts (id, text); contract_rules() goes before each as the system's part."""
     t = F.trim("text")
     cut = F.when(F.length(t) > CONTRACT_SIGNS, F.concat(t.substr(1, CONTRACT_SIGNS), F.lit(f"\n\n{CUT}"))).otherwise(t)
     return contracts.select("id", F.concat(F.lit("CONTRATO\n\n"), F.coalesce(cut, F.lit(""))).alias("prompt"))
@@ -53,8 +62,37 @@ def checked_replies(replies: DataFrame, subjects: DataFrame, chart: DataFrame) -
     return rows.select("import_id", "ref", "category_code", "confidence", reason.alias("reason"))
 
 
+def _text(v: Column) -> Column:
+    """A JSON value as text: of a string what is left without the spaces around it, of a number its shortest form; null for anything else, and for nothing."""
+    kind, said = F.schema_of_variant(v), F.trim(F.try_variant_get(v, "$", "string"))
+    number = F.try_variant_get(v, "$", "double")
+    short = F.when(number == F.floor(number), F.try_variant_get(v, "$", "decimal(38,0)").cast("string")).otherwise(number.cast("string"))
+    return F.when((kind == "STRING") & (said != ""), said).when((kind == "BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.coalesce(short, number.cast("string")))
+
+
 def contract_draft(replies: DataFrame) -> DataFrame:
-    """(id, field, value, snippet, missing) of the ten fields of each draft reply (id, reply)."""
-    found = F.from_json(extract_json(F.col("reply")), "map<string,struct<value:string,snippet:string>>")
-    rows = replies.select("id", found.alias("d")).select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col("d")[n]["value"].alias("value"), F.col("d")[n]["snippet"].alias("snippet")) for n in DRAFT])).alias("r"))
-    return rows.select("id", "r.*").withColumn("missing", F.coalesce(F.trim("value") == "", F.lit(True)))
+    """(id, field, value, snippet, missing, warning) of the ten fields of each draft reply (id, reply).
+
+    A field is an object of value and snippet, or a bare value, which has no snippet. Null,
+    blank and other values are missing, and so is a type that is neither of KINDS. Without a
+    JSON object, all are missing.
+
+    warning: no snippet (the value can't be checked against the contract), unknown type, or null.
+    """
+    whole = F.try_parse_json(extract_json(F.col("reply")))
+    rows = replies.select("id", whole.alias("d")).select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.try_variant_get("d", f"$.{n}", "variant").alias("v")) for n in DRAFT])).alias("r")).select("id", "r.*")
+    held = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    value = F.when(held, _text(F.try_variant_get("v", "$.value", "variant"))).otherwise(_text(F.col("v")))
+    rows = rows.select("id", "field", value.alias("value"), F.substring(F.when(held, _text(F.try_variant_get("v", "$.snippet", "variant"))), 1, SNIPPET).alias("snippet"))
+    strange = (F.col("field") == "type") & ~F.col("value").isin(KINDS)
+    warning = F.when(strange, "unknown type").when(F.col("value").isNotNull() & F.col("snippet").isNull(), "no snippet")
+    return rows.select("id", "field", F.when(~F.coalesce(strange, F.lit(False)), F.col("value")).alias("value"), F.when(F.col("value").isNotNull() & ~F.coalesce(strange, F.lit(False)), F.col("snippet")).alias("snippet"), warning.alias("warning")).select(
+        "id", "field", "value", "snippet", F.col("value").isNull().alias("missing"), "warning")
+
+
+def draft_warnings(replies: DataFrame) -> DataFrame:
+    """(id, warning) of replies as wholes: no json, no object, no fields; those that are neither have no row."""
+    own = replies.select("id", F.schema_of_variant(F.try_parse_json(extract_json(F.col("reply")))).alias("kind"))
+    found = contract_draft(replies).groupBy("id").agg(F.max(~F.col("missing")).alias("any"))
+    warning = F.when(F.col("kind").isNull(), "no json").when(~F.col("kind").startswith("OBJECT"), "no object").when(~F.col("any"), "no fields")
+    return own.join(found, "id").select("id", warning.alias("warning")).where("warning is not null")

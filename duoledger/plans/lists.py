@@ -245,13 +245,36 @@ def f39_contract(spark, sf_dir):
     return replies.contract_prompts(d).select("id", F.sha2("prompt", 256).alias("hash"))
 
 
-@query("f38_contract_draft", """SELECT c_custkey AS id, unnest(['client', 'title', 'type', 'total', 'monthly', 'start_date', 'end_date', 'method', 'payment_terms', 'notes']) AS field, unnest([c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE ' ' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL]) AS value,
-  unnest([c_custkey % 3 = -1, c_custkey % 3 = 0, true, true, true, true, true, true, true, true]) AS missing FROM customer""")
+#: Replies of each kind: whole fields, a bare value, a number, a blank, a type that is none, text around, a list, no JSON.
+DRAFTS = [
+    """'Here: ' || '{"clientName": {"value": "' || c_name || '", "snippet": "between"}, "type": {"value": "retainer", "snippet": "s"}, "scope": null}'""",
+    """'{"clientName": "' || c_name || '", "totalValue": 12500, "monthlyValue": {"value": 99.5, "snippet": " per month "}, "type": "project"}'""",
+    """'{"name": {"value": " ' || c_mktsegment || ' "}, "type": {"value": "other", "snippet": "x"}, "endDate": "  ", "scope": ["a"], "billingTerms": true}'""",
+    """'[{"clientName": "' || c_name || '"}]'""", "'no contract of ' || c_name", """'{"title": {"value": "' || c_name || '"}, "paymentTerms": {"snippet": "alone"}, "startDate": {"value": "01/02/2024", "snippet": 7}}'"""]
+DRAFTED = "WITH told AS (SELECT c_custkey AS id, CASE c_custkey % 6 " + " ".join(f"WHEN {k} THEN {d}" for k, d in enumerate(DRAFTS)) + """ END AS reply FROM customer),
+f AS (SELECT id, unnest(['clientName', 'name', 'type', 'totalValue', 'monthlyValue', 'startDate', 'endDate', 'billingTerms', 'paymentTerms', 'scope']) AS field, CASE WHEN id % 6 IN (1, 2, 5) THEN reply WHEN id % 6 = 0 THEN substr(reply, 7) END::JSON AS j FROM told),
+v AS (SELECT id, field, CASE WHEN json_type(j->field) = 'OBJECT' THEN j->field->'value' ELSE j->field END AS v, CASE WHEN json_type(j->field) = 'OBJECT' THEN j->field->'snippet' END AS s FROM f),
+t AS (SELECT id, field, CASE WHEN json_type(v) IN ('VARCHAR', 'UBIGINT', 'DOUBLE') THEN nullif(trim(v->>'$'), '') END AS value, CASE WHEN json_type(s) IN ('VARCHAR', 'UBIGINT', 'DOUBLE') THEN nullif(trim(s->>'$'), '') END AS snippet FROM v),
+k AS (SELECT *, coalesce(field = 'type' AND value NOT IN ('retainer', 'project'), false) AS strange FROM t)"""
+
+
+def _told(spark, sf_dir):
+    c = proxy.table(spark, sf_dir, "customer")
+    reply = F.expr("CASE c_custkey % 6 " + " ".join(f"WHEN {k} THEN {d}" for k, d in enumerate(DRAFTS)) + " END")
+    return c.select(F.col("c_custkey").alias("id"), reply.alias("reply"))
+
+
+@query("f38_contract_draft", DRAFTED + """ SELECT id, field, CASE WHEN NOT strange THEN value END AS value, CASE WHEN NOT strange AND value IS NOT NULL THEN snippet END AS snippet, value IS NULL OR strange AS missing,
+  CASE WHEN strange THEN 'unknown type' WHEN value IS NOT NULL AND snippet IS NULL THEN 'no snippet' END AS warning FROM k""")
 def f38(spark, sf_dir):
-    """Drafts that name the client, and a title in two of three."""
+    """Drafts from replies of each kind."""
     from ..operators import replies
 
-    field = lambda c: F.struct(c.alias("value"), F.lit("s").alias("snippet"))
-    draft = F.struct(field(F.col("c_name")).alias("client"), field(F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).otherwise(" ")).alias("title"))
-    told = proxy.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Here: "), F.to_json(draft)).alias("reply"))
-    return replies.contract_draft(told).select("id", "field", "value", "missing")
+    return replies.contract_draft(_told(spark, sf_dir))
+
+
+@query("f38_draft_warnings", "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 3 THEN 'no object' ELSE 'no json' END AS warning FROM customer WHERE c_custkey % 6 IN (3, 4)")
+def f38_warnings(spark, sf_dir):
+    from ..operators import replies
+
+    return replies.draft_warnings(_told(spark, sf_dir))
