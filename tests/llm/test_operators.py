@@ -189,6 +189,55 @@ def test_neighbours_of_isolated_pairs(spark):
     assert all(got[9000 + i].n_links == 2 and got[9000 + i].component_id == 9000 for i in range(3))
 
 
+def by_brute_force(v, label):
+    """Links of each row, and the least row that each reaches."""
+    d = v.astype(np.float32).astype(np.float64)
+    d /= np.linalg.norm(d, axis=1)[:, None]
+    linked = (d @ d.T >= 0.93) & (np.array(label)[:, None] == label)
+    np.fill_diagonal(linked, False)
+    group = np.arange(len(v))
+    while True:
+        low = np.minimum(group, np.where(linked, group, len(v)).min(1))
+        if (low == group).all():
+            return linked.sum(1).tolist(), group.tolist()
+        group = low
+
+
+@pytest.mark.parametrize("block", [4096, 60])
+def test_large_groups_are_counted_by_shells(spark, monkeypatch, block):
+    """A tight group, a loose one and a chain, of more nodes than a block; ids of two labels are two nodes."""
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    tight, loose = rng.normal(size=(2, 16))
+    turn = np.linspace(0, 1.5, 90)[:, None]
+    chain = np.cos(turn) * np.eye(16)[0] + np.sin(turn) * np.eye(16)[1]
+    v = np.concatenate([tight + rng.normal(0, 0.08, (150, 16)), loose + rng.normal(0, 0.22, (150, 16)), chain, rng.normal(size=(60, 16))])
+    rows = [(i, x, i % 2 if i >= 390 else 0) for i, x in enumerate(v.astype(np.float32).tolist())]
+    links, group = by_brute_force(v, [r[2] for r in rows])
+    got = by_id(neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), "vec_id", "embedding", "label"))
+    assert [got[i].n_links for i in range(450)] == links and [got[i].component_id for i in range(450)] == group and {r.recall for r in got.values()} == {1.0}
+    two = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 1), (4, [0.01, 1.0], 1), (5, [1.0, 0.0], 1)]
+    got = by_id(neighbours.near_duplicates(spark.createDataFrame(two, "vec_id long, embedding array<float>, label int"), "vec_id", "embedding", "label"))
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {1: (3, 1), 2: (1, 1), 3: (2, 1), 4: (2, 1), 5: (0, 5)}
+
+
+def test_links_come_through_descent_and_its_audit(spark, monkeypatch):
+    """Without descent nothing is linked, and the audit says so aloud; without enough seeds, it asks for more."""
+    rng = np.random.default_rng(7)
+    v = np.repeat(rng.normal(size=(40, 16)), 2, axis=0) + rng.normal(0, 0.02, (80, 16))
+    table = spark.createDataFrame([(i, x, 0) for i, x in enumerate(v.astype(np.float32).tolist())], "vec_id long, embedding array<float>, label int")
+    with monkeypatch.context() as m:
+        m.setattr(neighbours, "descend", lambda nodes, graph, *_: graph.where("false"))
+        m.setattr(neighbours, "TURNS", 1)
+        with pytest.raises(RuntimeError, match="missing"):
+            neighbours.near_duplicates(table, "vec_id", "embedding", "label")
+    turns, real = [], neighbours.seeds
+    monkeypatch.setattr(neighbours, "seeds", lambda nodes, sizes, turn, tables: (turns.append(tables), real(nodes, sizes, turn, tables) if turn else real(nodes, sizes, 0, 1).where("false"))[1])
+    got = by_id(neighbours.near_duplicates(table, "vec_id", "embedding", "label"))
+    links, group = by_brute_force(v, [0] * 80)
+    assert turns[:2] == [6, 12] and [got[i].n_links for i in range(80)] == links and [got[i].component_id for i in range(80)] == group
+
+
 def test_language(spark, odd, none):
     said = {"en": "the cat and the dog of this house with that thing", "de": "der hund und die katze mit einem schönen haus nicht", "fr": "le chat et la maison avec une très belle chose où"}
     rows = [(f"{x}{i}", " ".join(np.random.default_rng(i).permutation(t.split())), x if i % 7 else None, f"h{i % 3}.{x}", x) for x, t in said.items() for i in range(40)]
