@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from .common import release, stored_by
 
 #: Characters of text in a chunk: the rows that share one dictionary of words.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Words of documents that are compressed together.
-TOGETHER = 100_000
+TOGETHER = 50_000
 COLUMNS = ["chunk", "bucket", "at", "words", "train", "ids", "counts", "weights"]
 
 
