@@ -23,13 +23,20 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 SCOPES = frozenset("ul ol dl table tr tbody thead article section div main aside nav header footer form blockquote body html".split())
 #: Elements, roles and words of class and id names that are never the article.
 NOT_ARTICLE = frozenset("nav footer aside form button select dialog menu head object video audio canvas".split())
-#: Of these, those that stand in a line of text.
-INLINE_BOXES = frozenset("button select object video audio canvas".split())
+#: Boxes that stand in a line of text, whatever of them is shown.
+INLINE_BOXES = frozenset("audio button canvas datalist input link meta meter object output param picture progress select source track video".split())
+#: What may stand in a paragraph and leaves it open.
+WITHIN = INLINE | INLINE_BOXES | (RAW - {"xmp"})
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-NOT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|sidebar\w*|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|masthead|site-?header|page-?header|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|sign-?up|login|popup|modal|overlay|"
-    r"widgets?|toolbar|pagination|pager|skip-?links?|paywall)(?:$|[\s_-])", re.I)
+NOT_NAMES = frozenset(
+    "ad ads adsense cookie cookies consent gdpr notice notices alert alerts menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus reply replies respond "
+    "share sharing social related newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager paywall skiplink skiplinks".split())
+NOT_STEMS = ("advert", "sponsor", "promo", "banner", "sidebar", "recommend")
+NOT_PAIRS = frozenset("side-bar site-header page-header sign-up skip-link skip-links log-in".split())
+#: Words that such a name may have beside it and stay one: ad-slot, related-posts, site-footer; but not share-price.
+AROUND = frozenset(
+    "a about and area article articles aside author bar block body bottom box btn button buttons card cards center col column container content count desktop div element fixed float form global grid group header heading holder icon icons "
+    "in inner item items left link links list login main media mobile module more outer page panel post posts primary right row secondary section single site slot small sticky stories story sub tabs text thread title top ui unit up wrap wrapper".split())
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"\s+")
@@ -58,11 +65,22 @@ def _element(tag: str, attributes: str) -> tuple[str, bool]:
     return _elements.setdefault((tag, attributes), _judged(tag, attributes))
 
 
+def not_article(names: str) -> bool:
+    """Whether one of the names of class and id is made of a word that is never the article and words that stand around it."""
+    for name in names.split():
+        parts = [w.rstrip("0123456789") for w in re.split("[-_]+", re.sub("(?<=[a-z0-9])(?=[A-Z])", "-", name).lower())]
+        parts = [w for w in parts if w]
+        never = [w in NOT_NAMES or w.startswith(NOT_STEMS) for w in parts]
+        if "-".join(parts) in NOT_PAIRS or (any(never) and all(n or w in AROUND for n, w in zip(never, parts, strict=True))):
+            return True
+    return False
+
+
 def _judged(tag: str, attributes: str) -> tuple[str, bool]:
     found = {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')}"
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    own = tag not in ("body", "html", "main", "article") and bool(NOT_NAMES.search(names)) or tag == "article" and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.I))
+    own = tag not in ("body", "html", "main", "article") and not_article(names) or tag == "article" and bool({"comment", "comments"} & set(names.lower().split()))
     return tag + "".join(f".{c}" for c in sorted(found.get("class", "").split())), tag in NOT_ARTICLE or found.get("role", "").lower() in NOT_ROLES or hidden or own
 
 
@@ -94,7 +112,7 @@ def parse(text: str) -> Page:
                 if tag in INLINE and own not in INLINE:
                     break
             continue
-        ends = CLOSES.get(tag, {"p"} if tag not in INLINE else ())
+        ends = CLOSES.get(tag, () if tag in WITHIN else {"p"})
         if any(open_[t] for t in ends):
             for i in range(len(stack) - 1, 0, -1):
                 own = page.tags[stack[i]]

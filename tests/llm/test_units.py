@@ -269,6 +269,21 @@ def test_blocks_of_pages():
     assert texts_of("") == [] and texts_of("<p>x<div>y") == ["x", "y"] and texts_of("a<nav>b</nav>c <button>d</button>e") == ["a", "c e"]
 
 
+def test_paragraphs_hold_what_may_stand_in_them():
+    for tag in ("svg", "script", "style", "noscript", "iframe", "math", "template", "textarea", "object", "video", "select", "button"):
+        assert texts_of(f"<p>click <{tag} a=1><b>not</b></{tag}> here</p><p>on") == ["click here", "on"]
+    assert texts_of("<p>one <input> two <img> three <link> four<xmp>x</xmp>five") == ["one two three four", "five"]
+
+
+@pytest.mark.parametrize(("names", "gone"), [
+    ("ad", True), ("ad-slot", True), ("adSlot2", True), ("related-posts", True), ("site-header", True), ("comment-list", True), ("sidebar_left", True), ("cookieConsent", True), ("x promo__box", True), ("advertisement", True), ("skip-link", True),
+    ("share-price", False), ("related-work", False), ("comment-culture", False), ("header", False), ("content main", False), ("adventure", False), ("social-history", False), ("load", False), ("", False)])
+def test_names_of_what_is_no_article(names, gone):
+    assert wrappers.not_article(names) is gone
+    assert texts_of(f'<div><p>before</p><div class="{names}"><p>this</p></div></div>') == ["before"] + ([] if gone else ["this"])
+    assert texts_of('<article class="comment-culture"><h1 class="share-price">T</h1><p>x') == ["T", "x"]
+
+
 def texts_of(html):
     page = wrappers.parse(html)
     return [t for _, t in wrappers.blocks(page, wrappers.skeleton(page)[2])]
