@@ -71,9 +71,14 @@ def card_date(day_month: Column, reference: Column) -> Column:
     return F.when(this <= reference, this).otherwise(before)
 
 
+def local_day(at: Column) -> Column:
+    """The day in São Paulo of a moment (a timestamp in UTC)."""
+    return F.from_utc_timestamp(at, "America/Sao_Paulo").cast("date")
+
+
 def today(as_of: str | None = None) -> Column:
     """The day of a report: given, or that of the clock in São Paulo."""
-    return F.lit(as_of).cast("date") if as_of else F.from_utc_timestamp(F.current_timestamp(), "America/Sao_Paulo").cast("date")
+    return F.lit(as_of).cast("date") if as_of else local_day(F.current_timestamp())
 
 
 def period_axis(spark, start: str, end: str) -> DataFrame:

@@ -72,11 +72,13 @@ def s11(spark, sf_dir):
     return own.select("account_id", "type", "opening_cents", F.row_number().over(Window.partitionBy("entity_id").orderBy("type", "account_id")).alias("place"))
 
 
-@query("s12_categories", f"WITH {SQL_CHART} SELECT category_id::BIGINT AS category_id, code, name, row_number() OVER (ORDER BY sort_order, code)::INTEGER AS place FROM chart WHERE kind <> 'transfer'")
+@query("s12_categories", SQL_LEDGER + """ SELECT c.category_id::BIGINT AS category_id, code, name, row_number() OVER (ORDER BY sort_order, code)::INTEGER AS place, count(e.cents)::BIGINT AS entries
+FROM chart c LEFT JOIN entries e ON e.category_id = c.category_id WHERE kind <> 'transfer' GROUP BY c.category_id, code, name, sort_order""")
 def s12(spark, sf_dir):
-    """Categories in the order of the chart, which is a few rows."""
+    """Categories in the order of the chart, which is a few rows, with how many entries have them."""
     own = proxy.chart(spark).where("kind <> 'transfer'")
-    return own.select("category_id", "code", "name", F.row_number().over(Window.orderBy("sort_order", "code")).alias("place"))
+    used = proxy.entries(spark, sf_dir).groupBy("category_id").agg(F.count("*").alias("entries"))
+    return own.join(used, "category_id", "left").select("category_id", "code", "name", F.row_number().over(Window.orderBy("sort_order", "code")).alias("place"), F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
 @query("s16_staged", "SELECT user_id AS import_id, event_id AS id, event_type AS description FROM events WHERE user_id = 5 AND event_type IN ('view', 'click')")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("cash", "accrual", "contracts", "imports", "values", "tables", "lists", "flows", "ordered", "levels", "applied", "overviews")
+MODULES = ("cash", "accrual", "contracts", "imports", "values", "tables", "lists", "flows", "ordered", "levels", "applied", "overviews", "papers")
 
 
 def query(name: str, sql: str | None = None):

@@ -80,8 +80,9 @@ def matrix(report: DataFrame, line: str, column: str, value: str, columns: list)
 
 
 def export_csv(report: DataFrame, path: str, money: list[str]) -> None:
-    """A distributed report as CSV files, money columns shown as money."""
-    shown = report.select(*[format_money(F.col(c)).alias(c) if c in money else F.col(c) for c in report.columns])
+    """A distributed report as CSV files, each with a byte-order mark and a header, money columns shown as money."""
+    first = report.columns[0]
+    shown = report.select(*[(format_money(F.col(c)) if c in money else F.col(c)).alias(f"\ufeff{c}" if c == first else c) for c in report.columns])
     shown.write.option("sep", ";").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 

@@ -24,14 +24,11 @@ ROLES = {
 
 
 def role_of(header: Column) -> Column:
-    """Role of a header: of the name it equals, or else begins with."""
+    """Role of a header: of the name it equals, or else begins with; of several, the first."""
     h = normalize_header(header)
-    role = F.lit(None).cast("string")
-    for exact in (False, True):  # the exact names stand outermost and so win
-        for name, heads in reversed(list(ROLES.items())):
-            for head in reversed(heads):
-                role = F.when(h == head if exact else h.startswith(head + " "), name).otherwise(role)
-    return role
+    heads = F.array(*[F.struct(F.lit(head).alias("head"), F.lit(name).alias("role")) for name, own in ROLES.items() for head in own])
+    first = lambda fits: F.get(F.filter(heads, fits), F.lit(0))["role"]
+    return F.coalesce(first(lambda x: x["head"] == h), first(lambda x: h.startswith(F.concat(x["head"], F.lit(" ")))))
 
 
 def parse_statement(cells: DataFrame, file: str = "path") -> DataFrame:

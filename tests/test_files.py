@@ -27,6 +27,11 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "x.csv")).collect()] == [("a", "b;c"), ("d", None)]
 
 
+def test_report_files_begin_with_a_mark(spark, tmp_path):
+    sinks.export_csv(spark.createDataFrame([("a;b", 123456)], "name string, cents long").coalesce(1), str(tmp_path / "r"), ["cents"])
+    assert next((tmp_path / "r").glob("*.csv")).read_bytes().decode() == '﻿name;cents\n"a;b";1.234,56\n'
+
+
 def test_statement(spark):
     table = [["Conta 1"], ["Data", "Lançamento", "Valor (R$)", "Saldo (R$)"], ["01/02/2026", "PIX", "-10,00", None], ["01/02/2026", "SALDO", None, "90,00"], ["02/02/2026", "RES APLIC AUT MAIS", "5,00", None], ["x", "y", "1,00", None], ["03/02/2026", "z", "0,00", None], ["04/02/2026", "VENDA", "1.000,00", None]]
     cells = [("f", i, j, v) for i, row in enumerate(table) for j, v in enumerate(row) if v is not None]
