@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +48,11 @@ def trigrams(text: str, letters: np.ndarray) -> tuple[np.ndarray, int]:
     return (grams % np.uint32(BUCKETS))[letter[1:-1]].astype(np.int32), int(letter.sum())
 
 
+def constant(values: list, kind: str) -> Column:
+    """An array of any length as one expression."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def chunks(text: str) -> Iterator[str]:
     for i in range(0, len(text), CHUNK):
         yield text[i : i + CHUNK]
@@ -66,10 +71,9 @@ def learn(rows: DataFrame, languages: list[str], beta: float = 0.5) -> TextModel
             yield pd.DataFrame({"declared": language, "bucket": hit.astype("int32"), "n": n[hit].astype("int64")})
 
     found = rows.mapInPandas(run, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n"))
+    found = found.select(F.array_position(constant(languages, "string"), F.col("declared")).cast("int").alias("at"), "bucket", "n").toArrow()
     counts = np.zeros((BUCKETS, len(languages)))
-    at = {v: i for i, v in enumerate(languages)}
-    for r in found.collect():
-        counts[r["bucket"], at[r["declared"]]] = r["n"]
+    counts[found["bucket"].to_numpy(), found["at"].to_numpy() - 1] = found["n"].to_numpy()
     logp = np.log((counts + beta) / (counts.sum(0) + beta * BUCKETS))
     return TextModel(languages, (logp - logp.mean(1, keepdims=True)).astype(np.float32))
 
@@ -104,7 +108,7 @@ def confirmed(teach: DataFrame) -> list[str]:
     if len(codes) < 2:
         return codes
     told = text_scores(teach.where("fold = 1").select("text", "declared"), learn(teach.where("fold = 0").select("text", "declared"), codes))
-    told = told.where("n > 0").withColumn("told", F.element_at(F.array(*map(F.lit, codes)), F.array_position("ll", F.array_max("ll")).cast("int")))
+    told = told.where("n > 0").withColumn("told", F.element_at(constant(codes, "string"), F.array_position("ll", F.array_max("ll")).cast("int")))
     share = told.groupBy("declared").agg(F.avg((F.col("told") == F.col("declared")).cast("double")).alias("share")).collect()
     return sorted(r["declared"] for r in share if r["share"] >= CONFIRMED) or codes
 
@@ -123,7 +127,8 @@ def identify(rows: DataFrame) -> DataFrame:
     Null and empty texts, and texts without letters, rest on the other evidence and are not
     accepted. Null or unknown declared values, hosts and suffixes are values of their own.
     Ties go to the first language by code point. Repeated rows get equal results. Where no
-    language is declared anywhere, language is null. Key columns pass through.
+    language is declared anywhere, language is null. Very long texts are counted in pieces of a
+    megabyte; how much one text may say is limited (MOST_EVIDENCE). Key columns pass through.
     """
     own = [c for c in rows.columns if c not in ("text", "declared", "host", "suffix")]
     rows = rows.withColumn("declared", F.lower(F.regexp_extract(F.coalesce("declared", F.lit("")), r"^\s*([A-Za-z]+)", 1)))
@@ -140,28 +145,25 @@ def identify(rows: DataFrame) -> DataFrame:
     scored = stored(text_scores(rows, model), "language")
     scored = scored.withColumn("declared", F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(""))
     scored = scored.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("suffix", F.coalesce("suffix", F.lit("")))
-    names = F.array(*map(F.lit, languages))
+    names, many = constant(languages, "string"), len(languages)
     decided = (F.col("n") >= LEAST_TRIGRAMS) & (F.col("letters") >= LEAST_LETTERS * F.col("chars"))
     scored = scored.withColumn("text_at", F.when(decided, (F.array_position("ll", F.array_max("ll")) - 1).cast("int")))
 
-    counts = [F.sum((F.col("text_at") == i).cast("long")).alias(f"l{i}") for i in range(len(languages))]
-    n = F.array(*[F.coalesce(F.col(f"l{i}"), F.lit(0)).cast("double") for i in range(len(languages))])
-    hosts = scored.groupBy("suffix", "host").agg(*counts)
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"l{i}").alias(f"l{i}") for i in range(len(languages))])
-    everywhere = suffixes.agg(*[F.sum(f"l{i}").alias(f"l{i}") for i in range(len(languages))]).first()
-    root = np.array([everywhere[f"l{i}"] or 0 for i in range(len(languages))], float) + 1
-    root = F.array(*[F.lit(float(x)) for x in root / root.sum()])
-    suffixes = suffixes.select("suffix", _smoothed(n, root, 50.0).alias("above"))
-    hosts = hosts.join(small(suffixes, 100_000), "suffix").select("suffix", "host", _smoothed(n, F.col("above"), 10.0).alias("prior"))
-    goes_with = {(r["declared"], r["text_at"]): r["count"] for r in scored.where("text_at is not null").groupBy("declared", "text_at").count().collect()}
-    kinds = ["", *languages]
-    table = []
-    for i in range(len(languages)):
-        column = np.array([goes_with.get((d, i), 0) + (2.0 if d == languages[i] else 0.2) for d in kinds])
-        table.append(column / column.sum())
-    likelihood = F.array(*[F.array(*[F.lit(math.log(table[i][k])) for i in range(len(languages))]) for k in range(len(kinds))])
-    scored = scored.join(small(hosts, 200_000), ["suffix", "host"])
-    scored = scored.withColumn("said", F.element_at(likelihood, F.array_position(F.array(*map(F.lit, kinds)), F.col("declared")).cast("int")))
+    # counts stand as maps from languages to numbers, so plans and tables don't grow with the square of the languages
+    of = lambda found, *key: found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.when(F.col("text_at").isNotNull(), F.struct("text_at", "n")))).alias("found"), F.coalesce(F.sum(F.when(F.col("text_at").isNotNull(), F.col("n"))), F.lit(0.0)).alias("total"))
+    n = F.expr(f"transform(sequence(0, {many - 1}), i -> coalesce(found[i], 0D))")
+    each = stored(scored.groupBy("suffix", "host", "declared", "text_at").agg(F.count("*").cast("double").alias("n")), "evidence")
+    summed = lambda *key: each.groupBy(*key, "text_at").agg(F.sum("n").alias("n"))
+    everywhere = np.zeros(many)
+    for r in summed().where("text_at is not null").collect():
+        everywhere[r["text_at"]] = r["n"]
+    root = constant(((everywhere + 1) / (everywhere + 1).sum()).tolist(), "double")
+    suffixes = of(summed("suffix"), "suffix").select("suffix", _smoothed(n, root, 50.0).alias("above"))
+    hosts = of(summed("suffix", "host"), "suffix", "host").join(small(suffixes, 100_000), "suffix").select("suffix", "host", _smoothed(n, F.col("above"), 10.0).alias("prior"))
+    kinds = rows.sparkSession.createDataFrame([(-1, ""), *enumerate(languages)], "own int, declared string")
+    likely = F.expr(f"transform(sequence(0, {many - 1}), i -> ln((coalesce(found[i], 0D) + if(i = own, 2D, 0.2D)) / (sums[i] + {2 + 0.2 * many}D)))")
+    said = kinds.join(of(summed("declared"), "declared"), "declared", "left").withColumn("sums", constant(everywhere.tolist(), "double")).select("declared", likely.alias("said"))
+    scored = scored.join(small(hosts, 200_000), ["suffix", "host"]).join(F.broadcast(said), "declared")  # a row for each language
     scored = scored.withColumn("most", F.array_max("ll"))
     log = F.expr(f"""transform(ll, (x, i) -> greatest((x - most) * {TEMPER}D, -{MOST_EVIDENCE}D) + ln(prior[i]) + said[i])""")
     scored = scored.withColumn("log", log).withColumn("best", F.array_max("log"))
@@ -171,7 +173,8 @@ def identify(rows: DataFrame) -> DataFrame:
 
 
 def _smoothed(n: Column, above: Column, strength: float) -> Column:
-    return F.transform(F.arrays_zip(n.alias("n"), above.alias("a")), lambda x: (x["n"] + strength * x["a"]) / (F.aggregate(n, F.lit(0.0), lambda s, v: s + v) + strength))
+    """Shares of counts n, of sum total, pulled toward those of the level above."""
+    return F.transform(F.arrays_zip(n.alias("n"), above.alias("a")), lambda x: (x["n"] + strength * x["a"]) / (F.col("total") + strength))
 
 
 def pages_as_rows(pages: DataFrame) -> DataFrame:
@@ -190,4 +193,5 @@ def documents_as_rows(docs: DataFrame) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and all pages, each with its language; a row has a doc_id or a page_id."""
     docs = documents_as_rows(read(spark, sf_dir, "documents")).withColumn("page_id", F.lit(None).cast("long"))
-    return identify(docs.unionByName(pages_as_rows(read(spark, sf_dir, "pages")).withColumn("doc_id", F.lit(None).cast("long"))))
+    pages = stored(pages_as_rows(read(spark, sf_dir, "pages")), "page_rows")  # cleaned once, read three times
+    return identify(docs.unionByName(pages.withColumn("doc_id", F.lit(None).cast("long"))))

@@ -375,3 +375,13 @@ def test_rare_languages_are_known_and_wrong_codes_are_not(spark):
     rows = [(f"{x}{i}", " ".join(np.random.default_rng(i).permutation(t.split())), x, "h", None) for x, t in said.items() for i in range(1200 if x == "en" else 16)]
     got = langid.identify(spark.createDataFrame(rows, "key string, text string, declared string, host string, suffix string"))
     assert {(r.k, r.language) for r in got.select(F.substring("key", 1, 2).alias("k"), "language").distinct().collect()} == {("en", "en"), ("pl", "pl"), ("zz", "en")}
+
+
+def test_many_languages(spark):
+    """Eighty codes of ten rows each: what is planned doesn't grow with their square, and texts are told by their own letters."""
+    code = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    rows = [(f"{k}-{i}", " ".join(f"{code(k)}{chr(97 + x % 26)}{code(k)}" for x in np.random.default_rng(i).integers(0, 26, 12)), code(k) if i < 9 else None, f"h{k % 3}", None) for k in range(80) for i in range(10)]
+    found = langid.identify(spark.createDataFrame(rows, "key string, text string, declared string, host string, suffix string"))
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+    got = {r.key: r.language for r in found.collect()}
+    assert len(got) == 800 and sum(language == code(int(key.split("-")[0])) for key, language in got.items()) > 780
