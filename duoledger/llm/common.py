@@ -41,7 +41,7 @@ def n_words(col: Column) -> Column:
 
 
 #: Rows and bytes of a batch that a Python task holds at once.
-BATCH_ROWS, BATCH_BYTES = 2500, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2500, 2 << 20
 
 
 def bounded(spark: SparkSession) -> None:
