@@ -434,7 +434,8 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
 
     Null texts and texts without words have the empty set, are linked with nothing and
     are their own component. Rows of a null id are linked with nothing and have a null
-    component. Rows that repeat an id are one document. Ids are whole numbers. An empty
+    component. Rows that repeat an id are one document. Ids are whole numbers. Very long
+    texts are whole sets, at eight bytes an element in their task. An empty
     table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession

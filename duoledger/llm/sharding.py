@@ -32,13 +32,14 @@ def shard(docs: DataFrame, id_col: str, text_col: str, shards: int = 16, vnodes:
     a cell that finds every shard full goes to the least loaded one. A cell holds about
     total / cells bytes, so the walk over cells is bounded by a parameter, not by the
     data, and shards differ by about a cell. A further shard takes about a tenth of the
-    bytes of 16, a fifteenth being the least: what others give up goes to it, and cells that
-    had overflowed move back. Slots are offsets of cells plus places in a
+    bytes of 16, a seventeenth being the least: what others give up goes to it, and cells that
+    had overflowed move back. Rows of equal texts are no group: their ids deal them out. Slots are offsets of cells plus places in a
     cell, so no task holds a shard.
 
     Null texts have size 1 and the checksum of nothing (0), and count like empty ones. Null
     ids are rows like others (the text is hashed too). Repeated rows get slots of their
-    own. An empty table gives no rows. Other columns are ignored.
+    own. Very long texts are rows of a large size; they are measured and never moved. An empty
+    table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(

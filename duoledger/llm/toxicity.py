@@ -244,7 +244,8 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFram
     """(id, score, evidence, n_passages, passages): of every row of docs.
 
     passages: start and end token and score of each significant segment. Null and empty
-    texts, and texts without letters, have no passages and the score of no evidence. Ties
+    texts, and texts without letters, have no passages and the score of no evidence. Very long
+    texts are scanned whole, in time of their length. Ties
     and repeated rows are scored alike; the row's other columns are ignored.
     """
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
