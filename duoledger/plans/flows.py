@@ -106,7 +106,7 @@ def p18(spark, sf_dir):
     """Bills and statements, some of which name another account than the one that was chosen."""
     a = proxy.accounts(spark, sf_dir)
     k = F.col("account_id")
-    text = lambda n: F.lpad(n.cast("string"), 4, "0")
+    text = lambda n: F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(4)), "0")  # noqa: E731  lpad cuts what is longer
     own = a.withColumns({"number": F.concat(text(k), F.lit("-1")), "last_digits": F.when(k % 10 != 0, text(k))})
     told = own.select(k.alias("import_id"), "account_id", F.when(k % 3 == 0, "card_invoice").otherwise("statement").alias("kind"), F.when(k % 7 == 0, text(k + 1)).otherwise(text(k)).alias("said_digits"),
                       F.when(k % 5 == 0, F.concat(text(k), F.lit("-2"))).otherwise(F.concat(text(k), F.lit("1"))).alias("said_number"))
