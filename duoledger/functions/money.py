@@ -55,6 +55,16 @@ def allocate(rows: DataFrame, key: list[str], order: str, total: str, weight: st
     return rows.withColumn(out, F.when(F.col(total) < 0, -part).otherwise(part).cast("long")).drop("_sum", "_rest", "_part")
 
 
+def allocate_listed(rows: DataFrame, total: str, weights: str, out: str = "shares") -> DataFrame:
+    """As allocate, of rows that list their weights: an array of shares, of earlier weights first where remainders tie. Nothing is shuffled; weights sum to less than 3e9."""
+    rows = rows.withColumn("_s", F.expr(f"nullif(aggregate({weights}, 0L, (a, w) -> a + w), 0L)"))
+    rows = rows.withColumns({"_q": F.expr(f"abs({total}) div _s"), "_r": F.expr(f"abs({total}) % _s")})
+    rows = rows.withColumn("_rests", F.expr(f"transform({weights}, (w, i) -> named_struct('less', -((_r * w) % _s), 'i', i))"))
+    rows = rows.withColumn("_up", F.expr("transform(slice(array_sort(_rests), 1, cast(aggregate(_rests, 0L, (a, x) -> a - x.less) div _s as int)), x -> x.i)"))
+    part = F.expr(f"transform({weights}, (w, i) -> sign({total}) * (_q * w + (_r * w) div _s + if(array_contains(_up, i), 1, 0)))").cast("array<long>")
+    return rows.withColumn(out, part).drop("_s", "_q", "_r", "_rests", "_up")
+
+
 def let(value: Column, f) -> Column:
     """f(value), with value computed once however often f uses it."""
     return F.element_at(F.transform(F.array(value), f), 1)

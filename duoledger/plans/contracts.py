@@ -8,6 +8,7 @@ from ..functions.calendar import period_of
 from ..functions.money import allocate, cents
 from ..operators import recognition as rec
 from ..sources import proxy
+from ..sources.store import parts_for, written
 from .registry import query
 
 THROUGH = "1999-06-01"
@@ -49,10 +50,16 @@ def contracts(spark, sf_dir):
         (F.col("o_orderkey") % 3 != 0).alias("prorate"))
 
 
+def dealt(spark, sf_dir, rows):
+    """rows by contract, in parts that grow in number with the contracts and not in size; what is grouped, ordered or joined by contract then stays in its part."""
+    return rows.repartition(parts_for(proxy.table(spark, sf_dir, "orders")), "contract_id")
+
+
 def reports(spark, sf_dir):
     from pyspark.sql import Window
 
-    shipped = proxy.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("contract_id"), period_of(F.col("l_shipdate").cast("date")).alias("period")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    lines = proxy.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("contract_id"), period_of(F.col("l_shipdate").cast("date")).alias("period"), F.col("l_quantity").cast("long").alias("q"))
+    shipped = dealt(spark, sf_dir, lines).groupBy("contract_id", "period").agg(F.sum("q").alias("q"))
     w = Window.partitionBy("contract_id")
     upto = F.sum("q").over(w.orderBy("period").rowsBetween(Window.unboundedPreceding, 0)) - F.when(F.month("period") == 3, F.col("q")).otherwise(0)
     share = F.floor((upto * 100_000).cast("decimal(20,0)") / (F.sum("q").over(w) + F.col("contract_id") % 5)).cast("long")
@@ -65,11 +72,12 @@ def straight(spark, sf_dir):
 
 
 def poc(spark, sf_dir):
-    return contracts(spark, sf_dir).where("method = 'poc' and status <> 'draft'")
+    return dealt(spark, sf_dir, contracts(spark, sf_dir).where("method = 'poc' and status <> 'draft'"))
 
 
 def recognised(spark, sf_dir):
-    rows = rec.straight_monthly(straight(spark, sf_dir), "1999-06-30").unionByName(rec.straight_total(straight(spark, sf_dir), THROUGH))
+    own = dealt(spark, sf_dir, straight(spark, sf_dir))
+    rows = rec.straight_monthly(own, "1999-06-30").unionByName(rec.straight_total(own, THROUGH))
     return rows.unionByName(rec.poc_deltas(poc(spark, sf_dir), reports(spark, sf_dir)).where("cumulative <> previous").select("contract_id", "period", "cents"))
 
 
@@ -137,14 +145,14 @@ SELECT contract_id, contracted::BIGINT AS contracted, recognised::BIGINT AS reco
   CASE WHEN contracted IS NOT NULL THEN greatest(recognised - contracted, 0) END::BIGINT AS to_invoice FROM j""")
 def c12(spark, sf_dir):
     """Every fifth contract has no total: those of a monthly fee are worth its months, the others an unknown sum."""
-    own = contracts(spark, sf_dir).withColumn("total_cents", F.when(F.col("contract_id") % 5 != 1, F.col("total_cents")))
+    own = dealt(spark, sf_dir, contracts(spark, sf_dir)).withColumn("total_cents", F.when(F.col("contract_id") % 5 != 1, F.col("total_cents")))
     return rec.deferred(own, recognised(spark, sf_dir))
 
 
 @query("a13_deferred_by_client", RECOGNISED + """, done AS (SELECT contract_id, sum(cents) AS recognised FROM recognised GROUP BY 1)
 SELECT client_id, sum(greatest(total_cents - coalesce(recognised, 0), 0))::BIGINT AS to_recognise, sum(greatest(coalesce(recognised, 0) - total_cents, 0))::BIGINT AS to_invoice FROM contracts c LEFT JOIN done d ON c.contract_id = d.contract_id GROUP BY 1""")
 def a13(spark, sf_dir):
-    own = contracts(spark, sf_dir)
+    own = dealt(spark, sf_dir, contracts(spark, sf_dir))
     return rec.deferred(own, recognised(spark, sf_dir)).join(own.select("contract_id", "client_id"), "contract_id").groupBy("client_id").agg(F.sum("to_recognise").alias("to_recognise"), F.sum("to_invoice").alias("to_invoice"))
 
 
@@ -160,7 +168,7 @@ def c13(spark, sf_dir):
                                                              F.when(F.col("l_returnflag") == "R", "cancelled").otherwise("issued").alias("status"))
     receipts = proxy.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("contract_id"), F.col("o_orderdate").cast("date").alias("occurred_on"), cents(F.col("o_totalprice")).alias("cents"),
                                                            F.when(F.col("o_orderkey") % 9 == 0, "out").otherwise("in").alias("direction"))
-    return rec.reconcile(recognised(spark, sf_dir), invoices, receipts)
+    return rec.reconcile(recognised(spark, sf_dir), dealt(spark, sf_dir, invoices), dealt(spark, sf_dir, receipts))
 
 
 EXISTING = """, existing AS (SELECT contract_id, period, sum(cents) + CASE WHEN contract_id % 4 = 0 THEN 1 ELSE 0 END AS cents, contract_id % 5 = 0 AS manually_edited FROM recognised WHERE contract_id % 7 <> 0 GROUP BY contract_id, period
@@ -174,11 +182,12 @@ SELECT coalesce(p.contract_id, e.contract_id) AS contract_id, coalesce(p.period,
 FROM plan p FULL JOIN existing e ON p.contract_id = e.contract_id AND p.period = e.period""")
 def c11(spark, sf_dir):
     named = {"source": F.lit("engine"), "kind": F.lit("revenue")}
-    plan = recognised(spark, sf_dir).withColumns(named)
-    old = plan.where("contract_id % 7 <> 0").groupBy("contract_id", "period", "source", "kind").agg((F.sum("cents") + F.when(F.col("contract_id") % 4 == 0, 1).otherwise(0)).alias("cents"))
+    plan = written(recognised(spark, sf_dir).groupBy("contract_id", "period").agg(F.sum("cents").alias("cents")), "plan")
+    parts, plan = parts_for(plan, 400_000), plan.withColumns(named)
+    old = plan.where("contract_id % 7 <> 0").withColumn("cents", F.col("cents") + F.when(F.col("contract_id") % 4 == 0, 1).otherwise(0))
     extra = proxy.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("contract_id"), F.lit("2005-01-01").cast("date").alias("period"), F.lit(100).cast("long").alias("cents")).withColumns(named)
     old = old.unionByName(extra).withColumn("manually_edited", F.col("contract_id") % 5 == 0)
-    return rec.merge_actions(plan, old)
+    return rec.merge_actions(plan, old, parts)
 
 
 @query("k9_apply", RECOGNISED + EXISTING + """

@@ -12,7 +12,7 @@ from ..sources.proxy import SQL_CHART
 from .accrual import MIRROR, PAY, _categories, _pay, _subtotals, recognition
 from .cash import CLASSIFIED, END, START
 from .cash import rows as cash_rows
-from .contracts import CONTRACTS, RECOGNISED, contracts, recognised
+from .contracts import CONTRACTS, RECOGNISED, contracts, dealt, recognised
 from .imports import CHARGES, RECURRING, SUGGESTED, c15, charges
 from .registry import query
 
@@ -187,7 +187,7 @@ FROM contracts c LEFT JOIN done d ON c.contract_id = d.contract_id LEFT JOIN cli
 def c29_backlog(spark, sf_dir):
     from ..operators.recognition import deferred
 
-    own = contracts(spark, sf_dir)
+    own = dealt(spark, sf_dir, contracts(spark, sf_dir))
     return exports.backlog(deferred(own, recognised(spark, sf_dir)), own, _clients(spark, sf_dir))
 
 

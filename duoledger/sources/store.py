@@ -20,6 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def parts_for(table: DataFrame, rows: int = 30_000) -> int:
+    """Partitions for a shuffle of a stored table: as many as shuffle partitions, and more where these would hold more than so many of its rows each, so that a task's memory doesn't grow with the table."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // rows))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table: later steps read it, lost executors don't bring its making back, and what was drawn or numbered in it stays."""
     path = f"{shared_folder(df.sparkSession)}/duoledger/{name}-{uuid.uuid4().hex}"

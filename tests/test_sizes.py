@@ -1,11 +1,19 @@
 """Queries and operators on what only larger tables hold: long keys, many partitions, groups of many rows."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, TABLES, plain
 
-from duoledger.plans import registry
+from duoledger.functions import money
+from duoledger.operators import recognition
+from duoledger.plans import contracts, registry
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def against_sql(spark, folder, name):
@@ -26,3 +34,38 @@ def test_account_numbers_of_more_than_four_digits_stay_whole(spark, tmp_path):
     spark.read.parquet(str(SF / "nation.parquet")).write.parquet(str(tmp_path / "nation.parquet"))
     got, told = against_sql(spark, tmp_path, "p18_mismatches")
     assert got == told and len(got) == 70
+
+
+def test_listed_weights_are_allotted_as_rows_are(spark):
+    rng = random.Random(5)
+    data = [(i, rng.choice([0, -1, 1]) * rng.randrange(10**rng.randrange(1, 17)), [rng.choice([0, 1, 28, 30, 31]) for _ in range(rng.randrange(0, 40))]) for i in range(300)] + [(300, 100, [0, 0])]
+    df = spark.createDataFrame(data, "k long, total long, w array<long>")
+    got = {r.k: r.s for r in money.allocate_listed(df, "total", "w", "s").collect()}
+    told = {}
+    for r in money.allocate(df.select("k", "total", F.posexplode("w").alias("i", "x")), ["k"], "i", "total", "x").orderBy("k", "i").collect():
+        told.setdefault(r.k, []).append(r.share)
+    assert got == {k: told.get(k, []) for k, _, _ in data}
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["a14_reconciliation_totals", "c13_reconcile", "c12_deferred"])
+def test_parts_of_contracts_grow_in_number(spark, monkeypatch, name):
+    """Whatever is grouped by contract stays in the parts that contracts were dealt into; nothing meets in the session's few."""
+    monkeypatch.setattr(contracts, "parts_for", lambda table: 9)
+    plan = plan_of(registry.queries()[name](spark, str(SF)))
+    assert plan.count("hashpartitioning(contract_id") == plan.count(", 9), REPARTITION_BY_NUM") > 0
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no tables")
+def test_a_merge_meets_in_parts_that_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(contracts, "parts_for", lambda table, rows=0: 9)
+    plan = plan_of(registry.queries()["c11_merge_actions"](spark, str(SF)))
+    assert plan.count(", 9), REPARTITION_BY_NUM") == 1 == plan.count("Exchange hashpartitioning(")
+
+
+def test_a_merge_keeps_what_stands_twice_and_keys_with_a_null(spark):
+    plan = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (None, 8)], "contract_id long, cents long").withColumns({"period": F.lit("2026-01-01").cast("date"), "source": F.lit("a"), "kind": F.lit("b")})
+    old = spark.createDataFrame([(1, 11, False), (1, 12, True), (3, 1, None), (None, 8, False)], "contract_id long, cents long, manually_edited boolean").withColumns({"period": F.lit("2026-01-01").cast("date"), "source": F.lit("a"), "kind": F.lit("b")})
+    for parts in (None, 3):
+        got = sorted(((r.contract_id, r.planned, r.was, r.action) for r in recognition.merge_actions(plan, old, parts).collect()), key=str)
+        assert got == sorted([(1, 11, 11, "keep"), (1, 11, 12, "skip"), (2, 7, None, "insert"), (3, None, 1, "remove"), (None, 8, None, "insert"), (None, None, 8, "remove")], key=str)
