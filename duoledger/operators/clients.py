@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import basis_points
+from ..sources.store import written
 
 
-def revenue(received: DataFrame, recognised: DataFrame) -> DataFrame:
+def revenue(received: DataFrame, recognised: DataFrame, parts: int | None = None) -> DataFrame:
     """(level, client_id, period, received, recognised) from cash receipts and recognised revenue (client_id, period, cents).
 
     level: cell (client and month), client (all months), month (all clients), all. Rows
     without a client are a client of their own, the null one. Lines where both are
-    zero don't stand. One shuffle makes all levels.
+    zero don't stand. Cells are summed in so many parts, or as many as shuffle partitions, and
+    written; the other levels are sums of them.
     """
     one = lambda df, what: df.select("client_id", "period", F.lit(what).alias("what"), "cents")
     rows = one(received, "received").unionByName(one(recognised, "recognised"))
     part = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("cents"))), F.lit(0)).alias(what)
-    out = rows.cube("client_id", "period").agg(F.grouping_id("client_id", "period").alias("_id"), part("received"), part("recognised"))
+    rows = rows.repartition(parts, "client_id", "period") if parts else rows
+    cells = written(rows.groupBy("client_id", "period").agg(part("received"), part("recognised")), "cells")
+    more = cells.groupingSets([["client_id"], ["period"], []], "client_id", "period").agg(F.grouping_id("client_id", "period").alias("_id"), F.sum("received").alias("received"), F.sum("recognised").alias("recognised"))
+    out = more.unionByName(cells.withColumn("_id", F.lit(0).cast("long")))
     level = F.element_at(F.array(*map(F.lit, ("cell", "client", "month", "all"))), (F.col("_id") + 1).cast("int"))
     return out.where("received <> 0 or recognised <> 0").select(level.alias("level"), "client_id", "period", "received", "recognised")
 

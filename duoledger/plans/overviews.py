@@ -8,9 +8,10 @@ from ..functions.calendar import period_of
 from ..operators import cashflow, clients, recurrence
 from ..sources import proxy
 from ..sources.proxy import SQL_LEDGER
+from ..sources.store import parts_for
 from .accrual import PAY, _pay
 from .cash import END, START
-from .contracts import RECOGNISED, recognised
+from .contracts import RECOGNISED, dealt, recognised
 from .imports import RECURRING
 from .registry import query
 
@@ -66,7 +67,7 @@ def a9_two(spark, sf_dir):
 
     who = o.select(F.col("o_orderkey").alias("contract_id"), F.when(F.col("o_custkey") % 13 != 0, F.col("o_custkey")).alias("client_id"))
     received = o.select(F.when(F.col("o_custkey") % 13 != 0, F.col("o_custkey")).alias("client_id"), period_of(F.col("o_orderdate").cast("date")).alias("period"), cents(F.col("o_totalprice")).alias("cents"))
-    return clients.revenue(received, recognised(spark, sf_dir).join(who, "contract_id").select("client_id", "period", "cents"))
+    return clients.revenue(received, recognised(spark, sf_dir).join(dealt(spark, sf_dir, who), "contract_id").select("client_id", "period", "cents"), parts_for(o))
 
 
 @query("j7_margin_with_rest", PAY + """, people AS (SELECT s_suppkey AS person_id, CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey END AS client_id FROM supplier),
