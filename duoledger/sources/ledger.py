@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.approval import admitted
+from .store import parts_for, written
+
+
+#: Rows of a part of a batch, so that a task's memory doesn't grow with the ledger.
+ROWS = 400_000
 
 
 class Clash(ValueError):
@@ -53,7 +58,8 @@ class Ledger:
         self.spark.createDataFrame([(batch, state)], "batch string, state string").write.mode("append").parquet(f"{self.path}/log")
 
     def _finish(self, batch: str) -> None:
-        self._read(f"outcomes/{batch}", self._stored().schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.parts).parquet(f"{self.path}/rows")
+        rows = self._read(f"outcomes/{batch}", self._stored().schema)
+        rows.repartitionByRange(parts_for(rows, ROWS), *self.parts, *self.key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.parts).parquet(f"{self.path}/rows")
         self._logged(batch, "done")
 
     def _same(self, names: list[str]) -> Column:
@@ -75,18 +81,23 @@ class Ledger:
             self._finish(b)
         if batch in open_ or (batch, "done") in states:
             return batch in open_
-        own = actions.where(F.col("action").isin("insert", "update", "delete")).select("action", *self.columns)
-        now = self._stored()
-        met = own.select("action", *self.key).alias("a").join(now.where("_none is null").select(*self.key, *self.parts, F.lit(True).alias("_known")).alias("b"), self._same(self.key), "left")
-        known = F.col("_known").isNotNull()
-        reason = F.when((F.col("a.action") == "insert") & known, "inserted twice").when((F.col("a.action") != "insert") & ~known, "not there")
-        wrong = {r["reason"]: r["n"] for r in met.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).collect()}
-        again = own.groupBy(*self.key).count().where("count > 1").count()
-        if wrong or again:
-            raise Clash(f"{batch}: {wrong | ({'acted on twice': again} if again else {})}")
-        touched = met.where("_known").select(*[F.col(f"b.{p}").alias(p) for p in self.parts]).unionByName(own.where("action <> 'delete'").select(*self.parts)).distinct()
-        stay = now.where("_none is null").alias("a").join(touched.alias("b"), self._same(self.parts), "left_semi").alias("a").join(own.select(*self.key).alias("b"), self._same(self.key), "left_anti")
-        rows = stay.select(*self.columns).unionByName(own.where("action <> 'delete'").select(*self.columns)).withColumn("_none", F.lit(None).cast("boolean"))
+        own = written(actions.where(F.col("action").isin("insert", "update", "delete")).select("action", *self.columns), "actions")
+        now = self.rows()
+        row = F.struct(*self.columns)
+        both = own.select(*self.key, "action", row.alias("_row")).unionByName(now.select(*self.key, F.lit(None).cast("string").alias("action"), row.alias("_row")))
+        stood, acted, inserts = F.col("action").isNull(), F.count("action"), F.count(F.when(F.col("action") == "insert", 1))
+        met = both.repartition(max(parts_for(own, ROWS), parts_for(now, ROWS)), *self.key).groupBy(*self.key).agg(
+            acted.alias("_acted"), inserts.alias("_inserts"), (F.count(F.when(stood, 1)) > 0).alias("_known"), F.first(F.when(stood, F.col("_row")), True).alias("_old"), F.first(F.when(F.col("action") != "delete", F.col("_row")), True).alias("_new"))
+        met = written(met.drop(*self.key), "met")
+        known = F.col("_known")
+        sums = met.agg(*[F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(name) for name, c, n in (
+            ("inserted twice", known, F.col("_inserts")), ("not there", ~known, F.col("_acted") - F.col("_inserts")), ("acted on twice", F.col("_acted") > 1, F.lit(1)))]).first().asDict()
+        if wrong := {k: n for k, n in sums.items() if n}:
+            raise Clash(f"{batch}: {wrong}")
+        acted_on = met.where("_acted > 0")
+        touched = acted_on.where(known).select(*[f"_old.{p}" for p in self.parts]).unionByName(acted_on.where("_new is not null").select(*[f"_new.{p}" for p in self.parts])).distinct()
+        stay = met.where("_acted = 0").select("_old.*").alias("a").join(F.broadcast(touched).alias("b"), self._same(self.parts), "left_semi")  # as many as folders of the ledger
+        rows = stay.select(*self.columns).unionByName(acted_on.where("_new is not null").select("_new.*")).withColumn("_none", F.lit(None).cast("boolean"))
         filled = rows.select(*self.parts).distinct()
         empty = touched.alias("a").join(filled.alias("b"), self._same(self.parts), "left_anti").withColumn("_none", F.lit(True))
         rows.unionByName(empty, allowMissingColumns=True).write.mode("overwrite").parquet(f"{self.path}/outcomes/{batch}")
