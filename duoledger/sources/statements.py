@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,25 +64,46 @@ def layout(items: DataFrame, file: str = "path") -> DataFrame:
 
     Columns begin at crowded places (2-point bins that hold 4 % of the page's items, three at
     least) that are 190 points apart; items within 3 points of a line's first stand on it;
-    lines are read column by column. A page is one group, of the size of a page.
+    lines are read column by column. A page is one row that lists its items, and a task reads
+    many pages at once.
     """
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        bins = (rows["x"] // 2).astype(int).value_counts()
-        starts: list[float] = []
-        for b in sorted(bins[bins >= max(3, 0.04 * len(rows))].index):
-            if not starts or b * 2 - starts[-1] >= 190:
-                starts.append(b * 2.0)
-        rows = rows.assign(column_at=[max(sum(x >= s for s in starts) - 1, 0) for x in rows["x"]]).sort_values(["column_at", "y", "x"], ascending=[True, False, True], kind="stable")
-        at, lines, top, before = -1, [], None, None
-        for c, y in zip(rows["column_at"], rows["y"], strict=True):
-            if c != before or top - y > 3:
-                at, top, before = at + 1, y, c
-            lines.append(at)
-        rows = rows.assign(line_at=lines).sort_values(["line_at", "x"], kind="stable")
-        text = rows.groupby("line_at")["text"].transform(" ".join)
-        return rows.assign(line=text)[[file, "page", "line_at", "line", "column_at", "x", "y", "text"]]
-
-    return items.groupBy(file, "page").applyInPandas(page, f"{file} string, page int, line_at int, line string, column_at int, x double, y double, text string")
+    listed = items.groupBy(file, "page").agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "text")).alias("items"))
+    listed = listed.select(file, "page", F.col("items.x").alias("x"), F.col("items.y").alias("y"), F.col("items.text").alias("text"))
+    return listed.mapInPandas(partial(_pages, file), f"{file} string, page int, line_at int, line string, column_at int, x double, y double, text string")
+
+
+def _starts(x: np.ndarray) -> list[float]:
+    """Where the columns of a page begin."""
+    bins, n = np.unique((x // 2).astype(int), return_counts=True)
+    starts: list[float] = []
+    for b in bins[n >= max(3, 0.04 * len(x))].tolist():
+        if not starts or b * 2 - starts[-1] >= 190:
+            starts.append(b * 2.0)
+    return starts
+
+
+def _pages(file: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pages in batches:
+        out: dict[str, list] = {c: [] for c in ("line_at", "line", "column_at", "x", "y", "text")}
+        for x, y, text in zip(pages["x"], pages["y"], pages["text"], strict=True):
+            column = np.maximum(np.searchsorted(_starts(x), x, side="right") - 1, 0)
+            order = np.lexsort((x, -y, column))
+            at, lines, top, before = -1, [], None, None
+            for c, height in zip(column[order].tolist(), y[order].tolist(), strict=True):
+                if c != before or top - height > 3:
+                    at, top, before = at + 1, height, c
+                lines.append(at)
+            line_at = np.array(lines)
+            within = np.lexsort((x[order], line_at))
+            order, line_at = order[within], line_at[within].tolist()
+            words: list[list[str]] = [[] for _ in range(at + 1)]
+            for k, t in zip(line_at, shown := text[order].tolist(), strict=True):
+                words[k].append(t)
+            whole = [" ".join(w) for w in words]
+            for name, values in (("line_at", line_at), ("line", [whole[k] for k in line_at]), ("column_at", column[order].tolist()), ("x", x[order].tolist()), ("y", y[order].tolist()), ("text", shown)):
+                out[name] += values
+        n = pages["x"].str.len()
+        yield pd.DataFrame({file: pages[file].repeat(n).to_list(), "page": pages["page"].repeat(n).to_list(), **out})
 
 
 def parse_card(lines: DataFrame, reference: str, file: str = "path") -> DataFrame:

@@ -10,6 +10,7 @@ from test_queries import SF, TABLES, plain
 from duoledger.functions import money
 from duoledger.operators import recognition
 from duoledger.plans import contracts, registry
+from duoledger.sources import statements
 
 
 def plan_of(df):
@@ -69,3 +70,14 @@ def test_a_merge_keeps_what_stands_twice_and_keys_with_a_null(spark):
     for parts in (None, 3):
         got = sorted(((r.contract_id, r.planned, r.was, r.action) for r in recognition.merge_actions(plan, old, parts).collect()), key=str)
         assert got == sorted([(1, 11, 11, "keep"), (1, 11, 12, "skip"), (2, 7, None, "insert"), (3, None, 1, "remove"), (None, 8, None, "insert"), (None, None, 8, "remove")], key=str)
+
+
+def test_layout_reads_many_pages_at_once(spark):
+    """Lines of pages of one and two columns, by the letter; no page is a group of its own in Python."""
+    items = [(f"f{p % 7}", p, 40.0 + 300 * c + 60 * k, 700.0 - 12 * r - 2 * k, 50.0, f"{p}.{c}.{r}.{k}") for p in range(200) for c in range(1 + p % 2) for r in range(4) for k in range(2)]
+    df = spark.createDataFrame(items, "path string, page int, x double, y double, width double, text string").repartition(5)
+    laid = statements.layout(df)
+    assert "FlatMapGroupsInPandas" not in plan_of(laid) and "MapInPandas" in plan_of(laid)
+    got = {(r.path, r.page, r.line_at, r.column_at, r.line, r.x, r.y, r.text) for r in laid.collect()}
+    line = lambda p, c, r: f"{p}.{c}.{r}.0 {p}.{c}.{r}.1"
+    assert got == {(f, p, int(t.split(".")[1]) * 4 + int(t.split(".")[2]), int(t.split(".")[1]), line(p, *t.split(".")[1:3]), x, y, t) for f, p, x, y, _, t in items}
