@@ -274,9 +274,8 @@ def c22(spark, sf_dir):
              .otherwise(F.array(item(0, 10, opener), item(1, 10, t("DATA")), item(1, 60, t("ESTABELECIMENTO")), item(1, 300, t("VALOR EM R$")), item(2, 10, F.date_format("day", "dd/MM")), item(2, 60, F.concat(t("LOJA "), F.col("at").cast("string"))),
                                 item(2, 310, F.when(k != 3, F.col("amount"))), item(2, 480, t("7.220,00")), item(3, 60, t("SAO PAULO")))))
     rows = o.select("path", "at", F.inline(parts)).where("text is not null")
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda i: i["text"]), " ")
-    texts = rows.groupBy("path", "at", "sub").agg(line.alias("line"))
-    items = rows.join(texts, ["path", "at", "sub"]).select("path", F.lit(1).alias("page"), (F.col("at") * 4 + F.col("sub")).alias("line_at"), "line", F.lit(0).alias("column_at"), "x", (F.lit(700.0) - 12 * (F.col("at") * 4 + F.col("sub"))).alias("y"), "text")
+    lines = rows.groupBy("path", "at", "sub").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("_items"))
+    items = lines.select("path", "at", "sub", F.array_join("_items.text", " ").alias("line"), F.inline("_items")).select("path", F.lit(1).alias("page"), (F.col("at") * 4 + F.col("sub")).alias("line_at"), "line", F.lit(0).alias("column_at"), "x", (F.lit(700.0) - 12 * (F.col("at") * 4 + F.col("sub"))).alias("y"), "text")
     got = statements.parse_invoice(items, "1999-06-30")
     shown = F.when(F.col("kind") == "charge", F.col("description"))
     return got.select("path", F.expr("line_at div 4").alias("at"), "kind", shown.alias("shown"), "cents", "detail", "occurred_on")

@@ -147,7 +147,8 @@ def parse_invoice(items: DataFrame, reference: str, file: str = "path") -> DataF
     """
     item = F.struct("x", F.trim("text").alias("text"))
     lines = items.groupBy(file, "page", "line_at").agg(F.max("y").alias("y"), F.max("column_at").alias("column_at"), F.max("line").alias("line"), F.array_sort(F.collect_list(item)).alias("items"))
-    h = normalize_header(F.col("line"))
+    lines = lines.withColumn("_h", normalize_header(F.col("line")))  # once for all that it is compared with
+    h = F.col("_h")
     dated = F.element_at("items", 1)["text"].rlike(r"^\d{2}/\d{2}$")
     which = lambda pattern: F.filter("items", lambda i: i["text"].rlike(pattern))
     heading = F.when(F.size(which("(?i)^data$")) > 0, F.coalesce(F.get(which(r"(?i)^valor\s+em\s+r\$$"), F.lit(0))["x"], F.try_element_at(which(r"(?i)^r\$$"), F.lit(-1))["x"]))
@@ -162,14 +163,15 @@ def parse_invoice(items: DataFrame, reference: str, file: str = "path") -> DataF
     order = Window.partitionBy(file).orderBy("page", "line_at")
     down = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumns({"section": down(F.col("opens"), order), "card": down(F.col("names"), order), "at": down(F.col("heading"), Window.partitionBy(file, "column_at").orderBy("page", "line_at"))})
-    money = F.filter(F.transform("items", lambda i, k: F.struct(F.abs(i["x"] - F.col("at")).alias("off"), k.alias("k"), parse_money(F.regexp_replace(i["text"], r"\s", ""), ",").alias("cents"), i["text"].alias("text"))),
-                     lambda m: F.regexp_replace(m["text"], r"\s", "").rlike(r"^-?(R\$)?[\d.]*\d,\d{2}$"))
-    near = F.array_min(F.filter(money, lambda m: m["off"] <= AMOUNT_REACH))
-    rows = rows.withColumn("amount", F.when(F.col("at").isNull(), F.try_element_at(money, F.lit(-1))).otherwise(near))
+    amounts = F.filter(F.transform("items", lambda i, k: F.struct(F.abs(i["x"] - F.col("at")).alias("off"), k.alias("k"), F.regexp_replace(i["text"], r"\s", "").alias("bare"), i["text"].alias("text"))),
+                       lambda m: m["bare"].rlike(r"^-?(R\$)?[\d.]*\d,\d{2}$"))
+    rows = rows.withColumn("_amounts", F.when(F.col("what").isin("total", "tax", "dated"), amounts))  # no other line's amount counts
+    near = F.array_min(F.filter("_amounts", lambda m: m["off"] <= AMOUNT_REACH))
+    rows = rows.withColumn("amount", F.when(F.col("at").isNull(), F.try_element_at("_amounts", F.lit(-1))).otherwise(near)).withColumn("_cents", parse_money(F.col("amount.bare"), ","))
     day = F.lit(reference).cast("date")
     text = F.trim(F.array_join(F.transform(F.slice("items", 2, F.greatest(F.col("amount.k") - 1, F.lit(0))), lambda i: i["text"]), " "))
     tax, live = F.col("what") == "tax", F.coalesce(F.col("section").isin("charges", "international", "products"), F.lit(False))
-    rows = rows.withColumns({"description": F.when(tax, "Repasse de IOF").when(F.col("what") == "dated", text), "occurred_on": F.when(tax, day).when(F.col("what") == "dated", card_date(F.element_at("items", 1)["text"], day)), "cents": F.col("amount.cents")})
+    rows = rows.withColumns({"description": F.when(tax, "Repasse de IOF").when(F.col("what") == "dated", text), "occurred_on": F.when(tax, day).when(F.col("what") == "dated", card_date(F.element_at("items", 1)["text"], day)), "cents": F.col("_cents")})
     whole = F.coalesce((F.col("description") != "") & F.col("occurred_on").isNotNull() & F.col("cents").isNotNull(), F.lit(False))
     dated = F.col("what") == "dated"
     kind = (F.when(F.col("what") == "total", "total").when(tax & whole & (F.col("cents") != 0), "charge").when(dated & live & whole, "charge").when(dated & (live | (F.col("section") == "future")), "discarded"))
