@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_queries import SF, TABLES, plain
 
 from duoledger.functions import money
-from duoledger.operators import recognition
+from duoledger.operators import intervals, recognition
 from duoledger.plans import contracts, registry
 from duoledger.sources import statements
 
@@ -81,3 +81,13 @@ def test_layout_reads_many_pages_at_once(spark):
     got = {(r.path, r.page, r.line_at, r.column_at, r.line, r.x, r.y, r.text) for r in laid.collect()}
     line = lambda p, c, r: f"{p}.{c}.{r}.0 {p}.{c}.{r}.1"
     assert got == {(f, p, int(t.split(".")[1]) * 4 + int(t.split(".")[2]), int(t.split(".")[1]), line(p, *t.split(".")[1:3]), x, y, t) for f, p, x, y, _, t in items}
+
+
+def test_points_of_no_interval_are_left_out_before_they_are_spread(spark, monkeypatch):
+    points = spark.range(400).select((F.col("id") % 40).alias("k"), F.col("id").alias("at"))
+    terms = spark.createDataFrame([(k, 10 * k, 10 * k + n) for k in (1, 2, None) if k for n in (0, 5, 90)] + [(None, 1, 2)], "k long, a long, b long")
+    told = sorted((i % 40, i, a, b) for i in range(400) for k, a, b in [(k, 10 * k, 10 * k + n) for k in (1, 2) for n in (0, 5, 90)] if i % 40 == k and a <= i <= b)
+    for few in (100_000, 1):
+        monkeypatch.setattr(intervals, "FEW", few)
+        joined = intervals.in_interval(points, terms, ["k"], "at", "a", "b")
+        assert sorted((r.k, r.at, r.a, r.b) for r in joined.collect()) == told and "LeftSemi" in plan_of(joined)
