@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_queries import SF, TABLES, plain
 
 from duoledger.functions import money
-from duoledger.operators import intervals, recognition
+from duoledger.operators import clients, intervals, recognition
 from duoledger.plans import contracts, registry
 from duoledger.sources import statements
 
@@ -91,3 +91,10 @@ def test_points_of_no_interval_are_left_out_before_they_are_spread(spark, monkey
         monkeypatch.setattr(intervals, "FEW", few)
         joined = intervals.in_interval(points, terms, ["k"], "at", "a", "b")
         assert sorted((r.k, r.at, r.a, r.b) for r in joined.collect()) == told and "LeftSemi" in plan_of(joined)
+
+
+def test_levels_of_revenue_are_sums_of_stored_cells(spark):
+    rows = spark.createDataFrame([(c, m, c or 7) for c in (1, 2, None) for m in (1, 2)], "client_id long, m int, cents long").selectExpr("client_id", "make_date(2026, m, 1) as period", "cents")
+    got = clients.revenue(rows, rows.where("client_id = 2"), 5)
+    assert any("cells-" in f for f in got.inputFiles())
+    assert sorted((r.level, r.client_id, r.received, r.recognised) for r in got.where("level in ('client', 'all')").collect() if r.level == "all" or r.client_id) == [("all", None, 20, 4), ("client", 1, 2, 0), ("client", 2, 4, 4)]
