@@ -199,7 +199,11 @@ class Rows:
             if self.fine is not None:
                 near = similar_by(self.fine[x], self.fine[y], self.n[x], self.n[y], self.num, self.den)
                 x, y = x[near], y[near]
-            self.found.append(pd.DataFrame({"a": self.ids[x], "b": self.ids[y], "n": np.minimum(self.n[x], self.n[y])}))
+            if len(x):
+                self.found.append(self.pair(x, y))
+
+    def pair(self, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": self.ids[x], "b": self.ids[y], "n": np.minimum(self.n[x], self.n[y])})
 
     def across(self) -> None:
         """Compare the rows that are not of one known group; other pairs are never made."""
@@ -219,6 +223,27 @@ class Rows:
         return pd.concat(self.found) if self.found else pd.DataFrame({"a": self.ids[:0], "b": self.ids[:0], "n": self.n[:0]})
 
 
+class Bridges(Rows):
+    """Rows that keep one pair of any two groups, the closest by fine sketches: if it is a link, the others tell nothing. more is the number of the others, low the least n of all."""
+
+    def pair(self, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        far = sketch_distance(self.fine[x], self.fine[y]) / (self.n[x] + self.n[y])
+        g, h = self.groups[x], self.groups[y]
+        found = super().pair(x, y).assign(g=np.minimum(g, h), h=np.maximum(g, h), far=far, more=1)
+        return self.closest(found.assign(low=found["n"]))
+
+    def closest(self, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["g", "h", "far", "a", "b"], ignore_index=True)
+        of = found.groupby(["g", "h"], sort=False)
+        return found.assign(more=of["more"].transform("sum"), low=of["low"].transform("min"))[~found.duplicated(["g", "h"])]
+
+    def pairs(self) -> pd.DataFrame:
+        if not self.found:
+            return super().pairs().assign(low=self.n[:0], more=0)
+        found = self.closest(pd.concat(self.found))
+        return found.assign(more=found["more"] - 1)[["a", "b", "n", "low", "more"]]
+
+
 def _runs(parts: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Rows sorted by key in pieces that no run of a key crosses; where runs start, and their sizes."""
     held: pd.DataFrame | None = None
@@ -270,14 +295,14 @@ def _leaves(num: int, den: int):
     return run
 
 
-def _blocks(num: int, den: int):
-    """Of each pair of blocks of a dense region, the pairs across; of a block with itself, all."""
+def _blocks(num: int, den: int, kind: type[Rows] = Rows):
+    """Of each pair of blocks of a dense region, the pairs across that kind keeps; of a block with itself, all."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts, sizes in _runs(parts, ["element", "region", "b0", "b1"]):
             for s, m in zip(starts.tolist(), sizes.tolist(), strict=True):
                 part = rows.iloc[s : s + m]
-                own = Rows(part if part["b0"].iloc[0] != part["b1"].iloc[0] else part.drop(columns="block"), num, den)
+                own = kind(part if part["b0"].iloc[0] != part["b1"].iloc[0] else part.drop(columns="block"), num, den)
                 own.across()
                 yield own.pairs()
 
@@ -351,9 +376,16 @@ class Join:
         exact = pairs.join(one, "a").join(other, "b").where(common * self.den >= self.num * (F.size("ea") + F.size("eb") - common)).select("a", "b").distinct()
         exact = stored(exact, "links")
         self.links = exact if self.links is None else self.links.unionByName(exact)
-        self.groups = small(known_groups(self.links), BROADCAST)
         return exact.count()
 
+    def learn(self) -> None:
+        """Groups by near links, in one step."""
+        self.groups = small(known_groups(self.links), BROADCAST)
+
+    def join_up(self) -> None:
+        """Groups by all links, whole."""
+        self.groups = small(stored(components(self.links).select(F.col("node").alias("id"), F.col("component").alias("grp")), "groups"), BROADCAST)
+
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows with grp, the group that they are known to be in."""
         if self.groups is None:
@@ -392,6 +424,7 @@ class Join:
             pairs = parted.where("pivot is not null").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
             regions = parted.where("pivot is null").join(full.select("element", F.col("region").alias("parent")), ["element", "parent"], "left_anti").select(*key, "id", "n", "sketch", "home")
             self.verify(pairs)
+            self.learn()
 
     def starred(self, dense: DataFrame) -> DataFrame:
         """Compares dense regions with other pivots, turn by turn, as long as that links many of their rows: groups grow, and few rows are left whose pairs must be made."""
@@ -400,7 +433,7 @@ class Join:
             stats = self.pivoted(dense, turn)
             pairs = self.compared(dense, stats).where("pivot is not null").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
             found = self.verify(pairs)
-            self.groups = small(stored(components(self.links).select(F.col("node").alias("id"), F.col("component").alias("grp")), "known"), BROADCAST)
+            self.join_up()
             if found < STARRED * dense.join(small(stats.select("element", "region"), REGIONS), ["element", "region"], "left_semi").select("id").distinct().count() or not found:
                 return dense
             turn += 1
@@ -409,7 +442,7 @@ class Join:
         rows = self.placed(reduce(DataFrame.unionByName, leaves)).repartition("element", "region").sortWithinPartitions("element", "region")
         return rows.mapInPandas(_leaves(self.num, self.den), "a long, b long, n int")
 
-    def dense_pairs(self, dense: DataFrame) -> DataFrame:
+    def dense_pairs(self, dense: DataFrame, kind: type[Rows]) -> DataFrame:
         """Of dense regions, by fine sketches too: their rows are much alike."""
         settled = self.placed(dense).groupBy("element", "region").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("element", "region")
         rows = self.placed(dense.join(small(stored(settled, "open"), REGIONS), ["element", "region"], "left_semi")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
@@ -417,7 +450,39 @@ class Join:
         key = ["element", "region", "b0", "b1"]
         rows = rows.join(self.fine.select("id", "fine").dropDuplicates(["id"]), "id")
         rows = rows.select("element", "region", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "id", "n", "sketch", "fine", "home", "grp")
-        return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_blocks(self.num, self.den), "a long, b long, n int")
+        return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_blocks(self.num, self.den, kind), "a long, b long, n int" + ", low int, more long" * (kind is Bridges))
+
+    def settle(self, leaves: list[DataFrame], dense: DataFrame | None) -> DataFrame:
+        """Compares leaves and dense regions; (id, grp) of every row that has a link.
+
+        Of any two groups that meet in a dense region, one pair is verified first: where a
+        row is alike a whole group, that mostly settles all its pairs. Of groups that it
+        leaves apart, all pairs are made.
+        """
+        found, bridged = self.leaf_pairs(leaves).withColumns({"low": F.col("n"), "more": F.lit(0).cast("long"), "apart": F.lit(1)}), None
+        if dense is not None:
+            found = found.unionByName(self.dense_pairs(dense, Bridges).withColumn("apart", F.lit(0)))
+        met = stored(found.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("n").alias("n"), F.min("low").alias("low"), F.sum("more").alias("more"), F.sum("apart").alias("apart")), "met")
+        pairs = met.where(enough(self.num, self.den)).select("a", "b")
+        if dense is not None and met.where("more > 0").limit(1).count():
+            of = lambda end, g: self.placed(met.select(F.col(end).alias("id")).distinct()).select(F.col("id").alias(end), F.col("grp").alias(g))
+            between = stored(met.join(of("a", "g"), "a").join(of("b", "h"), "b").withColumns({"g": F.least("g", "h"), "h": F.greatest("g", "h")}), "between")
+            bridged = between.groupBy("g", "h").agg(F.sum("met").alias("met"), F.min("low").alias("n"), F.sum("more").alias("more")).where("more > 0").where(enough(self.num, self.den)).select("g", "h")
+            bridged = stored(bridged, "bridged")
+            pairs = pairs.unionByName(between.where("more > 0").join(bridged, ["g", "h"], "left_semi").select("a", "b"))
+        self.verify(pairs)
+        self.join_up()
+        if bridged is not None:
+            now = lambda g: self.placed(bridged.select(F.col(g).alias("id")).distinct()).select(F.col("id").alias(g), F.col("grp").alias(f"{g}_now"))
+            apart = bridged.join(now("g"), "g").join(now("h"), "h").where("g_now <> h_now").select(F.explode(F.array("g_now", "h_now")).alias("grp")).distinct()
+            apart = stored(apart, "apart")
+            if apart.limit(1).count():
+                rows = stored(self.placed(dense).join(small(apart, BROADCAST), "grp", "left_semi").select(*dense.columns), "dense")
+                again = stored(self.dense_pairs(rows, Rows).groupBy("a", "b").agg(F.count("*").alias("met"), F.min("n").alias("n")), "again")
+                again = again.join(met.where("apart > 0").select("a", "b", "apart"), ["a", "b"], "left").withColumn("met", F.col("met") + F.coalesce("apart", F.lit(0)))
+                self.verify(again.where(enough(self.num, self.den)))
+                self.join_up()
+        return self.groups
 
 
 def enough(num: int, den: int) -> Column:
@@ -458,11 +523,9 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     little, large = cells.where(F.col("m") <= LEAF).drop("m"), cells.where(F.col("m") > LEAF).drop("m")
     first = join.placed(little).repartition("element").sortWithinPartitions("element", F.xxhash64("id"))
     join.verify(first.mapInPandas(_stars(num, den), "a long, b long"))
+    join.learn()
     leaves, dense = join.part(large)
-    found = join.leaf_pairs([little, *leaves])
-    found = found if dense is None else found.unionByName(join.dense_pairs(dense))
-    join.verify(stored(found.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("n").alias("n")), "met").where(enough(num, den)))
-    groups = stored(components(join.links), "groups").select(F.col("node").alias("rep"), "component")
+    groups = join.settle([little, *leaves], dense).select(F.col("id").alias("rep"), F.col("grp").alias("component"))
     frequent.unpersist()
     return members.join(small(groups, BROADCAST), "rep", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 

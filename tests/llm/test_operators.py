@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from duoledger.llm import bpe, hmm, jaccard, langid, mixing, neighbours, sharding, toxicity, webp, wrappers
+from duoledger.llm import bpe, common, hmm, jaccard, langid, mixing, neighbours, sharding, toxicity, webp, wrappers
 
 LONG = "lorem ipsum dolor " * 30_000
 TEXTS = [None, "", "   ", "one", "One two three", "the quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy dog", "<|endoftext|> don't", "über Straße naïve", LONG]
@@ -113,6 +113,35 @@ def test_jaccard_of_large_cells(spark, monkeypatch, limits):
     assert [got[i].component_id for i in range(len(sets))] == group
 
 
+@pytest.mark.parametrize("worst", [False, True])
+def test_jaccard_of_groups_that_one_pair_does_not_settle(spark, monkeypatch, worst):
+    """Near copies at the bound, few of them linked by pivots: what the pair that stands for two groups leaves open is made whole; links are those of all pairs."""
+    monkeypatch.setattr(jaccard, "STARRED", 2)
+
+    class Farthest(jaccard.Bridges):
+        def closest(self, found):
+            return jaccard_closest(self, found.assign(far=-found["far"].abs()))
+
+    jaccard_closest = jaccard.Bridges.closest
+    if worst:
+        monkeypatch.setattr(jaccard, "Bridges", Farthest)
+    made, dense_pairs = [], jaccard.Join.dense_pairs
+    monkeypatch.setattr(jaccard.Join, "dense_pairs", lambda join, dense, kind: made.append((kind, common.stored(dense_pairs(join, dense, kind), "made"))) or made[-1][1])
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 3000, 100)]
+    texts = [" ".join(np.where(rng.random(100) < 0.018, f"new{i}", base)) for i in range(300)]
+    got = by_id(jaccard.similar(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "doc_id", "text", 5, 80, 100))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert [got[i].component_id for i in range(len(sets))] == group
+    assert made[0][0] is jaccard.Bridges and (len(made) == 2 or not worst)
+
+
 def test_bpe(odd, none):
     from tokenizers import Tokenizer
 

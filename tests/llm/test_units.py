@@ -236,6 +236,19 @@ def test_rows_of_a_known_group_are_never_paired(monkeypatch):
     assert sorted(zip(found["a"], found["b"], strict=True)) == [(i, m - 1) for i in range(m - 1)] and sum(made) < 10 * m
 
 
+def test_rows_alike_a_whole_group_make_one_pair_each(monkeypatch):
+    """Rows that a known group of near copies is yet to be linked with: one pair each leaves the task, whatever the group's size, and tells of the others."""
+    monkeypatch.setattr(jaccard, "PAIRS", 500)
+    m, k = 300, 7
+    rows = rows_of([0] * m + list(range(m, m + k)), element=5, region=0, b0=0, b1=0, block=0, fine=None)
+    own = np.random.default_rng(9).integers(0, 1 << 62, 100).astype(np.uint64)
+    rows["fine"] = [jaccard.sketch_of(np.concatenate([own[: 100 - i % 9], own[:1] + np.uint64(1 << 40) * np.arange(1, i % 9 + 1).astype(np.uint64)]), jaccard.FINE) for i in range(m + k)]
+    every, some = (pd.concat(jaccard._blocks(80, 100, kind)(iter([rows]))) for kind in (jaccard.Rows, jaccard.Bridges))
+    assert len(every) == m * k + k * (k - 1) // 2 and len(some) == k + k * (k - 1) // 2
+    assert (some["more"] + 1).sum() == len(every) and (some["low"] == 100).all()
+    assert all(i % 9 == j % 9 for i, j in zip(some["a"], some["b"], strict=True) if i < m)
+
+
 def test_across_makes_each_pair_of_two_groups_once(monkeypatch):
     monkeypatch.setattr(jaccard, "PAIRS", 50)
     groups, made = np.random.default_rng(10).integers(0, 5, 60), []
