@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, release
-from .dictionary import chunked, pack_numbers, unpack, unpack_numbers
+from .dictionary import chunked, numbers_of, pack_numbers, unpack, unpack_numbers
 
 #: The vocabulary's own split, with the white space of Unicode spelled out.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -110,32 +110,33 @@ def _encoded(fields):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         release()  # of what earlier groups held
         v, signs, done, out = Vocabulary(**fields.value), byte_signs(), {}, []
-        for chunk, at, blob in zip(rows["chunk"], rows["at"], rows["words"], strict=True):
+        for chunk, bucket, blob in zip(rows["chunk"], rows["bucket"], rows["words"], strict=True):
             flat, lengths = [], []
             for w in unpack(blob):
                 if w not in done:
                     done[w] = encode_word(w, v, signs)
                 flat += done[w]
                 lengths.append(len(done[w]))
-            out.append((chunk, at, pack_numbers(np.array(lengths, np.int64)), pack_numbers(np.array(flat, np.int64))))
-        return pd.DataFrame(out, columns=["chunk", "at", "lengths", "flat"])
+            out.append((chunk, bucket, pack_numbers(np.array(lengths, np.int64)), pack_numbers(np.array(flat, np.int64))))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "lengths", "flat"])
 
     return run
 
 
-def _joined(shown_as):
+def _joined(shown_as, buckets: int):
     """The ids of each document by the numbers of its words; the text that they decode to by the pieces of the ids."""
 
     def run(docs: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
         release()
         pieces = shown_as.value
-        at = [np.cumsum(unpack_numbers(x)) for x in tables["at"]]
         lengths = [unpack_numbers(x) for x in tables["lengths"]]
+        at = [numbers_of(b, len(x), buckets) for b, x in zip(tables["bucket"].tolist(), lengths, strict=True)]
         flat = [unpack_numbers(x) for x in tables["flat"]]
         if at:
             at, lengths, flat = np.concatenate(at), np.concatenate(lengths), np.concatenate(flat).astype(np.int32)
             ends = np.cumsum(lengths)
-            starts, n, texts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), [""] * len(at)
+            most = int(at.max()) + 1
+            starts, n, texts = np.zeros(most, np.int64), np.zeros(most, np.int64), [""] * most
             starts[at], n[at] = ends - lengths, lengths
             shown = [pieces[i] for i in flat.tolist()]
             for i, a, b in zip(at.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
@@ -182,10 +183,10 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     kind = dict(rows.dtypes)["id"]
     special = vocabulary.special
     chunks = chunked(rows.withColumn("weight", F.lit(0)), lambda: Splitter(special).words, buckets)
-    tables = chunks.where("bucket >= 0").select("bucket", "chunk", "at", "words").groupBy("bucket").applyInPandas(
-        _encoded(fields), "chunk string, at binary, lengths binary, flat binary")
+    tables = chunks.where("bucket >= 0").select("bucket", "chunk", "words").groupBy("bucket").applyInPandas(
+        _encoded(fields), "chunk string, bucket int, lengths binary, flat binary")
     own = chunks.where("bucket < 0").select("chunk", "ids", "counts", "words")
-    return own.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInPandas(_joined(pieces), f"id {kind}, ids array<int>, decoded string")
+    return own.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInPandas(_joined(pieces, buckets), f"id {kind}, ids array<int>, decoded string")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

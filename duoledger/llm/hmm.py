@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, stored, words
-from .dictionary import chunked, pack_numbers, unpack, unpack_numbers
+from .dictionary import chunked, numbers_of, pack_numbers, unpack, unpack_numbers
 
 #: Latent states; classes of rare words; share of all tokens from which a word is a class of its own (so 20,000 at most).
 STATES, RARE, OWN = 8, 4096, 5e-5
@@ -73,27 +73,27 @@ def _classed(own):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         table, sums, out = own.value, _train_counts(rows), []
-        for chunk, at, blob in zip(rows["chunk"], rows["at"], rows["words"], strict=True):
+        for chunk, bucket, blob in zip(rows["chunk"], rows["bucket"], rows["words"], strict=True):
             ws = unpack(blob)
             c = [sums[w] for w in ws]
             kinds = [table.get(w) or (rare_class(w) if n else UNKNOWN) for w, n in zip(ws, c, strict=True)]
-            out.append((chunk, at, pack_numbers(np.array(c, np.int64)), pack_numbers(np.array(kinds, np.int64))))
-        return pd.DataFrame(out, columns=["chunk", "at", "c", "classes"])
+            out.append((chunk, bucket, pack_numbers(np.array(c, np.int64)), pack_numbers(np.array(kinds, np.int64))))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "c", "classes"])
 
     return run
 
 
-def _sequences(fields):
+def _sequences(fields, buckets: int):
     """Documents as sequences of classes, with the parts of their scores that need the words' counts."""
 
     def run(docs: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
         e = Emission(**fields.value)
-        at = [np.cumsum(unpack_numbers(x)) for x in tables["at"]]
+        own_c, own_kinds = ([unpack_numbers(x) for x in tables[k]] for k in ("c", "classes"))
         c, kinds = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        if at:
-            at = np.concatenate(at)
-            c, kinds = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            c[at], kinds[at] = (np.concatenate([unpack_numbers(x) for x in tables[k]]) for k in ("c", "classes"))
+        if own_c:
+            at = np.concatenate([numbers_of(b, len(x), buckets) for b, x in zip(tables["bucket"].tolist(), own_c, strict=True)])
+            c, kinds = np.zeros(int(at.max()) + 1, np.int64), np.zeros(int(at.max()) + 1, np.int64)
+            c[at], kinds[at] = np.concatenate(own_c), np.concatenate(own_kinds)
         base = np.log10(e.base(c))
         within = base - np.log10(e.mass[kinds])
         end = float(np.log10(e.base(np.array([e.ends]))[0]))
@@ -265,7 +265,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, weight) -> DataFrame:
     kind = dict(rows.dtypes)["id"]
     chunks = chunked(rows, lambda: words, buckets)
     own = chunks.where("bucket < 0").select("chunk", "ids", "counts", "weights", "words")
-    dictionaries = chunks.where("bucket >= 0").select("bucket", "chunk", "at", "words", "train").groupBy("bucket")
+    dictionaries = chunks.where("bucket >= 0").select("bucket", "chunk", "words", "train").groupBy("bucket")
     sums = own.select(F.explode(F.arrays_zip("counts", "weights")).alias("d")).where("d.weights = 1").agg(F.sum("d.counts").alias("tokens"), F.count("*").alias("ends")).first()
     total, ends = (sums["tokens"] or 0) + sums["ends"], sums["ends"]
     found = stored(dictionaries.applyInPandas(_statistics(max(OWN * total, 1)), "word string, c long, piece int, sums binary"), "statistics")
@@ -281,9 +281,9 @@ def score(docs: DataFrame, id_col: str, text_col: str, weight) -> DataFrame:
     mass[[UNKNOWN, END]] = 0.5, ends + 0.5
     mass /= total + 0.5 * (distinct + 1)
     fields = spark.sparkContext.broadcast(vars(emission))
-    classed = dictionaries.applyInPandas(_classed(spark.sparkContext.broadcast(table)), "chunk string, at binary, c binary, classes binary")
+    classed = dictionaries.applyInPandas(_classed(spark.sparkContext.broadcast(table)), "chunk string, bucket int, c binary, classes binary")
     sequences = stored(own.groupBy("chunk").cogroup(classed.groupBy("chunk")).applyInPandas(
-        _sequences(fields), f"id {kind}, weight int, n_tokens long, n_known long, base_score double, within double, classes binary"), "sequences")
+        _sequences(fields, buckets), f"id {kind}, weight int, n_tokens long, n_known long, base_score double, within double, classes binary"), "sequences")
     model = train(sequences.where("weight = 1").select("classes"), first_model(mass / mass.sum()), mass / mass.sum())
     scored = sequences.mapInPandas(_scores(spark.sparkContext.broadcast(vars(model))), f"id {kind}, weight int, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))

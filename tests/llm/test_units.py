@@ -54,6 +54,25 @@ def test_numbers_round_trip():
     assert dictionary.unpack_numbers(dictionary.pack_numbers(np.zeros(0, int))).tolist() == []
 
 
+def test_many_numbers_round_trip_and_stay_small():
+    rng = np.random.default_rng(4)
+    for top in (2, 255, 256, 60_000, 1 << 16, 1 << 27):
+        a = np.append((rng.random(50_000) ** 9 * top).astype(np.int64), top)
+        assert (dictionary.unpack_numbers(dictionary.pack_numbers(a)) == a).all() and len(dictionary.pack_numbers(a)) < 0.95 * a.astype(np.uint16 if top < 1 << 16 else np.uint32).nbytes
+    a = rng.integers(0, 50_000, 50_000)
+    assert len(dictionary.pack_numbers(a)) <= 2 * len(a) + 100  # seven bits to a byte took 2.3 bytes each
+
+
+def test_numbers_of_words_follow_from_their_buckets():
+    numbers = dictionary.Numbers(48)
+    words = [f"w{x}" for x in np.random.default_rng(5).integers(0, 9000, 20_000)]
+    given = [numbers[w] for w in words]
+    assert len(set(given)) == len(numbers) == len(set(words)) and max(given) < numbers.end() < 1.5 * len(numbers)
+    for bucket, own in enumerate(numbers.by):
+        assert [numbers[w] for w in own] == dictionary.numbers_of(bucket, len(own), 48).tolist()
+    assert not {"at"} & set(dictionary.COLUMNS)
+
+
 def test_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
