@@ -37,6 +37,8 @@ SHARED = 64
 FREQUENT, MOST_FREQUENT = 64, 1 << 17
 #: Rows of a block of a dense region, which is dealt as pairs of blocks. Pairs of rows that are compared at once.
 BLOCK, PAIRS = 1024, 1 << 14
+#: A group with this share of the rows of a dense region has blocks of its own, which never meet.
+MAIN = 0.25
 #: Rows up to which a table of ids, or of regions with their pivots, is broadcast.
 BROADCAST, REGIONS = 1_000_000, 50_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -87,6 +89,11 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + least_shared(n, num, den) if n else 0
 
 
+def short_length(n: int, num: int, den: int) -> int:
+    """Elements of that prefix that are enough on one side: a set shares as many with the prefix of every similar set no smaller in its first n - ceil(2 t n / (1 + t)) + k, as they have at least ceil(2 t n / (1 + t)) in common."""
+    return n - -(-2 * num * n // (num + den)) + least_shared(n, num, den) if n else 0
+
+
 def prefix_of(own: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
     """The first elements of a sorted set in the order: those not frequent by hash, then the frequent by hash."""
     p = prefix_length(len(own), num, den)
@@ -136,8 +143,8 @@ def _records(k: int, num: int, den: int, frequent):
             rows = []
             for id_, text in zip(part["id"], part["text"], strict=True):
                 s = shingler.set_of(text)
-                rows.append((id_, len(s), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63), prefix_of(s, late, num, den).view(np.int64), sketch_of(s), sketch_of(s, FINE)))
-            yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2", "prefix", "sketch", "fine"])
+                rows.append((id_, len(s), short_length(len(s), num, den), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63), prefix_of(s, late, num, den).view(np.int64), sketch_of(s), sketch_of(s, FINE)))
+            yield pd.DataFrame(rows, columns=["id", "n", "short", "s1", "s2", "prefix", "sketch", "fine"])
 
     return run
 
@@ -175,20 +182,24 @@ def similar_by(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, num:
 
 
 class Rows:
-    """Rows of one or more regions: ids, set sizes, sketches, the groups that they are known to be in, whether the region is their home, and their blocks."""
+    """Rows of one or more regions: ids, set sizes, sketches, the groups that they are known to be in, whether the region is their home, their blocks, and whether the cell's element is in the short part of their prefix."""
 
     def __init__(self, rows: pd.DataFrame, num: int, den: int):
         self.ids, self.n, self.groups, self.home = (rows[c].to_numpy() for c in ("id", "n", "grp", "home"))
         self.sketches, self.num, self.den = sketches_of(rows["sketch"]), num, den
         self.fine = sketches_of(rows["fine"]) if "fine" in rows else None
         self.blocks = rows["block"].to_numpy() if "block" in rows else None
+        self.short = rows["short"].to_numpy() if "short" in rows else None
         self.found: list[pd.DataFrame] = []
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Keep the pairs of rows that sizes, sketches and groups do not rule out. A pair is made where its smaller id is at home, so once in a cell."""
+        """Keep the pairs of rows that sizes, sketches, groups and the smaller set's short part do not rule out. A pair is made where its smaller id is at home, so once in a cell."""
         keep = (self.groups[a] != self.groups[b]) & (self.ids[a] != self.ids[b])
         if self.blocks is not None:
             keep &= self.blocks[a] != self.blocks[b]
+        if self.short is not None:
+            m, n = self.n[a], self.n[b]
+            keep &= np.where(m <= n, self.short[a], True) & np.where(m >= n, self.short[b], True)
         a, b = a[keep], b[keep]
         for i in range(0, len(a), PAIRS):
             x, y = a[i : i + PAIRS], b[i : i + PAIRS]
@@ -327,6 +338,7 @@ def _parted(num: int, den: int):
         nearest = d.argmin(1)
         row, j = np.nonzero(d <= d.min(1, keepdims=True) + (2 * (n * (den - num) // num))[:, None])
         out = part[["element", "region", "id", "n", "sketch"]].iloc[row].rename(columns={"region": "parent"})
+        out["short"] = part["short"].to_numpy()[row] if "short" in part else True
         yield out.assign(region=out["parent"].to_numpy() * PIVOTS + j + 1, home=part["home"].to_numpy()[row] & (nearest[row] == j), pivot=pd.array([None] * len(row), dtype="Int64"))[COLUMNS]
         pid, pn, pg = (np.stack(part[c].to_numpy()).astype(np.int64) for c in ("pid", "pn", "pg"))
         x, y = np.maximum(n[:, None], pn), np.minimum(n[:, None], pn)
@@ -334,12 +346,12 @@ def _parted(num: int, den: int):
         order = np.where(near, pid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1), np.uint64((1 << 64) - 1))
         row = np.flatnonzero(near.any(1))
         pairs = pd.DataFrame({"id": part["id"].to_numpy()[row], "pivot": pid[row, order[row].argmin(1)]}).drop_duplicates()
-        yield pairs.assign(pivot=pairs["pivot"].astype("Int64"), element=0, parent=0, region=0, n=0, sketch=b"", home=False)[COLUMNS]
+        yield pairs.assign(pivot=pairs["pivot"].astype("Int64"), element=0, parent=0, region=0, n=0, sketch=b"", home=False, short=False)[COLUMNS]
 
     return run
 
 
-COLUMNS = ["element", "parent", "region", "id", "n", "sketch", "home", "pivot"]
+COLUMNS = ["element", "parent", "region", "id", "n", "sketch", "home", "short", "pivot"]
 
 
 def known_groups(links: DataFrame) -> DataFrame:
@@ -393,19 +405,20 @@ class Join:
         return rows.join(self.groups, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
 
     def pivoted(self, regions: DataFrame, turn: int) -> DataFrame:
-        """Regions that are not of one known group: rows, and PIVOTS of them by least hash, found by aggregation."""
-        pivots = [F.min_by(F.struct("id", "n", "grp", "sketch"), F.xxhash64("id", F.lit(turn * PIVOTS + j))).alias(f"p{j}") for j in range(PIVOTS)]
-        stats = self.placed(regions).groupBy("element", "region").agg(F.count("*").alias("rows"), F.min("grp").alias("low"), F.max("grp").alias("high"), F.max("home").alias("homes"), *pivots).where("low < high and homes")
+        """Regions that are not of one known group: rows, and PIVOTS of them, found by aggregation: by least hash, but from turn 1 on, of each class of hashes the row that is in the most regions (cells)."""
+        by_class = lambda j: F.struct((F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(PIVOTS)) + j) % PIVOTS, -F.col("cells"), F.xxhash64("id"))
+        pivots = [F.min_by(F.struct("id", "n", "grp", "sketch"), by_class(j) if turn else F.xxhash64("id", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
+        stats = self.placed(regions).groupBy("element", "region").agg(F.count("*").alias("rows"), F.min("grp").alias("low"), F.max("grp").alias("high"), F.max("home").alias("homes"), F.max("short").alias("shorts"), *pivots).where("low < high and homes and shorts")
         of = lambda f: F.array(*[F.col(f"p{j}")[f] for j in range(PIVOTS)])
         return stored(stats.select("element", "region", "rows", F.concat(*[F.col(f"p{j}")["sketch"] for j in range(PIVOTS)]).alias("pivots"), of("id").alias("pid"), of("n").alias("pn"), of("grp").alias("pg")), "regions")
 
     def compared(self, regions: DataFrame, stats: DataFrame) -> DataFrame:
         """Rows of the regions in the parts that their pivots make, and pairs with pivots."""
         rows = self.placed(regions).join(small(stats, REGIONS), ["element", "region"])
-        return rows.select("element", "region", "id", "n", "sketch", "home", "grp", "pivots", "pid", "pn", "pg").mapInPandas(_parted(self.num, self.den), "element long, parent long, region long, id long, n int, sketch binary, home boolean, pivot long")
+        return rows.select("element", "region", "id", "n", "sketch", "home", "short", "grp", "pivots", "pid", "pn", "pg").mapInPandas(_parted(self.num, self.den), "element long, parent long, region long, id long, n int, sketch binary, home boolean, short boolean, pivot long")
 
     def part(self, regions: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
-        """Parts regions (element, region, id, n, sketch, home) of more than LEAF rows until they are small or dense: small ones, and dense ones with their rows' count.
+        """Parts regions (element, region, id, n, sketch, home, short) of more than LEAF rows until they are small or dense: small ones, and dense ones with their rows' count.
 
         Pivots are compared with all rows of their region, so that groups of near copies are
         known early. Regions of one known group have nothing to compare and go.
@@ -422,13 +435,17 @@ class Join:
             full = small(stored(stats.select(*key, "rows").join(sizes, key).where(F.col("most") > DENSE * F.col("rows")).select(*key, "rows"), "full"), REGIONS)
             dense.append(regions.join(full, key))
             pairs = parted.where("pivot is not null").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
-            regions = parted.where("pivot is null").join(full.select("element", F.col("region").alias("parent")), ["element", "parent"], "left_anti").select(*key, "id", "n", "sketch", "home")
+            regions = parted.where("pivot is null").join(full.select("element", F.col("region").alias("parent")), ["element", "parent"], "left_anti").select(*key, "id", "n", "sketch", "home", "short")
             self.verify(pairs)
             self.learn()
 
     def starred(self, dense: DataFrame) -> DataFrame:
-        """Compares dense regions with other pivots, turn by turn, as long as that links many of their rows: groups grow, and few rows are left whose pairs must be made."""
-        turn = 1
+        """Compares dense regions with other pivots, turn by turn, as long as that links many of their rows: groups grow, and few rows are left whose pairs must be made.
+
+        Of near copies, those that differ least from what all have in common are in the most
+        dense regions. They are the nearest to all others, so they are the pivots.
+        """
+        dense, turn = stored(dense.join(dense.groupBy("id").agg(F.count("*").alias("cells")), "id"), "dense"), 1
         while True:
             stats = self.pivoted(dense, turn)
             pairs = self.compared(dense, stats).where("pivot is not null").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
@@ -442,14 +459,36 @@ class Join:
         rows = self.placed(reduce(DataFrame.unionByName, leaves)).repartition("element", "region").sortWithinPartitions("element", "region")
         return rows.mapInPandas(_leaves(self.num, self.den), "a long, b long, n int")
 
+    def dealt(self, dense: DataFrame) -> DataFrame:
+        """Rows of dense regions that are not of one known group, once for each pair of blocks (b0, b1) that theirs is in.
+
+        A region is two: in one, rows with the short part of their prefix meet each other;
+        in the other they meet, where they are smaller, the rows without. There, rows of one
+        side are never compared with each other, and in the first those of its main group:
+        blocks below 0 only meet those from 0 on. So of a group that a few rows are left
+        apart from, each row is dealt once, whatever the group's size.
+        """
+        key, rows = ["element", "region"], self.placed(dense.drop("rows", "cells"))
+        sizes = rows.groupBy(*key).agg(F.min(F.when(F.col("short"), F.col("n"))).alias("least"), F.max(F.when(~F.col("short"), F.col("n"))).alias("largest"))
+        rows = rows.join(small(stored(sizes, "sizes"), REGIONS), key)
+        sides = F.when(F.col("short"), F.when(F.col("n") < F.col("largest"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).when(F.col("n") > F.col("least"), F.array(F.lit(1)))
+        rows = rows.withColumn("side", F.explode(sides)).withColumn("region", 2 * F.col("region") + F.col("side"))
+        of_group = rows.groupBy(*key, "side", "grp").agg(F.count("*").alias("own"), F.count_if("short").alias("shorts"))
+        regions = of_group.groupBy(*key, "side").agg(F.sum("own").alias("rows"), F.max("own").alias("most"), F.max_by("grp", F.struct("own", "grp")).alias("main"), F.sum("shorts").alias("shorts")).where("most < rows")
+        regions = regions.withColumn("inside", F.when(F.col("side") == 1, F.col("shorts")).when((F.col("rows") > BLOCK) & (F.col("most") >= MAIN * F.col("rows")), F.col("most")).otherwise(0))
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        regions = regions.select(*key, F.when(F.col("inside") > 0, F.col("main")).alias("main"), blocks(F.col("inside")).alias("inner"), blocks(F.col("rows") - F.col("inside")).alias("outer"))
+        rows = rows.join(small(stored(regions, "open"), REGIONS), key)
+        inside, at = F.when(F.col("side") == 1, F.col("short")).otherwise(F.coalesce(F.col("grp") == F.col("main"), F.lit(False))), F.xxhash64("id")
+        rows = rows.withColumn("block", F.when(inside, -1 - F.pmod(at, F.col("inner"))).otherwise(F.pmod(at, F.col("outer"))).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.when(inside, F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(-F.col("inner"), F.when(F.col("side") == 1, -1).otherwise(F.col("outer") - 1)))))
+        return rows.select(*key, F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "id", "n", "sketch", "home", "short", "grp")
+
     def dense_pairs(self, dense: DataFrame, kind: type[Rows]) -> DataFrame:
         """Of dense regions, by fine sketches too: their rows are much alike."""
-        settled = self.placed(dense).groupBy("element", "region").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("element", "region")
-        rows = self.placed(dense.join(small(stored(settled, "open"), REGIONS), ["element", "region"], "left_semi")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         key = ["element", "region", "b0", "b1"]
-        rows = rows.join(self.fine.select("id", "fine").dropDuplicates(["id"]), "id")
-        rows = rows.select("element", "region", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "id", "n", "sketch", "fine", "home", "grp")
+        rows = self.dealt(dense).join(self.fine.select("id", "fine").dropDuplicates(["id"]), "id")
+        rows = rows.select(*key, "block", "id", "n", "sketch", "fine", "home", "short", "grp")
         return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_blocks(self.num, self.den, kind), "a long, b long, n int" + ", low int, more long" * (kind is Bridges))
 
     def settle(self, leaves: list[DataFrame], dense: DataFrame | None) -> DataFrame:
@@ -508,7 +547,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     counted = rows.select("text").mapInPandas(_first_prefixes(k, num, den), "element long, n long").groupBy("element").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     late = counted.orderBy(F.desc("n"), "element").limit(MOST_FREQUENT).select("element").toPandas()["element"].to_numpy(np.int64).view(np.uint64)
     frequent = spark.sparkContext.broadcast(np.sort(late))
-    records = stored(mapped(rows, _records(k, num, den, frequent), "n int, s1 long, s2 long, prefix array<long>, sketch binary, fine binary", "id"), "records")
+    records = stored(mapped(rows, _records(k, num, den, frequent), "n int, short int, s1 long, s2 long, prefix array<long>, sketch binary, fine binary", "id"), "records")
 
     key = ["n", "s1", "s2"]
     classes = records.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
@@ -516,12 +555,14 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     members = records.select("id", *key).join(classes, key, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     single = records.where("n > 0 and id is not null").join(classes, key, "left").where("rep is null or rep = id")
 
-    posts = single.select("id", F.explode("prefix").alias("element"))
-    shared = posts.withColumn("m", F.expr("count(*) over (partition by element)")).where("m > 1").select("element", "id", "m")
-    cells = stored(shared.join(single.select("id", "n", "sketch"), "id").select("element", F.lit(0).cast("long").alias("region"), "id", "n", "sketch", F.lit(True).alias("home"), "m"), "cells")
+    # of a cell, what has nothing to meet goes: a pair needs the smaller set's short part, or both sets' where they are equal in size
+    posts = single.select("id", "n", "short", F.posexplode("prefix").alias("at", "element")).select("element", "id", F.when(F.col("at") < F.col("short"), F.col("n")).otherwise(-F.col("n")).alias("size"))
+    seen = posts.withColumns({name: F.expr(f"{f} over (partition by element)") for name, f in (("m", "count(*)"), ("shorts", "count_if(size > 0)"), ("least", "min(if(size > 0, size, null))"), ("largest", "max(-size)"))})
+    shared = seen.where("m > 1 and if(size > 0, shorts > 1 or largest > size, least < -size)").select("element", "id", F.expr("size > 0").alias("short"), "m")
+    cells = stored(shared.join(single.select("id", "n", "sketch"), "id").select("element", F.lit(0).cast("long").alias("region"), "id", "n", "sketch", F.lit(True).alias("home"), "short", "m"), "cells")
     join = Join(rows, records, k, num, den)
     little, large = cells.where(F.col("m") <= LEAF).drop("m"), cells.where(F.col("m") > LEAF).drop("m")
-    first = join.placed(little).repartition("element").sortWithinPartitions("element", F.xxhash64("id"))
+    first = join.placed(little.drop("short")).repartition("element").sortWithinPartitions("element", F.xxhash64("id"))
     join.verify(first.mapInPandas(_stars(num, den), "a long, b long"))
     join.learn()
     leaves, dense = join.part(large)

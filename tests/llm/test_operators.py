@@ -142,6 +142,22 @@ def test_jaccard_of_groups_that_one_pair_does_not_settle(spark, monkeypatch, wor
     assert made[0][0] is jaccard.Bridges and (len(made) == 2 or not worst)
 
 
+@pytest.mark.parametrize("short", [True, False])
+def test_rows_of_a_dense_region_are_dealt_in_proportion(spark, monkeypatch, short):
+    """A group of near copies, and a few rows (or many that are long only) that it is not linked with: rows that are dealt grow as the group does."""
+    def counted(*_):
+        return lambda parts: (p[["id"]].assign(a=p["id"], b=p["id"], n=1)[["a", "b", "n"]] for p in parts)
+
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    monkeypatch.setattr(jaccard, "_blocks", counted)
+    for m in (1000, 4000):
+        rows = spark.range(m).select("id", F.lit(100).alias("n"), F.lit(bytes(512)).alias("fine"))
+        dense = rows.select(F.lit(5).cast("long").alias("element"), F.lit(0).cast("long").alias("region"), "id", "n", F.lit(bytes(32)).alias("sketch"), F.lit(True).alias("home"), (F.lit(short) | (F.col("id") < 5)).alias("short"), F.lit(m).cast("long").alias("rows"))
+        join = jaccard.Join(rows, rows, 5, 80, 100)
+        join.groups = rows.select("id", F.when(F.col("id") < m - 10, 0).otherwise(F.col("id")).alias("grp")) if short else rows.select("id", F.col("id").alias("grp"))
+        assert join.dense_pairs(dense, jaccard.Rows).count() < 1.5 * m
+
+
 def test_bpe(odd, none):
     from tokenizers import Tokenizer
 

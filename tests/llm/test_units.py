@@ -241,6 +241,22 @@ def test_prefixes_of_similar_sets_share_enough():
             assert met >= jaccard.least_shared(min(len(a), len(b)), 80, 100)
 
 
+def test_short_parts_of_smaller_sets_share_enough():
+    rng, found = np.random.default_rng(12), 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.9, 1])], rng.integers(0, 1 << 62, rng.integers(0, 1 + len(a) // 8)).astype(np.uint64)]))
+        a, b = sorted((a, b), key=len)
+        frequent, both = np.sort(rng.choice(a, len(a) // 3, replace=False)), len(np.intersect1d(a, b))
+        if both * 100 >= 80 * (len(a) + len(b) - both):
+            short = [jaccard.prefix_of(x, frequent, 80, 100)[: jaccard.short_length(len(x), 80, 100)] for x in (a, b)]
+            whole = jaccard.prefix_of(b, frequent, 80, 100)
+            met = len(np.intersect1d(short[0], short[1] if len(a) == len(b) else whole))
+            assert met >= jaccard.least_shared(len(a), 80, 100) and len(short[1]) <= len(whole)
+            found += 1
+    assert found > 100
+
+
 def rows_of(groups, **columns):
     own = np.random.default_rng(9).integers(0, 1 << 62, 100).astype(np.uint64)
     return pd.DataFrame({"id": np.arange(len(groups)), "n": np.int32(100), "grp": groups, "home": True, "sketch": [jaccard.sketch_of(own)] * len(groups)} | columns)
