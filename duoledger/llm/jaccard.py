@@ -12,7 +12,8 @@ their whole sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_words, components, mapped, read, release, small, stored
+from .common import components, mapped, read, release, small, stored
 
 #: Counters of a sketch, each kept modulo 16; rows of a region that are compared outright; pivots of a larger one.
 COUNTERS, LEAF, PIVOTS = 64, 48, 8
@@ -44,39 +45,73 @@ BROADCAST, REGIONS = 1_000_000, 50_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
-class Hashes(dict):
-    """Hashes of words that were met."""
+#: For each byte a random number, and whether words hold it. Bytes of texts that are hashed at once; powers of an odd number and of its inverse modulo 2^64.
+LETTERS, INK, AT_ONCE = np.random.default_rng(1).integers(0, 1 << 64, 256, np.uint64), np.array([b not in b" \t\n\r\v\f" for b in range(256)]), 1 << 17
+UP, DOWN = (np.cumprod(np.full(AT_ONCE, x, np.uint64)) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = xxhash.xxh64_intdigest(word)
-        return self[word]
+
+def spread(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 class Shingler:
     """Sets of 64-bit shingle hashes."""
 
     def __init__(self, k: int):
-        self.k, self.known = k, Hashes()
+        self.k = k
+
+    def words_of(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of data (sums of their letters' numbers, weighted by powers), and where they start."""
+        text = np.frombuffer(data, np.uint8)
+        ink = np.zeros(len(text) + 2, bool)
+        ink[1:-1] = INK[text]
+        edges = np.flatnonzero(ink[1:] != ink[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        h, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            low = starts[i]
+            j = int(np.searchsorted(ends, low + AT_ONCE, side="right"))
+            if j > i:
+                total = np.zeros(ends[j - 1] - low + 1, np.uint64)
+                np.cumsum(LETTERS[text[low : ends[j - 1]]] * UP[: len(total) - 1], out=total[1:])
+                h[i:j] = (total[ends[i:j] - low] - total[starts[i:j] - low]) * DOWN[starts[i:j] - low]
+            else:  # a word longer than that
+                j = i + 1
+                h[i] = xxhash.xxh64_intdigest(data[low : ends[i]])
+            i = j
+        return spread(h), starts
+
+    def sets_of(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        held, size = [], 0
+        for text in texts:
+            own = text.encode("utf-8", "surrogatepass").lower() if text else b""
+            if held and size + len(own) >= AT_ONCE:
+                yield from self.sets_at_once(held)
+                held, size = [], 0
+            held.append(own)
+            size += len(own) + 1
+        yield from self.sets_at_once(held)
+
+    def sets_at_once(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        h, starts = self.words_of(b" ".join(texts))
+        first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        n = len(h) - self.k + 1
+        s = np.zeros(max(n, 0), np.uint64)
+        for i in range(self.k if n > 0 else 0):
+            s += h[i : i + n] * FACTORS[i]
+        spread(s)
+        for i, j in itertools.pairwise(first.tolist()):
+            if j - i >= self.k:
+                own = np.sort(s[i : j - self.k + 1])
+                yield own[np.append(True, own[1:] != own[:-1])]
+            else:  # the whole sequence
+                yield spread(np.array([xxhash.xxh64_intdigest(h[i:j].tobytes())] if j > i else [], np.uint64))
 
     def set_of(self, text: str | None) -> np.ndarray:
-        own = byte_words(text)
-        if not own:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > 200_000:
-            self.known.clear()
-        h = np.fromiter(map(self.known.__getitem__, own), np.uint64, len(own))
-        n = len(h) - self.k + 1
-        if n < 1:
-            h = np.array([xxhash.xxh64_intdigest(h.tobytes())], np.uint64)
-        else:
-            s = np.zeros(n, np.uint64)
-            for i in range(self.k):
-                s += h[i : i + n] * FACTORS[i]
-            h = s
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        return np.unique(h)
+        return next(self.sets_of([text]))
 
 
 def least_shared(n: int, num: int, den: int) -> int:
@@ -94,13 +129,20 @@ def short_length(n: int, num: int, den: int) -> int:
     return n - -(-2 * num * n // (num + den)) + least_shared(n, num, den) if n else 0
 
 
+def is_in(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    return frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+
+
 def prefix_of(own: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
     """The first elements of a sorted set in the order: those not frequent by hash, then the frequent by hash."""
     p = prefix_length(len(own), num, den)
     if not len(frequent) or not p:
         return own[:p]
-    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-    late = frequent[at] == own
+    first = own[: 2 * p]  # mostly enough
+    first = first[~is_in(first, frequent)][:p]
+    if len(first) == p:
+        return first
+    late = is_in(own, frequent)
     first = own[~late][:p]
     return first if len(first) == p else np.concatenate([first, own[late][: p - len(first)]])
 
@@ -128,7 +170,7 @@ def _first_prefixes(k: int, num: int, den: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
         for part in parts:
-            own = [s[: prefix_length(len(s), num, den)] for s in map(shingler.set_of, part["text"])]
+            own = [s[: prefix_length(len(s), num, den)] for s in shingler.sets_of(part["text"])]
             element, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pd.DataFrame({"element": element.view(np.int64), "n": n.astype(np.int64)})
 
@@ -141,8 +183,7 @@ def _records(k: int, num: int, den: int, frequent):
         shingler, late = Shingler(k), frequent.value
         for part in parts:
             rows = []
-            for id_, text in zip(part["id"], part["text"], strict=True):
-                s = shingler.set_of(text)
+            for id_, s in zip(part["id"], shingler.sets_of(part["text"]), strict=True):
                 rows.append((id_, len(s), short_length(len(s), num, den), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63), prefix_of(s, late, num, den).view(np.int64), sketch_of(s), sketch_of(s, FINE)))
             yield pd.DataFrame(rows, columns=["id", "n", "short", "s1", "s2", "prefix", "sketch", "fine"])
 
@@ -153,7 +194,7 @@ def _sets(k: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
         for part in parts:
-            yield pd.DataFrame({"id": part["id"], "elements": [shingler.set_of(t).view(np.int64) for t in part["text"]]})
+            yield pd.DataFrame({"id": part["id"], "elements": [s.view(np.int64) for s in shingler.sets_of(part["text"])]})
 
     return run
 

@@ -257,6 +257,23 @@ def test_short_parts_of_smaller_sets_share_enough():
     assert found > 100
 
 
+def test_sets_of_many_texts_at_once(monkeypatch):
+    """Hashes tell apart what words tell apart, wherever a text stands and however texts are cut for hashing."""
+    rng = np.random.default_rng(13)
+    texts = [None, "", " \t", "a", "A b\x0bC", "x\x1cy z \x85 q  é", "a b c d a b c d a b c d", "w" * 500 + " b c d e " + "w" * 501]
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in rng.integers(0, 300, 60)]
+    got = list(jaccard.Shingler(4).sets_of(texts))
+    shingles = [(lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set()))(byte_words(t)) for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in shingles] and all((np.diff(x.astype(object)) > 0).all() for x in got)
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        assert len(np.intersect1d(got[i], got[j])) == len(shingles[i] & shingles[j])
+    assert all((jaccard.Shingler(4).set_of(t) == x).all() for t, x in zip(texts, got, strict=True))
+    monkeypatch.setattr(jaccard, "AT_ONCE", 60)  # words of more are hashed by themselves
+    few = [t for t in texts if max(map(len, byte_words(t)), default=0) <= 60]
+    assert all((x == y).all() for x, y in zip(jaccard.Shingler(4).sets_of(few), (x for t, x in zip(texts, got, strict=True) if t in few), strict=True))
+    assert [len(x) for x in jaccard.Shingler(4).sets_of(texts)] == [len(x) for x in shingles]
+
+
 def rows_of(groups, **columns):
     own = np.random.default_rng(9).integers(0, 1 << 62, 100).astype(np.uint64)
     return pd.DataFrame({"id": np.arange(len(groups)), "n": np.int32(100), "grp": groups, "home": True, "sketch": [jaccard.sketch_of(own)] * len(groups)} | columns)
