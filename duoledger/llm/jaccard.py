@@ -40,6 +40,8 @@ FREQUENT, MOST_FREQUENT = 64, 1 << 17
 BLOCK, PAIRS = 1024, 1 << 14
 #: A group with this share of the rows of a dense region has blocks of its own, which never meet.
 MAIN = 0.25
+#: Size from which the sets of a cell count as equally large.
+LARGE = (1 << 15) - 1
 #: Rows up to which a table of ids, or of regions with their pivots, is broadcast.
 BROADCAST, REGIONS = 1_000_000, 50_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -129,7 +131,13 @@ def short_length(n: int, num: int, den: int) -> int:
     return n - -(-2 * num * n // (num + den)) + least_shared(n, num, den) if n else 0
 
 
+#: What elements are counted by, their lower bits: which of them come late decides no result, and so less is moved.
+LOWER = np.uint32
+
+
 def is_in(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which elements are frequent (sorted, whole or their lower bits)."""
+    own = own.astype(frequent.dtype, copy=False)
     return frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
 
 
@@ -171,8 +179,8 @@ def _first_prefixes(k: int, num: int, den: int):
         shingler = Shingler(k)
         for part in parts:
             own = [s[: prefix_length(len(s), num, den)] for s in shingler.sets_of(part["text"])]
-            element, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pd.DataFrame({"element": element.view(np.int64), "n": n.astype(np.int64)})
+            lower, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]).astype(LOWER), return_counts=True)
+            yield pd.DataFrame({"lower": lower.view(np.int32), "n": n.astype(np.int64)})
 
     return run
 
@@ -424,7 +432,7 @@ class Join:
         one, other = (fine.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}")) for c in ("a", "b"))
         pairs = stored(pairs.join(one, "a").join(other, "b").mapInPandas(_possible(self.num, self.den), "a long, b long"), "possible")
         sets = stored(self.rows.join(self.ids_of(pairs), "id", "left_semi").mapInPandas(_sets(self.k), "id long, elements array<long>"), "sets")
-        one, other = (sets.select(F.col("id").alias(c), F.col("elements").alias(f"e{c}")) for c in ("a", "b"))
+        one, other = (sets.join(pairs.select(F.col(c).alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias(c), F.col("elements").alias(f"e{c}")) for c in ("a", "b"))
         common = F.size(F.array_intersect("ea", "eb"))
         exact = pairs.join(one, "a").join(other, "b").where(common * self.den >= self.num * (F.size("ea") + F.size("eb") - common)).select("a", "b").distinct()
         exact = stored(exact, "links")
@@ -528,7 +536,8 @@ class Join:
     def dense_pairs(self, dense: DataFrame, kind: type[Rows]) -> DataFrame:
         """Of dense regions, by fine sketches too: their rows are much alike."""
         key = ["element", "region", "b0", "b1"]
-        rows = self.dealt(dense).join(self.fine.select("id", "fine").dropDuplicates(["id"]), "id")
+        ids = small(stored(dense.select("id").distinct(), "named"), BROADCAST)
+        rows = self.dealt(dense).join(self.fine.join(ids, "id", "left_semi").select("id", "fine").dropDuplicates(["id"]), "id")
         rows = rows.select(*key, "block", "id", "n", "sketch", "fine", "home", "short", "grp")
         return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_blocks(self.num, self.den, kind), "a long, b long, n int" + ", low int, more long" * (kind is Bridges))
 
@@ -570,6 +579,19 @@ def enough(num: int, den: int) -> Column:
     return F.col("met") >= F.least(1 + F.floor(F.col("n") / SHARED), F.ceil(F.col("n") * num / den))
 
 
+def posts_of(single: DataFrame) -> DataFrame:
+    """(element, row, size, short) of each element of the prefixes, the rows of an element in one partition; size is n, LARGE at most.
+
+    Most posts meet no other. They move as two whole numbers, and what a window makes of them
+    is made after that: an element is known by its upper 48 bits, and size and short take the place of
+    the others (elements that share the upper bits share a cell, which adds pairs at most).
+    """
+    element = F.expr(f"element & ~{2 * LARGE + 1}L")
+    posts = single.select("n", "short", "row", F.posexplode("prefix").alias("at", "element"))
+    posts = posts.select(element.bitwiseOR(F.expr(f"if(at < short, {LARGE + 1}L, 0L) | least(n, {LARGE})")).alias("element"), "row").repartition(element)
+    return posts.select(element.alias("element"), "row", F.expr(f"int(element & {LARGE})").alias("size"), F.expr(f"element & {LARGE + 1} <> 0").alias("short"))
+
+
 def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) of every row: groups of documents linked by Jaccard >= num / den of their k-word shingles.
 
@@ -585,10 +607,10 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = rows.select("text").mapInPandas(_first_prefixes(k, num, den), "element long, n long").groupBy("element").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    late = counted.orderBy(F.desc("n"), "element").limit(MOST_FREQUENT).select("element").toPandas()["element"].to_numpy(np.int64).view(np.uint64)
+    counted = rows.select("text").mapInPandas(_first_prefixes(k, num, den), "lower int, n long").groupBy("lower").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    late = counted.orderBy(F.desc("n"), "lower").limit(MOST_FREQUENT).select("lower").toPandas()["lower"].to_numpy(np.int32).view(LOWER)
     frequent = spark.sparkContext.broadcast(np.sort(late))
-    records = stored(mapped(rows, _records(k, num, den, frequent), "n int, short int, s1 long, s2 long, prefix array<long>, sketch binary, fine binary", "id"), "records")
+    records = stored(mapped(rows, _records(k, num, den, frequent), "n int, short int, s1 long, s2 long, prefix array<long>, sketch binary, fine binary", "id").withColumn("row", F.monotonically_increasing_id()), "records")
 
     key = ["n", "s1", "s2"]
     classes = records.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
@@ -597,16 +619,17 @@ def similar(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     single = records.where("n > 0 and id is not null").join(classes, key, "left").where("rep is null or rep = id")
 
     # of a cell, what has nothing to meet goes: a pair needs the smaller set's short part, or both sets' where they are equal in size
-    posts = single.select("id", "n", "short", F.posexplode("prefix").alias("at", "element")).select("element", "id", F.when(F.col("at") < F.col("short"), F.col("n")).otherwise(-F.col("n")).alias("size"))
-    seen = posts.withColumns({name: F.expr(f"{f} over (partition by element)") for name, f in (("m", "count(*)"), ("shorts", "count_if(size > 0)"), ("least", "min(if(size > 0, size, null))"), ("largest", "max(-size)"))})
-    shared = seen.where("m > 1 and if(size > 0, shorts > 1 or largest > size, least < -size)").select("element", "id", F.expr("size > 0").alias("short"), "m")
-    cells = stored(shared.join(single.select("id", "n", "sketch"), "id").select("element", F.lit(0).cast("long").alias("region"), "id", "n", "sketch", F.lit(True).alias("home"), "short", "m"), "cells")
+    posts = posts_of(single)
+    seen = posts.withColumns({name: F.expr(f"{f} over (partition by element)") for name, f in (("m", "count(*)"), ("shorts", "count_if(short)"), ("least", "min(if(short, size, null))"), ("largest", "max(if(short, null, size))"))})
+    shared = seen.where(f"m > 1 and if(short, shorts > 1 or largest > size or largest = {LARGE}, least < size or size = {LARGE})").select("element", "row", "short", "m")
+    cells = stored(shared.join(single.select("row", "id", "n", "sketch"), "row").select("element", F.lit(0).cast("long").alias("region"), "id", "n", "sketch", F.lit(True).alias("home"), "short", "m"), "cells")
     join = Join(rows, records, k, num, den)
-    little, large = cells.where(F.col("m") <= LEAF).drop("m"), cells.where(F.col("m") > LEAF).drop("m")
-    first = join.placed(little.drop("short")).repartition("element").sortWithinPartitions("element", F.xxhash64("id"))
-    join.verify(first.mapInPandas(_stars(num, den), "a long, b long"))
+    little, large = cells.where(F.col("m") <= LEAF), cells.where(F.col("m") > LEAF).drop("m")
+    first = little.select("element", "id", "n", "sketch").repartition("element").sortWithinPartitions("element", F.xxhash64("id"))
+    join.verify(first.withColumns({"grp": F.col("id"), "home": F.lit(True)}).mapInPandas(_stars(num, den), "a long, b long"))
     join.learn()
     leaves, dense = join.part(large)
+    little = little.where("m > 2").drop("m")  # of two rows, the pair has been verified
     groups = join.settle([little, *leaves], dense).select(F.col("id").alias("rep"), F.col("grp").alias("component"))
     frequent.unpersist()
     return members.join(small(groups, BROADCAST), "rep", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

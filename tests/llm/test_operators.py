@@ -113,6 +113,49 @@ def test_jaccard_of_large_cells(spark, monkeypatch, limits):
     assert [got[i].component_id for i in range(len(sets))] == group
 
 
+def brute_force(texts, k=5, num=80, den=100):
+    """The component of each text, by comparing all with all."""
+    sets = [frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in map(str.split, texts)]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+def test_what_jaccard_moves(spark, monkeypatch):
+    """Posts of elements move as two numbers, whatever windows are made of them; cells of two rows are dealt once; of dense regions only their own rows bring fine sketches."""
+    cells, leaves, fine = [], [], []
+    stored, leaf_pairs, dropped = jaccard.stored, jaccard.Join.leaf_pairs, type(spark.range(0)).dropDuplicates
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: (cells.append(df._jdf.queryExecution().executedPlan().toString()) if name == "cells" else None, stored(df, name))[1])
+    monkeypatch.setattr(jaccard.Join, "leaf_pairs", lambda join, dfs: (leaves.append(sum(df.count() for df in dfs)), leaf_pairs(join, dfs))[1])
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 60)) for _ in range(40)]
+    texts += [t.rsplit(" ", 1)[0] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(jaccard.similar(docs, "doc_id", "text", 5, 80, 100))
+    assert [got[i].component_id for i in range(80)] == brute_force(texts) == [*range(40)] * 2
+    moved = re.search(r"Window (?s:.)*?Exchange hashpartitioning.*\n.*Project \[(.*)\]\n", cells[0]).group(1)
+    assert re.fullmatch(r"\(.* AS element#\d+L, row#\d+L", moved) and moved.count(" AS ") == 1 and leaves == [0]
+    rows = spark.range(1000).select("id", F.lit(100).alias("n"), F.lit(bytes(512)).alias("fine"))
+    dense = rows.where("id < 20").select(F.lit(5).cast("long").alias("element"), F.lit(0).cast("long").alias("region"), "id", "n", F.lit(bytes(32)).alias("sketch"), F.lit(True).alias("home"), F.lit(True).alias("short"), F.lit(20).cast("long").alias("rows"))
+    monkeypatch.setattr(type(rows), "dropDuplicates", lambda df, key: (fine.append(df.count()), dropped(df, key))[1])
+    assert jaccard.Join(rows, rows, 5, 80, 100).dense_pairs(dense, jaccard.Rows).count() == 190 and fine == [20]
+
+
+@pytest.mark.parametrize("large", [31])
+def test_jaccard_of_sets_beyond_the_size_of_a_post(spark, monkeypatch, large):
+    """Sets as large as a post can say, and larger ones, are linked as others are."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    rng = np.random.default_rng(6)
+    base = [[f"w{x}" for x in rng.integers(0, 3000, n)] for n in (8, 35, 36, 60, 120, 131, 150, 400)]
+    texts = [" ".join(np.where(rng.random(len(b)) < 0.03, f"new{i}", b)[rng.integers(0, 1 + len(b) // 8) :]) for i in range(15) for b in base]
+    got = by_id(jaccard.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 5, 80, 100))
+    assert [got[i].component_id for i in range(len(texts))] == brute_force(texts)
+
+
 @pytest.mark.parametrize("worst", [False, True])
 def test_jaccard_of_groups_that_one_pair_does_not_settle(spark, monkeypatch, worst):
     """Near copies at the bound, few of them linked by pivots: what the pair that stands for two groups leaves open is made whole; links are those of all pairs."""
