@@ -13,7 +13,7 @@ from ..operators import mirror, verify
 from ..sources import proxy, sinks, statements
 from ..sources.files import contract_text
 from ..sources.proxy import SQL_LEDGER
-from ..sources.store import shared_folder
+from ..sources.store import parts_for, shared_folder
 from .registry import query
 
 BILLS = """WITH charges AS (SELECT user_id AS path, event_id, CAST(round(value * 100) AS BIGINT) AS cents, CASE WHEN event_type = 'error' THEN 'in' ELSE 'out' END AS direction, CASE event_type WHEN 'signup' THEN 'payments' WHEN 'view' THEN NULL ELSE 'charges' END AS section FROM events),
@@ -51,14 +51,14 @@ lines AS (SELECT path, page, c, row, (row + CASE WHEN c = 1 THEN (n + 1) // 2 EL
 def c24(spark, sf_dir):
     """Pages of two columns, twenty lines each, of two items a line whose heights differ by two points."""
     e = proxy.table(spark, sf_dir, "events")
-    k = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("k")
-    rows = e.select(F.col("user_id").cast("string").alias("path"), k, F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("text"))
-    rows = rows.select("path", F.expr("cast(k div 40 + 1 as int)").alias("page"), (F.col("k") % 40 % 2).alias("c"), F.expr("k % 40 div 2").alias("row"), "text")
+    rows = e.select(F.col("user_id").cast("string").alias("path"), "event_id", F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("text")).repartition(parts_for(e, 200_000), "path")
+    k = (F.row_number().over(Window.partitionBy("path").orderBy("event_id")) - 1).alias("k")
+    rows = rows.select("path", k, "text").select("path", F.expr("cast(k div 40 + 1 as int)").alias("page"), (F.col("k") % 40 % 2).alias("c"), F.expr("k % 40 div 2").alias("row"), "text")
     x, y = F.col("c") * 300.0 + 40.0, 700.0 - 12.0 * F.col("row")
     item = lambda x, y, t: F.struct(x.alias("x"), y.alias("y"), F.lit(50.0).alias("width"), t.alias("text"))
     items = rows.select("path", "page", F.inline(F.array(item(x, y, F.col("text")), item(x + 100.0, y - 2.0, F.concat(F.lit("R$ "), F.col("row").cast("string"))))))
-    full = items.groupBy("path", "page").count().where("count >= 12").select("path", "page")
-    return statements.layout(items.join(full, ["path", "page"], "left_semi")).select("path", "page", "line_at", "column_at", "line").distinct()
+    full = statements.listed(items).where(F.size("text") >= 12)
+    return statements.page_lines(full).select("path", "page", "line_at", "column_at", "line")
 
 
 @query("w12_lines_of_pages", PAGES + " SELECT path::VARCHAR AS path, page, count(*)::BIGINT AS lines, count(DISTINCT c)::BIGINT AS columns FROM lines GROUP BY ALL")

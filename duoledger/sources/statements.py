@@ -59,17 +59,33 @@ def parse_statement(cells: DataFrame, file: str = "path") -> DataFrame:
                        "balance_cents", kind.alias("kind"), reason.alias("reason"))
 
 
-def layout(items: DataFrame, file: str = "path") -> DataFrame:
-    """(file, page, line_at, line, column_at, x, y, text) from positioned text (file, page, x, y, width, text).
+#: Pages and bytes of a batch that a Python task holds at once.
+BATCH_PAGES, BATCH_BYTES = 500, 2 << 20
+
+
+def listed(items: DataFrame, file: str = "path") -> DataFrame:
+    """(file, page, x, y, text) from positioned text (file, page, x, y, width, text): a page is one row that lists its items."""
+    pages = items.groupBy(file, "page").agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "text")).alias("items"))
+    return pages.select(file, "page", F.col("items.x").alias("x"), F.col("items.y").alias("y"), F.col("items.text").alias("text"))
+
+
+def page_lines(pages: DataFrame, file: str = "path") -> DataFrame:
+    """(file, page, line_at, line, column_at, x, y, text) from listed pages: a line is one row that lists its items from left to right.
 
     Columns begin at crowded places (2-point bins that hold 4 % of the page's items, three at
     least) that are 190 points apart; items within 3 points of a line's first stand on it;
-    lines are read column by column. A page is one row that lists its items, and a task reads
-    many pages at once.
+    lines are read column by column. A line with an unknown text is unknown. A task reads many
+    pages at once, in batches that are small whatever the table's size: from now on the session
+    has no larger ones.
     """
-    listed = items.groupBy(file, "page").agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "text")).alias("items"))
-    listed = listed.select(file, "page", F.col("items.x").alias("x"), F.col("items.y").alias("y"), F.col("items.text").alias("text"))
-    return listed.mapInPandas(partial(_pages, file), f"{file} string, page int, line_at int, line string, column_at int, x double, y double, text string")
+    for what, most in (("Records", BATCH_PAGES), ("Bytes", BATCH_BYTES)):
+        pages.sparkSession.conf.set(f"spark.sql.execution.arrow.max{what}PerBatch", str(most))
+    return pages.mapInPandas(partial(_pages, file), f"{file} string, page int, line_at int, line string, column_at int, x array<double>, y array<double>, text array<string>")
+
+
+def layout(items: DataFrame, file: str = "path") -> DataFrame:
+    """(file, page, line_at, line, column_at, x, y, text) from positioned text (file, page, x, y, width, text): each item with the line that it stands on, see page_lines."""
+    return page_lines(listed(items, file), file).select(file, "page", "line_at", "line", "column_at", F.inline(F.arrays_zip("x", "y", "text")))
 
 
 def _starts(x: np.ndarray) -> list[float]:
@@ -84,8 +100,8 @@ def _starts(x: np.ndarray) -> list[float]:
 
 def _pages(file: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pages in batches:
-        out: dict[str, list] = {c: [] for c in ("line_at", "line", "column_at", "x", "y", "text")}
-        for x, y, text in zip(pages["x"], pages["y"], pages["text"], strict=True):
+        out: list[tuple] = []
+        for name, page, x, y, text in zip(pages[file], pages["page"], pages["x"], pages["y"], pages["text"], strict=True):
             column = np.maximum(np.searchsorted(_starts(x), x, side="right") - 1, 0)
             order = np.lexsort((x, -y, column))
             at, lines, top, before = -1, [], None, None
@@ -93,17 +109,13 @@ def _pages(file: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
                 if c != before or top - height > 3:
                     at, top, before = at + 1, height, c
                 lines.append(at)
-            line_at = np.array(lines)
-            within = np.lexsort((x[order], line_at))
-            order, line_at = order[within], line_at[within].tolist()
-            words: list[list[str]] = [[] for _ in range(at + 1)]
-            for k, t in zip(line_at, shown := text[order].tolist(), strict=True):
-                words[k].append(t)
-            whole = [" ".join(w) for w in words]
-            for name, values in (("line_at", line_at), ("line", [whole[k] for k in line_at]), ("column_at", column[order].tolist()), ("x", x[order].tolist()), ("y", y[order].tolist()), ("text", shown)):
-                out[name] += values
-        n = pages["x"].str.len()
-        yield pd.DataFrame({file: pages[file].repeat(n).to_list(), "page": pages["page"].repeat(n).to_list(), **out})
+            order = order[np.lexsort((x[order], lines))]
+            ends = np.cumsum(np.bincount(lines)).tolist()
+            columns, xs, ys, words = (v[order].tolist() for v in (column, x, y, text))
+            for k, (i, j) in enumerate(zip([0, *ends], ends)):  # noqa: B905
+                line = None if None in words[i:j] else " ".join(words[i:j])
+                out.append((name, page, k, line, columns[i], xs[i:j], ys[i:j], words[i:j]))
+        yield pd.DataFrame(out, columns=[file, "page", "line_at", "line", "column_at", "x", "y", "text"])
 
 
 def parse_card(lines: DataFrame, reference: str, file: str = "path") -> DataFrame:

@@ -9,7 +9,7 @@ from test_queries import SF, TABLES, plain
 
 from duoledger.functions import money
 from duoledger.operators import clients, intervals, recognition
-from duoledger.plans import contracts, registry
+from duoledger.plans import contracts, papers, registry
 from duoledger.sources import statements
 
 
@@ -83,6 +83,28 @@ def test_layout_reads_many_pages_at_once(spark):
     assert got == {(f, p, int(t.split(".")[1]) * 4 + int(t.split(".")[2]), int(t.split(".")[1]), line(p, *t.split(".")[1:3]), x, y, t) for f, p, x, y, _, t in items}
 
 
+def test_layout_reads_pages_in_small_batches(spark, monkeypatch):
+    """What a Python task holds at once doesn't grow with the pages that it is dealt."""
+    real, most = statements._pages, 500
+
+    def few(file, batches):
+        for pages in batches:
+            assert len(pages) <= most
+            yield from real(file, iter([pages]))
+
+    monkeypatch.setattr(statements, "_pages", few)
+    items = spark.range(3_000).selectExpr("'f' as path", "cast(id as int) as page", "40.0D as x", "700.0D as y", "50.0D as width", "'t' as text")
+    assert statements.layout(items.coalesce(1)).count() == 3_000
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no tables")
+def test_pages_stay_in_parts_of_their_paths_that_grow_in_number(spark, monkeypatch):
+    """Events move once; their pages are listed and laid out where they are."""
+    monkeypatch.setattr(papers, "parts_for", lambda table, rows=0: 9)
+    plan = plan_of(registry.queries()["c24_layout"](spark, str(SF)))
+    assert plan.count(", 9), REPARTITION_BY_NUM") == 1 == plan.count("Exchange ") and "Join" not in plan
+
+
 def test_points_of_no_interval_are_left_out_before_they_are_spread(spark, monkeypatch):
     points = spark.range(400).select((F.col("id") % 40).alias("k"), F.col("id").alias("at"))
     terms = spark.createDataFrame([(k, 10 * k, 10 * k + n) for k in (1, 2, None) if k for n in (0, 5, 90)] + [(None, 1, 2)], "k long, a long, b long")
