@@ -105,6 +105,14 @@ def test_pages_stay_in_parts_of_their_paths_that_grow_in_number(spark, monkeypat
     assert plan.count(", 9), REPARTITION_BY_NUM") == 1 == plan.count("Exchange ") and "Join" not in plan
 
 
+@pytest.mark.parametrize("name", ["c24_layout", "w12_lines_of_pages"])
+def test_pages_of_no_path_and_texts_of_no_kind_stay(spark, tmp_path, name):
+    events = [(i, None if i % 3 == 0 else i % 3, None if i % 11 == 0 else "view") for i in range(200)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got, told = against_sql(spark, tmp_path, name)
+    assert got == told and any(None in r for r in got)
+
+
 def test_points_of_no_interval_are_left_out_before_they_are_spread(spark, monkeypatch):
     points = spark.range(400).select((F.col("id") % 40).alias("k"), F.col("id").alias("at"))
     terms = spark.createDataFrame([(k, 10 * k, 10 * k + n) for k in (1, 2, None) if k for n in (0, 5, 90)] + [(None, 1, 2)], "k long, a long, b long")
