@@ -51,9 +51,10 @@ lines AS (SELECT path, page, c, row, (row + CASE WHEN c = 1 THEN (n + 1) // 2 EL
 def c24(spark, sf_dir):
     """Pages of two columns, twenty lines each, of two items a line whose heights differ by two points."""
     e = proxy.table(spark, sf_dir, "events")
-    rows = e.select(F.col("user_id").cast("string").alias("path"), "event_id", F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("text")).repartition(parts_for(e, 200_000), "path")
+    parts = parts_for(e, 200_000)
+    rows = e.select(F.col("user_id").cast("string").alias("path"), "event_id", F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("text")).repartition(parts, "path")
     k = (F.row_number().over(Window.partitionBy("path").orderBy("event_id")) - 1).alias("k")
-    rows = rows.select("path", k, "text").select("path", F.expr("cast(k div 40 + 1 as int)").alias("page"), (F.col("k") % 40 % 2).alias("c"), F.expr("k % 40 div 2").alias("row"), "text")
+    rows = rows.select("path", k, "text").select("path", F.expr("cast(k div 40 + 1 as int)").alias("page"), (F.col("k") % 40 % 2).alias("c"), F.expr("k % 40 div 2").alias("row"), "text").repartition(parts, "path", "page")  # a path of many pages is many tasks
     x, y = F.col("c") * 300.0 + 40.0, 700.0 - 12.0 * F.col("row")
     item = lambda x, y, t: F.struct(x.alias("x"), y.alias("y"), F.lit(50.0).alias("width"), t.alias("text"))
     items = rows.select("path", "page", F.inline(F.array(item(x, y, F.col("text")), item(x + 100.0, y - 2.0, F.concat(F.lit("R$ "), F.col("row").cast("string"))))))

@@ -98,11 +98,11 @@ def test_layout_reads_pages_in_small_batches(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no tables")
-def test_pages_stay_in_parts_of_their_paths_that_grow_in_number(spark, monkeypatch):
-    """Events move once; their pages are listed and laid out where they are."""
+def test_pages_are_dealt_into_parts_that_grow_in_number(spark, monkeypatch):
+    """Events are dealt by path, then by page, so a path of many pages is many tasks; pages are listed and laid out where they are."""
     monkeypatch.setattr(papers, "parts_for", lambda table, rows=0: 9)
     plan = plan_of(registry.queries()["c24_layout"](spark, str(SF)))
-    assert plan.count(", 9), REPARTITION_BY_NUM") == 1 == plan.count("Exchange ") and "Join" not in plan
+    assert plan.count(", 9), REPARTITION_BY_NUM") == 2 == plan.count("Exchange ") and "Join" not in plan
 
 
 @pytest.mark.parametrize("name", ["c24_layout", "w12_lines_of_pages"])
